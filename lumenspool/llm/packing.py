@@ -6,7 +6,8 @@ into full pieces of C tokens and a rest, and the rest into the fewest pieces who
 classes' own (C // k) or short (at most ``SHORT``): all pieces of a class are then equally long and a
 full bin wastes less than one token a piece. Workers number the pieces of each class by themselves;
 a prefix sum over the (task, class) counts joins these numbers to global ones, and bin and offset of a
-piece follow by division. Only the last bin of a class can stay part filled, whatever the data's size.
+piece follow by division. What is left over of each class (fewer pieces than fill a bin, so bounded by
+the capacity alone) is filled together, first fit, whatever the data's size.
 
 Tokenization happens once; what it yields (a row a piece, no text) is kept in the shared folder, so
 numbers cannot change when an executor is lost.
@@ -46,6 +47,22 @@ def cuts(capacity: int = CAPACITY) -> list[list[int]]:
     return best
 
 
+def last_bins(left: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[int, int], int, int]]:
+    """First-fit decreasing of the classes' left-over pieces (length, number): (piece, bin, offset)."""
+    fill: list[int] = []
+    out = []
+    begin = 0
+    for piece in sorted(left, reverse=True):
+        while begin < len(fill) and fill[begin] == capacity:
+            begin += 1
+        b = next((k for k in range(begin, len(fill)) if fill[k] + piece[0] <= capacity), len(fill))
+        if b == len(fill):
+            fill.append(0)
+        out.append((piece, b, fill[b]))
+        fill[b] += piece[0]
+    return out
+
+
 _stores: dict[str, PieceStore] = {}
 
 
@@ -105,15 +122,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    # At most one row a class: bounded by the capacity.
-    bins, base = 0, {}
+    # At most one row a class: bounded by the capacity, and so are the pieces of part filled bins.
+    bins, base, full, left = 0, {}, {}, []
     for length, n in sorted(counts.groupBy("length").agg(F.sum("n")).collect()):
-        base[length] = bins
-        bins += -(-n // (capacity // length))
-    classes = F.create_map(*[F.lit(x) for pair in base.items() for x in pair]) if base else F.create_map(F.lit(0), F.lit(0))
+        base[length], per = bins, capacity // length
+        full[length] = n // per * per
+        left += [(length, k) for k in range(full[length], n)]
+        bins += n // per
+    spark = docs.sparkSession
+    classes = spark.createDataFrame([(x, base[x], full[x]) for x in base], "length long, _p_base long, _p_full long")
+    tails = spark.createDataFrame([(*x, bins + b, at) for x, b, at in last_bins(left, capacity)], "length long, _p_number long, _p_bin long, _p_at long")
     per_bin = F.expr(f"{capacity} div length")
-    number = F.col("ahead") + F.col("ordinal")
-    return pieces.join(starts, ["length", "task"]).select(
+    numbered = pieces.join(starts, ["length", "task"]).withColumn("_p_number", F.col("ahead") + F.col("ordinal")).join(F.broadcast(classes), "length")
+    in_full = F.col("_p_number") < F.col("_p_full")
+    return numbered.join(F.broadcast(tails), ["length", "_p_number"], "left").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (classes[F.col("length")].cast("long") + F.floor(number / per_bin)).alias("sequence_id"),
-        (F.pmod(number, per_bin) * F.col("length")).alias("offset"), *["ids"] * with_ids)
+        F.when(in_full, F.col("_p_base") + F.floor(F.col("_p_number") / per_bin)).otherwise(F.col("_p_bin")).alias("sequence_id"),
+        F.when(in_full, F.pmod("_p_number", per_bin) * F.col("length")).otherwise(F.col("_p_at")).alias("offset"), *["ids"] * with_ids)
