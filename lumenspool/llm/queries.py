@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenspool.llm import bpe, common, packing, quality_rules, sharding
+from lumenspool.llm import bpe, common, packing, quality_rules, sharding, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +20,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, index).select(
+        "doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -34,6 +42,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op3_quality_rules": op3_quality_rules,

@@ -55,12 +55,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first) in bytes: words of all rows in order; row i has words first[i] .. first[i + 1]."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    word = ~SEPARATOR[data]
+    word = ~separator[data]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
