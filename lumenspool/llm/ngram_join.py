@@ -110,24 +110,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h): set size and class of every row."""
+def describe(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, h, hot): set size, class and numbers of the hot shingles in the prefix (null: none) of every row."""
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 1):
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_hash(s) for s in sets], pa.int64())], ["doc_id", "n", "h"])
+            found: list[np.ndarray | None] = []
+            for s in sets:
+                p = prefix(s, hot, percent)
+                numbers = np.minimum(np.searchsorted(hot, p), max(0, len(hot) - 1))
+                own = numbers[hot[numbers] == p] if len(hot) else numbers[:0]
+                found.append(own.astype(np.int32) if len(own) else None)
+            yield pa.record_batch([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_hash(s) for s in sets], pa.int64()),
+                pa.array(found, pa.list_(pa.int32()))], ["doc_id", "n", "h", "hot"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, h long")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, h long, hot array<int>")
 
 
 def _keys(docs: DataFrame, hot: np.ndarray, percent: int, full: bool) -> DataFrame:
-    """A row a class and prefix shingle: key only, or with h, n, and for hot keys all hot keys of the class's prefix."""
+    """A row a class and cold prefix shingle: key, and with ``full`` the class's h and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has given already; forgotten when many, which only repeats rows
         for _, sets in _sets(batches, 0):
-            key, own, size, chain = [], [], [], []
+            key, own, size = [], [], []
             if len(seen) > 200_000:
                 seen.clear()
             for s in sets:
@@ -136,25 +144,20 @@ def _keys(docs: DataFrame, hot: np.ndarray, percent: int, full: bool) -> DataFra
                     continue
                 seen.add(h)
                 p = prefix(s, hot, percent)
+                if len(hot):
+                    p = p[hot[np.minimum(np.searchsorted(hot, p), len(hot) - 1)] != p]
                 key.append(p)
                 own.append(h)
                 size.append(len(s))
-            if not key:
-                continue
-            many = [len(p) for p in key]
-            flat = np.concatenate(key)
-            columns = [pa.array(flat.view(np.int64))]
-            if full:
-                is_hot = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat if len(hot) else np.zeros(len(flat), bool)
-                numbers = np.searchsorted(hot, flat).astype(np.int32)
-                for p, h0 in zip(np.split(numbers, np.cumsum(many)[:-1]), np.split(is_hot, np.cumsum(many)[:-1]), strict=True):
-                    listed = p[h0]
-                    chain += [listed if x else None for x in h0.tolist()]
-                columns += [pa.array(np.repeat(np.array(own, np.int64), many)), pa.array(np.repeat(np.array(size, np.int64), many)), pa.array(chain, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, ["key", "h", "n", "hot"][: len(columns)])
+            if key:
+                many = [len(p) for p in key]
+                columns = [pa.array(np.concatenate(key).view(np.int64))]
+                if full:
+                    columns += [pa.array(np.repeat(np.array(x, np.int64), many)) for x in (own, size)]
+                yield pa.record_batch(columns, ["key", "h", "n"][: len(columns)])
 
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "key long, h long, n long, hot array<int>" if full else "key long")
+    return rows.mapInArrow(run, "key long, h long, n long" if full else "key long")
 
 
 def hot_keys(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
@@ -169,7 +172,10 @@ def hot_keys(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
 
 
 def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes of one cold key that fit in size. rows: key, h, n, sorted by key, n, h in each partition."""
+    """(a, b, far): pairs of classes of one cold key that fit in size, far false for neighbours in order of size.
+
+    rows: key, h, n, sorted by key, n, h in each partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 3), np.int64)
@@ -178,20 +184,23 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
             same = np.zeros(len(x), bool)
             same[1:] = (x[1:, 0] == x[:-1, 0]) & (x[1:, 1] == x[:-1, 1])
             x = x[~same]
-            a, b, gap = [], [], 1
+            a, b, far, gap = [], [], [], 1
             alive = np.arange(len(x))
             while len(alive):  # partners gap places on; keys have bounded runs unless the hot limit was raised
                 alive = alive[alive + gap < len(x)]
                 i, j = x[alive], x[alive + gap]
-                ok = (i[:, 0] == j[:, 0]) & (percent * j[:, 2] <= 100 * i[:, 2])
-                alive = alive[ok]
+                alive = alive[(i[:, 0] == j[:, 0]) & (percent * j[:, 2] <= 100 * i[:, 2])]
                 a.append(x[alive, 1])
                 b.append(x[alive + gap, 1])
+                far.append(np.full(len(alive), int(gap > 1), np.int64))
                 gap += 1
-            one, two = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a, b))
-            low, high = np.minimum(one, two), np.maximum(one, two)
-            both = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-            return pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+            one, two, f = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a, b, far))
+            # Each pair once a slice, near before far.
+            order = np.lexsort((f, np.maximum(one, two), np.minimum(one, two)))
+            low, high, f = np.minimum(one, two)[order], np.maximum(one, two)[order], f[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            return pa.record_batch([pa.array(low[new]), pa.array(high[new]), pa.array(f[new])], ["a", "b", "far"])
 
         for batch in batches:
             x = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(3)], 1)])
@@ -202,7 +211,7 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if len(rest):
             yield pairs(rest)
 
-    return rows.select("key", "h", "n").mapInArrow(run, "a long, b long")
+    return rows.select("key", "h", "n").mapInArrow(run, "a long, b long, far long")
 
 
 def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +253,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different roots under hot keys that the R-tree's bound allows.
 
-    rows: key, number (of the key), block, side, h, n, hot, vector, root, sorted by key and block.
+    rows: number (of the key), block, side, h, n, hot, vector, root, sorted by number and block.
     """
 
     def page(x: pa.Table) -> tuple[list[int], list[int]]:
@@ -287,7 +296,7 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, block = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if last is not None and last != (key[i], block[i]):
@@ -302,49 +311,51 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes of all rows: doc_id, n, h; a spanning set of links between classes: a, b)."""
+    """(classes of all rows: doc_id, n, h, hot; links between classes, enough to span all components: a, b)."""
     spark = docs.sparkSession
     common.ship(spark)
     parts = common.partitions(spark)
-    rows = common.materialize(describe(docs), "classes")
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = common.materialize(df, tag)
+        common.release_shuffles(spark)
+        return out
+
     hot = hot_keys(docs, percent)
     common.release_shuffles(spark)
-    keys = _keys(docs, hot, percent, True)
-    # Cold keys: only classes that meet another of fitting size stay.
-    cold = keys.where("hot is null").select("key", "h", "n").repartition(parts, "key").sortWithinPartitions("key", "n", "h")
-    pairs = common.materialize(_cold_pairs(cold, percent).distinct(), "cold")
-    hot_rows = None
-    if len(hot):
-        hot_rows = common.materialize(_keys(docs, hot, percent, True).where("hot is not null").dropDuplicates(["key", "h"]), "hot-rows")
-        common.release_shuffles(spark)
-        # A chain in each hot key's own random order, in blocks that are bounded whatever the key's size.
-        blocks = hot_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("blocks"))
-        dealt = hot_rows.join(F.broadcast(blocks), "key").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
-        order = F.xxhash64("key", "h")
-        w = Window.partitionBy("key", "salt").orderBy(order, "h")
-        chain = dealt.select("h", "n", F.lead("h").over(w).alias("o"), F.lead("n").over(w).alias("m")).where(
-            F.col("o").isNotNull() & (percent * F.greatest("n", "m") <= 100 * F.least("n", "m")))
-        pairs = pairs.union(chain.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    rows = keep(describe(docs, hot, percent), "classes")
+    cold = _keys(docs, hot, percent, True).repartition(parts, "key").sortWithinPartitions("key", "n", "h")
+    cold = keep(_cold_pairs(cold, percent).groupBy("a", "b").agg(F.min("far").alias("far")), "cold")
+    # A class and hot key a row, with a salt that bounds the rows of a block; the chain goes through each
+    # block in the key's own random order.
+    of_class = rows.where("hot is not null").groupBy("h", "n").agg(F.any_value("hot").alias("hot"))
+    hot_rows = of_class.select("h", "n", "hot", F.explode("hot").alias("number"))
+    blocks = hot_rows.groupBy("number").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("blocks"))
+    hot_rows = keep(hot_rows.join(F.broadcast(blocks), "number").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")), "hot-rows")
+    w = Window.partitionBy("number", "salt").orderBy(F.xxhash64("number", "h"), "h")
+    chain = hot_rows.select("h", "n", F.lead("h").over(w).alias("o"), F.lead("n").over(w).alias("m")).where(percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
+    chain = keep(chain.where("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), "chain")
     # Shingles and vectors of the classes that meet others, from one document of each.
-    met = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    if hot_rows is not None:
-        met = met.union(hot_rows.select("h"))
-    one = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id")).join(met.distinct(), "h", "left_semi").select("doc_id")
-    sets = common.materialize(_class_sets(docs.join(one, "doc_id", "left_semi")).dropDuplicates(["h"]), "sets")
-    linked = common.materialize(_verified(_within_bound(pairs.distinct(), sets, percent), sets, percent), "links")
-    if hot_rows is not None:
-        roots = components(linked)
-        labelled = hot_rows.join(roots, hot_rows["h"] == roots["node"], "left").withColumn("root", F.coalesce("root", "h")).drop("node")
-        mixed = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("blocks")).where("mixed")
-        dealt = labelled.join(F.broadcast(mixed), "key").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"block": F.least("salt", "other") * F.lit(1 << 20) + F.greatest("salt", "other"), "side": (F.col("salt") > F.col("other")).cast("int")})
-        ordered = spark.createDataFrame([(int(k), i) for i, k in enumerate(hot.view(np.int64))], "key long, number int")
-        dealt = dealt.join(F.broadcast(ordered), "key").join(sets.select("h", "vector"), "h")
-        dealt = dealt.select("key", "number", "block", "side", "h", "n", "hot", "vector", "root").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-        more = _verified(_hot_pairs(dealt, percent).distinct(), sets, percent)
-        linked = common.materialize(linked.union(more), "links")
-    common.discard(sets)
+    met = cold.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h"))
+    one = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id")).join(met.distinct(), "h", "left_semi").select("doc_id").distinct()
+    sets = keep(_class_sets(docs.select("doc_id", "text").join(one, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "sets")
+    first = keep(_within_bound(cold.where("far = 0").select("a", "b").union(chain).distinct(), sets, percent), "bounded")
+    linked = keep(_verified(first, sets, percent), "links")
+    # What is linked needs no further look: only pairs of different components go on.
+    roots = components(linked)
+    far = cold.where("far = 1").select("a", "b")
+    for c in ("a", "b"):
+        far = far.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    far = far.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    labelled = hot_rows.join(roots, hot_rows["h"] == roots["node"], "left").withColumn("root", F.coalesce("root", "h")).drop("node")
+    mixed = labelled.groupBy("number").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("number")
+    dealt = labelled.join(F.broadcast(mixed), "number", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"block": F.least("salt", "other").cast("long") * (1 << 20) + F.greatest("salt", "other"), "side": (F.col("salt") > F.col("other")).cast("int")})
+    dealt = dealt.join(sets.select("h", "vector"), "h").select("number", "block", "side", "h", "n", "hot", "vector", "root")
+    dealt = dealt.repartition(parts, "number", "block").sortWithinPartitions("number", "block")
+    rest = keep(_within_bound(far, sets, percent).union(_hot_pairs(dealt, percent)).distinct(), "bounded")
+    linked = keep(linked.union(_verified(rest, sets, percent)), "links")
+    common.discard(sets, cold, hot_rows, chain, first, rest)
     return rows, linked
 
 

@@ -140,4 +140,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
 
 def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with the input's own columns."""
-    return measure(docs, rules).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The numbering keeps Catalyst from pushing the filter below the projections, which would copy their
+    # expressions into one another many times over.
+    judged = measure(docs, rules).withColumn("_q_at", F.monotonically_increasing_id())
+    return judged.where("_q_kept and _q_at >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
