@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspool.llm import bpe, common, edit_embedding, ngram_join, packing, quality_rules, sharding, toxicity
+from lumenspool.llm import bpe, common, edit_embedding, language_id, ngram_join, packing, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(common.table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_edit_embedding": op2_edit_embedding,
@@ -56,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {}
