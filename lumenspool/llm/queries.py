@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspool.llm import bpe, common, edit_embedding, language_id, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from lumenspool.llm import bpe, common, edit_embedding, language_id, ngram_join, ngram_lm, packing, quality_rules, sharding, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(common.table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = ngram_lm.score(docs, ngram_lm.fit(docs))
+    return found.select("doc_id", ngram_lm.is_held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op8_ngram_lm": op8_ngram_lm,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
