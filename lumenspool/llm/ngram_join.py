@@ -15,7 +15,8 @@ them. Each key's classes are the points of one small tree:
   looked at only under the first hot key that its two classes share. Keys of more than ``PAGE``
   classes are dealt over pairs of salted blocks, so that no task holds more than two blocks.
 
-Count vectors: shingles are hashed into ``GROUPS`` groups; a vector has the number of shingles in each.
+Count vectors: shingles are hashed into groups, ``GROUPS`` or more for large sets; a vector has the number of
+shingles in each. Vectors of unlike length are folded to the shorter; the trees use GROUPS coordinates.
 The sum of coordinate minima of two vectors bounds the overlap from above, and that of a vector and
 the coordinate maxima of an R-tree node bounds it for all vectors below. Pairs within the bound are
 verified on their shingles. Pairs inside a component need no look, so components are exact.
@@ -65,7 +66,16 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint16)
+    """Group counts of a set, one byte a group: GROUPS groups, doubled until a group has two shingles on average at most."""
+    groups = GROUPS
+    while 2 * groups < len(s):
+        groups *= 2
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 255).astype(np.uint8)
+
+
+def folded(vector: bytes, groups: int = GROUPS) -> np.ndarray:
+    """Counts by fewer groups."""
+    return np.frombuffer(vector, np.uint8).reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -111,7 +121,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, h, hot): set size, class and numbers of the hot shingles in the prefix (null: none) of every row."""
+    """(doc_id, n, h, hot, vector): set size, class, numbers of the prefix's hot shingles (null: none) and group counts of every row."""
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +134,9 @@ def describe(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFr
                 found.append(own.astype(np.int32) if len(own) else None)
             yield pa.record_batch([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_hash(s) for s in sets], pa.int64()),
-                pa.array(found, pa.list_(pa.int32()))], ["doc_id", "n", "h", "hot"])
+                pa.array(found, pa.list_(pa.int32())), pa.array([counts(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "h", "hot", "vector"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, h long, hot array<int>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, h long, hot array<int>, vector binary")
 
 
 def _keys(docs: DataFrame, hot: np.ndarray, percent: int, full: bool) -> DataFrame:
@@ -214,21 +224,24 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("key", "h", "n").mapInArrow(run, "a long, b long, far long")
 
 
-def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _within_bound(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """The pairs whose count vectors allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v, w = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (2, 3))
-            n, m = (batch.column(k).to_numpy() for k in (4, 5))
-            ok = np.minimum(v, w).sum(1) >= least_overlap(n, m, percent)
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+            least = least_overlap(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent).tolist()
+            ok = []
+            for v, w, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), least, strict=True):
+                if len(v) == len(w):
+                    bound = np.minimum(np.frombuffer(v, np.uint8), np.frombuffer(w, np.uint8)).sum()
+                else:
+                    groups = min(len(v), len(w))
+                    bound = np.minimum(folded(v, groups), folded(w, groups)).sum()
+                ok.append(bool(bound >= m))
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    small = sets.select("h", "vector", "n")
-    joined = pairs.join(small.toDF("a", "va", "na"), "a").join(small.toDF("b", "vb", "nb"), "b").select("a", "b", "va", "vb", "na", "nb")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(vectors.select("h", "vector", "n").toDF("a", "va", "na"), "a").join(vectors.select("h", "vector", "n").toDF("b", "vb", "nb"), "b")
+    return joined.select("a", "b", "va", "vb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +274,7 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
         h, n, root, side = (x[c].to_numpy() for c in ("h", "n", "root", "side"))
         if len(np.unique(root)) < 2:
             return [], []
-        vectors = np.frombuffer(b"".join(x["vector"].to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+        vectors = np.stack([folded(v) for v in x["vector"].to_pylist()])
         before = [[k for k in keys if k < number] for keys in x["hot"].to_pylist()]
         place = {k: i for i, k in enumerate(sorted({k for keys in before for k in keys}))}
         marks = np.zeros((len(h), max(1, len(place))), np.float32)
@@ -335,15 +348,18 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     w = Window.partitionBy("number", "salt").orderBy(F.xxhash64("number", "h"), "h")
     chain = hot_rows.select("h", "n", F.lead("h").over(w).alias("o"), F.lead("n").over(w).alias("m")).where(percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
     chain = keep(chain.where("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), "chain")
-    # Shingles and vectors of the classes that meet others, from one document of each.
-    met = cold.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h"))
-    one = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id")).join(met.distinct(), "h", "left_semi").select("doc_id").distinct()
+    # Count vectors of the classes that meet others, then shingles of those that the bound leaves.
+    met = cold.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h")).distinct()
+    vectors = keep(rows.where("n > 0").join(met, "h", "left_semi").groupBy("h").agg(F.any_value("n").alias("n"), F.any_value("vector").alias("vector"), F.min("doc_id").alias("doc_id")), "vectors")
+    every = cold.select("a", "b", "far").union(chain.select("a", "b", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.min("far").alias("far"))
+    every = keep(every.join(_within_bound(every.select("a", "b"), vectors, percent), ["a", "b"]), "bounded")
+    wanted = every.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h")).distinct()
+    one = vectors.join(wanted, "h", "left_semi").select("doc_id").distinct()
     sets = keep(_class_sets(docs.select("doc_id", "text").join(one, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "sets")
-    first = keep(_within_bound(cold.where("far = 0").select("a", "b").union(chain).distinct(), sets, percent), "bounded")
-    linked = keep(_verified(first, sets, percent), "links")
+    linked = keep(_verified(every.where("far = 0").select("a", "b"), sets, percent), "links")
     # What is linked needs no further look: only pairs of different components go on.
     roots = components(linked)
-    far = cold.where("far = 1").select("a", "b")
+    far = every.where("far = 1").select("a", "b")
     for c in ("a", "b"):
         far = far.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     far = far.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
@@ -351,22 +367,20 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     mixed = labelled.groupBy("number").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("number")
     dealt = labelled.join(F.broadcast(mixed), "number", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"block": F.least("salt", "other").cast("long") * (1 << 20) + F.greatest("salt", "other"), "side": (F.col("salt") > F.col("other")).cast("int")})
-    dealt = dealt.join(sets.select("h", "vector"), "h").select("number", "block", "side", "h", "n", "hot", "vector", "root")
+    dealt = dealt.join(vectors.select("h", "vector"), "h").select("number", "block", "side", "h", "n", "hot", "vector", "root")
     dealt = dealt.repartition(parts, "number", "block").sortWithinPartitions("number", "block")
-    rest = keep(_within_bound(far, sets, percent).union(_hot_pairs(dealt, percent)).distinct(), "bounded")
+    rest = keep(far.union(_within_bound(_hot_pairs(dealt, percent).distinct(), vectors, percent)).distinct(), "bounded")
     linked = keep(linked.union(_verified(rest, sets, percent)), "links")
-    common.discard(sets, cold, hot_rows, chain, first, rest)
+    common.discard(sets, cold, hot_rows, chain, every, vectors, rest)
     return rows, linked
 
 
 def _class_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, 0):
-            yield pa.record_batch([
-                pa.array([class_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([counts(s).tobytes() for s in sets], pa.binary())], ["h", "n", "set", "vector"])
+            yield pa.record_batch([pa.array([class_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "set"])
 
-    return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "h long, n long, set binary, vector binary")
+    return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "h long, set binary")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
