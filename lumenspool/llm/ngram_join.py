@@ -182,10 +182,14 @@ def hot_keys(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
 
 
 def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, far): pairs of classes of one cold key that fit in size, far false for neighbours in order of size.
+    """What the keys that are not known as hot give, as rows (a, b, far, n).
 
+    far 0 and 1: a pair of classes that fit in size, 0 for neighbours. far 2: class a, of size n, is under
+    key b, which turned out to have more than 2 x HOT classes (moving the hot ones back brings others
+    forward); such a key gives a chain in its own random order and goes to the trees with the hot ones.
     rows: key, h, n, sorted by key, n, h in each partition.
     """
+    large = 2 * HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 3), np.int64)
@@ -194,9 +198,16 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
             same = np.zeros(len(x), bool)
             same[1:] = (x[1:, 0] == x[:-1, 0]) & (x[1:, 1] == x[:-1, 1])
             x = x[~same]
-            a, b, far, gap = [], [], [], 1
+            _, run_of, run_size = np.unique(x[:, 0], return_inverse=True, return_counts=True)
+            late = x[run_size[run_of] > large]
+            x = x[run_size[run_of] <= large]
+            own = W.mix(late[:, 0].view(np.uint64) ^ W.mix(late[:, 1].view(np.uint64))) if len(late) else np.zeros(0, np.uint64)
+            chain = late[np.lexsort((own, late[:, 0]))]
+            i, j = chain[:-1], chain[1:]
+            ok = (i[:, 0] == j[:, 0]) & (percent * np.maximum(i[:, 2], j[:, 2]) <= 100 * np.minimum(i[:, 2], j[:, 2]))
+            a, b, far, gap = [i[ok, 1]], [j[ok, 1]], [np.zeros(int(ok.sum()), np.int64)], 1
             alive = np.arange(len(x))
-            while len(alive):  # partners gap places on; keys have bounded runs unless the hot limit was raised
+            while len(alive):  # partners gap places on, at most ``large``
                 alive = alive[alive + gap < len(x)]
                 i, j = x[alive], x[alive + gap]
                 alive = alive[(i[:, 0] == j[:, 0]) & (percent * j[:, 2] <= 100 * i[:, 2])]
@@ -204,13 +215,15 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 b.append(x[alive + gap, 1])
                 far.append(np.full(len(alive), int(gap > 1), np.int64))
                 gap += 1
-            one, two, f = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a, b, far))
+            one, two, f = (np.concatenate(y) for y in (a, b, far))
             # Each pair once a slice, near before far.
             order = np.lexsort((f, np.maximum(one, two), np.minimum(one, two)))
             low, high, f = np.minimum(one, two)[order], np.maximum(one, two)[order], f[order]
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            return pa.record_batch([pa.array(low[new]), pa.array(high[new]), pa.array(f[new])], ["a", "b", "far"])
+            n = int(new.sum())
+            columns = ([low[new], late[:, 1]], [high[new], late[:, 0]], [f[new], np.full(len(late), 2)], [np.zeros(n, np.int64), late[:, 2]])
+            return pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["a", "b", "far", "n"])
 
         for batch in batches:
             x = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(3)], 1)])
@@ -221,7 +234,7 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if len(rest):
             yield pairs(rest)
 
-    return rows.select("key", "h", "n").mapInArrow(run, "a long, b long, far long")
+    return rows.select("key", "h", "n").mapInArrow(run, "a long, b long, far long, n long")
 
 
 def _within_bound(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -338,11 +351,16 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     common.release_shuffles(spark)
     rows = keep(describe(docs, hot, percent), "classes")
     cold = _keys(docs, hot, percent, True).repartition(parts, "key").sortWithinPartitions("key", "n", "h")
-    cold = keep(_cold_pairs(cold, percent).groupBy("a", "b").agg(F.min("far").alias("far")), "cold")
-    # A class and hot key a row, with a salt that bounds the rows of a block; the chain goes through each
-    # block in the key's own random order.
-    of_class = rows.where("hot is not null").groupBy("h", "n").agg(F.any_value("hot").alias("hot"))
-    hot_rows = of_class.select("h", "n", "hot", F.explode("hot").alias("number"))
+    found = keep(_cold_pairs(cold, percent).groupBy("a", "b").agg(F.min("far").alias("far"), F.max("n").alias("n")), "cold")
+    cold = found.where("far < 2").select("a", "b", "far")
+    # A class and hot key a row, with all hot keys of the class and a salt that bounds the rows of a block;
+    # the chain goes through each block in the key's own random order.
+    known = rows.where("hot is not null").groupBy("h", "n").agg(F.any_value("hot").alias("hot")).select("h", "n", F.explode("hot").alias("number"))
+    ordered = spark.createDataFrame([(i, int(k)) for i, k in enumerate(hot.view(np.int64))], "number int, key long")
+    hot_rows = known.join(F.broadcast(ordered), "number").select("h", "n", F.col("key").alias("number"))
+    hot_rows = hot_rows.union(found.where("far = 2").select(F.col("a").alias("h"), "n", F.col("b").alias("number"))).distinct()
+    lists = hot_rows.groupBy("h").agg(F.collect_list("number").alias("hot"))
+    hot_rows = keep(hot_rows.join(lists, "h"), "hot-rows")
     blocks = hot_rows.groupBy("number").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("blocks"))
     hot_rows = keep(hot_rows.join(F.broadcast(blocks), "number").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")), "hot-rows")
     w = Window.partitionBy("number", "salt").orderBy(F.xxhash64("number", "h"), "h")
@@ -371,7 +389,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     dealt = dealt.repartition(parts, "number", "block").sortWithinPartitions("number", "block")
     rest = keep(far.union(_within_bound(_hot_pairs(dealt, percent).distinct(), vectors, percent)).distinct(), "bounded")
     linked = keep(linked.union(_verified(rest, sets, percent)), "links")
-    common.discard(sets, cold, hot_rows, chain, every, vectors, rest)
+    common.discard(sets, found, hot_rows, chain, every, vectors, rest)
     return rows, linked
 
 
