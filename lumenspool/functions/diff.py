@@ -1,0 +1,25 @@
+"""Ordered text comparison (Ratcliff-Obershelp) as pandas UDFs: Spark has no built-in for it."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("double")
+def ordered_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of matching tokens of two token arrays; 1 for two empty ones, null if either is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(a=list(x), b=list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf("source_tokens long, matched long, ratio double, exact boolean")
+def ordered_coverage(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Tokens of the first array that the second has in order."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = list(x) if x is not None else [], list(y) if y is not None else []
+        matched = sum(m.size for m in SequenceMatcher(a=x, b=y, autojunk=False).get_matching_blocks())
+        out.append((len(x), matched, matched / len(x) if x else 1.0, x == y))
+    return pd.DataFrame(out, columns=["source_tokens", "matched", "ratio", "exact"])

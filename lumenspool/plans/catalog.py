@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspool.functions import columns as C
-from lumenspool.operators import captions, intervals
+from lumenspool.functions import diff
+from lumenspool.operators import captions, intervals, selection
 from lumenspool.sources import adapters as A
 from lumenspool.sources.adapters import table
 
@@ -391,3 +392,23 @@ def cache_prune_plan(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
     r = table(spark, sf, "events").select("user_id", F.sum(1 + F.pmod("event_id", F.lit(97))).over(w).alias("total"))
     return r.groupBy("user_id").agg(F.count_if(F.col("total") <= 1000).alias("kept"), F.count_if(F.col("total") > 1000).alias("pruned"))
+
+
+@query()
+def selection_greedy(spark, sf):
+    f = _frames(spark, sf).select("media_id", F.col("event_id").alias("frame_id"), "actual_ms", "score", "mandatory", F.xxhash64("event_type").alias("hash"))
+    return selection.select_greedy(f, 40)
+
+
+@query()
+def ordered_coverage(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
+    return c.select("conv_id", "turn", diff.ordered_coverage(C.audit_tokens(F.col("before")), C.audit_tokens(F.col("text"))).alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query(f"""with recursive {SIG}, p as (select distinct media_id, actual_ms as t from signals), r(media_id, t) as (select media_id, min(t) from p group by 1 union all
+ select media_id, n from (select r.media_id, (select min(p.t) from p where p.media_id = r.media_id and p.t >= r.t + 30000) as n from r) where n is not null)
+select media_id, t as actual_ms from r union select media_id, max(t) from p group by 1""")
+def thinned_points(spark, sf):
+    return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)

@@ -1,0 +1,42 @@
+"""Caption files as tables: one row a cue from rows (path, content). Native expressions only.
+
+SRT: an optional number line, a timing line, body until a blank line. VTT: header and NOTE, STYLE and
+REGION blocks are skipped, tags go, the speaker comes from a voice tag. Cues without a timing line are
+dropped in ``lenient`` mode and raise otherwise. Null content has no cues.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenspool.functions.columns import parse_clock
+
+_TIMING = r"([0-9:.,]+)[ \t]*-->[ \t]*([0-9:.,]+)"
+
+
+def infer_format(path: F.Column, content: F.Column) -> F.Column:
+    """srt, vtt, ass, json or text: by suffix, else by content."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    by_suffix = F.when(suffix.isin("srt", "vtt", "json"), suffix).when(suffix.isin("ass", "ssa"), "ass").when(suffix.isin("txt", "md"), "text")
+    head = F.ltrim(F.regexp_replace(content, "^﻿", ""))
+    by_content = (F.when(head.startswith("WEBVTT"), "vtt").when(F.contains(head, F.lit("[Events]")), "ass").when(head.rlike(r"^[\[{]"), "json")
+                  .when(content.rlike(_TIMING), "srt").otherwise("text"))
+    return F.coalesce(by_suffix, by_content)
+
+
+def read_cues(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """(path, source_order, start_ms, end_ms, speaker, raw_text) of SRT and VTT content."""
+    lf = F.regexp_replace(F.regexp_replace(F.col("content"), "\r\n?", "\n"), "^﻿", "")
+    blocks = files.select("path", F.posexplode(F.split(F.regexp_replace(lf, r"\n[ \t]+(?=\n)", "\n"), r"\n{2,}")).alias("pos", "block"))
+    blocks = blocks.withColumn("block", F.regexp_replace("block", r"^\n+|\n+$", "")).where("block <> ''").where(~F.col("block").rlike(r"^(WEBVTT|NOTE|STYLE|REGION)\b"))
+    timing = blocks.withColumns({"a": F.regexp_extract("block", _TIMING, 1), "b": F.regexp_extract("block", _TIMING, 2), "body": F.regexp_extract("block", r"(?s)-->[^\n]*\n?(.*)$", 1)})
+    timing = timing.where("a <> ''") if lenient else timing.withColumn("a", F.when(F.col("a") != "", F.col("a")).otherwise(F.raise_error(F.concat(F.lit("cue without timing line in "), "path")).cast("string")))
+    text = F.regexp_replace("body", r"<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    from pyspark.sql.window import Window
+
+    order = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
+    return timing.select("path", order.alias("source_order"), parse_clock(F.col("a")).alias("start_ms"), parse_clock(F.col("b")).alias("end_ms"),
+                         F.nullif(F.regexp_extract("body", r"<v(?:\.[^ >]*)?[ \t]+([^>]+)>", 1), F.lit("")).alias("speaker"), text.alias("raw_text"))

@@ -49,3 +49,34 @@ def test_untimed_and_broken_cues(spark):
     rows = {r.source_order: r for r in captions.flags(df).collect()}
     assert rows[0].placeholder and rows[1].broken_boundary and rows[2].invalid_range and rows[3].placeholder
     assert not rows[0].overlap and not rows[1].invalid_range
+
+
+def test_read_cues(spark):
+    from lumenspool.sources.captions import infer_format, read_cues
+
+    srt = "1\r\n00:00:00,000 --> 00:00:01,500\r\nHello\r\nthere\r\n\r\n00:00:02,000 --> 00:00:03,000\r\nSecond"
+    vtt = "WEBVTT\n\nNOTE skip\n\nid\n00:01.000 --> 00:02.000 align:start\n<v Ann>Hi &amp; bye</v>\n"
+    files = spark.createDataFrame([("a.srt", srt), ("b", vtt), ("c.srt", None)], "path string, content string")
+    assert [tuple(r) for r in read_cues(files).orderBy("path", "source_order").collect()] == [
+        ("a.srt", 0, 0, 1500, None, "Hello\nthere"), ("a.srt", 1, 2000, 3000, None, "Second"), ("b", 0, 1000, 2000, "Ann", "Hi & bye")]
+    assert [r.x for r in files.where("content is not null").select(infer_format(F.col("path"), F.col("content")).alias("x")).collect()] == ["srt", "vtt"]
+
+
+def test_greedy_selection(spark):
+    from lumenspool.operators.selection import select_greedy
+
+    rows = [(1, 1, 0, 0.9, False, 0), (1, 2, 1000, 0.8, False, 1), (1, 3, 500_000, 0.7, False, 0), (1, 4, 2000, 0.1, True, 0), (1, 5, 9000, 0.6, False, -1)]
+    frames = spark.createDataFrame(rows, "media_id long, frame_id long, actual_ms long, score double, mandatory boolean, hash long")
+    got = {r.frame_id: (r.selected, r.representative) for r in select_greedy(frames, 2).collect()}
+    assert got == {4: (True, 4), 1: (False, 4), 2: (False, 4), 3: (True, 3), 5: (False, None)}
+
+
+def test_streaming_profile(spark, tmp_path):
+    from lumenspool.streaming.profile import tumbling_profile
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")
+    q = tumbling_profile(stream).writeStream.outputMode("complete").format("memory").queryName("profile").option("checkpointLocation", str(tmp_path)).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("profile").collect())) == sorted(map(tuple, tumbling_profile(events).collect()))
