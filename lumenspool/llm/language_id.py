@@ -97,7 +97,7 @@ def text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Data
             bucket, row = trigram_rows(offsets, data)
             many = np.bincount(row, minlength=batch.num_rows)
             scores = np.stack([np.bincount(row, weights=x[bucket], minlength=batch.num_rows) for x in logs], 1) if len(logs) else np.zeros((batch.num_rows, 0))
-            scores *= (np.minimum(1.0, TEXT_WORTH / np.maximum(many, 1)))[:, None]
+            scores = scores.astype(np.float64) * (np.minimum(1.0, TEXT_WORTH / np.maximum(many, 1)))[:, None]
             scores -= scores.max(1, keepdims=True) if len(logs) else 0
             rest = batch.remove_column(at)
             yield rest.append_column("text_log", pa.array(list(scores), pa.list_(pa.float64())))

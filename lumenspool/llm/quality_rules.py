@@ -120,7 +120,11 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
     df = df.withColumn("_q_base_failed", (F.col("_q_words") < rules.min_words) | (100 * F.col("_q_repeat_words") > rules.max_repeat_percent * F.col("_q_words")))
     df = df.withColumn("_q_lost", F.when(F.col("_q_length") > 0, 1 - F.col("_q_kept_length") / F.col("_q_length")).otherwise(1.0))
     df = df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_lost") <= rules.max_lost))
-    return df.drop("_q_text", "_q_trim", "_q_w", "_q_n", "_q_high", "_q_key", "_q_sorted", "_q_pairs", "_q_found", "_q_at", "_q_lines", "_q_once", "_q_length", "_q_kept_length")
+    # The measures pass through a generator: filters on them must not be pushed below the projections,
+    # which would copy their expressions into one another many times over.
+    names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "lost", "kept")
+    out = df.withColumn("_q_all", F.explode(F.array(F.struct(*[F.col(f"_q_{n}").alias(n) for n in names]))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_q_all.{n}").alias(f"_q_{n}") for n in names])
 
 
 def quality_report(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -140,7 +144,4 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
 
 def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with the input's own columns."""
-    # The numbering keeps Catalyst from pushing the filter below the projections, which would copy their
-    # expressions into one another many times over.
-    judged = measure(docs, rules).withColumn("_q_at", F.monotonically_increasing_id())
-    return judged.where("_q_kept and _q_at >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return measure(docs, rules).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
