@@ -131,7 +131,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     soft = F.transform(weights, lambda x: F.floor(1000 * x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y)))
     voted = rows.select("host", "domain", "declared", "suffix", *[soft[i].alias(f"v{i}") for i in range(k)])
     votes = F.array(*[F.sum(f"v{i}").cast("double") / 1000 for i in range(k)])
-    overall = voted.agg(votes.alias("votes")).first().votes or [0.0] * k
+    overall = [v or 0.0 for v in voted.agg(votes.alias("votes")).first().votes]
     prior = [(v + 1.0) / (sum(overall) + k) for v in overall]
     even = F.array(*[F.lit(1.0 / k)] * k)
     base = F.array(*[F.lit(p) for p in prior])
