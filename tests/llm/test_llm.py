@@ -160,14 +160,14 @@ def brute_components(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("hot", [32, 2])
+@pytest.mark.parametrize("hot", [32, 4])
 def test_ngram_join_equals_brute_force(spark, edge, none, docs, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", hot)
-    monkeypatch.setattr(ngram_join, "PAGE", 4)
+    monkeypatch.setattr(ngram_join, "PAGE", 8)
     rng = np.random.default_rng(5)
     base = LONG.split()[:120]
     near = [" ".join(base[:k] + ["zz"] + base[k + 1 :]) for k in rng.integers(0, 120, 15)] + [" ".join(np.where(rng.random(120) < 0.05, "q", base)) for _ in range(10)]
-    rows = [(r.doc_id, r.text) for r in docs.limit(25).collect()] + [(5000 + i, t) for i, t in enumerate(near + EDGE)]
+    rows = [(r.doc_id, r.text) for r in docs.limit(10).collect()] + [(5000 + i, t) for i, t in enumerate(near + EDGE)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sets, root = brute_components([t for _, t in rows])
     least = {}
