@@ -6,15 +6,18 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_COVERAGE = T.StructType([T.StructField("source_tokens", T.LongType()), T.StructField("matched", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("exact", T.BooleanType())])
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(T.DoubleType())
 def ordered_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching tokens of two token arrays; 1 for two empty ones, null if either is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(a=list(x), b=list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("source_tokens long, matched long, ratio double, exact boolean")
+@F.pandas_udf(_COVERAGE)
 def ordered_coverage(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Tokens of the first array that the second has in order."""
     out = []
