@@ -36,7 +36,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _member(data: bytes) -> bytes:
-    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
