@@ -1,15 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
+"""Toxicity by nearest labelled examples: exact cosine of associated TF-IDF vectors over inverted lists.
 
 Features are lower-cased letter runs and their first 4, 5 and 6 bytes (so that unseen inflections of
 a known stem still count). The labelled examples are at most ``EXAMPLES`` of either label, those of
-least hash, so the index is bounded whatever the tables' size. Of their features those whose
-association with toxicity is significant (log-likelihood ratio) form the vocabulary, at most ``VOCABULARY``.
-Document frequencies of the vocabulary are counted over all documents. A document's vector is the
-unit-length TF-IDF over the vocabulary.
-
-Search is exact: each feature's list is cut into blocks of ``BLOCK`` examples with the block's
-largest weight; blocks are opened in order of their bound (the sum of query weight x block maximum)
-until no unopened block can hold a better neighbour than the ``NEIGHBOURS`` found. Votes weigh by squared
+least hash, so the index is bounded whatever the tables' size. All their features, of both labels, form
+the vocabulary; document frequencies are counted over all documents. A vector is the unit-length
+TF-IDF over the vocabulary, each feature weighed by its association with the label (log-likelihood
+ratio). Cosines depend on ratios of weights only, so no feature is cut and no number of labels is a bound.
+
+Search is exact: features that ``DENSE`` of the examples have are rows of a matrix, multiplied for
+``ROWS`` documents at once; the others' lists are summed. Votes weigh by squared
 cosine, those of a label by how rarely its examples were drawn; a prior of ``PRIOR_WEIGHT`` votes at
 the labels' base rate makes documents without evidence score that rate.
 
@@ -26,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspool.llm import common
 from lumenspool.llm import words as W
 
-EXAMPLES, VOCABULARY, BLOCK, NEIGHBOURS = 3000, 2048, 64, 12
-#: Least log-likelihood ratio statistic of a feature and the label: chance in about 10^7 features.
-LEAST_STRENGTH = 28.0
+EXAMPLES, NEIGHBOURS = 3000, 12
+#: Share of examples from which on a feature's list is a matrix row; documents searched at once. Both bound cost only.
+DENSE, ROWS = 0.1, 64
 PRIOR_WEIGHT, THRESHOLD = 0.5, 0.3
 PREFIXES = (4, 5, 6)
 
@@ -57,71 +57,125 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found)[order], np.searchsorted(row[order], np.arange(len(offsets)))
 
 
+class Lookup:
+    """Places in sorted hashes, by a table of where each range of leading bits begins."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.size, self.shift = len(keys), np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes are keys, their places)."""
+        at = self.start[hashes >> self.shift]
+        live = np.flatnonzero(self.keys[at] < hashes)
+        while len(live):
+            at[live] += 1
+            live = live[self.keys[at[live]] < hashes[live]]
+        hit = np.flatnonzero((self.keys[at] == hashes) & (at < self.size))
+        return hit, at[hit]
+
+
+def association(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of features and the label; a of n1 toxic and b of n0 clean examples have each."""
+    total = np.zeros(len(a))
+    for x, of, n in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n1 + n0 - a - b, n1), (n0 - b, n1 + n0 - a - b, n0)):
+        some = x > 0
+        total[some] += x[some] * np.log(x[some] * ((n1 + n0) / n) / of[some])
+    return 2 * np.maximum(total, 0)
+
+
 def is_held_out(col: str = "doc_id") -> Column:
     return common.crc32_of_id(col) % 4 == 2
 
 
 @dataclass
 class Index:
-    """The bounded example index: vocabulary (sorted hashes), idf, and per feature its postings by block."""
+    """The bounded example index: vocabulary (sorted hashes), weights, and per feature its postings (examples, values)."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
     ids: list
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # blocks, maxima, begin, examples, weights
-    n_blocks: int
+    begin: np.ndarray
+    examples: np.ndarray
+    values: np.ndarray
     base_rate: float
     vote: tuple[float, float]
 
     @staticmethod
-    def build(vocabulary, idf, examples, base_rate, vote) -> Index:
-        """examples: (id, label, feature numbers, counts) in order of label, then id, so that blocks hold one label mostly."""
-        by_feature: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for e, (_, _, at, tf) in enumerate(examples):
-            v = (1 + np.log(tf)) * idf[at]
-            if norm := float(np.sqrt((v * v).sum())):
-                for f, x in zip(at.tolist(), (v / norm).tolist(), strict=True):
-                    by_feature[f].append((e, x))
-        postings = []
-        for plist in by_feature:
-            e, x = np.array([p[0] for p in plist], np.int64), np.array([p[1] for p in plist])
-            blocks, begin = np.unique(e // BLOCK, return_index=True)
-            postings.append((blocks, np.maximum.reduceat(x, begin) if len(x) else x, np.append(begin, len(e)), e, x))
-        return Index(vocabulary, idf, [x[0] for x in examples], np.array([x[1] for x in examples], np.int64), postings, -(-len(examples) // BLOCK), base_rate, vote)
-
-    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(feature numbers, counts) of the hashes in the vocabulary."""
-        if not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.unique(at[self.vocabulary[at] == hashes], return_counts=True)
+    def build(vocabulary, weight, examples, base_rate, vote) -> Index:
+        """examples: (id, label, feature numbers, counts)."""
+        values = []
+        for _, _, at, tf in examples:
+            v = (1 + np.log(tf)) * weight[at]
+            norm = float(np.sqrt((v * v).sum()))
+            values.append(v / norm if norm else v)
+        at = np.concatenate([x[2] for x in examples]) if examples else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(at, minlength=len(vocabulary)))])
+        of = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])
+        return Index(vocabulary, weight, [x[0] for x in examples], np.array([x[1] for x in examples], np.int64), begin, of[order],
+                     np.concatenate(values)[order] if examples else np.zeros(0), base_rate, vote)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _tables(self) -> tuple[Lookup, np.ndarray, np.ndarray, dict]:
+        """(lookup, matrix row of each feature or -1, matrix, place of each id), made once a process."""
+        if not hasattr(self, "_made"):
+            n = len(self.ids)
+            head = np.flatnonzero(np.diff(self.begin) >= max(1, DENSE * n))
+            row = np.full(len(self.vocabulary), -1)
+            row[head] = np.arange(len(head))
+            matrix = np.zeros((len(head), n))
+            for r, f in enumerate(head.tolist()):
+                part = slice(self.begin[f], self.begin[f + 1])
+                matrix[r, self.examples[part]] = self.values[part]
+            self._made = Lookup(self.vocabulary), row, matrix, {x: e for e, x in enumerate(self.ids)}
+        return self._made
+
+    def counted(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(feature numbers, counts) of each row's hashes in the vocabulary."""
+        hit, at = self._tables()[0].find(hashes)
+        cut = np.searchsorted(hit, first)
+        return [np.unique(at[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list) -> Iterator[list[tuple[float, object, int]]]:
+        """(cosine, id, label) of the nearest examples of each row, nearest first; exact. own: the rows' ids."""
+        n = len(self.ids)
+        _, head, matrix, place = self._tables()
+        for i in range(0, len(rows), ROWS):
+            part = rows[i : i + ROWS]
+            at = np.concatenate([x for x, _ in part])
+            who = np.repeat(np.arange(len(part)), [len(x) for x, _ in part])
+            q = (1 + np.log(np.concatenate([c for _, c in part]))) * self.weight[at] if len(at) else np.zeros(0)
+            norm = np.sqrt(np.bincount(who, weights=q * q, minlength=len(part)))
+            q = q / np.where(norm > 0, norm, 1)[who]
+            dense = head[at] >= 0
+            left = np.zeros((len(part), len(matrix)))
+            left[who[dense], head[at[dense]]] = q[dense]
+            score = left @ matrix
+            at, who, q = at[~dense], who[~dense], q[~dense]
+            many = self.begin[at + 1] - self.begin[at]
+            if len(many):
+                place_of = np.repeat(self.begin[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                score += np.bincount(np.repeat(who * n, many) + self.examples[place_of], weights=np.repeat(q, many) * self.values[place_of], minlength=score.size).reshape(score.shape)
+            for r, doc in enumerate(own[i : i + ROWS]):
+                if doc in place:
+                    score[r, place[doc]] = 0
+            least = np.partition(score, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] if n > NEIGHBOURS else np.zeros(len(part))
+            for r in range(len(part)):
+                found = np.flatnonzero((score[r] >= least[r] - 1e-12) & (score[r] > 0)).tolist()
+                yield sorted(((float(score[r, e]), self.ids[e], int(self.labels[e])) for e in found), key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS]
+
+    def found(self, hashes: np.ndarray, first: np.ndarray, own: list) -> Iterator[list[tuple[float, object, int]]]:
+        """The nearest examples of each row of features."""
+        return self.nearest(self.counted(hashes, first), own) if self.ids else iter([[]] * len(own))
 
     def neighbours(self, at: np.ndarray, tf: np.ndarray, own) -> list[tuple[float, object, int]]:
-        """(cosine, id, label) of the nearest examples, nearest first; exact."""
-        q = (1 + np.log(tf)) * self.idf[at]
-        norm = float(np.sqrt((q * q).sum()))
-        if not norm:
-            return []
-        q = q / norm
-        bound = np.zeros(self.n_blocks)
-        for f, x in zip(at.tolist(), q.tolist(), strict=True):
-            blocks, maxima, *_ = self.postings[f]
-            bound[blocks] += x * maxima
-        best: list[tuple[float, object, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == NEIGHBOURS and bound[b] + 1e-12 < best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for f, x in zip(at.tolist(), q.tolist(), strict=True):
-                blocks, _, begin, e, w = self.postings[f]
-                k = int(np.searchsorted(blocks, b))
-                if k < len(blocks) and blocks[k] == b:
-                    part = slice(begin[k], begin[k + 1])
-                    score[e[part] - b * BLOCK] += x * w[part]
-            found = [(float(score[k]), self.ids[b * BLOCK + k], int(self.labels[b * BLOCK + k])) for k in np.flatnonzero(score).tolist()]
-            best = sorted(best + [x for x in found if x[1] != own], key=lambda x: (-x[0], x[1]))[:NEIGHBOURS]
-        return best
+        return next(self.nearest([(at, tf)], [own])) if self.ids else []
 
     def score(self, best: list[tuple[float, object, int]]) -> float:
         votes = [0.0, 0.0]
@@ -130,25 +184,18 @@ class Index:
         return (PRIOR_WEIGHT * self.base_rate + votes[1]) / (PRIOR_WEIGHT + sum(votes))
 
 
-def _count_rows(rows: DataFrame, keep: list[str], name: str, kinds: str, vocabulary: np.ndarray | None) -> DataFrame:
-    """rows with their features and counts, of the vocabulary only if given (then as its numbers)."""
+def _count_rows(rows: DataFrame, keep: list[str], kinds: str) -> DataFrame:
+    """rows with their features and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.by_text(batches):
             offsets, data = common.utf8_parts(batch.column(batch.schema.get_field_index("text")))
             hashes, first = features(offsets, data)
-            found = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                h = hashes[a:b]
-                if vocabulary is None:
-                    found.append(np.unique(h, return_counts=True))
-                else:
-                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                    found.append(np.unique(at[vocabulary[at] == h], return_counts=True))
+            found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in keep] + [
-                pa.array([f.astype(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], [*keep, name, "counts"])
+                pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], [*keep, "features", "counts"])
 
-    return rows.mapInArrow(run, f"{kinds}, {name} array<long>, counts array<long>")
+    return rows.mapInArrow(run, f"{kinds}, features array<long>, counts array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Index:
@@ -163,54 +210,42 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
     sample = drawn[0].unionByName(drawn[1]).select("doc_id", "label")  # at most 2 x EXAMPLES rows
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
-    table = common.materialize(_count_rows(rows, ["doc_id", "label"], "features", f"doc_id {kind}, label int", None), "toxic-examples")
-    drawn_of = {r.label: r["count"] for r in table.groupBy("label").count().collect()}
-    n0, n1 = drawn_of.get(0, 0), drawn_of.get(1, 0)
+    found = _count_rows(rows, ["doc_id", "label"], f"doc_id {kind}, label int").toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    label = found["label"].to_numpy().astype(np.int64)
+    n1 = int(label.sum())
+    n0 = len(label) - n1
     base = totals.get(1, 0) / max(1, sum(totals.values()))
     # What an example of a label stands for, labels' mean 1.
     vote = tuple(min(1.0, (totals.get(x, 0) / max(1, n)) / max(1e-9, max(totals.get(y, 0) / max(1, m) for y, m in ((0, n0), (1, n1))))) for x, n in ((0, n0), (1, n1)))
-    with_f = table.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    share = n1 / max(1, n0 + n1)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / ((a + b) * e))).otherwise(0.0)
-    strength = 2 * (part(a, share) + part(b, 1 - share)) if 0 < share < 1 else F.lit(0.0)
-    top = with_f.withColumn("strength", strength).where((F.col("strength") >= LEAST_STRENGTH) & (a > (a + b) * share))
-    chosen = [r.f for r in top.orderBy(F.desc("strength"), "f").limit(VOCABULARY).select("f").collect()]
-    vocabulary = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    if not len(vocabulary):
-        return Index.build(vocabulary, np.zeros(0), [], base, (1.0, 1.0))
+    if not n0 or not n1:
+        return Index.build(np.zeros(0, np.uint64), np.zeros(0), [], base, (1.0, 1.0))
+    hashes, counts = (np.concatenate([c.values.to_numpy() for c in found[name].chunks]) for name in ("features", "counts"))
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(found["features"]).to_numpy())])
+    vocabulary, at = np.unique(hashes.view(np.uint64), return_inverse=True)
+    both = np.bincount(at, minlength=len(vocabulary)).astype(float)
+    toxic = np.bincount(at, weights=np.repeat(label, np.diff(first)), minlength=len(vocabulary))
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary), np.int64), 0
+        lookup, n = Lookup(shared.value), 0
+        df = np.zeros(lookup.size, np.int64)
         for batch in common.by_text(batches):
-            offsets, data = common.utf8_parts(batch.column(0))
-            hashes, first = features(offsets, data)
-            at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-            hit = np.flatnonzero(vocabulary[at] == hashes)
+            hashes, first = features(*common.utf8_parts(batch.column(0)))
+            hit, at = lookup.find(hashes)
             row = np.searchsorted(first, hit, "right") - 1
-            df += np.bincount(np.unique(row * len(vocabulary) + at[hit]) % len(vocabulary), minlength=len(vocabulary))
+            df += np.bincount(np.unique(row * lookup.size + at) % lookup.size, minlength=lookup.size)
             n += batch.num_rows
-        yield pa.record_batch([pa.array([*range(len(df)), -1]), pa.array([*df.tolist(), n])], ["f", "n"])
-
-    counted = dict(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(seen, "f long, n long").groupBy("f").agg(F.sum("n")).collect())
-    n = counted[-1]
-    idf = np.log((1 + n) / (1 + np.array([counted[k] for k in range(len(vocabulary))]))) + 1
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for f, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h = np.array(f, np.int64).view(np.uint64)
-                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                hit = vocabulary[at] == h
-                order = np.argsort(at[hit])
-                found.append((at[hit][order].tolist(), np.array(c, np.int64)[hit][order].tolist()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "label", "features", "counts"])
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array([*some.tolist(), -1]), pa.array([*df[some].tolist(), n])], ["f", "n"])
 
-    examples = table.mapInArrow(narrow, table.schema).collect()
-    examples = sorted(((r.doc_id, r.label, np.array(r.features, np.int64), np.array(r.counts, np.int64)) for r in examples), key=lambda x: (x[1], x[0]))
-    common.discard(table)
-    return Index.build(vocabulary, idf, examples, base, vote)
+    counted = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(seen, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, many = counted["f"].to_numpy(), counted["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[f[f >= 0]] = many[f >= 0]
+    weight = (np.log((1 + int(many[f < 0].sum())) / (1 + df)) + 1) * association(toxic, both - toxic, n1, n0)
+    ids = found["doc_id"].to_pylist()
+    examples = [(ids[i], int(label[i]), at[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
+    return Index.build(vocabulary, weight, examples, base, vote)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -227,15 +262,8 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         for batch in common.by_text(batches):
             offsets, data = common.utf8_parts(batch.column(1))
             hashes, first = features(offsets, data)
-            if len(own.vocabulary):
-                at = np.minimum(np.searchsorted(own.vocabulary, hashes), len(own.vocabulary) - 1)
-                hit = np.flatnonzero(own.vocabulary[at] == hashes)
-            else:
-                at = hit = np.zeros(0, np.int64)
-            cut = np.searchsorted(hit, first)
             scores, why = [], []
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                best = own.neighbours(*np.unique(at[hit[cut[i] : cut[i + 1]]], return_counts=True), doc) if cut[i + 1] > cut[i] else []
+            for best in own.found(hashes, first, batch.column(0).to_pylist()):
                 scores.append(own.score(best))
                 why.append([{"doc_id": d, "cosine": c, "label": y} for c, d, y in best])
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"])
@@ -259,10 +287,7 @@ def remove_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD) ->
                 offsets, data = common.utf8_parts(batch.column(text))
                 hashes, first = features(offsets, data)
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-                keep = []
-                for i, doc in enumerate(ids):
-                    at, tf = own.numbers(hashes[first[i] : first[i + 1]])
-                    keep.append(own.score(own.neighbours(at, tf, doc) if len(at) else []) < threshold)
+                keep = [own.score(best) < threshold for best in own.found(hashes, first, ids)]
                 yield whole.take(batch.column(batch.num_columns - 1).filter(pa.array(keep, pa.bool_())))
 
     return docs.mapInArrow(run, schema)

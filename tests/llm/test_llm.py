@@ -210,6 +210,17 @@ def test_toxicity(spark, edge, none):
     assert {r.score for r in toxicity.score(edge, empty).collect()} == {0.0}
 
 
+def test_toxicity_has_no_least_number_of_labels(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    index = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, index).join(labels, "doc_id").collect()
+    found = [r.score >= toxicity.THRESHOLD for r in rows if r.toxic]
+    assert len(found) == 11 and sum(found) >= 6
+    assert np.mean([r.score >= toxicity.THRESHOLD for r in rows if not r.toxic]) < 0.05
+    # Both labels' features are in the index, and all texts with a letter run of it have neighbours.
+    assert {x.label for r in rows for x in r.evidence} == {0, 1} and sum(len(r.evidence) > 0 for r in rows) > 0.9 * len(rows)
+
+
 def test_toxicity_search_is_exact():
     rng = np.random.default_rng(2)
     examples = [(i, i % 2, np.sort(rng.choice(50, 6, False)), rng.integers(1, 4, 6)) for i in range(400)]
