@@ -9,8 +9,7 @@ bytes), each level is dealt over shards by hash, and each shard is one file in t
 workers memory-map (or read, where the folder is no local file system).
 
 Smoothing: absolute discounting of bigram counts by ``DISCOUNT``, interpolated with the add-one
-unigram. Bigrams seen fewer than ``LEAST`` times give their mass to the unigram; counting covers all
-training tokens, and a word seen once cannot be in a kept bigram, so those are not shuffled.
+unigram. Every bigram of the training tokens is kept, those seen once too.
 
 Contexts with more than 1 / (4 x shards) of all tokens deal their successors over all shards by the
 pair; there are fewer than 4 x shards of them, and their mass goes to the driver.
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from lumenspool.llm import common
 from lumenspool.llm import words as W
 
-BLOCK, LEVELS, LEAST, DISCOUNT = 4096, 256, 2, 0.75
+BLOCK, LEVELS, DISCOUNT = 4096, 256, 0.75
 #: Tokens looked up at once, distinct keys that a task counts before it passes them on: both bound memory only.
 GROUP_TOKENS, COUNT_KEYS = 1 << 20, 1 << 20
 END = np.uint64(0xE0F0E0F0E0F0E0F0)
@@ -371,8 +370,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
             distinct, inverse = np.unique(h, return_inverse=True)
             ids, seen = model.words(distinct)
             context, successor = _contexts(inverse, first, int(np.searchsorted(distinct, END)))
-            ok = (seen[context] >= LEAST) & (seen[successor] >= LEAST)
-            code = ids[context[ok]].astype(np.uint64) << np.uint64(32) | ids[successor[ok]].astype(np.uint64)
+            code = ids[context].astype(np.uint64) << np.uint64(32) | ids[successor].astype(np.uint64)
             count.add(*np.unique(code, return_counts=True))
             if count.size > COUNT_KEYS:
                 yield out()
@@ -380,7 +378,6 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
 
     def build_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = _taken(batches)
-        code, n = code[n >= LEAST], n[n >= LEAST]
         context, successor = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
         own, start, ordinal = np.unique(context, return_index=True, return_inverse=True)
         total = model.counts_of(own.astype(np.int64))
@@ -432,12 +429,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             log_p = base = np.log10(one)[inverse]
             if own.ready:
                 context, successor = _contexts(inverse, first, int(np.searchsorted(distinct, END)))
-                ok = np.flatnonzero((seen[context] >= LEAST) & (ids[context] >= 0))
+                ok = np.flatnonzero(ids[context] >= 0)
                 pair, back_at = np.unique(context[ok].astype(np.int64) << 32 | successor[ok], return_inverse=True)
                 c, s = pair >> 32, pair & 0xFFFFFFFF
-                # A pair with an unknown or rare successor is not kept, but its context's weight counts.
+                # A pair with an unknown successor was not seen, but its context's weight counts.
                 p, back = own.pairs(ids[c], np.where(ids[s] >= 0, ids[s], 0), seen[c])
-                p = np.where(seen[s] >= LEAST, p, 0.0)
+                p = np.where(ids[s] >= 0, p, 0.0)
                 log_p = base.copy()
                 log_p[ok] = np.log10(p + back * one[s])[back_at]
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))

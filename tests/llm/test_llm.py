@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenspool.llm import bpe, common, edit_embedding, language_id, ngram_join, ngram_lm, packing, pretokens, quality_rules, queries, sharding, toxicity, warc
 from lumenspool.llm import words as W
@@ -309,6 +310,26 @@ def test_ngram_lm(spark, docs, none, edge):
     assert {round(r.score, 9) for r in ngram_lm.score(edge.where("text is null"), ngram_lm.fit(none)).collect()} == {0.0}
 
 
+def test_ngram_lm_keeps_bigrams_seen_once(spark, docs):
+    train = docs.where("doc_id % 3 > 0")
+    model = ngram_lm.fit(train, train=F.lit(True))
+    c, pairs, kinds = Counter(), Counter(), Counter()
+    for r in train.collect():
+        w = [*WORDS.findall(lowered(r.text or "")), "\0"]
+        c.update(w)
+        pairs.update(zip(["\0", *w[:-1]], w))
+    for a, _ in pairs:
+        kinds[a] += 1
+    n, v = sum(c.values()), len(c)
+    assert sum(k == 1 for k in pairs.values()) > len(pairs) / 2
+    rows = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
+    for r in docs.collect():
+        w = [*WORDS.findall(lowered(r.text or "")), "\0"]
+        want = sum(np.log10((max(pairs[a, b] - 0.75, 0) / c[a] if a in c else 0) + (0.75 * kinds[a] / c[a] if a in c else 1) * (c[b] + 1) / (n + v + 1)) for a, b in zip(["\0", *w[:-1]], w))
+        # Probabilities are quantised to 256 levels.
+        assert abs(rows[r.doc_id].score - want) < 0.01 * len(w)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for top in (10, 1 << 20, 1 << 63):
