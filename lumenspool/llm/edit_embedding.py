@@ -11,7 +11,7 @@ The fingerprint samples the written string, whatever its length: ``SAMPLES`` pla
 the length of the walk. Likeness of two fingerprints weighs octaves by their steps and rescales
 agreement so that chance is 0; places beyond the shorter text's end disagree.
 
-Near pairs: bits are sampled into bands (``bands``), pairs of a band are verified on the fingerprint
+Near pairs: bits are sampled into bands (``bands``), all pairs of a band are verified on the fingerprint
 (``near_pairs``). Documents' edited copies and next neighbours (``edited_report``) need no join: rows are
 dealt by doc_id ranges (repartitionById), each range also gets the next lower one's first row.
 
@@ -23,6 +23,7 @@ text; an empty table gives an empty table; extra columns are not read. Texts are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ PERIOD, CLASSES = 4096, 256
 SAMPLES, FIRST_OCTAVE = 128, 7
 #: Code points walked at once: bounds scratch memory, not texts.
 SLICE_CHARS = 2 << 20
+#: Bands of near pairs: wanted probability that a pair of the least likeness meets; equal bits of unlike texts.
+RECALL, UNLIKE = 0.999, 0.65
 
 _moves: np.ndarray | None = None
 _octaves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -182,39 +185,75 @@ def fingerprint_column(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint binary")
 
 
-def bands(prints: DataFrame, bits: int = 24, many: int = 8) -> DataFrame:
-    """(band long, doc_id, fingerprint): ``many`` samples of ``bits`` bits of the last two full octaves of each fingerprint."""
+def plan_bands(n: int, least: float) -> tuple[int, int]:
+    """(bits, many) of bands for n fingerprints: a pair of likeness ``least`` shares a band with probability ``RECALL``.
+
+    Over the steps that the bands of a pair sample, at most (1 - least) / least of the walk differs, and
+    half of its bits; unlike texts of one language agree in up to ``UNLIKE`` of their bits.
+    """
+    if not 0.6 <= least <= 1:
+        raise ValueError("least must be from 0.6 to 1")
+    bits = min(28, max(4, math.ceil(math.log(max(1, n / 32)) / -math.log(UNLIKE))))
+    same = (1 - (1 - least) / (2 * least)) ** bits
+    return bits, 1 if same >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+
+
+def _picks(steps: int, bits: int, many: int) -> np.ndarray:
+    """[band, bit]: which bits of a fingerprint the bands of walks of at least ``steps`` steps take, octaves by their steps."""
+    inside, share = [], []
+    while not share or 1 << (FIRST_OCTAVE + len(share)) < steps:
+        k = FIRST_OCTAVE + len(share)
+        inside.append(int(np.searchsorted(_octave(k)[0], steps)))
+        share.append((min(steps, 1 << (k + 1)) - (0 if k == FIRST_OCTAVE else 1 << k)) * (inside[-1] > 0))
+    if not sum(share):
+        return np.zeros((many, 0), np.int64)
+    draw = W.mix(np.arange(2 * many * bits, dtype=np.uint64) + np.uint64(steps << 32)).reshape(2, many, bits)
+    octave = np.searchsorted(np.cumsum(share), (draw[0] % np.uint64(sum(share))).astype(np.int64), "right")
+    return octave * SAMPLES + (draw[1] % np.array(inside, np.uint64)[octave]).astype(np.int64)
+
+
+def bands(prints: DataFrame, bits: int, many: int, least: float) -> DataFrame:
+    """(band long, k) of prints (k long, fingerprint): ``many`` samples of ``bits`` bits a length class.
+
+    Classes of length grow by 1 / least; a walk has the bands of its own class and of the one below,
+    so that like ones share the shorter one's class, all of whose steps both have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        grow = max(1.05, 1 / least)
         for batch in batches:
             who, band = [], []
-            for i, f in enumerate(batch.column(1).to_pylist()):
-                k = (len(f) - 4) * 8 // SAMPLES
-                for o in {max(0, k - 2), max(0, k - 3)} if k else ():
-                    x = np.unpackbits(np.frombuffer(f[4 + o * SAMPLES // 8 : 4 + (o + 1) * SAMPLES // 8], np.uint8))
-                    for t in range(many):
-                        pick = W.mix(np.arange(bits, dtype=np.uint64) + np.uint64(t << 20)) % np.uint64(SAMPLES)
-                        digest = hashlib.blake2b(x[pick.astype(np.int64)].tobytes() + bytes([o, t]), digest_size=8).digest()
-                        who.append(i)
-                        band.append(int.from_bytes(digest, "big", signed=True))
-            at = pa.array(who, pa.int64())
-            yield pa.record_batch([pa.array(band, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["band", "doc_id", "fingerprint"])
-
-    return prints.mapInArrow(run, f"band long, doc_id {dict(prints.dtypes)['doc_id']}, fingerprint binary")
+            for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = int.from_bytes(f[:4], "big")
+                if not n:
+                    continue
+                top = int(math.log(n) / math.log(grow) + 1e-9)
+                x = np.unpackbits(np.frombuffer(f[4:], np.uint8))
+                for c in {top, max(0, top - 1)}:
+                    if c not in made:
+                        made[c] = _picks(max(1, int(grow**c)), bits, many)
+                    for t, row in enumerate(np.packbits(x[made[c]], axis=1)):
+                        who.append(k)
+                        band.append(int.from_bytes(hashlib.blake2b(row.tobytes() + f"/{c}/{t}".encode(), digest_size=8).digest(), "big", signed=True))
+            yield pa.record_batch([pa.array(band, pa.int64()), pa.array(who, pa.int64())], ["band", "k"])
+
+    return prints.mapInArrow(run, "band long, k long")
 
 
 def near_pairs(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """(doc_id, near_id, likeness) of documents and the neighbours of their bands, in band order, that verify.
+    """(doc_id, near_id, likeness) of all pairs of documents that share a band and verify, each once.
 
-    Equal fingerprints are one class (its least doc_id); a band's classes are chained in fingerprint
-    order, each with the next, so a large band gives as many pairs as it has classes.
+    Equal fingerprints are one class (its least doc_id). All pairs of a band are verified; the number of
+    bits grows with that of the classes, so that unlike texts seldom meet, and the number of bands with it.
     """
     common.ship(docs.sparkSession)
-    prints = fingerprint_column(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
-    prints = common.materialize(prints, "prints")
-    w = Window.partitionBy("band").orderBy("fingerprint", "doc_id")
-    pairs = bands(prints).select("doc_id", "fingerprint", F.lead("doc_id").over(w).alias("near_id"), F.lead("fingerprint").over(w).alias("near")).where("near_id is not null")
-    pairs = pairs.dropDuplicates(["doc_id", "near_id"])
+    prints = fingerprint_column(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    prints = common.materialize(prints.select(F.monotonically_increasing_id().alias("k"), "doc_id", "fingerprint"), "prints")
+    dealt = bands(prints.select("k", "fingerprint"), *plan_bands(prints.count(), least), least)
+    met = dealt.join(dealt.select("band", F.col("k").alias("o")), "band").where("k < o").select("k", "o").distinct()
+    other = prints.select(F.col("k").alias("o"), F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("near"))
+    pairs = met.join(prints, "k").join(other, "o").select("doc_id", "fingerprint", "near_id", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,6 +111,26 @@ def test_edit_embedding_follows_edits(spark, docs):
     assert pairs and all(p.likeness >= 0.75 and p.doc_id != p.near_id for p in pairs)
 
 
+def test_near_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(25):
+        text = rng.choice(list("etaoin shrdlu"), int(rng.integers(60, 4000)))
+        for k in range(12):
+            x = text.copy()
+            at = rng.integers(0, len(x), int(len(x) * k * 0.004))
+            x[at] = rng.choice(list("xyz"), len(at))
+            rows.append((len(rows), "".join(x[: len(x) - k * len(x) // 60])))
+    prints = edit_embedding.fingerprints([np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, t in rows])
+    first = {}
+    for i, f in enumerate(prints):
+        first.setdefault(f, i)
+    ids = list(first.values())
+    want = {(i, j) for a, i in enumerate(ids) for j in ids[a + 1 :] if edit_embedding.likeness(prints[i], prints[j]) >= 0.75}
+    got = [tuple(sorted((p.doc_id, p.near_id))) for p in edit_embedding.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want) > 200
+
+
 def repeats(words):
     seen, at = Counter(zip(words, words[1:], words[2:], strict=False)), set()
     for i in range(len(words) - 2):
