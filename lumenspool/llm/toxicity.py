@@ -8,7 +8,8 @@ TF-IDF over the vocabulary, each feature weighed by its association with the lab
 ratio). Cosines depend on ratios of weights only, so no feature is cut and no number of labels is a bound.
 
 Search is exact: features that ``DENSE`` of the examples have are rows of a matrix, multiplied for
-``ROWS`` documents at once; the others' lists are summed. Votes weigh by squared
+``ROWS`` documents at once, in single precision; the others' lists are summed. What may be among the
+nearest within the rounding is scored again in double precision. Votes weigh by squared
 cosine, those of a label by how rarely its examples were drawn; a prior of ``PRIOR_WEIGHT`` votes at
 the labels' base rate makes documents without evidence score that rate.
 
@@ -34,7 +35,9 @@ from lumenspool.llm import words as W
 
 EXAMPLES, NEIGHBOURS = 3000, 12
 #: Share of examples from which on a feature's list is a matrix row; documents searched at once. Both bound cost only.
-DENSE, ROWS = 0.1, 64
+DENSE, ROWS = 0.04, 64
+#: More than the relative rounding of a cosine, a sum of positive terms, in single precision.
+ROUNDING = 1e-4
 PRIOR_WEIGHT, THRESHOLD = 0.5, 0.3
 PREFIXES = (4, 5, 6)
 
@@ -122,18 +125,21 @@ class Index:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _tables(self) -> tuple[Lookup, np.ndarray, np.ndarray, dict]:
-        """(lookup, matrix row of each feature or -1, matrix, place of each id), made once a process."""
+    def _tables(self) -> tuple[Lookup, np.ndarray, np.ndarray, dict, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(lookup, matrix row of each feature or -1, matrix, place of each id, (begin, features, values) of the examples), made once a process."""
         if not hasattr(self, "_made"):
             n = len(self.ids)
             head = np.flatnonzero(np.diff(self.begin) >= max(1, DENSE * n))
             row = np.full(len(self.vocabulary), -1)
             row[head] = np.arange(len(head))
-            matrix = np.zeros((len(head), n))
+            matrix = np.zeros((len(head), n), np.float32)
             for r, f in enumerate(head.tolist()):
                 part = slice(self.begin[f], self.begin[f + 1])
                 matrix[r, self.examples[part]] = self.values[part]
-            self._made = Lookup(self.vocabulary), row, matrix, {x: e for e, x in enumerate(self.ids)}
+            order = np.argsort(self.examples, kind="stable")
+            begin = np.searchsorted(self.examples[order], np.arange(n + 1))
+            of = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.begin))[order]
+            self._made = Lookup(self.vocabulary), row, matrix, {x: e for e, x in enumerate(self.ids)}, (begin, of, self.values[order])
         return self._made
 
     def counted(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +151,8 @@ class Index:
     def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list) -> Iterator[list[tuple[float, object, int]]]:
         """(cosine, id, label) of the nearest examples of each row, nearest first; exact. own: the rows' ids."""
         n = len(self.ids)
-        _, head, matrix, place = self._tables()
+        _, head, matrix, place, (begin, of, values) = self._tables()
+        full = np.zeros(len(self.vocabulary))
         for i in range(0, len(rows), ROWS):
             part = rows[i : i + ROWS]
             at = np.concatenate([x for x, _ in part])
@@ -154,21 +161,32 @@ class Index:
             norm = np.sqrt(np.bincount(who, weights=q * q, minlength=len(part)))
             q = q / np.where(norm > 0, norm, 1)[who]
             dense = head[at] >= 0
-            left = np.zeros((len(part), len(matrix)))
+            left = np.zeros((len(part), len(matrix)), np.float32)
             left[who[dense], head[at[dense]]] = q[dense]
             score = left @ matrix
-            at, who, q = at[~dense], who[~dense], q[~dense]
-            many = self.begin[at + 1] - self.begin[at]
-            if len(many):
-                place_of = np.repeat(self.begin[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                score += np.bincount(np.repeat(who * n, many) + self.examples[place_of], weights=np.repeat(q, many) * self.values[place_of], minlength=score.size).reshape(score.shape)
+            rare, x = at[~dense], q[~dense]
+            cut = np.searchsorted(who[~dense], np.arange(len(part) + 1))
+            for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                many = self.begin[rare[a:b] + 1] - self.begin[rare[a:b]]
+                where = np.repeat(self.begin[rare[a:b]] - np.cumsum(many) + many, many)
+                where += np.arange(len(where))
+                score[r] += np.bincount(self.examples[where], weights=np.repeat(x[a:b], many) * self.values[where], minlength=n)
             for r, doc in enumerate(own[i : i + ROWS]):
                 if doc in place:
                     score[r, place[doc]] = 0
             least = np.partition(score, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] if n > NEIGHBOURS else np.zeros(len(part))
-            for r in range(len(part)):
-                found = np.flatnonzero((score[r] >= least[r] - 1e-12) & (score[r] > 0)).tolist()
-                yield sorted(((float(score[r, e]), self.ids[e], int(self.labels[e])) for e in found), key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS]
+            cut = np.searchsorted(who, np.arange(len(part) + 1))
+            for r, doc in enumerate(own[i : i + ROWS]):
+                near = np.flatnonzero((score[r] >= least[r] * (1 - ROUNDING)) & (score[r] > 0))
+                mine = at[cut[r] : cut[r + 1]]
+                full[mine] = q[cut[r] : cut[r + 1]]
+                many = begin[near + 1] - begin[near]
+                ends = np.cumsum(many)
+                where = np.repeat(begin[near] - ends + many, many) + np.arange(int(many.sum()))
+                sums = np.bincount(np.repeat(np.arange(len(near)), many), weights=full[of[where]] * values[where], minlength=len(near))
+                full[mine] = 0
+                best = [(c, self.ids[e], int(self.labels[e])) for c, e in zip(sums.tolist(), near.tolist(), strict=True) if c > 0 and self.ids[e] != doc]
+                yield sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS]
 
     def found(self, hashes: np.ndarray, first: np.ndarray, own: list) -> Iterator[list[tuple[float, object, int]]]:
         """The nearest examples of each row of features."""
@@ -232,8 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
         for batch in common.by_text(batches):
             hashes, first = features(*common.utf8_parts(batch.column(0)))
             hit, at = lookup.find(hashes)
-            row = np.searchsorted(first, hit, "right") - 1
-            df += np.bincount(np.unique(row * lookup.size + at) % lookup.size, minlength=lookup.size)
+            cut = np.searchsorted(hit, first)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                df[np.unique(at[a:b])] += 1
             n += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array([*some.tolist(), -1]), pa.array([*df[some].tolist(), n])], ["f", "n"])
