@@ -11,9 +11,10 @@ Search is exact: features that ``DENSE`` of the examples have are rows of a matr
 ``ROWS`` documents at once, in single precision; the others' lists are summed. What may be among the
 nearest within the rounding is scored again in double precision. Votes weigh by squared
 cosine, those of a label by how rarely its examples were drawn; a prior of ``PRIOR_WEIGHT`` votes at
-the labels' base rate makes documents without evidence score that rate.
+the labels' base rate, half the threshold at most, makes documents without evidence score that rate, so
+that they are clean whatever the share of toxic labels.
 
-Defined cases: null and empty texts, and texts without a vocabulary feature, score the base rate (0
+Defined cases: null and empty texts, and texts without a vocabulary feature, score the prior's rate (0
 if there is no label at all); rows of the same document are scored each; contradicting labels of one
 doc_id count as toxic; null labels are left out; ties of cosine go to the smaller doc_id; a
 document is never its own neighbour. Extra columns of the tables are not read. Texts are read whole.
@@ -196,10 +197,10 @@ class Index:
         return next(self.nearest([(at, tf)], [own])) if self.ids else []
 
     def score(self, best: list[tuple[float, object, int]]) -> float:
-        votes = [0.0, 0.0]
+        votes, prior = [0.0, 0.0], min(self.base_rate, THRESHOLD / 2)
         for cosine, _, label in best:
             votes[label] += self.vote[label] * cosine * cosine
-        return (PRIOR_WEIGHT * self.base_rate + votes[1]) / (PRIOR_WEIGHT + sum(votes))
+        return (PRIOR_WEIGHT * prior + votes[1]) / (PRIOR_WEIGHT + sum(votes))
 
 
 def _count_rows(rows: DataFrame, keep: list[str], kinds: str) -> DataFrame:
@@ -306,7 +307,7 @@ def remove_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD) ->
                 offsets, data = common.utf8_parts(batch.column(text))
                 hashes, first = features(offsets, data)
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-                keep = [own.score(best) < threshold for best in own.found(hashes, first, ids)]
+                keep = [not best or own.score(best) < threshold for best in own.found(hashes, first, ids)]
                 yield whole.take(batch.column(batch.num_columns - 1).filter(pa.array(keep, pa.bool_())))
 
     return docs.mapInArrow(run, schema)

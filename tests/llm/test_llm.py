@@ -242,6 +242,17 @@ def test_toxicity_has_no_least_number_of_labels(spark):
     assert {x.label for r in rows for x in r.evidence} == {0, 1} and sum(len(r.evidence) > 0 for r in rows) > 0.9 * len(rows)
 
 
+def test_toxicity_without_evidence_is_clean(spark):
+    texts = ["a calm and friendly note", "you worthless idiot", "the friendly garden", "such an idiot", "worthless, worthless"] * 8 + ["", None, "zzz qqq", "a friendly garden"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 in (1, 3, 4))) for i in range(40)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs, labels, F.lit(True))
+    assert index.base_rate == 0.6
+    score = {r.doc_id: r.score for r in toxicity.score(docs, index).collect()}
+    assert all(score[i] < toxicity.THRESHOLD for i in (0, 2, 40, 41, 42, 43)) and min(score[1], score[3], score[4]) >= toxicity.THRESHOLD
+    assert {40, 41, 42} <= {r.doc_id for r in toxicity.remove_toxic(docs, index, 0.1).collect()}
+
+
 def test_toxicity_search_is_exact():
     rng = np.random.default_rng(2)
     examples = [(i, i % 2, np.sort(rng.choice(50, 6, False)), rng.integers(1, 4, 6)) for i in range(400)]
