@@ -5,8 +5,10 @@ unless one is larger than any shard's capacity. Blocks of groups (by text hash)
 transfer: their byte sums, a table bounded by parameters (old shards x ``BLOCKS`` x ``SUBS``), come
 to the driver; an integer minimum-cost flow between old and new shards says how many bytes go where
 at the least moved bytes; whole blocks then fill the flows. Rows get their shard by a broadcast of
-that bounded table and a gapless slot by block offsets, so no text is shuffled and no group meets in
-one task: a block's rows are dealt over ``SUBS`` sub-blocks by doc_id.
+that bounded table and a gapless slot by block offsets, so no text is shuffled. Texts whose copies
+take more than 1 / ``SHARE`` of a shard, fewer than ``SHARE`` a shard, are found by a group-by on the text's
+hash and get blocks of their own, whose rows are dealt over ``SUBS`` sub-blocks by doc_id; other blocks
+have sub-blocks by text. So no large group meets in one task, and only a group that no shard holds is parted.
 
 Defined cases: null text is empty (size 1, crc 0) and equal to an empty one; repeated rows and equal
 ids each get their own slot; an empty table gives an empty table. Extra columns pass through
@@ -24,6 +26,8 @@ from pyspark.sql.window import Window
 
 #: Blocks of an old shard and sub-blocks of a block: they bound what the driver sees.
 BLOCKS, SUBS = 1024, 16
+#: Parts of a shard: a larger group of equal texts has a block of its own.
+SHARE = 64
 ADDED = ("size", "text_crc32", "law", "old_shard", "shard", "slot", "grown_shard")
 
 
@@ -80,7 +84,7 @@ def plan(blocks: dict[tuple[int, int], int], subs: dict[tuple[int, int], dict[in
     rest: dict[tuple[int, int], int] = {}
     # Large blocks first: at home if they fit, else where most room is; parted only if no shard holds one.
     for (i, b), size in sorted(blocks.items(), key=lambda x: (-x[1], x[0])):
-        if size * 64 <= even:
+        if size * SHARE <= even:
             rest[i, b] = size
             continue
         j = i if i < n_new and left[i] >= size else max(range(n_new), key=lambda x: (left[x], -x))
@@ -124,8 +128,15 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
         "size": F.octet_length(text).cast("long") + 1,
         "text_crc32": crc,
         "old_shard": (F.pmod(crc, F.lit(n_old)) if old_shard is None else old_shard).cast("int"),
-        "_s_block": F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int"),
-        "_s_sub": F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(SUBS)).cast("int"),
+        "_s_text": F.xxhash64(text),
+    })
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = rows.groupBy("old_shard", "_s_text").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * SHARE * n_shards > total)
+    large = sorted((g.old_shard, g._s_text) for g in groups.collect())
+    own = docs.sparkSession.createDataFrame([(i, h, BLOCKS + k) for k, (i, h) in enumerate(large)], "old_shard int, _s_text long, _s_own int")
+    rows = rows.join(F.broadcast(own), ["old_shard", "_s_text"], "left").withColumns({
+        "_s_block": F.coalesce("_s_own", F.pmod("_s_text", F.lit(BLOCKS)).cast("int")),
+        "_s_sub": F.pmod(F.when(F.col("_s_own").isNull(), F.xxhash64("_s_text", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7))), F.lit(SUBS)).cast("int"),
     })
     units = rows.groupBy("old_shard", "_s_block", "_s_sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
     blocks: dict[tuple[int, int], int] = defaultdict(int)
@@ -145,7 +156,7 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
     return (rows.withColumn("_s_row", F.row_number().over(unit))
             .join(F.broadcast(places), ["old_shard", "_s_block", "_s_sub"])
             .withColumns({"law": F.lit("bytes"), "slot": F.col("_s_base") + F.col("_s_row") - 1, "grown_shard": F.lit(None).cast("int")})
-            .drop("_s_block", "_s_sub", "_s_base", "_s_row"))
+            .drop("_s_text", "_s_own", "_s_block", "_s_sub", "_s_base", "_s_row"))
 
 
 def rewrite(docs: DataFrame, path: str, n_shards: int = 8, old_shard: Column | None = None, n_old: int = 6) -> DataFrame:

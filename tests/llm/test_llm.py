@@ -307,6 +307,15 @@ def test_sharding(spark, edge, none):
         sharding.assign(edge.withColumn("slot", edge.doc_id))
 
 
+def test_sharding_parts_only_groups_over_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCKS", 2)  # so that small groups share the large ones' blocks
+    texts = ["hot " * 10] * 400 + ["warm " * 8] * 60 + ["warmer " * 6] * 60 + [f"small {i // 3} text" for i in range(900)]
+    rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert len(rows) == len(texts) and all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+    parted = rows.groupby("text").shard.nunique()
+    assert set(parted[parted > 1].index) == {"hot " * 10}
+
+
 def test_min_cost_flow_is_least():
     supply, demand = [7, 1, 4], [3, 3, 3, 3]
     cost = [[int(i != j) for j in range(4)] for i in range(3)]
