@@ -17,7 +17,7 @@ dealt by doc_id ranges (repartitionById), each range also gets the next lower on
 
 Defined cases: null text is empty; an empty text's fingerprint is of length 0 and like itself (1) and
 nothing else (0); equal texts have equal fingerprints; rows of equal doc_id follow each other by
-text; an empty table gives an empty table; extra columns are not read. Texts are walked whole.
+text, null ids come last; an empty table gives an empty table; extra columns are not read. Texts are walked whole.
 """
 
 from __future__ import annotations
@@ -274,19 +274,21 @@ def edited_report(docs: DataFrame) -> DataFrame:
     parts = max(2, 2 * common.partitions(spark))
     # Bounds of the doc_id ranges: as many as there are partitions.
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    # Range 0 has the largest ids; a row's range is how many bounds are at least its id.
+    # Range 0 has the largest ids; a row's range is how many bounds are at least its id, null ids' the last.
     ranges = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
+    ranges = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(ranges)
     dealt = rows.withColumn("range", ranges.cast("int"))
     # The first row of each range, also given to the range before it: by least range with a row.
     order = [F.desc_nulls_last("doc_id"), "text"]
     heads = ids.withColumn("range", ranges.cast("int")).groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect()
-    held = sorted((h.range, h.doc_id) for h in heads)
+    held = sorted(((h.range, h.doc_id) for h in heads), key=lambda x: x[0])
     before = {held[(i + 1) % len(held)][1]: held[i][0] for i in range(len(held))} if held else {}
     given = spark.createDataFrame([(k, v) for k, v in before.items()], "doc_id long, extra int") if before else spark.createDataFrame([], "doc_id long, extra int")
-    first = dealt.join(F.broadcast(given), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("n = 1")
+    given = given.withColumnRenamed("doc_id", "head")
+    first = dealt.join(F.broadcast(given), dealt["doc_id"].eqNullSafe(given["head"])).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("n = 1")
     ghosts = first.select("doc_id", "text", F.col("extra").alias("range"), F.lit(True).alias("ghost"))
     both = dealt.select("doc_id", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
-    placed = both.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("ghost", *order)
+    placed = both.repartitionById(len(cuts) + 2, "range").sortWithinPartitions("ghost", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # (doc_id, code points, fingerprint) that still waits for its next

@@ -111,6 +111,18 @@ def test_edit_embedding_follows_edits(spark, docs):
     assert pairs and all(p.likeness >= 0.75 and p.doc_id != p.near_id for p in pairs)
 
 
+@pytest.mark.parametrize("ids", [[None], [None, None, None], [7, None], [1, 2, 3, 4, 5, 6, None, None], [5, 5, 5, None]])
+def test_edit_embedding_null_ids(spark, ids):
+    rows = [(i, f"text number {k} of the table") for k, i in enumerate(ids)]
+    got = edit_embedding.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        third = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - third] + rows[(k + 1) % len(rows)][1][:third]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
