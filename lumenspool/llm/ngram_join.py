@@ -10,42 +10,53 @@ them. Each key's classes are the points of one small tree:
 
 * a key of at most ``HOT`` classes is one leaf page; its pairs that fit in size go on;
 * a hot key first yields a chain (neighbours in a key's own random order), enough to join most of a
-  large group of near copies; then, once the components of what is linked are known, an R-tree over
-  the classes' count vectors finds all pairs of different components that the bound allows. A pair is
-  looked at only under the first hot key that its two classes share. Keys of more than ``PAGE``
-  classes are dealt over pairs of salted blocks, so that no task holds more than two blocks.
-
-Count vectors: shingles are hashed into groups, ``GROUPS`` or more for large sets; a vector has the number of
+  large group of near copies; then, once the components of what is linked are known, R-trees over
+  the classes' count vectors find all pairs of different components that the bound allows. A pair is
+  looked at only under the first hot key that its two classes share. A key's classes are dealt over
+  blocks by size (powers of 4 / 3) and hash, at most about ``PAGE`` a block and each a tree of its own; only
+  classes outside the key's largest component ask, in the blocks of their own and the two next sizes;
+* moving hot shingles back brings others forward, some of which become common ("late" keys). They are
+  found while sorted rows stream by and then go to the trees as well; a task that meets one often salts its
+  further rows, so that at most a few rows a writing task meet in one.
+
+Links are cut to spanning forests before components are labelled.
+
+Count vectors: shingles are hashed into groups, as many as keep counts in a byte; a vector has the number of
 shingles in each. Vectors of unlike length are folded to the shorter; the trees use GROUPS coordinates.
 The sum of coordinate minima of two vectors bounds the overlap from above, and that of a vector and
 the coordinate maxima of an R-tree node bounds it for all vectors below. Pairs within the bound are
 verified on their shingles. Pairs inside a component need no look, so components are exact.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing (their component is
-their own doc_id); fewer than five words make one whole shingle; repeated rows of a doc_id are
-classes' members like others; an empty table gives an empty table; extra columns are not read by
+their own doc_id); fewer than five words make one whole shingle; repeated rows of a doc_id, equal or
+not, are classes' members like others; a null doc_id links like others and is the component's only where
+there is no other; an empty table gives an empty table; extra columns are not read by
 ``groups`` and kept as they are by ``keep_one``. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenspool.llm import common
 from lumenspool.llm import words as W
-from lumenspool.llm.components import components
+from lumenspool.llm.components import components, spanning_forest
 
 SHINGLE, PERCENT = 5, 75
-#: Classes of a key beyond which it is hot; classes of one block of a hot key; hot keys sent to all tasks at most
+#: Classes of a key beyond which it is hot; classes of one block of a hot key, and of one part of its chain; hot keys sent to all tasks at most
 #: (beyond, the limit for being hot doubles until they fit: the order stays common to all, so results do not change).
-HOT, PAGE, HOT_KEYS = 32, 2048, 200_000
+HOT, PAGE, CHAIN, HOT_KEYS = 32, 2048, 512, 200_000
 GROUPS, FANOUT = 128, 16
+#: Keys whose counts a writing task keeps to find late ones, and salts of such a key's rows.
+WATCHED, SALTS = 4096, 1024
 
 
 def class_hash(s: np.ndarray) -> int:
@@ -66,11 +77,14 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set, one byte a group: GROUPS groups, doubled until a group has two shingles on average at most."""
+    """Group counts of a set, one byte a group: GROUPS groups, doubled until a group has two shingles on average and 255 at most."""
     groups = GROUPS
     while 2 * groups < len(s):
         groups *= 2
-    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 255).astype(np.uint8)
+    at = (s >> np.uint64(20)).astype(np.int64)
+    while (many := np.bincount(at & (groups - 1), minlength=groups)).max() > 255:
+        groups *= 2
+    return many.astype(np.uint8)
 
 
 def folded(vector: bytes, groups: int = GROUPS) -> np.ndarray:
@@ -140,14 +154,20 @@ def describe(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFr
 
 
 def _keys(docs: DataFrame, hot: np.ndarray, percent: int, full: bool) -> DataFrame:
-    """A row a class and cold prefix shingle: key, and with ``full`` the class's h and n."""
+    """A row a class and cold prefix shingle: key, and with ``full`` the class's h and n, and a salt.
+
+    Salt 0, but for keys of which the task has already given more than 2 x HOT classes with salt 0 (counted
+    by Misra and Gries' summary, which never counts too many): those of further classes are dealt over 1 .. SALTS.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has given already; forgotten when many, which only repeats rows
+        watched, weight = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, sets in _sets(batches, 0):
             key, own, size = [], [], []
             if len(seen) > 200_000:
                 seen.clear()
+                watched, weight = watched[:0], weight[:0]
             for s in sets:
                 h = class_hash(s)
                 if h in seen or not len(s):
@@ -161,13 +181,23 @@ def _keys(docs: DataFrame, hot: np.ndarray, percent: int, full: bool) -> DataFra
                 size.append(len(s))
             if key:
                 many = [len(p) for p in key]
-                columns = [pa.array(np.concatenate(key).view(np.int64))]
+                keys = np.concatenate(key)
+                columns = [pa.array(keys.view(np.int64))]
                 if full:
-                    columns += [pa.array(np.repeat(np.array(x, np.int64), many)) for x in (own, size)]
-                yield pa.record_batch(columns, ["key", "h", "n"][: len(columns)])
+                    h, n = (np.repeat(np.array(x, np.int64), many) for x in (own, size))
+                    late = np.isin(keys, watched[weight > 2 * HOT])
+                    salt = np.where(late, 1 + (W.mix(h.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+                    columns += [pa.array(x) for x in (h, n, salt)]
+                    found, times = np.unique(keys[~late], return_counts=True)
+                    watched, at = np.unique(np.concatenate([watched, found]), return_inverse=True)
+                    weight = np.bincount(at, weights=np.concatenate([weight, times]), minlength=len(watched)).astype(np.int64)
+                    if len(weight) > WATCHED:
+                        weight = weight - np.partition(weight, -WATCHED - 1)[-WATCHED - 1]
+                        watched, weight = watched[weight > 0], weight[weight > 0]
+                yield pa.record_batch(columns, ["key", "h", "n", "salt"][: len(columns)])
 
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "key long, h long, n long" if full else "key long")
+    return rows.mapInArrow(run, "key long, h long, n long, salt long" if full else "key long")
 
 
 def hot_keys(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
@@ -185,27 +215,30 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """What the keys that are not known as hot give, as rows (a, b, far, n).
 
     far 0 and 1: a pair of classes that fit in size, 0 for neighbours. far 2: class a, of size n, is under
-    key b, which turned out to have more than 2 x HOT classes (moving the hot ones back brings others
-    forward); such a key gives a chain in its own random order and goes to the trees with the hot ones.
-    rows: key, h, n, sorted by key, n, h in each partition.
+    key b, which turned out to have more than 2 x HOT classes (or has a salt, which says the same).
+    rows: key, h, n, salt, sorted by key, n, h in each partition. No more than one key's 2 x HOT classes are held.
     """
     large = 2 * HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 3), np.int64)
+        rest, late_key = np.zeros((0, 3), np.int64), None
+
+        def late(x: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in (x[:, 1], x[:, 0], np.full(len(x), 2), x[:, 2])], ["a", "b", "far", "n"])
 
-        def pairs(x: np.ndarray) -> pa.RecordBatch:
+        def once(x: np.ndarray) -> np.ndarray:
             same = np.zeros(len(x), bool)
             same[1:] = (x[1:, 0] == x[:-1, 0]) & (x[1:, 1] == x[:-1, 1])
-            x = x[~same]
+            return x[~same]
+
+        def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x = once(x)
             _, run_of, run_size = np.unique(x[:, 0], return_inverse=True, return_counts=True)
-            late = x[run_size[run_of] > large]
-            x = x[run_size[run_of] <= large]
-            own = W.mix(late[:, 0].view(np.uint64) ^ W.mix(late[:, 1].view(np.uint64))) if len(late) else np.zeros(0, np.uint64)
-            chain = late[np.lexsort((own, late[:, 0]))]
-            i, j = chain[:-1], chain[1:]
-            ok = (i[:, 0] == j[:, 0]) & (percent * np.maximum(i[:, 2], j[:, 2]) <= 100 * np.minimum(i[:, 2], j[:, 2]))
-            a, b, far, gap = [i[ok, 1]], [j[ok, 1]], [np.zeros(int(ok.sum()), np.int64)], 1
+            many = run_size[run_of] > large
+            if many.any():
+                yield late(x[many])
+            x = x[~many]
+            a, b, far, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
             alive = np.arange(len(x))
             while len(alive):  # partners gap places on, at most ``large``
                 alive = alive[alive + gap < len(x)]
@@ -221,20 +254,34 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
             low, high, f = np.minimum(one, two)[order], np.maximum(one, two)[order], f[order]
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            n = int(new.sum())
-            columns = ([low[new], late[:, 1]], [high[new], late[:, 0]], [f[new], np.full(len(late), 2)], [np.zeros(n, np.int64), late[:, 2]])
-            return pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["a", "b", "far", "n"])
+            yield pa.record_batch([pa.array(c) for c in (low[new], high[new], f[new], np.zeros(int(new.sum()), np.int64))], ["a", "b", "far", "n"])
 
         for batch in batches:
-            x = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(3)], 1)])
-            cut = int(np.searchsorted(x[:, 0], x[-1, 0], "left")) if len(x) else 0
-            rest = x[cut:]
+            x = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            salted = batch.column(3).to_numpy() > 0
+            if salted.any():
+                yield late(x[salted])
+                x = x[~salted]
+            if late_key is not None:
+                more = int(np.searchsorted(x[:, 0], late_key, "right"))
+                if more:
+                    yield late(x[:more])
+                    x = x[more:]
+            if not len(x):
+                continue
+            x, late_key = np.concatenate([rest, x]), None
+            cut = int(np.searchsorted(x[:, 0], x[-1, 0], "left"))
+            rest = once(x[cut:])
             if cut:
-                yield pairs(x[:cut])
+                yield from pairs(x[:cut])
+            if len(rest) > large:
+                late_key = rest[0, 0]
+                yield late(rest)
+                rest = rest[:0]
         if len(rest):
-            yield pairs(rest)
+            yield from pairs(rest)
 
-    return rows.select("key", "h", "n").mapInArrow(run, "a long, b long, far long, n long")
+    return rows.select("key", "h", "n", "salt").mapInArrow(run, "a long, b long, far long, n long")
 
 
 def _within_bound(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -279,13 +326,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different roots under hot keys that the R-tree's bound allows.
 
-    rows: number (of the key), block, side, h, n, hot, vector, root, sorted by number and block.
+    rows: number (of the key), block, asks (0: a point of the block, 1: a class of another root than the key's
+    most common one that asks the block), h, n, hot, vector, root, sorted by number and block.
     """
 
     def page(x: pa.Table) -> tuple[list[int], list[int]]:
         number = x["number"][0].as_py()
-        h, n, root, side = (x[c].to_numpy() for c in ("h", "n", "root", "side"))
-        if len(np.unique(root)) < 2:
+        h, n, root, minor, asks = (x[c].to_numpy() for c in ("h", "n", "root", "minor", "asks"))
+        points, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+        if not len(points) or not len(asking):
             return [], []
         vectors = np.stack([folded(v) for v in x["vector"].to_pylist()])
         before = [[k for k in keys if k < number] for keys in x["hot"].to_pylist()]
@@ -293,16 +342,12 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
         marks = np.zeros((len(h), max(1, len(place))), np.float32)
         for i, keys in enumerate(before):
             marks[i, [place[k] for k in keys]] = 1
-        crossed = side.max() > 0  # a pair of different blocks: only pairs across count
-        tree = CountTree(vectors, n)
+        tree = CountTree(vectors[points], n[points])
         a, b = [], []
-        # Points of the most common root need not ask: others find them.
-        values, many = np.unique(root, return_counts=True)
-        for i in np.flatnonzero(root != values[np.argmax(many)]).tolist():
-            j = tree.search(vectors[i], int(n[i]), percent)
-            j = j[root[j] != root[i]]
-            if crossed:
-                j = j[side[j] != side[i]]
+        for i in asking.tolist():
+            j = points[tree.search(vectors[i], int(n[i]), percent)]
+            # Where both classes ask, the lesser's question counts.
+            j = j[(root[j] != root[i]) & ((minor[j] == 0) | (h[i] < h[j]))]
             if len(j):
                 j = j[marks[j] @ marks[i] == 0]
             a += [int(h[i])] * len(j)
@@ -336,6 +381,21 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _dealt(hot_rows: DataFrame, roots: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The rows of ``_hot_pairs``: hot_rows (h, n, number, hot) of keys with more than one root, as points and as questions."""
+    labelled = hot_rows.join(roots.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    shares = labelled.groupBy("number", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("number").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
+    band = F.floor(F.log("n") / math.log(4 / 3)).cast("long")
+    rows = labelled.join(shares.where("roots > 1"), "number").withColumns({"band": band, "minor": (F.col("root") != F.col("major")).cast("int")})
+    blocks = rows.groupBy("number", "band").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("long").alias("blocks"))
+    columns = ["number", "band", "h", "n", "hot", "root", "minor"]
+    points = rows.join(blocks, ["number", "band"]).select(*columns, F.pmod(F.xxhash64("h", F.lit(5)), "blocks").alias("salt"), F.lit(0).alias("asks"))
+    near = rows.where("minor = 1").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    asking = near.join(blocks, ["number", "band"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*columns, "salt", F.lit(1).alias("asks"))
+    both = points.union(asking).withColumn("block", F.col("band") * (1 << 40) + F.col("salt"))
+    return both.join(vectors.select("h", "vector"), "h").select("number", "block", "asks", "h", "n", "hot", "vector", "root", "minor")
+
+
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes of all rows: doc_id, n, h, hot; links between classes, enough to span all components: a, b)."""
     spark = docs.sparkSession
@@ -350,21 +410,19 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     hot = hot_keys(docs, percent)
     common.release_shuffles(spark)
     rows = keep(describe(docs, hot, percent), "classes")
-    cold = _keys(docs, hot, percent, True).repartition(parts, "key").sortWithinPartitions("key", "n", "h")
+    cold = _keys(docs, hot, percent, True).repartition(parts, "key", "salt").sortWithinPartitions("key", "n", "h")
     found = keep(_cold_pairs(cold, percent).groupBy("a", "b").agg(F.min("far").alias("far"), F.max("n").alias("n")), "cold")
     cold = found.where("far < 2").select("a", "b", "far")
-    # A class and hot key a row, with all hot keys of the class and a salt that bounds the rows of a block;
-    # the chain goes through each block in the key's own random order.
+    # A class and hot key a row, with all hot keys of the class; the chain goes through each part of a key's classes in the key's own random order.
     known = rows.where("hot is not null").groupBy("h", "n").agg(F.any_value("hot").alias("hot")).select("h", "n", F.explode("hot").alias("number"))
     ordered = spark.createDataFrame([(i, int(k)) for i, k in enumerate(hot.view(np.int64))], "number int, key long")
     hot_rows = known.join(F.broadcast(ordered), "number").select("h", "n", F.col("key").alias("number"))
     hot_rows = hot_rows.union(found.where("far = 2").select(F.col("a").alias("h"), "n", F.col("b").alias("number"))).distinct()
     lists = hot_rows.groupBy("h").agg(F.collect_list("number").alias("hot"))
     hot_rows = keep(hot_rows.join(lists, "h"), "hot-rows")
-    blocks = hot_rows.groupBy("number").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("blocks"))
-    hot_rows = keep(hot_rows.join(F.broadcast(blocks), "number").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")), "hot-rows")
+    blocks = hot_rows.groupBy("number").agg(F.ceil(F.count(F.lit(1)) / CHAIN).cast("int").alias("blocks"))
     w = Window.partitionBy("number", "salt").orderBy(F.xxhash64("number", "h"), "h")
-    chain = hot_rows.select("h", "n", F.lead("h").over(w).alias("o"), F.lead("n").over(w).alias("m")).where(percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
+    chain = hot_rows.join(blocks, "number").withColumn("salt", F.pmod(F.xxhash64("number", "h", F.lit(3)), "blocks")).select("h", "n", F.lead("h").over(w).alias("o"), F.lead("n").over(w).alias("m")).where(percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
     chain = keep(chain.where("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), "chain")
     # Count vectors of the classes that meet others, then shingles of those that the bound leaves.
     met = cold.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h")).distinct()
@@ -372,24 +430,24 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     every = cold.select("a", "b", "far").union(chain.select("a", "b", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.min("far").alias("far"))
     every = keep(every.join(_within_bound(every.select("a", "b"), vectors, percent), ["a", "b"]), "bounded")
     wanted = every.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h")).distinct()
-    one = vectors.join(wanted, "h", "left_semi").select("doc_id").distinct()
-    sets = keep(_class_sets(docs.select("doc_id", "text").join(one, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "sets")
+    one = vectors.join(wanted, "h", "left_semi").select("doc_id").where("doc_id is not null").distinct()
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(one, "doc_id", "left_semi").union(texts.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    sets = keep(_class_sets(texts).join(wanted, "h", "left_semi"), "sets")
     linked = keep(_verified(every.where("far = 0").select("a", "b"), sets, percent), "links")
+    linked = keep(spanning_forest(linked), "links")
     # What is linked needs no further look: only pairs of different components go on.
     roots = components(linked)
     far = every.where("far = 1").select("a", "b")
     for c in ("a", "b"):
         far = far.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     far = far.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    labelled = hot_rows.join(roots, hot_rows["h"] == roots["node"], "left").withColumn("root", F.coalesce("root", "h")).drop("node")
-    mixed = labelled.groupBy("number").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("number")
-    dealt = labelled.join(F.broadcast(mixed), "number", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"block": F.least("salt", "other").cast("long") * (1 << 20) + F.greatest("salt", "other"), "side": (F.col("salt") > F.col("other")).cast("int")})
-    dealt = dealt.join(vectors.select("h", "vector"), "h").select("number", "block", "side", "h", "n", "hot", "vector", "root")
-    dealt = dealt.repartition(parts, "number", "block").sortWithinPartitions("number", "block")
+    dealt = _dealt(hot_rows, roots, vectors).repartition(parts, "number", "block").sortWithinPartitions("number", "block")
     rest = keep(far.union(_within_bound(_hot_pairs(dealt, percent).distinct(), vectors, percent)).distinct(), "bounded")
-    linked = keep(linked.union(_verified(rest, sets, percent)), "links")
-    common.discard(sets, found, hot_rows, chain, every, vectors, rest)
+    more = keep(linked.union(_verified(rest, sets, percent)), "links")
+    common.discard(sets, found, hot_rows, chain, every, vectors, rest, linked)
+    linked = keep(spanning_forest(more), "links")
+    common.discard(more)
     return rows, linked
 
 
@@ -401,21 +459,54 @@ def _class_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "h long, set binary")
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), class_id of every row."""
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes of all rows: doc_id, n, h; a row a class: h, root, first, its least doc_id)."""
     rows, linked = links(docs, percent)
     least = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first"))
     roots = components(linked)
     joined = least.join(roots, least["h"] == roots["node"], "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     ids = common.materialize(joined, "roots")
+    common.discard(linked)
+    return rows, ids
+
+
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), class_id of every row."""
+    rows, ids = _labelled(docs, percent)
     component = ids.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = ids.join(component, "root").select("h", "component_id")
     return rows.join(of_class, "h", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("h").alias("class_id"))
 
 
+def _with_class(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the class of each row's text (0: no words) as column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            text = whole.schema.get_field_index("text")
+            at = 0
+            for part in common.by_text(iter([pa.record_batch([whole.column(text).fill_null("")], ["text"])])):
+                _, sets = next(_sets(iter([part]), 0))
+                yield whole.slice(at, part.num_rows).append_column(name, pa.array([class_hash(s) for s in sets], pa.int64()))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; rows that repeat a kept doc_id go too."""
-    found = groups(docs, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of docs a component: that of least doc_id (null last), then of least class.
+
+    Rows that share that doc_id and its words are one; a row without words stays, rows that repeat its doc_id without words go.
+    """
+    rows, ids = _labelled(docs, percent)
+    own = rows.where("n > 0").join(ids.select("h", "root"), "h")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
+    name = "_class"
+    while name in docs.columns:
+        name += "_"
+    kept = first.select("first.doc_id", "first.h").union(rows.where("n = 0").select("doc_id", "h").distinct()).toDF("_k_id", "_k_class")
+    keyed = _with_class(docs, name)
+    # A class is in one component only, so a row stays if its class and doc_id are the kept ones.
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_k_id"]) & (keyed[name] == kept["_k_class"]), "left_semi")
+    return found.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])
