@@ -2,17 +2,19 @@
 
 Rows lie in old shards; new shards have capacities in bytes. Groups of equal texts are never parted
 unless one is larger than any shard's capacity. Blocks of groups (by text hash) are the units of
-transfer: their byte sums, a table bounded by parameters (old shards x ``BLOCKS`` x ``SUBS``), come
+transfer: their byte sums, a table bounded by parameters (old shards x ``BLOCKS`` x ``SUBS``, and ``OWN_SUBS`` a large group), come
 to the driver; an integer minimum-cost flow between old and new shards says how many bytes go where
 at the least moved bytes; whole blocks then fill the flows. Rows get their shard by a broadcast of
-that bounded table and a gapless slot by block offsets, so no text is shuffled. Texts whose copies
+that bounded table and a gapless slot by block offsets, so ``assign`` shuffles no text. Texts whose copies
 take more than 1 / ``SHARE`` of a shard, fewer than ``SHARE`` a shard, are found by a group-by on the text's
-hash and get blocks of their own, whose rows are dealt over ``SUBS`` sub-blocks by doc_id; other blocks
-have sub-blocks by text. So no large group meets in one task, and only a group that no shard holds is parted.
+hash and get blocks of their own, whose rows are dealt over ``OWN_SUBS`` sub-blocks by doc_id; other blocks
+have ``SUBS`` sub-blocks by text. So no large group meets in one task, and only a group that no shard holds is parted.
+
+``rewrite`` writes the shards that gain or lose rows, as folders, and leaves the other folders alone.
 
 Defined cases: null text is empty (size 1, crc 0) and equal to an empty one; repeated rows and equal
 ids each get their own slot; an empty table gives an empty table. Extra columns pass through
-``assign`` as they are; names that clash with the added ones are refused.
+``assign`` as they are; names that clash with the added ones, or begin with ``_s_``, are refused.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Blocks of an old shard and sub-blocks of a block: they bound what the driver sees.
-BLOCKS, SUBS = 1024, 16
+#: Blocks of an old shard, sub-blocks of a block and of a large group's own block: they bound what the driver sees.
+BLOCKS, SUBS, OWN_SUBS = 1024, 4, 256
+#: Rows of a file that ``rewrite`` writes, about.
+FILE_ROWS = 200_000
 #: Parts of a shard: a larger group of equal texts has a block of its own.
 SHARE = 64
 ADDED = ("size", "text_crc32", "law", "old_shard", "shard", "slot", "grown_shard")
@@ -120,7 +124,7 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
     old_shard: where rows lie now, 0 .. n_old - 1, a function of the text; by default the layout
     that deals texts over ``n_old`` shards by crc32.
     """
-    if clash := set(ADDED) & set(docs.columns):
+    if clash := {c for c in docs.columns if c in ADDED or c.startswith("_s_")}:
         raise ValueError(f"columns clash with the result's: {sorted(clash)}")
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
@@ -136,7 +140,7 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
     own = docs.sparkSession.createDataFrame([(i, h, BLOCKS + k) for k, (i, h) in enumerate(large)], "old_shard int, _s_text long, _s_own int")
     rows = rows.join(F.broadcast(own), ["old_shard", "_s_text"], "left").withColumns({
         "_s_block": F.coalesce("_s_own", F.pmod("_s_text", F.lit(BLOCKS)).cast("int")),
-        "_s_sub": F.pmod(F.when(F.col("_s_own").isNull(), F.xxhash64("_s_text", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7))), F.lit(SUBS)).cast("int"),
+        "_s_sub": F.when(F.col("_s_own").isNull(), F.pmod(F.xxhash64("_s_text", F.lit(7)), F.lit(SUBS))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(OWN_SUBS))).cast("int"),
     })
     units = rows.groupBy("old_shard", "_s_block", "_s_sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
     blocks: dict[tuple[int, int], int] = defaultdict(int)
@@ -160,9 +164,17 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
 
 
 def rewrite(docs: DataFrame, path: str, n_shards: int = 8, old_shard: Column | None = None, n_old: int = 6) -> DataFrame:
-    """Writes the shards that gain or lose rows, as folders shard=k under path; others stay as they are. Returns moved bytes by shard."""
+    """Writes the shards that gain or lose rows, as folders shard=k under path; folders of others stay as they are.
+
+    docs is the whole table and must not lie under path. Returns old_shard, shard, moved_bytes, moved_rows.
+    """
+    root = path.split(":", 1)[-1].rstrip("/") + "/"
+    if any(("/" + f.split(":", 1)[-1].lstrip("/")).startswith("/" + root.lstrip("/")) for f in docs.inputFiles()):
+        raise ValueError(f"{path} holds rows that are to be read; write to another folder")
     out = assign(docs, n_shards, old_shard, n_old)
-    moved = out.where("old_shard <> shard")
-    touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    out.join(F.broadcast(touched), "shard", "left_semi").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return moved.groupBy("old_shard", "shard").agg(F.sum("size").alias("moved_bytes"), F.count(F.lit(1)).alias("moved_rows"))
+    moves = out.where("old_shard <> shard").groupBy("old_shard", "shard").agg(F.sum("size").alias("moved_bytes"), F.count(F.lit(1)).alias("moved_rows"))
+    moved = moves.collect()  # at most n_old x n_shards rows
+    touched = sorted({k for m in moved for k in (m.old_shard, m.shard)})
+    changed = out.where(F.col("shard").isin(touched)).repartition("shard", F.floor(F.col("slot") / FILE_ROWS))
+    changed.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return docs.sparkSession.createDataFrame(moved, "old_shard int, shard int, moved_bytes long, moved_rows long")
