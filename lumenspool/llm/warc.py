@@ -6,14 +6,17 @@ others are revisits that refer to it. Members go out through Spark's own text si
 and file system are Spark's: the line separator is one zero byte, which is the last byte of a member
 (the high byte of its length) below 16 MiB; a larger one is followed by an empty member.
 
-Reading: files are cut into byte ranges, one task each. A task scans its range for the gzip magic,
-tries each candidate by decoding its first bytes (a record starts with ``WARC/``), and owns the records
-that start inside, reading past the range's end for the last. After a record the scan goes on behind
-it. Digests of response payloads are computed anew and must match their headers.
+Reading: files are cut into byte ranges, dealt over tasks. A range is scanned for the gzip magic; a
+candidate is tried by decoding its first bytes (a record starts with ``WARC/``); the range owns the records
+that start inside, and is read past its end for the last. After a record the next must follow at once.
+Digests of response payloads are computed anew and must match their headers.
 
-Defined cases: null html is an empty payload; null page_id and url stay null; rows of one page_id and
+Defined cases: null html is an empty payload; null page_id and url stay null, and a null page_id's long
+payload revisits an equal one that has an id; rows of one page_id and
 payload are all responses if theirs is the largest page_id; an empty table gives no records; extra
-columns are not read. Payloads are kept whole whatever their length.
+columns are not read. Payloads are kept whole whatever their length. A record that is cut off or does
+not decode, and bytes between records, raise a ValueError that names file and place; with
+``errors="skip"`` the scan goes on at the next record instead.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from lumenspool.llm import common
 
 REVISIT_BYTES, RANGE_BYTES = 1000, 8 << 20
+#: Bytes given to the decoder at once, and to try a candidate; tasks at most, beyond which one takes more ranges.
+FEED, HEAD, MOST_TASKS = 1 << 16, 512, 20_000
 MAGIC, PREFIX = b"\x1f\x8b\x08", "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,8 +67,8 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("digest"))
     ids = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
     last = ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    again = ids.join(last, "digest").where("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
-    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    again = ids.join(last, "digest").where("page_id < last or page_id is null").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("last").alias("refers_to")).distinct()
+    rows = rows.join(again, rows["page_id"].eqNullSafe(again["_id"]) & (rows["digest"] == again["_digest"]), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,13 +85,13 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
 
 
-def ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> list[tuple[int, str, int, int]]:
-    """(number, file, start, end) of all byte ranges of the files under path."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    files = sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
-    cuts = [(name, a, min(a + size, length)) for name, length in files for a in range(0, length, size)]
-    return [(i, *c) for i, c in enumerate(cuts)]
+def ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
+    """(file, start, end) of all byte ranges of the files under path, dealt over tasks; Spark lists the files and reads none."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    cuts = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
+    tasks = min(MOST_TASKS, max(1, 2 * total // size))
+    return cuts.select("file", "start", F.least(F.col("start") + size, "length").alias("end")).repartition(tasks, "file", "start")
 
 
 class _Reader:
@@ -107,24 +112,40 @@ class _Reader:
         return self.file.read(many)
 
 
-def _unpack(reader: _Reader, at: int, ahead: bytes) -> tuple[bytes, int] | None:
-    """(record, end) of the member at ``at``, or None if no record starts there. ahead: the bytes already read from there on."""
-    tester = zlib.decompressobj(31)
+class Damaged(ValueError):
+    """A record is cut off or does not decode, or bytes that are no record follow one."""
+
+
+def _unpack(reader: _Reader, start: int, data: memoryview, at: int, sure: bool) -> tuple[bytes, int] | None:
+    """(member's content, end) of the member at ``at`` of data, which begins at ``start`` of the file.
+
+    None if no record starts there; where ``sure`` says that a member must, Damaged. The end is relative to data.
+    """
+    def no_record(why: str) -> None:
+        if sure:
+            raise Damaged(f"record at byte {start + begin} {why}")
+
+    begin, tester = at, zlib.decompressobj(31)
+    first = data[at : at + HEAD]
+    if len(first) < HEAD:
+        first = bytes(first) + reader.read(start + at + len(first), HEAD - len(first))
     try:
-        if not tester.decompress(ahead[:512], 16).startswith(b"WARC/"):
-            return None
-        opener, out, size = zlib.decompressobj(31), [], 0
-        chunk = ahead
-        while not opener.eof:
-            if not chunk:
-                return None  # cut off
-            out.append(opener.decompress(chunk))
-            size += len(chunk)
-            if not opener.eof:
-                chunk = reader.read(at + size, 1 << 20)
+        head = tester.decompress(first, 5)
     except zlib.error:
-        return None
-    return b"".join(out), at + size - len(opener.unused_data)
+        return no_record("does not decode")
+    if head != b"WARC/" and not (tester.eof and not head):
+        return no_record("is cut off" if len(head) < 5 and not tester.eof else "is none")
+    opener, out = zlib.decompressobj(31), []
+    while not opener.eof:
+        chunk = data[at : at + FEED] if at < len(data) else reader.read(start + at, FEED)
+        if not chunk:
+            raise Damaged(f"record at byte {start + begin} is cut off")
+        try:
+            out.append(opener.decompress(chunk))
+        except zlib.error as e:
+            raise Damaged(f"record at byte {start + begin} does not decode: {e}") from e
+        at += len(chunk)
+    return b"".join(out), at - len(opener.unused_data)
 
 
 def parse(data: bytes) -> dict:
@@ -144,25 +165,34 @@ def parse(data: bytes) -> dict:
             "refers_to": number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, "payload": payload if kind == "response" else None}
 
 
-def scan(uri: str, start: int, end: int) -> Iterator[dict]:
-    """The records of a file that start in [start, end)."""
+def scan(uri: str, start: int, end: int, errors: str = "raise") -> Iterator[dict]:
+    """The records of a file that start in [start, end); each byte is looked at once."""
     reader = _Reader(uri)
     data = reader.read(start, end - start + len(MAGIC) - 1)
-    at = data.find(MAGIC)
-    while 0 <= at < end - start:
-        ahead = data[at:] if len(data) - at >= 512 else data[at:] + reader.read(start + len(data), 512)
-        if found := _unpack(reader, start + at, ahead):
-            yield parse(found[0])
-            at = data.find(MAGIC, found[1] - start) if found[1] < end else -1
-        else:
-            at = data.find(MAGIC, at + 1)
-
-
-def read(spark: SparkSession, path: str, size: int = RANGE_BYTES, payload: bool = True) -> DataFrame:
+    view, most = memoryview(data), end - start
+    at, sure = (data.find(MAGIC), False) if start else (0, True)
+    while 0 <= at < most:
+        try:
+            found = _unpack(reader, start, view, at, sure)
+            if found:
+                content, after = found
+                if content:
+                    yield parse(content)
+                behind = data[after : after + len(MAGIC)] if after + len(MAGIC) <= len(data) else reader.read(start + after, len(MAGIC))
+                if behind and behind != MAGIC:
+                    raise Damaged(f"no record at byte {start + after}")
+                at, sure = after, True
+                continue
+        except ValueError as e:
+            if errors != "skip":
+                raise ValueError(f"{uri}: {e}") from e
+        at, sure = data.find(MAGIC, at + 1), False
+
+
+def read(spark: SparkSession, path: str, size: int = RANGE_BYTES, payload: bool = True, errors: str = "raise") -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload (null: revisit) if asked for, of all records under path."""
     common.ship(spark)
-    cuts = ranges(spark, path, size)
-    frame = spark.createDataFrame(cuts, "number int, file string, start long, end long")
+    frame = ranges(spark, path, size)
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload
     schema = pa.schema(fields)
 
@@ -170,7 +200,7 @@ def read(spark: SparkSession, path: str, size: int = RANGE_BYTES, payload: bool
         for batch in batches:
             for row in batch.to_pylist():
                 held, size = [], 0
-                for r in scan(row["file"], row["start"], row["end"]):
+                for r in scan(row["file"], row["start"], row["end"], errors):
                     held.append({k: r[k] for k in schema.names})
                     size += r["payload_bytes"] if payload else 100
                     if size > 1 << 22:
@@ -180,4 +210,4 @@ def read(spark: SparkSession, path: str, size: int = RANGE_BYTES, payload: bool
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return frame.repartitionById(max(1, len(cuts)), "number").mapInArrow(run, kinds)
+    return frame.mapInArrow(run, kinds)
