@@ -16,8 +16,10 @@ that they are clean whatever the share of toxic labels.
 
 Defined cases: null and empty texts, and texts without a vocabulary feature, score the prior's rate (0
 if there is no label at all); rows of the same document are scored each; contradicting labels of one
-doc_id count as toxic; null labels are left out; ties of cosine go to the smaller doc_id; a
-document is never its own neighbour. Extra columns of the tables are not read. Texts are read whole.
+doc_id count as toxic; null labels are left out; ties of cosine go to the smaller doc_id; of rows that
+share a labelled doc_id the least text is the example. An example of a text equal to the scored one is no
+neighbour of it, so that no text is scored by its own label; the doc_id has no part in a score. Extra
+columns of the tables are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -61,6 +63,11 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found)[order], np.searchsorted(row[order], np.arange(len(offsets)))
 
 
+def text_hashes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """64-bit hash of each whole text."""
+    return W.span_hashes(data, offsets[:-1], offsets[1:])
+
+
 class Lookup:
     """Places in sorted hashes, by a table of where each range of leading bits begins."""
 
@@ -107,12 +114,13 @@ class Index:
     values: np.ndarray
     base_rate: float
     vote: tuple[float, float]
+    texts: np.ndarray
 
     @staticmethod
     def build(vocabulary, weight, examples, base_rate, vote) -> Index:
-        """examples: (id, label, feature numbers, counts)."""
+        """examples: (id, label, feature numbers, counts, hash of the text)."""
         values = []
-        for _, _, at, tf in examples:
+        for _, _, at, tf, _ in examples:
             v = (1 + np.log(tf)) * weight[at]
             norm = float(np.sqrt((v * v).sum()))
             values.append(v / norm if norm else v)
@@ -121,13 +129,13 @@ class Index:
         begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(at, minlength=len(vocabulary)))])
         of = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])
         return Index(vocabulary, weight, [x[0] for x in examples], np.array([x[1] for x in examples], np.int64), begin, of[order],
-                     np.concatenate(values)[order] if examples else np.zeros(0), base_rate, vote)
+                     np.concatenate(values)[order] if examples else np.zeros(0), base_rate, vote, np.array([x[4] for x in examples], np.uint64))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def _tables(self) -> tuple[Lookup, np.ndarray, np.ndarray, dict, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(lookup, matrix row of each feature or -1, matrix, place of each id, (begin, features, values) of the examples), made once a process."""
+        """(lookup, matrix row of each feature or -1, matrix, places of each text, (begin, features, values) of the examples), made once a process."""
         if not hasattr(self, "_made"):
             n = len(self.ids)
             head = np.flatnonzero(np.diff(self.begin) >= max(1, DENSE * n))
@@ -140,7 +148,10 @@ class Index:
             order = np.argsort(self.examples, kind="stable")
             begin = np.searchsorted(self.examples[order], np.arange(n + 1))
             of = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.begin))[order]
-            self._made = Lookup(self.vocabulary), row, matrix, {x: e for e, x in enumerate(self.ids)}, (begin, of, self.values[order])
+            places: dict[int, list[int]] = {}
+            for e, x in enumerate(self.texts.tolist()):
+                places.setdefault(x, []).append(e)
+            self._made = Lookup(self.vocabulary), row, matrix, places, (begin, of, self.values[order])
         return self._made
 
     def counted(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,8 +160,8 @@ class Index:
         cut = np.searchsorted(hit, first)
         return [np.unique(at[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list) -> Iterator[list[tuple[float, object, int]]]:
-        """(cosine, id, label) of the nearest examples of each row, nearest first; exact. own: the rows' ids."""
+    def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> Iterator[list[tuple[float, object, int]]]:
+        """(cosine, id, label) of the nearest examples of each row, nearest first; exact. own: hashes of the rows' texts."""
         n = len(self.ids)
         _, head, matrix, place, (begin, of, values) = self._tables()
         full = np.zeros(len(self.vocabulary))
@@ -172,12 +183,12 @@ class Index:
                 where = np.repeat(self.begin[rare[a:b]] - np.cumsum(many) + many, many)
                 where += np.arange(len(where))
                 score[r] += np.bincount(self.examples[where], weights=np.repeat(x[a:b], many) * self.values[where], minlength=n)
-            for r, doc in enumerate(own[i : i + ROWS]):
-                if doc in place:
-                    score[r, place[doc]] = 0
+            for r, text in enumerate(own[i : i + ROWS]):
+                if text in place:
+                    score[r, place[text]] = 0
             least = np.partition(score, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] if n > NEIGHBOURS else np.zeros(len(part))
             cut = np.searchsorted(who, np.arange(len(part) + 1))
-            for r, doc in enumerate(own[i : i + ROWS]):
+            for r in range(len(part)):
                 near = np.flatnonzero((score[r] >= least[r] * (1 - ROUNDING)) & (score[r] > 0))
                 mine = at[cut[r] : cut[r + 1]]
                 full[mine] = q[cut[r] : cut[r + 1]]
@@ -186,14 +197,14 @@ class Index:
                 where = np.repeat(begin[near] - ends + many, many) + np.arange(int(many.sum()))
                 sums = np.bincount(np.repeat(np.arange(len(near)), many), weights=full[of[where]] * values[where], minlength=len(near))
                 full[mine] = 0
-                best = [(c, self.ids[e], int(self.labels[e])) for c, e in zip(sums.tolist(), near.tolist(), strict=True) if c > 0 and self.ids[e] != doc]
+                best = [(c, self.ids[e], int(self.labels[e])) for c, e in zip(sums.tolist(), near.tolist(), strict=True) if c > 0]
                 yield sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS]
 
-    def found(self, hashes: np.ndarray, first: np.ndarray, own: list) -> Iterator[list[tuple[float, object, int]]]:
+    def found(self, hashes: np.ndarray, first: np.ndarray, own: list[int]) -> Iterator[list[tuple[float, object, int]]]:
         """The nearest examples of each row of features."""
         return self.nearest(self.counted(hashes, first), own) if self.ids else iter([[]] * len(own))
 
-    def neighbours(self, at: np.ndarray, tf: np.ndarray, own) -> list[tuple[float, object, int]]:
+    def neighbours(self, at: np.ndarray, tf: np.ndarray, own: int = 0) -> list[tuple[float, object, int]]:
         return next(self.nearest([(at, tf)], [own])) if self.ids else []
 
     def score(self, best: list[tuple[float, object, int]]) -> float:
@@ -212,9 +223,10 @@ def _count_rows(rows: DataFrame, keep: list[str], kinds: str) -> DataFrame:
             hashes, first = features(offsets, data)
             found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in keep] + [
-                pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], [*keep, "features", "counts"])
+                pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64())),
+                pa.array(text_hashes(offsets, data).view(np.int64))], [*keep, "features", "counts", "text_hash"])
 
-    return rows.mapInArrow(run, f"{kinds}, features array<long>, counts array<long>")
+    return rows.mapInArrow(run, f"{kinds}, features array<long>, counts array<long>, text_hash long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Index:
@@ -228,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
     drawn = [known.where(F.col("label") == x).orderBy("h", "doc_id").limit(EXAMPLES) for x in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).select("doc_id", "label")  # at most 2 x EXAMPLES rows
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = _count_rows(rows, ["doc_id", "label"], f"doc_id {kind}, label int").toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     label = found["label"].to_numpy().astype(np.int64)
     n1 = int(label.sum())
@@ -264,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
     df[f[f >= 0]] = many[f >= 0]
     weight = (np.log((1 + int(many[f < 0].sum())) / (1 + df)) + 1) * association(toxic, both - toxic, n1, n0)
     ids = found["doc_id"].to_pylist()
-    examples = [(ids[i], int(label[i]), at[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
+    texts = found["text_hash"].to_numpy().view(np.uint64)
+    examples = [(ids[i], int(label[i]), at[a:b], counts[a:b], texts[i]) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
     return Index.build(vocabulary, weight, examples, base, vote)
 
 
@@ -283,7 +296,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             offsets, data = common.utf8_parts(batch.column(1))
             hashes, first = features(offsets, data)
             scores, why = [], []
-            for best in own.found(hashes, first, batch.column(0).to_pylist()):
+            for best in own.found(hashes, first, text_hashes(offsets, data).tolist()):
                 scores.append(own.score(best))
                 why.append([{"doc_id": d, "cosine": c, "label": y} for c, d, y in best])
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"])
@@ -306,8 +319,7 @@ def remove_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD) ->
             for batch in common.by_text(iter([filled.append_column("_row", pa.array(np.arange(whole.num_rows)))])):
                 offsets, data = common.utf8_parts(batch.column(text))
                 hashes, first = features(offsets, data)
-                ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-                keep = [not best or own.score(best) < threshold for best in own.found(hashes, first, ids)]
+                keep = [not best or own.score(best) < threshold for best in own.found(hashes, first, text_hashes(offsets, data).tolist())]
                 yield whole.take(batch.column(batch.num_columns - 1).filter(pa.array(keep, pa.bool_())))
 
     return docs.mapInArrow(run, schema)
