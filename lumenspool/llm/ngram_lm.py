@@ -1,9 +1,10 @@
 """Bigram language model in an Elias-Fano trie.
 
 Level one is the vocabulary: all distinct training tokens as sorted 64-bit hashes with exact counts;
-a word's id is its rank. Level two has, for each context word, its successors: context-relative keys
-(ordinal of the context times vocabulary size plus the successor's id), monotone pointers from
-contexts to their first successor, and smoothed probabilities quantised to 256 levels. Monotone
+a word's id is its rank. Level two has, for each context word, its successors: their ids relative to the
+context (each range of ids continues behind the last value of the range before, so the level is monotone),
+monotone pointers from contexts to their first successor, and smoothed probabilities quantised to 256
+levels. A successor is searched in its context's range between two pointers. Monotone
 sequences are coded in blocks of ``BLOCK`` by Elias-Fano (upper parts in unary, lower parts in whole
 bytes), each level is dealt over shards by hash, and each shard is one file in the shared folder that
 workers memory-map (or read, where the folder is no local file system).
@@ -36,6 +37,8 @@ from lumenspool.llm import common
 from lumenspool.llm import words as W
 
 BLOCK, LEVELS, DISCOUNT = 4096, 256, 0.75
+#: Decoded blocks that a sequence keeps, in memory only.
+HELD_BLOCKS = 256
 #: Tokens looked up at once, distinct keys that a task counts before it passes them on: both bound memory only.
 GROUP_TOKENS, COUNT_KEYS = 1 << 20, 1 << 20
 END = np.uint64(0xE0F0E0F0E0F0E0F0)
@@ -66,8 +69,16 @@ def ef_pack(x: np.ndarray) -> dict[str, np.ndarray]:
 class EliasFano:
     def __init__(self, first: np.ndarray, start: np.ndarray, data: np.ndarray, n: np.ndarray):
         self.first, self.start, self.data, self.n = first, start, data, int(n[0])
+        self.held: dict[int, np.ndarray] = {}
 
     def block(self, b: int) -> np.ndarray:
+        if b not in self.held:
+            if len(self.held) >= HELD_BLOCKS:
+                self.held.clear()
+            self.held[b] = self._decoded(b)
+        return self.held[b]
+
+    def _decoded(self, b: int) -> np.ndarray:
         raw = self.data[int(self.start[b]) : int(self.start[b + 1])]
         n, width = min(BLOCK, self.n - b * BLOCK), int(raw[0])
         out = np.zeros((n, 8), np.uint8)
@@ -92,12 +103,38 @@ class EliasFano:
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values at sorted places."""
         out = np.zeros(len(at), np.uint64)
-        for b in np.unique(at // BLOCK).tolist():
-            own = at // BLOCK == b
-            out[own] = self.block(b)[at[own] - b * BLOCK]
+        b = at // BLOCK
+        cuts = np.flatnonzero(np.diff(b)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+            if j > i:
+                out[i:j] = self.block(int(b[i]))[at[i:j] - int(b[i]) * BLOCK]
         return out
 
 
+def relative(ordinal: np.ndarray, successor: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Monotone values of successors sorted by context: each context's ids behind the last value of the context before."""
+    last = np.append(start[1:], len(successor)) - 1
+    width = successor[last] + np.uint64(1)
+    return (np.cumsum(width) - width)[ordinal] + successor
+
+
+def find_successors(pointer: EliasFano, values: EliasFano, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Places of (ordinal of context, successor) pairs, sorted, in the level; -1 where absent.
+
+    Each is searched in the range between its context's pointer and the next, relative to the value before the range.
+    """
+    own, at = np.unique(context, return_inverse=True)
+    low, high = pointer.get(own).astype(np.int64), pointer.get(own + 1).astype(np.int64)
+    base = np.zeros(len(own), np.uint64)
+    behind = low > 0
+    base[behind] = values.get(low[behind] - 1) + np.uint64(1)
+    width = values.get(high - 1) + np.uint64(1) - base
+    out = np.full(len(context), -1, np.int64)
+    inside = np.flatnonzero(successor < width[at])
+    out[inside] = values.find(base[at[inside]] + successor[inside])
+    return out
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes uint8, codebook): logarithms in bins, half of them even in numbers, half even in width, each at its mean."""
     if not len(x):
@@ -241,7 +278,7 @@ class Model:
             own, at = own[at >= 0], at[at >= 0]
             if len(own):
                 back[own] = np.exp(arrays["back_book"][arrays["back"][at]])
-                place = _sequence(arrays, "successor").find(at.astype(np.uint64) * np.uint64(self.types) + successor[own].astype(np.uint64))
+                place = find_successors(_sequence(arrays, "pointer"), _sequence(arrays, "successor"), at, successor[own].astype(np.uint64))
                 hit = place >= 0
                 p[own[hit]] = np.exp(arrays["p_book"][arrays["p"][place[hit]]])
         if self.hot:
@@ -256,8 +293,9 @@ class Model:
             arrays = self.file(2, s)
             at = int(_sequence(arrays, "context").find(np.array([context], np.uint64))[0])
             if at >= 0:
-                a, b = _sequence(arrays, "pointer").get(np.array([at, at + 1]))
-                found.append(_sequence(arrays, "successor").get(np.arange(int(a), int(b))) - np.uint64(at) * np.uint64(self.types))
+                a, b = (int(x) for x in _sequence(arrays, "pointer").get(np.array([at, at + 1])))
+                values = _sequence(arrays, "successor")
+                found.append(values.get(np.arange(a, b)) - (values.get(np.array([a - 1])) + np.uint64(1) if a else np.uint64(0)))
         return np.sort(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -387,7 +425,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
         backs, back_book = quantise(np.log(np.maximum(1 - mass, 1e-12)))
         shard = TaskContext.get().partitionId()
         publish(f"{model.root}/level2-{shard:05d}.ef", **_packed("context", own), **_packed("pointer", np.append(start, len(code)).astype(np.uint64)),
-                **_packed("successor", ordinal.astype(np.uint64) * np.uint64(model.types) + successor), p=codes, p_book=book, back=backs, back_book=back_book)
+                **_packed("successor", relative(ordinal, successor, start)), p=codes, p_book=book, back=backs, back_book=back_book)
         hot = total > model.hot_count
         yield pa.record_batch([pa.array(own[hot].astype(np.int64)), pa.array(mass[hot])], ["context", "mass"])
 
