@@ -9,10 +9,10 @@ The posterior over languages adds up log evidence from four sources:
 * the address suffix: top-level domain and first path segment;
 * the host, by hierarchically smoothed priors: host shrinks to its registered domain, that to all pages.
 
-The last three are tables of counts made by grouped aggregation over all pages, against the text's
-own first verdict; they are smoothed by pseudo-counts. Grouped sums are partial before they are
-shuffled, so a host with a third of all pages is one row a task. The table of trigrams is bounded by
-``BUCKETS``; suffix and host counts join by key.
+The last three are tables of votes made by grouped aggregation over all pages' text verdicts; they are
+smoothed by pseudo-counts, and a page's own vote is taken out again where its evidence is summed, so
+that its text counts once. Grouped sums are partial before they are shuffled, so a host with a third of
+all pages is one row a task. Trigrams are hashed into ``BUCKETS``, which merges rare ones; tables join by key.
 
 Defined cases: a page without text, url and declaration gets the overall prior's best language and
 that prior as confidence; null html or url is missing evidence; ties go to the alphabetically first
@@ -105,10 +105,11 @@ def text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Data
     return pages.mapInArrow(run, f"{kinds}, text_log array<double>")
 
 
-def _log_table(counted: DataFrame, key: str, langs: list[str], parent: Column, weight: float) -> DataFrame:
-    """(key, log array): smoothed log share of each language for each key. counted: key, votes array."""
-    total = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)
-    return counted.withColumn("log", F.zip_with("votes", parent, lambda v, p: F.log((v + weight * p) / (total + weight)))).select(key, "log")
+def _shares(votes: Column, own: Column, parent: Column, weight: float) -> Column:
+    """Each language's share of the votes (thousandths) without the page's own, shrunk to the parent's shares by ``weight`` votes."""
+    left = F.zip_with(votes, own, lambda v, o: (v - o) / 1000)
+    total = F.aggregate(left, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(left, parent, lambda v, p: (v + weight * p) / (total + weight))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,29 +127,25 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         F.concat_ws("/", F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))).alias("suffix"),
         visible("html").alias("text"))
     rows = common.materialize(text_evidence(rows, langs, table), "page-evidence")
-    # Soft votes of the text's verdict, in thousandths so that sums do not depend on order.
+    # Soft votes of the text's verdict, in whole thousandths so that sums do not depend on order.
     weights = F.transform("text_log", lambda x: F.exp(x))
-    soft = F.transform(weights, lambda x: F.floor(1000 * x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y)))
-    voted = rows.select("host", "domain", "declared", "suffix", *[soft[i].alias(f"v{i}") for i in range(k)])
-    votes = F.array(*[F.sum(f"v{i}").cast("double") / 1000 for i in range(k)])
-    overall = [v or 0.0 for v in voted.agg(votes.alias("votes")).first().votes]
-    prior = [(v + 1.0) / (sum(overall) + k) for v in overall]
+    rows = rows.withColumn("own", F.transform(weights, lambda x: F.floor(1000 * x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y))))
+    votes = F.array(*[F.sum(F.col("own")[i]) for i in range(k)])
+    overall = rows.agg(votes.alias("votes")).first().votes
+    tables = {c: rows.where(F.col(c) != "").groupBy(c).agg(votes.alias(f"{c}_votes")) for c in ("declared", "suffix", "domain", "host")}
+    fused = rows
+    for c, found in tables.items():
+        fused = fused.join(found, c, "left")
+    every = F.array(*[F.lit(int(v or 0)).cast("long") for v in overall])
+    # Shares of each table without the page's own vote; null where the page has no such key.
+    level = lambda name, parent, weight: _shares(F.col(f"{name}_votes"), F.col("own"), parent, weight)
     even = F.array(*[F.lit(1.0 / k)] * k)
-    base = F.array(*[F.lit(p) for p in prior])
-    by = lambda c: voted.where(F.col(c) != "").groupBy(c).agg(votes.alias("votes"))
-    said = _log_table(by("declared"), "declared", langs, even, EVEN_WEIGHT).withColumnRenamed("log", "declared_log")
-    suffix = _log_table(by("suffix"), "suffix", langs, even, EVEN_WEIGHT).withColumnRenamed("log", "suffix_log")
-    total = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)
-    domains = by("domain").select("domain", F.zip_with("votes", base, lambda v, p: (v + HOST_WEIGHT * p) / (total + HOST_WEIGHT)).alias("parent"))
-    hosts = voted.where("host <> ''").groupBy("host", "domain").agg(votes.alias("votes")).join(domains, "domain", "left")
-    hosts = _log_table(hosts, "host", langs, F.coalesce("parent", base), HOST_WEIGHT).withColumnRenamed("log", "host_log")
-    fused = rows.join(said, "declared", "left").join(suffix, "suffix", "left").join(hosts, "host", "left")
-    none = F.array(*[F.lit(0.0)] * k)
-    log_prior = F.array(*[F.lit(float(np.log(p))) for p in prior])
-    evenly = float(np.log(k))
+    fused = fused.withColumn("prior", _shares(every, F.col("own"), even, float(k)))
+    fused = fused.withColumn("prior", F.coalesce(level("domain", F.col("prior"), HOST_WEIGHT), F.col("prior")))
+    fused = fused.withColumn("prior", F.coalesce(level("host", F.col("prior"), HOST_WEIGHT), F.col("prior")))
     # Declared and suffix shares count as likelihood ratios against evenness, the host's as the prior.
-    logs = F.array(*[F.col("text_log")[i] + F.coalesce("declared_log", none)[i] + F.when(F.col("declared_log").isNotNull(), evenly).otherwise(0.0)
-                     + F.coalesce("suffix_log", none)[i] + F.when(F.col("suffix_log").isNotNull(), evenly).otherwise(0.0) + F.coalesce("host_log", log_prior)[i] for i in range(k)])
+    ratio = lambda name, i: F.coalesce(F.log(level(name, even, EVEN_WEIGHT)[i] * k), F.lit(0.0))
+    logs = F.array(*[F.col("text_log")[i] + ratio("declared", i) + ratio("suffix", i) + F.log(F.col("prior")[i]) for i in range(k)])
     fused = fused.withColumn("logs", logs).withColumn("best", F.array_max("logs"))
     names = F.array(*[F.lit(x) for x in langs])
     share = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
