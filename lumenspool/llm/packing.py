@@ -2,11 +2,11 @@
 
 Class k of the harmonic scheme takes lengths whose reciprocal share of the capacity C is k (C // length
 = k) and fills each of its bins with exactly k pieces. Documents may be cut, so every document is cut
-into full pieces of C tokens and a rest, and the rest into the fewest pieces whose lengths are the
-classes' own (C // k) or short (at most ``SHORT``): all pieces of a class are then equally long and a
-full bin wastes less than one token a piece. Workers number the pieces of each class by themselves;
-a prefix sum over the (task, class) counts joins these numbers to global ones, and bin and offset of a
-piece follow by division. What is left over of each class (fewer pieces than fill a bin, so bounded by
+into full pieces of C tokens and a rest. A rest stays whole where its class's bins waste little on it, and is
+else cut where that costs least: a further piece costs as much as ``CUT`` tokens of padding. Each length is filled by
+itself, so that offsets in a bin are multiples of it. Workers number the pieces of each length by themselves;
+a prefix sum over the (task, length) counts joins these numbers to global ones, and bin and offset of a
+piece follow by division. What is left over of each length (fewer pieces than fill a bin, so bounded by
 the capacity alone) is filled together, first fit, whatever the data's size.
 
 Tokenization happens once; what it yields (a row a piece, no text) is kept in the shared folder, so
@@ -33,17 +33,25 @@ from pyspark.sql.window import Window
 from lumenspool.llm import common
 from lumenspool.llm.pretokens import PieceStore
 
-CAPACITY, SHORT, END_ID = 2048, 32, 1
+CAPACITY, CUT, END_ID = 2048, 24, 1
 
 
 @lru_cache
-def cuts(capacity: int = CAPACITY) -> list[list[int]]:
-    """For each rest 0 .. capacity - 1 the fewest class lengths that sum to it, longest first."""
-    allowed = sorted({capacity // k for k in range(1, capacity // SHORT + 1)} | set(range(1, SHORT + 1)))
+def cuts(capacity: int = CAPACITY, cut: int = CUT) -> list[list[int]]:
+    """For each rest 0 .. capacity - 1 the piece lengths that sum to it at least cost, longest first.
+
+    A piece costs ``cut`` tokens and its share of what a bin of C // length such pieces leaves empty.
+    """
+    lengths = np.arange(1, capacity)
+    price = cut + (capacity % lengths) / (capacity // lengths)
+    cost, last = np.zeros(capacity), np.zeros(capacity, int)
+    for rest in range(1, capacity):
+        every = price[:rest] + cost[rest - lengths[:rest]]
+        last[rest] = rest - int(np.argmin(every[::-1]))  # ties: the longest
+        cost[rest] = every[last[rest] - 1]
     best: list[list[int]] = [[]]
     for rest in range(1, capacity):
-        last = min((x for x in reversed(allowed) if x <= rest), key=lambda x: len(best[rest - x]))
-        best.append(sorted([last, *best[rest - last]], reverse=True))
+        best.append(sorted([int(last[rest]), *best[rest - last[rest]]], reverse=True))
     return best
 
 
