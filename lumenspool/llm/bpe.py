@@ -77,7 +77,10 @@ class DuckBpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         db = self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         db.execute("set preserve_insertion_order = false")
+        db.execute("set temp_directory = ''")  # never spills to a worker's own folder; a query beyond the limit fails
         ranks = self.ranks
+        if max(ranks.values(), default=0) >= 65536:
+            raise ValueError("pair keys hold ranks below 65,536 only")
         pair, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):

@@ -1,7 +1,7 @@
 """Shared plumbing of the llm operators: tables, shared storage, code shipping, Arrow helpers.
 
 Intermediate tables go only to the shared folder named by ``spark.checkpoint.dir``; where that is
-unset (tests, local mode) a temporary folder of the single machine is used and set as checkpoint dir.
+unset in local mode (tests) a temporary folder of the single machine is used and set as checkpoint dir.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a temporary folder only where unset."""
+    """The folder that driver and executors share. Set to a temporary folder only where unset and in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lumenspool-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Sentence marks that end a short line.
+ENDINGS = ".!?:;,…\"'”’»)"
 #: Stock phrases of web boilerplate, lower case.
 PHRASES = (
     "accept all cookies",
@@ -70,7 +72,7 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
         symbols = F.regexp_count(s, F.lit(r"[#*$%&|<>]")) >= n * rules.symbol_share
         shouting = (n >= 3) & (F.regexp_count(s, F.lit("!!")) >= n * rules.shout_share)
         phrase = (n <= rules.phrase_words) & F.lower(s).rlike("|".join(PHRASES))
-        unended = (n < rules.unended_words) & ~F.right(s, F.lit(1)).isin(*".!?:;,…\"'”’»)")
+        unended = (n < rules.unended_words) & ~F.right(s, F.lit(1)).isin(*ENDINGS)
         return ((marks >= n * least) & (navigation | symbols | shouting)) | phrase | unended
 
     return _bind(F.btrim(line, F.lit(BLANKS)), lambda s: _bind(

@@ -40,8 +40,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard")
+    """The rows as they lie in the rewritten shards; a shard that nothing enters or leaves is not written and is given as assigned."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, shards = common.shared_path(spark, "shards"), 8
+    touched = {k for m in sharding.rewrite(docs, path, shards).collect() for k in (m.old_shard, m.shard)}
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"]
+    if not touched:
+        return sharding.assign(docs, shards).select(columns)
+    out = spark.read.parquet(path).select(columns)
+    return out if touched >= set(range(shards)) else out.union(sharding.assign(docs, shards).where(~F.col("shard").isin(*touched)).select(columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +84,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_MARKS = ", ".join("'" + c.replace("'", "''") + "'" for c in quality_rules.ENDINGS)
+
+ORACLE: dict[str, str] = {
+    # Lines and windows of words as rows; phrases and marks as in quality_rules.
+    "op3_quality_rules": f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, regexp_extract_all(text, '{_WORD}') as words, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '{_WORD}')) as lines from d),
+x as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+y as (select doc_id, i, word || ' ' || lead(word) over p || ' ' || lead(word, 2) over p as g from x window p as (partition by doc_id order by i)),
+z as (select doc_id, i, count(*) over (partition by doc_id, g) as k from y where g is not null),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from z where k > 1) group by 1),
+l as (select doc_id, line, trim(line, {_BLANKS}) as s from (select doc_id, unnest(list_distinct(lines)) as line from w)),
+m as (select *, length(s) - length(replace(s, ' ', '')) + 1 as n, len(regexp_extract_all(s, '[#*$%&|<>»·•]|!!')) as marks from l),
+f as (select *, (marks >= n * 0.2 and (len(list_filter(string_split(s, ' ')[2:-2], lambda t: t in ('|', '>', '»', '·', '•'))) >= n * 0.2 or len(regexp_extract_all(s, '[#*$%&|<>]')) >= n * 0.3 or (n >= 3 and len(regexp_extract_all(s, '!!')) >= n * 0.3)))
+ or (n <= 30 and regexp_matches(lower(s), '{"|".join(quality_rules.PHRASES)}')) or (n < 4 and right(s, 1) not in ({_MARKS})) as fails from m),
+c as (select doc_id, sum(length(line)) filter (not fails) as clean from f group by 1),
+t as (select w.doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda s: length(s))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+ (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(list_sum(list_transform(lines, lambda s: length(s))), 0) as total, coalesce(clean, 0) as clean from w left join r using (doc_id) left join c using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, case when total > 0 then 1 - clean / total else 1.0 end as lost from t)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.5 as kept, round(lost::double, 6) as lost_share from v""",
+    # All pairs that share a shingle, then the closure of the links: for the small tables of the check only.
+    "op4_ngram_jaccard": f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as words from documents),
+x as (select doc_id, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+s as (select distinct doc_id, g from (select doc_id, word || ' ' || lead(word) over p || ' ' || lead(word, 2) over p || ' ' || lead(word, 3) over p || ' ' || lead(word, 4) over p as g from x where n >= 5 window p as (partition by doc_id order by i)) where g is not null
+ union select doc_id, array_to_string(words, ' ') from w where len(words) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by 1),
+k as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select k.a, k.b from k join n p on p.doc_id = k.a join n q on q.doc_id = k.b where 100 * k.k >= 75 * (p.n + q.n - k.k)),
+r(a, b) as (select doc_id, doc_id from w union select r.a, l.b from r join l on l.a = r.b)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id""",
+    "op10_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages), q as (select *, octet_length(encode(html))::bigint as payload_bytes, max(page_id) over (partition by html) as last from p)
+select page_id, payload_bytes, sha1(html) as payload_digest, case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id < last then last end as refers_to from q""",
+}
