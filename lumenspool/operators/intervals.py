@@ -1,7 +1,7 @@
 """Interval kernel: unions, bucketed range joins and anti joins, elementary intervals, islands.
 
 Null times never overlap. Every function is a composition of windows and equi joins, so no plan has
-a nested-loop join; range joins send a row to each bucket that its interval touches.
+a nested-loop join; range joins send a row to each bucket that its interval touches, long ones to coarse buckets.
 """
 
 from __future__ import annotations
@@ -26,29 +26,83 @@ def union(df: DataFrame, keys: list[str], touch_ms: int = 0) -> DataFrame:
     return islands(rows, keys, ["start_ms", "end_ms"], new).groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
+#: A coarse bucket's width in fine ones; an interval that touches more than ``FINE`` fine buckets lies in coarse ones only.
+COARSE, FINE = 256, 16
+
+
+def _bucketed(df: DataFrame, start: str, end: str, width_ms: int, prefix: str) -> DataFrame:
+    """df with a row for each bucket that a row's interval touches: level (0 fine, 1 coarse), bucket, and whether the row belongs to the level or is its guest.
+
+    Short intervals belong to the fine level and are guests of the coarse one, where the long ones belong.
+    """
+    last = F.greatest(F.col(end), F.col(start) + 1) - 1
+    at = lambda t, w: F.floor(t / w).cast("long")
+    fine, coarse = F.sequence(at(F.col(start), width_ms), at(last, width_ms)), F.sequence(at(F.col(start), width_ms * COARSE), at(last, width_ms * COARSE))
+    short = at(last, width_ms) - at(F.col(start), width_ms) < FINE
+    place = lambda buckets, level, guest: F.transform(buckets, lambda x: F.struct(F.lit(level).alias("level"), x.alias("bucket"), F.lit(guest).alias("guest")))
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    every = F.when(short, F.concat(place(fine, 0, False), place(coarse, 1, True))).otherwise(place(coarse, 1, False))
+    rows = rows.withColumn("_at", F.explode(every))
+    return rows.select(*df.columns, *[F.col(f"_at.{c}").alias(f"{prefix}{c}") for c in ("level", "bucket", "guest")])
+
+
 def range_join(left: DataFrame, right: DataFrame, key: str, width_ms: int = 10_000, kind: str = "inner") -> DataFrame:
     """Pairs of equal key whose half-open intervals overlap. left has start_ms, end_ms; right has r_start, r_end and r_-columns.
 
-    Each pair is kept in the bucket where the later of the two starts lies, so it appears once.
-    kind: inner, left_semi or left_anti.
+    Intervals meet in fine buckets, long ones in coarse buckets, so that none is spread over many; each pair
+    is kept in the bucket where the later of the two starts lies, so it appears once.
+    kind: inner, left_semi or left_anti; equal left rows, and ones with nulls, each count.
     """
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width_ms), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width_ms)))
-    l = left.withColumn("_b", spread("start_ms", "end_ms"))  # noqa: E741
-    r = right.withColumnRenamed(key, "_key").withColumn("_rb", spread("r_start", "r_end"))
-    on = (l[key] == r["_key"]) & (l["_b"] == r["_rb"]) & (l["start_ms"] < r["r_end"]) & (r["r_start"] < l["end_ms"])
+    given = left
+    if kind != "inner":
+        names = [F.col(f"`{c}`") for c in left.columns]
+        left = left.withColumns({"_h": F.xxhash64(*names), "_i": F.xxhash64(F.lit(1), *names)})
+        left = left.withColumn("_n", F.row_number().over(Window.partitionBy("_h", "_i").orderBy("_h")))
+    l, r = _bucketed(left, "start_ms", "end_ms", width_ms, "_l_"), _bucketed(right.withColumnRenamed(key, "_key"), "r_start", "r_end", width_ms, "_r_")  # noqa: E741
+    on = (l[key] == r["_key"]) & (l["_l_level"] == r["_r_level"]) & (l["_l_bucket"] == r["_r_bucket"]) & ~(l["_l_guest"] & r["_r_guest"]) & (l["start_ms"] < r["r_end"]) & (r["r_start"] < l["end_ms"])
     if kind == "inner":
-        home = F.floor(F.greatest("start_ms", "r_start") / width_ms) == F.col("_b")
-        return l.join(r, on).where(home).drop("_b", "_rb", "_key")
-    hits = l.join(r, on, "left_semi").select(*left.columns).distinct()
-    return hits if kind == "left_semi" else left.join(hits, left.columns, "left_anti")
+        width = F.when(F.col("_l_level") == 0, F.lit(width_ms)).otherwise(F.lit(width_ms * COARSE))
+        home = F.floor(F.greatest("start_ms", "r_start") / width) == F.col("_l_bucket")
+        return l.join(r, on).where(home).select(*left.columns, *[c for c in right.columns if c != key])
+    hits = l.join(r, on, "left_semi").select("_h", "_i", "_n").distinct()
+    return left.join(hits, ["_h", "_i", "_n"], kind).select(*[F.col(f"`{c}`") for c in given.columns])
 
 
-def coverage(cues: DataFrame, speech: DataFrame, key: str) -> DataFrame:
-    """Per key: speech_ms, covered_ms, coverage, missing (speech intervals covered less than 35 %)."""
+def ranked(df: DataFrame, coarse: list, fine: list, name: str = "rank") -> DataFrame:
+    """df with the rank of each row in the order of coarse, then fine columns, without one global sort.
+
+    coarse: (name, column, descending) of a few values that part the order; their counts, summed in order, go in front of
+    places within each.
+    """
+    keys = [f"_{n}" for n, _, _ in coarse]
+    rows = df.withColumns({f"_{n}": c for n, c, _ in coarse})
+    order = [F.desc(f"_{n}") if down else F.asc(f"_{n}") for n, _, down in coarse]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).withColumn("_ahead", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine))).join(ahead, keys)
+    return rows.withColumn(name, F.col("_ahead") + F.col("_place")).drop(*keys, "_place", "_ahead")
+
+
+def complement(holes: DataFrame, outer: DataFrame, key: str) -> DataFrame:
+    """What disjoint sorted-able holes (key, start_ms, end_ms) leave of outer (key, outer_start, outer_end): key, start_ms, end_ms."""
+    marks = holes.select(key, "start_ms", "end_ms").join(outer, key)
+    ends = outer.select(key, F.col("outer_end").alias("start_ms"), F.col("outer_end").alias("end_ms"), "outer_start", "outer_end")
+    w = Window.partitionBy(key).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    rows = marks.unionByName(ends).withColumn("cursor", F.greatest(F.coalesce(F.max("end_ms").over(w), F.col("outer_start")), "outer_start"))
+    return rows.where("start_ms > cursor").select(key, F.col("cursor").alias("start_ms"), F.col("start_ms").alias("end_ms"))
+
+
+def covered(cues: DataFrame, speech: DataFrame, key: str) -> DataFrame:
+    """Merged speech intervals (key, start_ms, end_ms) and how many ms of each the merged cues cover."""
     merged = union(speech, [key], 1)
     right = union(cues, [key], 1).select(key, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     found = range_join(merged, right, key).groupBy(key, "start_ms", "end_ms").agg(F.sum(F.least("end_ms", "r_end") - F.greatest("start_ms", "r_start")).alias("covered"))
-    rows = merged.join(found, [key, "start_ms", "end_ms"], "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long"))).withColumn("length", F.col("end_ms") - F.col("start_ms"))
+    return merged.join(found, [key, "start_ms", "end_ms"], "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+
+
+def coverage(cues: DataFrame, speech: DataFrame, key: str) -> DataFrame:
+    """Per key: speech_ms, covered_ms, coverage, missing (speech intervals covered less than 35 %)."""
+    rows = covered(cues, speech, key).withColumn("length", F.col("end_ms") - F.col("start_ms"))
     return rows.groupBy(key).agg(
         F.sum("length").alias("speech_ms"), F.sum("covered").alias("covered_ms"), F.round(F.sum("covered") / F.sum("length"), 6).alias("coverage"),
         F.count_if(F.col("covered") * 100 < F.col("length") * 35).alias("missing"))

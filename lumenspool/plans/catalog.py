@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspool.functions import columns as C
 from lumenspool.functions import diff
 from lumenspool.operators import captions, intervals, selection
+from lumenspool.plans.registry import ORACLE, QUERIES, query
 from lumenspool.sources import adapters as A
 from lumenspool.sources.adapters import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-    return add
-
-
 SEG = """seg as (
  select conv_id as media_id, turn as source_order, text as raw_text, case when (conv_id + turn) % 4 < 2 then 'A' else 'B' end as speaker,
   greatest(0, coalesce(sum(400 + 55*length(text) + (conv_id*7919 + turn*104729) % 2600 - 300) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0))::bigint as start_ms, 400 + 55*length(text) as d from conversations),
 segments as (select *, start_ms + d as end_ms from seg)"""
 ISEG = """iseg0 as (
- select conv_id as media_id, turn as source_order, case when (conv_id+turn) % 11 = 0 then '...' when (conv_id+turn) % 13 = 0 then coalesce(lag(text) over (partition by conv_id order by turn), text) else text end as raw_text,
+ select conv_id as media_id, turn as source_order, case when conv_id % 7 = 0 then 'loop line ' || (turn % 2) when (conv_id+turn) % 11 = 0 then '...' when (conv_id+turn) % 13 = 0 then coalesce(lag(text) over (partition by conv_id order by turn), text) else text end as raw_text,
   case when (conv_id+turn) % 3 = 0 then (400 + 55*length(text)) // 4 else 400 + 55*length(text) end as d,
   ((conv_id*7919 + turn*104729) % 2600 - 300) * case when (conv_id+turn) % 7 = 0 then 10 else 1 end as g, (conv_id+turn) % 9 = 0 as back from conversations),
 iseg1 as (select *, greatest(0, coalesce(sum(d + g) over (partition by media_id order by source_order rows between unbounded preceding and 1 preceding), 0))::bigint as s from iseg0),
@@ -60,10 +45,11 @@ def caption_issue_lag(spark, sf):
 @query(f"""with {FLAGS}, {LOOPS}, s as (select media_id, count(*) as segment_count, count_if(placeholder) as p, count_if(placeholder) + count_if(reading_rate) + count_if(overlap) + count_if(long_gap) + count_if(duplicate) as w, count_if(non_monotonic) as e from flags group by 1),
 t as (select s.*, coalesce(l.k, 0) as k from s left join (select media_id, count(*) as k from loops group by 1) l using (media_id)),
 q as (select *, round(greatest(0.0::double, least(1.0::double, 1.0::double - (w * 0.08::double + (e + k) * 0.22::double) / sqrt(segment_count))), 6) as quality_score from t)
-select media_id, segment_count, w + e + k as issue_count, quality_score, p < segment_count and quality_score >= 0.35 as usable, (row_number() over (order by quality_score desc, media_id))::int as rank from q""")
+select media_id, segment_count, w + e + k as issue_count, quality_score, p < segment_count and quality_score >= 0.35 as usable, (row_number() over (order by quality_score desc, media_id))::bigint as rank from q""")
 def caption_quality_rank(spark, sf):
-    q = captions.quality(A.issue_segments(spark, sf))
-    return q.select("media_id", "segment_count", "issue_count", "quality_score", "usable", F.row_number().over(Window.orderBy(F.desc("quality_score"), "media_id")).alias("rank"))
+    q = captions.quality(A.issue_segments(spark, sf)).select("media_id", "segment_count", "issue_count", "quality_score", "usable")
+    coarse = [("score", F.floor(F.col("quality_score") * 1000), True), ("block", F.floor(F.col("quality_score") * 1_000_000), True), ("media", F.shiftright("media_id", 16), False)]
+    return intervals.ranked(q, coarse, [F.desc("quality_score"), "media_id"])
 
 
 @query(f"with {FLAGS}, {LOOPS} select media_id, width, o as \"offset\" from loops")
@@ -175,14 +161,14 @@ def survey_importance(spark, sf):
     return _candidates(spark, sf).select("event_id", "reason", F.round("importance", 6).alias("importance"), C.tier(F.col("importance")).alias("tier"), "protected")
 
 
-@query(f"""with {SIG}, i as (select *, {REASON} as reason, least(1.0, value / 1000) as score from signals), j as (select *, greatest({WEIGHT}::double, score) as importance, reason in ('motion_change', 'perceptual_change', 'adaptive_frame_difference') as ad from i),
+@query(f"""with {SIG}, i as (select *, {REASON} as reason, least(1.0, value / 1000) as score from signals), j as (select *, greatest({WEIGHT}::double, score) as importance, reason in ('motion_change', 'adaptive_frame_difference') as ad from i),
 f as (select *, case when actual_ms - lag(actual_ms) over w <= 250 or (actual_ms - lag(actual_ms) over w <= 1000 and ad and lag(ad) over w) then 0 else 1 end as n from j window w as (partition by media_id order by actual_ms, score desc, reason, event_id)),
 g as (select *, sum(n) over (partition by media_id order by actual_ms, score desc, reason, event_id) as k, row_number() over (partition by media_id order by actual_ms, score desc, reason, event_id) as rn from f),
 r as (select *, row_number() over (partition by media_id, k order by (importance >= 0.75 or reason = 'scene_cut') desc, importance desc, score desc, rn) as pick from g)
 select media_id, k::bigint as cluster, max(case when pick = 1 then event_id end) as event_id, count(*) as members, string_agg(distinct reason, ',' order by reason) as reasons, round(max(score), 6) as score from r group by media_id, k""")
 def survey_clusters(spark, sf):
     w = Window.partitionBy("media_id").orderBy("actual_ms", F.desc("score"), "reason", "event_id")
-    rows = _candidates(spark, sf).withColumn("adaptive", F.col("reason").isin("motion_change", "perceptual_change", "adaptive_frame_difference"))
+    rows = _candidates(spark, sf).withColumn("adaptive", F.col("reason").isin("motion_change", "adaptive_frame_difference"))
     gap = F.col("actual_ms") - F.lag("actual_ms").over(w)
     rows = rows.withColumns({"new": ~F.coalesce((gap <= 250) | ((gap <= 1000) & F.col("adaptive") & F.lag("adaptive").over(w)), F.lit(False)), "rn": F.row_number().over(w)})
     rows = intervals.islands(rows, ["media_id"], ["actual_ms", F.desc("score"), "reason", "event_id"], F.col("new"), "cluster")
@@ -412,3 +398,6 @@ def ordered_coverage(spark, sf):
 select media_id, t as actual_ms from r union select media_id, max(t) from p group by 1""")
 def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
+
+
+from lumenspool.plans import caption_queries, source_queries, text_queries  # noqa: E402, F401

@@ -28,7 +28,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments with planted faults: fast cues, long gaps, placeholders, repeats, backward cues."""
+    """The segments with planted faults: fast cues, long gaps, placeholders, repeats, loops, backward cues."""
     c = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") + F.col("turn")
     every = lambda n: F.pmod(k, F.lit(n)) == 0
@@ -38,7 +38,7 @@ def issue_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.pmod(F.col("conv_id") * 7919 + F.col("turn") * 104729, F.lit(2600)) - 300
     gap = F.when(every(7), gap * 10).otherwise(gap)
     start = F.greatest(F.lit(0).cast("long"), F.coalesce(F.sum(duration + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    text = F.when(every(11), "...").when(every(13), F.coalesce(F.lag("text").over(w), F.col("text"))).otherwise(F.col("text"))
+    text = F.when(F.pmod("conv_id", F.lit(7)) == 0, F.concat(F.lit("loop line "), F.pmod("turn", F.lit(2)))).when(every(11), "...").when(every(13), F.coalesce(F.lag("text").over(w), F.col("text"))).otherwise(F.col("text"))
     rows = c.select("conv_id", "turn", text.alias("raw_text"), start.alias("s"), duration.alias("duration"), every(9).alias("back"))
     moved = F.when(F.col("back"), F.greatest(F.lit(0).cast("long"), F.col("s") - 40_000)).otherwise(F.col("s"))
     return rows.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("source_order"), "raw_text", moved.alias("start_ms"), (moved + F.col("duration")).alias("end_ms"))

@@ -1,5 +1,6 @@
 """Small fixtures for semantics that the tables do not reach."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenspool.functions import columns as C
@@ -51,15 +52,50 @@ def test_untimed_and_broken_cues(spark):
     assert not rows[0].overlap and not rows[1].invalid_range
 
 
-def test_read_cues(spark):
-    from lumenspool.sources.captions import infer_format, read_cues
+def test_cue_files(spark):
+    from lumenspool.sources import transcripts as T
 
     srt = "1\r\n00:00:00,000 --> 00:00:01,500\r\nHello\r\nthere\r\n\r\n00:00:02,000 --> 00:00:03,000\r\nSecond"
     vtt = "WEBVTT\n\nNOTE skip\n\nid\n00:01.000 --> 00:02.000 align:start\n<v Ann>Hi &amp; bye</v>\n"
-    files = spark.createDataFrame([("a.srt", srt), ("b", vtt), ("c.srt", None)], "path string, content string")
-    assert [tuple(r) for r in read_cues(files).orderBy("path", "source_order").collect()] == [
-        ("a.srt", 0, 0, 1500, None, "Hello\nthere"), ("a.srt", 1, 2000, 3000, None, "Second"), ("b", 0, 1000, 2000, "Ann", "Hi & bye")]
-    assert [r.x for r in files.where("content is not null").select(infer_format(F.col("path"), F.col("content")).alias("x")).collect()] == ["srt", "vtt"]
+    files = spark.createDataFrame([("a.srt", srt), ("b", vtt), ("c.srt", None), ("d.txt", "")], "path string, content string")
+    got = [(r.path, r.source_order, r.start_ms, r.end_ms, r.speaker_label, r.normalized_text) for r in T.read_transcripts(files).orderBy("path", "source_order").collect()]
+    assert got == [("a.srt", 0, 0, 1500, None, "Hello\nthere"), ("a.srt", 1, 2000, 3000, None, "Second"), ("b", 0, 1000, 2000, "Ann", "Hi & bye")]
+    bad = spark.createDataFrame([("a.srt", "1\nno times\n")], "path string, content string")
+    assert T.parse_srt(bad, lenient=True).count() == 0
+    with pytest.raises(Exception, match="without times"):
+        T.parse_srt(bad).collect()
+
+
+def test_json_shapes(spark):
+    from lumenspool.sources import transcripts as T
+
+    contents = ['[{"text": "a", "start": 1.0005, "end": "0:02"}]', '{"text": ["b", "c"], "start_ms": 5}', '{"segments": [], "transcript": "d"}', '{"results": [{"transcript": "e", "duration": 2, "start": 1}]}']
+    files = spark.createDataFrame([(str(i), c) for i, c in enumerate(contents)], "path string, content string")
+    assert [(r.path, r.start_ms, r.end_ms, r.raw_text, r.timing_provenance) for r in T.parse_json_transcript(files).orderBy("path").collect()] == [
+        ("0", 1000, 2000, "a", "source_json"), ("1", 5, None, "b c", "source_json"), ("2", None, None, "d", "untimed_source"), ("3", 1000, 3000, "e", "source_json")]
+
+
+def test_decode_is_without_loss(spark):
+    from lumenspool.sources import transcripts as T
+
+    rows = [(0, b"caf\xc3\xa9"), (1, b"\xef\xbb\xbfx"), (2, "ab".encode("utf-16")), (3, "ab".encode("utf-16-be")), (4, b"caf\xe9 \x80"), (5, b"a\x00" + b"b" * 20), (6, b"\x81"), (7, b"")]
+    got = {r.i: (r.d.text, r.d.encoding) if r.d else None for r in spark.createDataFrame(rows, "i int, content binary").select("i", T.decode(F.col("content")).alias("d")).collect()}
+    assert got == {0: ("café", "utf-8-sig"), 1: ("x", "utf-8-sig"), 2: ("ab", "utf-16"), 3: ("愀戀", "utf-16-le"), 4: ("café €", "cp1252"), 5: None, 6: None, 7: ("", "utf-8-sig")}
+
+
+def test_semi_and_anti_joins_keep_repeats_and_nulls(spark):
+    left = spark.createDataFrame([("m", 0, 5, None), ("m", 0, 5, None), ("m", 50, 60, "x"), ("m", None, None, "y"), ("m", 0, 90_000_000, "long")], "k string, start_ms long, end_ms long, note string")
+    right = spark.createDataFrame([("m", 1, 2), ("m", 80_000_000, 80_000_001)], "k string, r_start long, r_end long")
+    semi, anti = (sorted(str(r.note) for r in intervals.range_join(left, right, "k", kind=kind).collect()) for kind in ("left_semi", "left_anti"))
+    assert semi == ["None", "None", "long"] and anti == ["x", "y"]
+    assert intervals.range_join(left, right, "k").count() == 4
+
+
+def test_rank_without_a_global_sort(spark):
+    rows = [(i, (i * 37 % 11) / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, score double")
+    got = {r.i: r["rank"] for r in intervals.ranked(df, [("s", F.floor(F.col("score") * 10), True), ("b", F.shiftright("i", 4), False)], ["i"]).collect()}
+    assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda x: (-int(x[1] * 10), x[0])))}
 
 
 def test_greedy_selection(spark):
