@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 #: Blocks of an old shard, sub-blocks of a block and of a large group's own block: they bound what the driver sees.
 BLOCKS, SUBS, OWN_SUBS = 1024, 4, 256
 #: Rows of a file that ``rewrite`` writes, about.
-FILE_ROWS = 200_000
+FILE_ROWS = 100_000
 #: Parts of a shard: a larger group of equal texts has a block of its own.
 SHARE = 64
 ADDED = ("size", "text_crc32", "law", "old_shard", "shard", "slot", "grown_shard")
@@ -156,11 +156,13 @@ def assign(docs: DataFrame, n_shards: int = 8, old_shard: Column | None = None,
         taken[j] += u.n
     schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("old_shard", "_s_block", "_s_sub", "shard")] + [T.StructField("_s_base", T.LongType())])
     places = docs.sparkSession.createDataFrame(table, schema)
-    unit = Window.partitionBy("old_shard", "_s_block", "_s_sub").orderBy("doc_id", "text_crc32")
-    return (rows.withColumn("_s_row", F.row_number().over(unit))
-            .join(F.broadcast(places), ["old_shard", "_s_block", "_s_sub"])
+    # Units are dealt over about as many tasks as a shard has files, shard by shard, so that a task writes few files and rows move once.
+    files = max(8, sum(taken) // n_shards // FILE_ROWS)
+    rows = rows.join(F.broadcast(places), ["old_shard", "_s_block", "_s_sub"]).withColumn("_s_file", F.pmod(F.xxhash64("old_shard", "_s_block", "_s_sub"), F.lit(files)))
+    unit = Window.partitionBy("shard", "_s_file", "old_shard", "_s_block", "_s_sub").orderBy("doc_id", "text_crc32")
+    return (rows.repartition("shard", "_s_file").withColumn("_s_row", F.row_number().over(unit))
             .withColumns({"law": F.lit("bytes"), "slot": F.col("_s_base") + F.col("_s_row") - 1, "grown_shard": F.lit(None).cast("int")})
-            .drop("_s_text", "_s_own", "_s_block", "_s_sub", "_s_base", "_s_row"))
+            .drop("_s_text", "_s_own", "_s_block", "_s_sub", "_s_base", "_s_row", "_s_file"))
 
 
 def rewrite(docs: DataFrame, path: str, n_shards: int = 8, old_shard: Column | None = None, n_old: int = 6) -> DataFrame:
@@ -175,6 +177,5 @@ def rewrite(docs: DataFrame, path: str, n_shards: int = 8, old_shard: Column | N
     moves = out.where("old_shard <> shard").groupBy("old_shard", "shard").agg(F.sum("size").alias("moved_bytes"), F.count(F.lit(1)).alias("moved_rows"))
     moved = moves.collect()  # at most n_old x n_shards rows
     touched = sorted({k for m in moved for k in (m.old_shard, m.shard)})
-    changed = out.where(F.col("shard").isin(touched)).repartition("shard", F.floor(F.col("slot") / FILE_ROWS))
-    changed.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    out.where(F.col("shard").isin(touched)).write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return docs.sparkSession.createDataFrame(moved, "old_shard int, shard int, moved_bytes long, moved_rows long")
