@@ -91,10 +91,10 @@ def parse_plain_timed(spark, sf):
     return T.parse_plain_text(cue_files(spark, sf, ".txt", "", cue)).select("path", "source_order", "start_ms", "end_ms", "timing_provenance", "normalized_text")
 
 
-@query("""with p as (select doc_id, list_filter(string_split_regex(regexp_replace(substr(text, 1, 4000), '\\d', 'n', 'g'), '\\n\\s*\\n'), lambda x: not regexp_matches(x, '^\\s*$')) as parts from documents), u as (select doc_id, unnest(parts) as x, generate_subscripts(parts, 1) as i from p)
+@query("""with p as (select doc_id, list_filter(string_split_regex(regexp_replace(text, '\\d', 'n', 'g'), '\\n\\s*\\n'), lambda x: not regexp_matches(x, '^\\s*$')) as parts from documents), u as (select doc_id, unnest(parts) as x, generate_subscripts(parts, 1) as i from p)
 select doc_id || '.md' as path, (i - 1)::bigint as source_order, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\\n+|\\n+$', '', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g')) as text_md5 from u""")
 def parse_plain_paragraphs(spark, sf):
-    files = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".md")).alias("path"), F.regexp_replace(F.substring("text", 1, 4000), r"\d", "n").alias("content"))
+    files = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".md")).alias("path"), F.regexp_replace("text", r"\d", "n").alias("content"))
     return T.parse_plain_text(files).select("path", "source_order", F.md5("normalized_text").alias("text_md5"))
 
 

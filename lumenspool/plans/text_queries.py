@@ -83,11 +83,11 @@ def track_labels(spark, sf):
     return p.select("p_partkey", said["source_type"].alias("source_type"), said["authorship"].alias("authorship"), X.track_label(F.col("title")).alias("label"), X.normalized_token(F.col("p_brand")).alias("token"))
 
 
-@query("""with t as (select doc_id, case when doc_id % 3 = 0 then '<v.loud Ann Lee>' when doc_id % 3 = 1 then ' <v  Bo >' else '' end || '<b>' || substr(text, 1, 200) || '</b> <c.red>a &lt; b &amp;amp; c</c>' as x from documents)
+@query("""with t as (select doc_id, case when doc_id % 3 = 0 then '<v.loud Ann Lee>' when doc_id % 3 = 1 then ' <v  Bo >' else '' end || '<b>' || text || '</b> <c.red>a &lt; b &amp;amp; c</c>' as x from documents)
 select doc_id, nullif(trim(regexp_extract(x, '(?i)^\\s*<v\\s+([^>]+)>', 1)), '') as voice, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?i)</?(?:c(?:\\.[^ >]+)?|v(?:\\s+[^>]*)?|lang(?:\\s+[^>]*)?|ruby|rt|b|i|u)>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')) as plain_md5 from t""")
 def cue_tags(spark, sf):
     """_clean_vtt_text: voice and plain text."""
-    x = F.expr("case when doc_id % 3 = 0 then '<v.loud Ann Lee>' when doc_id % 3 = 1 then ' <v  Bo >' else '' end || '<b>' || substr(text, 1, 200) || '</b> <c.red>a &lt; b &amp;amp; c</c>'")
+    x = F.expr("case when doc_id % 3 = 0 then '<v.loud Ann Lee>' when doc_id % 3 = 1 then ' <v  Bo >' else '' end || '<b>' || text || '</b> <c.red>a &lt; b &amp;amp; c</c>'")
     return table(spark, sf, "documents").select("doc_id", X.voice(x).alias("voice"), F.md5(X.without_cue_tags(x)).alias("plain_md5"))
 
 
