@@ -6,15 +6,18 @@ unset in local mode (tests) a temporary folder of the single machine is used and
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +128,65 @@ def by_text(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = S
             offsets, _ = utf8_parts(batch.column(batch.schema.get_field_index(name)))
             for i, j in slices(offsets, most):
                 yield batch.slice(i, j - i)
+
+
+# Array files: what tasks build for other tasks to map into memory
+
+
+def _local(uri: str) -> str | None:
+    parts = urlsplit(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def _system(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def publish(uri: str, **arrays: np.ndarray) -> None:
+    """Writes one-dimensional arrays as one file, at once: a retried task replaces the file by an equal one."""
+    head, at = {}, 0
+    for name, x in arrays.items():
+        head[name] = [x.dtype.str, at, len(x)]
+        at += -(-x.nbytes // 8) * 8
+    top = json.dumps(head).encode()
+    top += b" " * (-len(top) % 8)
+    own = f"{uri}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
+
+    def fill(f) -> None:
+        f.write(len(top).to_bytes(8, "little") + top)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).data)
+            f.write(b"\0" * (-x.nbytes % 8))
+
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(_local(own), "wb") as f:
+            fill(f)
+        os.replace(_local(own), path)
+    else:
+        system, path = _system(uri)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(_system(own)[1]) as f:
+            fill(f)
+        system.move(_system(own)[1], path)
+
+
+_files: dict[str, dict[str, np.ndarray]] = {}
+
+
+def arrays(uri: str) -> dict[str, np.ndarray]:
+    """A published file's arrays, memory-mapped where the shared folder is a file system, so that workers of a machine share them."""
+    if uri not in _files:
+        if len(_files) > 4096:
+            _files.clear()
+        if path := _local(uri):
+            raw = np.memmap(path, np.uint8, "r")
+        else:
+            system, path = _system(uri)
+            raw = np.frombuffer(system.open_input_file(path).read(), np.uint8)
+        size = int(raw[:8].view(np.uint64)[0])
+        body = raw[8 + size :]
+        _files[uri] = {k: body[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, at, n) in json.loads(raw[8 : 8 + size].tobytes()).items()}
+    return _files[uri]

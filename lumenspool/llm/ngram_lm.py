@@ -22,10 +22,7 @@ read. Texts are read whole.
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -111,27 +108,27 @@ class EliasFano:
         return out
 
 
-def relative(ordinal: np.ndarray, successor: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Monotone values of successors sorted by context: each context's ids behind the last value of the context before."""
+def relative(ordinal: np.ndarray, successor: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bases): successors sorted by context, each context's ids behind the last value of the context before; where each begins, and the end."""
     last = np.append(start[1:], len(successor)) - 1
-    width = successor[last] + np.uint64(1)
-    return (np.cumsum(width) - width)[ordinal] + successor
+    bases = np.concatenate([np.zeros(1, np.uint64), np.cumsum(successor[last] + np.uint64(1))])
+    return bases[:-1][ordinal] + successor, bases
 
 
-def find_successors(pointer: EliasFano, values: EliasFano, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+def find_successors(pointer: EliasFano, bases: EliasFano, values: EliasFano, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
     """Places of (ordinal of context, successor) pairs, sorted, in the level; -1 where absent.
 
-    Each is searched in the range between its context's pointer and the next, relative to the value before the range.
+    Each is searched relative to its context's base, below the next context's; a place found lies between the context's
+    pointer and the next.
     """
-    own, at = np.unique(context, return_inverse=True)
-    low, high = pointer.get(own).astype(np.int64), pointer.get(own + 1).astype(np.int64)
-    base = np.zeros(len(own), np.uint64)
-    behind = low > 0
-    base[behind] = values.get(low[behind] - 1) + np.uint64(1)
-    width = values.get(high - 1) + np.uint64(1) - base
+    new = np.flatnonzero(np.diff(context, prepend=-1))
+    own, many = context[new], np.diff(np.append(new, len(context)))
+    base, end = bases.get(own), bases.get(own + 1)
+    low, high = (np.repeat(pointer.get(x).astype(np.int64), many) for x in (own, own + 1))
     out = np.full(len(context), -1, np.int64)
-    inside = np.flatnonzero(successor < width[at])
-    out[inside] = values.find(base[at[inside]] + successor[inside])
+    inside = np.flatnonzero(successor < np.repeat(end - base, many))
+    at = values.find(np.repeat(base, many)[inside] + successor[inside])
+    out[inside] = np.where((at >= low[inside]) & (at < high[inside]), at, -1)
     return out
 
 
@@ -146,65 +143,6 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), sums / np.maximum(1, np.bincount(code, minlength=LEVELS))
 
 
-# Level files
-
-
-def _system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _local(uri: str) -> str | None:
-    parts = urlsplit(uri)
-    return unquote(parts.path) if parts.scheme in ("", "file") else None
-
-
-def publish(uri: str, **arrays: np.ndarray) -> None:
-    """Writes arrays as one file, at once: a retried task replaces the file by an equal one."""
-    head, body, at = {}, [], 0
-    for name, x in arrays.items():
-        raw = np.ascontiguousarray(x).tobytes()
-        head[name] = [x.dtype.str, at, len(x)]
-        raw += b"\0" * (-len(raw) % 8)
-        body.append(raw)
-        at += len(raw)
-    top = json.dumps(head).encode()
-    top += b" " * (-len(top) % 8)
-    raw = len(top).to_bytes(8, "little") + top + b"".join(body)
-    own = f"{uri}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    if path := _local(uri):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(_local(own), "wb") as f:
-            f.write(raw)
-        os.replace(_local(own), path)
-    else:
-        system, path = _system(uri)
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(_system(own)[1]) as f:
-            f.write(raw)
-        system.move(_system(own)[1], path)
-
-
-_files: dict[str, dict[str, np.ndarray]] = {}
-
-
-def level_file(uri: str) -> dict[str, np.ndarray]:
-    """A file's arrays, memory-mapped where the shared folder is a file system."""
-    if uri not in _files:
-        if len(_files) > 4096:
-            _files.clear()
-        if path := _local(uri):
-            raw = np.memmap(path, np.uint8, "r")
-        else:
-            system, path = _system(uri)
-            raw = np.frombuffer(system.open_input_file(path).read(), np.uint8)
-        size = int(raw[:8].view(np.uint64)[0])
-        body = raw[8 + size :]
-        _files[uri] = {k: body[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, at, n) in json.loads(raw[8 : 8 + size].tobytes()).items()}
-    return _files[uri]
-
-
 def _sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
     return EliasFano(*(arrays[f"{name}_{k}"] for k in ("first", "start", "data", "n")))
 
@@ -237,7 +175,7 @@ class Model:
         return self.tokens / (4 * self.shards)
 
     def file(self, level: int, shard: int) -> dict[str, np.ndarray]:
-        return level_file(f"{self.root}/level{level}-{shard:05d}.ef")
+        return common.arrays(f"{self.root}/level{level}-{shard:05d}.ef")
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, -1 if unknown; training counts) of sorted distinct hashes."""
@@ -278,7 +216,7 @@ class Model:
             own, at = own[at >= 0], at[at >= 0]
             if len(own):
                 back[own] = np.exp(arrays["back_book"][arrays["back"][at]])
-                place = find_successors(_sequence(arrays, "pointer"), _sequence(arrays, "successor"), at, successor[own].astype(np.uint64))
+                place = find_successors(_sequence(arrays, "pointer"), _sequence(arrays, "base"), _sequence(arrays, "successor"), at, successor[own].astype(np.uint64))
                 hit = place >= 0
                 p[own[hit]] = np.exp(arrays["p_book"][arrays["p"][place[hit]]])
         if self.hot:
@@ -294,8 +232,7 @@ class Model:
             at = int(_sequence(arrays, "context").find(np.array([context], np.uint64))[0])
             if at >= 0:
                 a, b = (int(x) for x in _sequence(arrays, "pointer").get(np.array([at, at + 1])))
-                values = _sequence(arrays, "successor")
-                found.append(values.get(np.arange(a, b)) - (values.get(np.array([a - 1])) + np.uint64(1) if a else np.uint64(0)))
+                found.append(_sequence(arrays, "successor").get(np.arange(a, b)) - _sequence(arrays, "base").get(np.array([at])))
         return np.sort(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -387,7 +324,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
         book, code = np.unique(n, return_inverse=True)
         code = code.astype(np.uint8 if len(book) <= 256 else np.uint16 if len(book) <= 65536 else np.uint32)
         shard = TaskContext.get().partitionId()
-        publish(f"{model.root}/level1-{shard:05d}.ef", **_packed("word", keys), count=code, count_book=book)
+        common.publish(f"{model.root}/level1-{shard:05d}.ef", **_packed("word", keys), count=code, count_book=book)
         yield pa.record_batch([pa.array([shard]), pa.array([len(keys)]), pa.array([int(n.sum())])], ["shard", "types", "tokens"])
 
     dealt = rows.mapInArrow(count_words, "shard int, key long, n long").repartitionById(shards, "shard")
@@ -424,8 +361,9 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
         codes, book = quantise(np.log(p))
         backs, back_book = quantise(np.log(np.maximum(1 - mass, 1e-12)))
         shard = TaskContext.get().partitionId()
-        publish(f"{model.root}/level2-{shard:05d}.ef", **_packed("context", own), **_packed("pointer", np.append(start, len(code)).astype(np.uint64)),
-                **_packed("successor", relative(ordinal, successor, start)), p=codes, p_book=book, back=backs, back_book=back_book)
+        values, bases = relative(ordinal, successor, start)
+        common.publish(f"{model.root}/level2-{shard:05d}.ef", **_packed("context", own), **_packed("pointer", np.append(start, len(code)).astype(np.uint64)),
+                **_packed("successor", values), **_packed("base", bases), p=codes, p_book=book, back=backs, back_book=back_book)
         hot = total > model.hot_count
         yield pa.record_batch([pa.array(own[hot].astype(np.int64)), pa.array(mass[hot])], ["context", "mass"])
 

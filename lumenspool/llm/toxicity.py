@@ -2,14 +2,16 @@
 
 Features are lower-cased letter runs and their first 4, 5 and 6 bytes (so that unseen inflections of
 a known stem still count). The labelled examples are at most ``EXAMPLES`` of either label, those of
-least hash, so the index is bounded whatever the tables' size. All their features, of both labels, form
+least hash, so the index is bounded whatever the tables' size. One task builds it, workers map it from the
+shared folder. All their features, of both labels, form
 the vocabulary; document frequencies are counted over all documents. A vector is the unit-length
 TF-IDF over the vocabulary, each feature weighed by its association with the label (log-likelihood
 ratio). Cosines depend on ratios of weights only, so no feature is cut and no number of labels is a bound.
 
 Search is exact: features that ``DENSE`` of the examples have are rows of a matrix, multiplied for
-``ROWS`` documents at once, in single precision; the others' lists are summed. What may be among the
-nearest within the rounding is scored again in double precision. Votes weigh by squared
+``ROWS`` documents at once, in single precision; the others' lists are summed. Lists whose maxima together
+bound what they can add by ``SLACK`` are left out; what may be among the nearest within that bound and the
+rounding is scored again over all features, in double precision. Votes weigh by squared
 cosine, those of a label by how rarely its examples were drawn; a prior of ``PRIOR_WEIGHT`` votes at
 the labels' base rate, half the threshold at most, makes documents without evidence score that rate, so
 that they are clean whatever the share of toxic labels.
@@ -38,7 +40,9 @@ from lumenspool.llm import words as W
 
 EXAMPLES, NEIGHBOURS = 3000, 12
 #: Share of examples from which on a feature's list is a matrix row; documents searched at once. Both bound cost only.
-DENSE, ROWS = 0.04, 64
+DENSE, ROWS = 0.04, 128
+#: Most that the lists left out of a first search may add to a cosine; bounds cost only.
+SLACK = 0.002
 #: More than the relative rounding of a cosine, a sum of positive terms, in single precision.
 ROUNDING = 1e-4
 PRIOR_WEIGHT, THRESHOLD = 0.5, 0.3
@@ -53,10 +57,11 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     low = W.LOWER[data]
     starts, ends, first = W.words(offsets, low, _NOT_LETTER)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    found, rows = [W.span_hashes(low, starts, ends)], [row]
+    hashes = W.SpanHasher(low)
+    found, rows = [hashes(starts, ends)], [row]
     for n in PREFIXES:
         long = np.flatnonzero(ends - starts > n)
-        found.append(W.span_hashes(low, starts[long], starts[long] + n) ^ np.uint64(n))
+        found.append(hashes(starts[long], starts[long] + n) ^ np.uint64(n))
         rows.append(row[long])
     row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
@@ -103,109 +108,132 @@ def is_held_out(col: str = "doc_id") -> Column:
 
 @dataclass
 class Index:
-    """The bounded example index: vocabulary (sorted hashes), weights, and per feature its postings (examples, values)."""
-
-    vocabulary: np.ndarray
-    weight: np.ndarray
-    ids: list
-    labels: np.ndarray
-    begin: np.ndarray
-    examples: np.ndarray
-    values: np.ndarray
+    """The bounded example index: vocabulary (sorted hashes), weights, features and counts by example, and by feature a matrix row or a list."""
+
+    made: dict[str, np.ndarray]
     base_rate: float
     vote: tuple[float, float]
-    texts: np.ndarray
 
     @staticmethod
-    def build(vocabulary, weight, examples, base_rate, vote) -> Index:
-        """examples: (id, label, feature numbers, counts, hash of the text)."""
-        values = []
-        for _, _, at, tf, _ in examples:
-            v = (1 + np.log(tf)) * weight[at]
-            norm = float(np.sqrt((v * v).sum()))
-            values.append(v / norm if norm else v)
-        at = np.concatenate([x[2] for x in examples]) if examples else np.zeros(0, np.int64)
-        order = np.argsort(at, kind="stable")
-        begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(at, minlength=len(vocabulary)))])
-        of = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])
-        return Index(vocabulary, weight, [x[0] for x in examples], np.array([x[1] for x in examples], np.int64), begin, of[order],
-                     np.concatenate(values)[order] if examples else np.zeros(0), base_rate, vote, np.array([x[4] for x in examples], np.uint64))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
-    def _tables(self) -> tuple[Lookup, np.ndarray, np.ndarray, dict, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(lookup, matrix row of each feature or -1, matrix, places of each text, (begin, features, values) of the examples), made once a process."""
-        if not hasattr(self, "_made"):
-            n = len(self.ids)
-            head = np.flatnonzero(np.diff(self.begin) >= max(1, DENSE * n))
-            row = np.full(len(self.vocabulary), -1)
-            row[head] = np.arange(len(head))
-            matrix = np.zeros((len(head), n), np.float32)
-            for r, f in enumerate(head.tolist()):
-                part = slice(self.begin[f], self.begin[f + 1])
-                matrix[r, self.examples[part]] = self.values[part]
-            order = np.argsort(self.examples, kind="stable")
-            begin = np.searchsorted(self.examples[order], np.arange(n + 1))
-            of = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.begin))[order]
-            places: dict[int, list[int]] = {}
-            for e, x in enumerate(self.texts.tolist()):
-                places.setdefault(x, []).append(e)
-            self._made = Lookup(self.vocabulary), row, matrix, places, (begin, of, self.values[order])
-        return self._made
+    def arrays(vocabulary: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, first: np.ndarray, of: np.ndarray, tf: np.ndarray, texts: np.ndarray) -> dict[str, np.ndarray]:
+        """What the search needs. Example e has features of[first[e] : first[e + 1]] with counts tf and the text hash texts[e]."""
+        n = len(ids)
+        who = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+        values = (1 + np.log(tf)) * weight[of]
+        norm = np.sqrt(np.bincount(who, weights=values * values, minlength=n))
+        norm = np.where(norm > 0, norm, 1.0)
+        exact = values / norm[who]
+        values = exact.astype(np.float32)
+        many = np.bincount(of, minlength=len(vocabulary))
+        most = np.zeros(len(vocabulary), np.float32)
+        np.maximum.at(most, of, values)
+        often = np.flatnonzero(many >= max(1, DENSE * n))
+        head = np.full(len(vocabulary), -1, np.int32)
+        head[often] = np.arange(len(often))
+        matrix = np.zeros((len(often), n), np.float32)
+        dense = head[of] >= 0
+        matrix[head[of[dense]], who[dense]] = values[dense]
+        listed = np.flatnonzero(~dense)
+        listed = listed[np.argsort(of[listed], kind="stable")]
+        begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(head < 0, many, 0))]).astype(np.int32)
+        return {"vocabulary": vocabulary, "weight": weight, "ids": ids, "labels": labels.astype(np.int64), "first": first, "of": of.astype(np.int32), "exact": exact, "texts": texts,
+                "most": most, "head": head, "matrix": matrix.ravel(), "begin": begin, "examples": who[listed], "listed": values[listed]}
+
+    def __post_init__(self):
+        m = self.made
+        self.ids, self.labels, self.n = m["ids"], m["labels"], len(m["ids"])
+        self.lookup = Lookup(m["vocabulary"])
+        self.matrix = m["matrix"].reshape(-1, max(1, self.n))
+        self.places: dict[int, list[int]] = {}
+        for e, x in enumerate(m["texts"].tolist()):
+            self.places.setdefault(x, []).append(e)
 
     def counted(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(feature numbers, counts) of each row's hashes in the vocabulary."""
-        hit, at = self._tables()[0].find(hashes)
+        hit, at = self.lookup.find(hashes)
         cut = np.searchsorted(hit, first)
         return [np.unique(at[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> Iterator[list[tuple[float, object, int]]]:
         """(cosine, id, label) of the nearest examples of each row, nearest first; exact. own: hashes of the rows' texts."""
-        n = len(self.ids)
-        _, head, matrix, place, (begin, of, values) = self._tables()
-        full = np.zeros(len(self.vocabulary))
         for i in range(0, len(rows), ROWS):
-            part = rows[i : i + ROWS]
-            at = np.concatenate([x for x, _ in part])
-            who = np.repeat(np.arange(len(part)), [len(x) for x, _ in part])
-            q = (1 + np.log(np.concatenate([c for _, c in part]))) * self.weight[at] if len(at) else np.zeros(0)
-            norm = np.sqrt(np.bincount(who, weights=q * q, minlength=len(part)))
-            q = q / np.where(norm > 0, norm, 1)[who]
-            dense = head[at] >= 0
-            left = np.zeros((len(part), len(matrix)), np.float32)
-            left[who[dense], head[at[dense]]] = q[dense]
-            score = left @ matrix
-            rare, x = at[~dense], q[~dense]
-            cut = np.searchsorted(who[~dense], np.arange(len(part) + 1))
-            for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                many = self.begin[rare[a:b] + 1] - self.begin[rare[a:b]]
-                where = np.repeat(self.begin[rare[a:b]] - np.cumsum(many) + many, many)
-                where += np.arange(len(where))
-                score[r] += np.bincount(self.examples[where], weights=np.repeat(x[a:b], many) * self.values[where], minlength=n)
-            for r, text in enumerate(own[i : i + ROWS]):
-                if text in place:
-                    score[r, place[text]] = 0
-            least = np.partition(score, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] if n > NEIGHBOURS else np.zeros(len(part))
-            cut = np.searchsorted(who, np.arange(len(part) + 1))
-            for r in range(len(part)):
-                near = np.flatnonzero((score[r] >= least[r] * (1 - ROUNDING)) & (score[r] > 0))
-                mine = at[cut[r] : cut[r + 1]]
-                full[mine] = q[cut[r] : cut[r + 1]]
-                many = begin[near + 1] - begin[near]
-                ends = np.cumsum(many)
-                where = np.repeat(begin[near] - ends + many, many) + np.arange(int(many.sum()))
-                sums = np.bincount(np.repeat(np.arange(len(near)), many), weights=full[of[where]] * values[where], minlength=len(near))
-                full[mine] = 0
-                best = [(c, self.ids[e], int(self.labels[e])) for c, e in zip(sums.tolist(), near.tolist(), strict=True) if c > 0]
-                yield sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS]
-
-    def found(self, hashes: np.ndarray, first: np.ndarray, own: list[int]) -> Iterator[list[tuple[float, object, int]]]:
-        """The nearest examples of each row of features."""
-        return self.nearest(self.counted(hashes, first), own) if self.ids else iter([[]] * len(own))
+            part, texts = rows[i : i + ROWS], own[i : i + ROWS]
+            found = self._nearest(part, texts, SLACK)
+            again = [r for r, x in enumerate(found) if x is None]
+            if again:  # too near to 0 for lists to be left out
+                for r, x in zip(again, self._nearest([part[r] for r in again], [texts[r] for r in again], 0.0), strict=True):
+                    found[r] = x
+            yield from found
+
+    def _nearest(self, rows: list[tuple[np.ndarray, np.ndarray]], own: list[int], slack: float) -> list:
+        """The nearest of each row; None where leaving out lists could hide one without any other feature in common."""
+        m, n = self.made, self.n
+        head, begin, weight, first = m["head"], m["begin"], m["weight"], m["first"]
+        full = np.zeros(len(weight))
+        at = np.concatenate([x for x, _ in rows])
+        who = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+        q = (1 + np.log(np.concatenate([c for _, c in rows]))) * weight[at] if len(at) else np.zeros(0)
+        norm = np.sqrt(np.bincount(who, weights=q * q, minlength=len(rows)))
+        q = q / np.where(norm > 0, norm, 1)[who]
+        # Least bounds first, row by row: their sums say which lists can be left out.
+        starts = np.searchsorted(who, np.arange(len(rows) + 1))
+        bound = q * m["most"][at]
+        order = np.lexsort((bound, who))
+        sums = np.cumsum(bound[order])
+        sums -= np.concatenate([np.zeros(1), sums])[starts[:-1]][who]
+        out = sums <= slack
+        left_out = np.zeros(len(rows))
+        np.maximum.at(left_out, who[out], sums[out])
+        live = np.ones(len(at), bool)
+        live[order[out]] = False
+        dense, listed = live & (head[at] >= 0), live & (head[at] < 0)
+        left = np.zeros((len(rows), len(self.matrix)), np.float32)
+        left[who[dense], head[at[dense]]] = q[dense]
+        score = left @ self.matrix
+        rare, x = at[listed], q[listed].astype(np.float32)
+        cut = np.searchsorted(who[listed], np.arange(len(rows) + 1))
+        for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            many = begin[rare[a:b] + 1] - begin[rare[a:b]]
+            where = np.repeat(begin[rare[a:b]] - np.cumsum(many, dtype=np.int32) + many, many)
+            where += np.arange(len(where), dtype=np.int32)
+            score[r] += np.bincount(m["examples"][where], weights=np.repeat(x[a:b], many) * m["listed"][where], minlength=n)
+        for r, text in enumerate(own):
+            if text in self.places:
+                score[r, self.places[text]] = -1
+        least = np.partition(score, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS] if n > NEIGHBOURS else np.zeros(len(rows))
+        cut, found = starts, []
+        for r in range(len(rows)):
+            low = least[r] * (1 - ROUNDING) - left_out[r] * (1 + ROUNDING)
+            if left_out[r] > 0 and low <= 0:
+                found.append(None)
+                continue
+            near = np.flatnonzero((score[r] >= low) & (score[r] > 0))
+            mine = at[cut[r] : cut[r + 1]]
+            full[mine] = q[cut[r] : cut[r + 1]]
+            many = first[near + 1] - first[near]
+            where = np.repeat(first[near] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            sums = np.bincount(np.repeat(np.arange(len(near)), many), weights=full[m["of"][where]] * m["exact"][where], minlength=len(near))
+            full[mine] = 0
+            best = [(c, i, y) for c, i, y in zip(sums.tolist(), self.ids[near].tolist(), self.labels[near].tolist(), strict=True) if c > 0]
+            found.append(sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:NEIGHBOURS])
+        return found
+
+    def found(self, offsets: np.ndarray, data: np.ndarray) -> list[list[tuple[float, object, int]]]:
+        """The nearest examples of each row of text; equal texts are looked at once."""
+        if not self.n:
+            return [[]] * (len(offsets) - 1)
+        own = text_hashes(offsets, data)
+        _, once, which = np.unique(own, return_index=True, return_inverse=True)
+        if len(once) < len(own):
+            part = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in once.tolist()])
+            offsets, data = np.concatenate([np.zeros(1, np.int64), np.cumsum((offsets[1:] - offsets[:-1])[once])]), part
+        else:
+            once = which = np.arange(len(own))
+        best = list(self.nearest(self.counted(*features(offsets, data)), own[once].tolist()))
+        return [best[k] for k in which.tolist()]
 
     def neighbours(self, at: np.ndarray, tf: np.ndarray, own: int = 0) -> list[tuple[float, object, int]]:
-        return next(self.nearest([(at, tf)], [own])) if self.ids else []
+        return next(self.nearest([(at, tf)], [own])) if self.n else []
 
     def score(self, best: list[tuple[float, object, int]]) -> float:
         votes, prior = [0.0, 0.0], min(self.base_rate, THRESHOLD / 2)
@@ -214,23 +242,46 @@ class Index:
         return (PRIOR_WEIGHT * prior + votes[1]) / (PRIOR_WEIGHT + sum(votes))
 
 
-def _count_rows(rows: DataFrame, keep: list[str], kinds: str) -> DataFrame:
-    """rows with their features and counts."""
+_loaded: dict[str, Index] = {}
+
+
+@dataclass(frozen=True)
+class Model:
+    """Where the index lies, the labels' base rate and what an example of either label stands for."""
+
+    uri: str | None
+    base_rate: float
+    vote: tuple[float, float]
+
+    def index(self) -> Index:
+        """The index, mapped once a process; empty where one of the labels has no example."""
+        key = self.uri or ""
+        if key not in _loaded:
+            none = np.zeros(0, np.int64)
+            made = common.arrays(self.uri) if self.uri else Index.arrays(np.zeros(0, np.uint64), np.zeros(0), none, none, np.zeros(1, np.int64), none, none, np.zeros(0, np.uint64))
+            _loaded.clear()
+            _loaded[key] = Index(made, self.base_rate, self.vote)
+        own = _loaded[key]
+        own.base_rate, own.vote = self.base_rate, self.vote
+        return own
+
+
+def _example_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, features, counts, text_hash) of the examples (doc_id, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.by_text(batches):
-            offsets, data = common.utf8_parts(batch.column(batch.schema.get_field_index("text")))
+        for batch in common.by_text(batches, most=1 << 18):
+            offsets, data = common.utf8_parts(batch.column(2))
             hashes, first = features(offsets, data)
             found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch([batch.column(batch.schema.get_field_index(c)) for c in keep] + [
-                pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64())),
-                pa.array(text_hashes(offsets, data).view(np.int64))], [*keep, "features", "counts", "text_hash"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([f.view(np.int64) for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32())),
+                                   pa.array(text_hashes(offsets, data).view(np.int64))], ["doc_id", "label", "features", "counts", "text_hash"])
 
-    return rows.mapInArrow(run, f"{kinds}, features array<long>, counts array<long>, text_hash long")
+    return rows.mapInArrow(run, "doc_id long, label int, features array<long>, counts array<int>, text_hash long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Index:
-    """The index from the labelled rows that ``train`` admits (all but the held-out ones by default)."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Model:
+    """The index from the labelled rows that ``train`` admits (all but the held-out ones by default). doc_id is a long."""
     spark = docs.sparkSession
     common.ship(spark)
     train = ~is_held_out() if train is None else train
@@ -239,26 +290,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = [known.where(F.col("label") == x).orderBy("h", "doc_id").limit(EXAMPLES) for x in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).select("doc_id", "label")  # at most 2 x EXAMPLES rows
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    found = _count_rows(rows, ["doc_id", "label"], f"doc_id {kind}, label int").toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    label = found["label"].to_numpy().astype(np.int64)
-    n1 = int(label.sum())
-    n0 = len(label) - n1
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    examples = common.materialize(_example_features(rows.select("doc_id", "label", "text")), "examples")
+    n0, n1 = (r or 0 for r in examples.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    # What an example of a label stands for, labels' mean 1.
-    vote = tuple(min(1.0, (totals.get(x, 0) / max(1, n)) / max(1e-9, max(totals.get(y, 0) / max(1, m) for y, m in ((0, n0), (1, n1))))) for x, n in ((0, n0), (1, n1)))
     if not n0 or not n1:
-        return Index.build(np.zeros(0, np.uint64), np.zeros(0), [], base, (1.0, 1.0))
-    hashes, counts = (np.concatenate([c.values.to_numpy() for c in found[name].chunks]) for name in ("features", "counts"))
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(found["features"]).to_numpy())])
-    vocabulary, at = np.unique(hashes.view(np.uint64), return_inverse=True)
-    both = np.bincount(at, minlength=len(vocabulary)).astype(float)
-    toxic = np.bincount(at, weights=np.repeat(label, np.diff(first)), minlength=len(vocabulary))
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, n = Lookup(shared.value), 0
+        return Model(None, base, (1.0, 1.0))
+    # What an example of a label stands for, labels' mean 1.
+    stands = [totals.get(x, 0) / n for x, n in ((0, n0), (1, n1))]
+    vote = tuple(min(1.0, s / max(stands)) for s in stands)
+    root = common.shared_path(spark, "toxicity")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        """(ids, labels, first, hashes, counts, texts) of all examples, by label and id."""
+        t = pa.Table.from_batches(list(batches)).sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(t["features"]).to_numpy())])
+        flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in t[name].chunks])
+        return t["doc_id"].to_numpy(), t["label"].to_numpy().astype(np.int64), first, flat("features").view(np.uint64), flat("counts"), t["text_hash"].to_numpy().view(np.uint64)
+
+    def name_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = np.unique(taken(batches)[3])
+        common.publish(f"{root}/vocabulary", vocabulary=vocabulary)
+        yield pa.record_batch([pa.array([len(vocabulary)])], ["n"])
+
+    def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, n = Lookup(common.arrays(f"{root}/vocabulary")["vocabulary"]), 0
         df = np.zeros(lookup.size, np.int64)
         for batch in common.by_text(batches):
             hashes, first = features(*common.utf8_parts(batch.column(0)))
@@ -268,58 +324,69 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Inde
                 df[np.unique(at[a:b])] += 1
             n += batch.num_rows
         some = np.flatnonzero(df)
-        yield pa.record_batch([pa.array([*some.tolist(), -1]), pa.array([*df[some].tolist(), n])], ["f", "n"])
-
-    counted = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(seen, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
-    f, many = counted["f"].to_numpy(), counted["n"].to_numpy()
-    df = np.zeros(len(vocabulary))
-    df[f[f >= 0]] = many[f >= 0]
-    weight = (np.log((1 + int(many[f < 0].sum())) / (1 + df)) + 1) * association(toxic, both - toxic, n1, n0)
-    ids = found["doc_id"].to_pylist()
-    texts = found["text_hash"].to_numpy().view(np.uint64)
-    examples = [(ids[i], int(label[i]), at[a:b], counts[a:b], texts[i]) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
-    return Index.build(vocabulary, weight, examples, base, vote)
-
-
-def score(docs: DataFrame, index: Index) -> DataFrame:
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["f", "n"])
+
+    def publish_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total = np.zeros(len(common.arrays(f"{root}/vocabulary")["vocabulary"])), 0
+        for batch in batches:
+            f, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            df[f[f >= 0]] = n[f >= 0]
+            total += int(n[f < 0].sum())
+        common.publish(f"{root}/counts", df=df, total=np.array([total]))
+        yield pa.record_batch([pa.array([total])], ["n"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, label, first, hashes, tf, texts = taken(batches)
+        vocabulary, counts = common.arrays(f"{root}/vocabulary")["vocabulary"], common.arrays(f"{root}/counts")
+        of = np.searchsorted(vocabulary, hashes).astype(np.int32)
+        both = np.bincount(of, minlength=len(vocabulary)).astype(float)
+        toxic = np.bincount(of, weights=np.repeat(label, np.diff(first)), minlength=len(vocabulary))
+        weight = (np.log((1 + int(counts["total"][0])) / (1 + counts["df"])) + 1) * association(toxic, both - toxic, n1, n0)
+        common.publish(f"{root}/index", **Index.arrays(vocabulary, weight, ids, label, first, of, tf, texts))
+        yield pa.record_batch([pa.array([len(ids)])], ["n"])
+
+    # Bounded by EXAMPLES, so one task names the features, gathers their counts and builds the index.
+    examples.coalesce(1).mapInArrow(name_features, "n long").collect()
+    counted = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(count_documents, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    counted.coalesce(1).mapInArrow(publish_counts, "n long").collect()
+    examples.coalesce(1).mapInArrow(build, "n long").collect()
+    common.discard(examples)
+    return Model(f"{root}/index", base, vote)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (the nearest examples: id, cosine, label) of every row."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(index)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    evidence = pa.list_(pa.struct([("doc_id", rows.limit(0).toArrow().schema.field("doc_id").type), ("cosine", pa.float64()), ("label", pa.int32())]))
+    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = model.index()
         for batch in common.by_text(batches):
-            offsets, data = common.utf8_parts(batch.column(1))
-            hashes, first = features(offsets, data)
             scores, why = [], []
-            for best in own.found(hashes, first, text_hashes(offsets, data).tolist()):
+            for best in own.found(*common.utf8_parts(batch.column(1))):
                 scores.append(own.score(best))
                 why.append([{"doc_id": d, "cosine": c, "label": y} for c, d, y in best])
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, cosine: double, label: int>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
 
 
-def remove_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they are; scored in the same pass."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(index)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = model.index()
         for whole in batches:
             text = whole.schema.get_field_index("text")
             filled = whole.set_column(text, whole.schema.field(text), whole.column(text).fill_null(""))
             for batch in common.by_text(iter([filled.append_column("_row", pa.array(np.arange(whole.num_rows)))])):
-                offsets, data = common.utf8_parts(batch.column(text))
-                hashes, first = features(offsets, data)
-                keep = [not best or own.score(best) < threshold for best in own.found(hashes, first, text_hashes(offsets, data).tolist())]
+                keep = [not best or own.score(best) < threshold for best in own.found(*common.utf8_parts(batch.column(text)))]
                 yield whole.take(batch.column(batch.num_columns - 1).filter(pa.array(keep, pa.bool_())))
 
     return docs.mapInArrow(run, schema)

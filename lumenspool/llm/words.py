@@ -43,16 +43,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans [start, end) of data; what all spans share is computed once."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power_tables(len(data) + 1)
+        self.prefix = np.empty(len(data) + 1, np.uint64)
+        self.prefix[0] = 0
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end) of data."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    prefix = np.empty(len(data) + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return SpanHasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def words(offsets: np.ndarray, data: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -322,7 +322,7 @@ def test_toxicity_scores_texts_and_not_ids(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(1, 0), (1, None), (2, 1), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     small = toxicity.fit(table, marks, F.lit(True))
-    assert sorted(zip(small.ids, small.labels.tolist())) == [(1, 0), (2, 1), (3, 0)]
+    assert sorted(zip(small.index().ids.tolist(), small.index().labels.tolist())) == [(1, 0), (2, 1), (3, 0)]
     assert len(toxicity.score(table, small).collect()) == 6
 
 
@@ -371,7 +371,11 @@ def test_toxicity_search_is_exact():
     rng = np.random.default_rng(2)
     examples = [(i, i % 2, np.sort(rng.choice(50, 6, False)), rng.integers(1, 4, 6)) for i in range(400)]
     idf = rng.random(50) + 0.5
-    index = toxicity.Index.build(np.arange(50, dtype=np.uint64), idf, sorted(((*x, x[0] + 1) for x in examples), key=lambda x: (x[1], x[0])), 0.5, (1.0, 1.0))
+    rows = sorted(examples, key=lambda x: (x[1], x[0]))
+    ids, labels = (np.array([x[k] for x in rows]) for k in (0, 1))
+    first = np.arange(401) * 6
+    made = toxicity.Index.arrays(np.arange(50, dtype=np.uint64), idf, ids, labels, first, np.concatenate([x[2] for x in rows]), np.concatenate([x[3] for x in rows]), (ids + 1).astype(np.uint64))
+    index = toxicity.Index(made, 0.5, (1.0, 1.0))
     dense = np.zeros((400, 50))
     for i, _, at, tf in examples:
         v = (1 + np.log(tf)) * idf[at]
