@@ -176,8 +176,11 @@ def publish(uri: str, **arrays: np.ndarray) -> None:
 _files: dict[str, dict[str, np.ndarray]] = {}
 
 
-def arrays(uri: str) -> dict[str, np.ndarray]:
-    """A published file's arrays, memory-mapped where the shared folder is a file system, so that workers of a machine share them."""
+def arrays(uri: str, keep: bool = True) -> dict[str, np.ndarray]:
+    """A published file's arrays, memory-mapped where the shared folder is a file system, so that workers of a machine share them.
+
+    keep: whether the worker goes on holding them.
+    """
     if uri not in _files:
         if len(_files) > 4096:
             _files.clear()
@@ -189,4 +192,4 @@ def arrays(uri: str) -> dict[str, np.ndarray]:
         size = int(raw[:8].view(np.uint64)[0])
         body = raw[8 + size :]
         _files[uri] = {k: body[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, at, n) in json.loads(raw[8 : 8 + size].tobytes()).items()}
-    return _files[uri]
+    return _files[uri] if keep else _files.pop(uri)

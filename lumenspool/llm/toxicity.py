@@ -242,9 +242,6 @@ class Index:
         return (PRIOR_WEIGHT * prior + votes[1]) / (PRIOR_WEIGHT + sum(votes))
 
 
-_loaded: dict[str, Index] = {}
-
-
 @dataclass(frozen=True)
 class Model:
     """Where the index lies, the labels' base rate and what an example of either label stands for."""
@@ -254,16 +251,10 @@ class Model:
     vote: tuple[float, float]
 
     def index(self) -> Index:
-        """The index, mapped once a process; empty where one of the labels has no example."""
-        key = self.uri or ""
-        if key not in _loaded:
-            none = np.zeros(0, np.int64)
-            made = common.arrays(self.uri) if self.uri else Index.arrays(np.zeros(0, np.uint64), np.zeros(0), none, none, np.zeros(1, np.int64), none, none, np.zeros(0, np.uint64))
-            _loaded.clear()
-            _loaded[key] = Index(made, self.base_rate, self.vote)
-        own = _loaded[key]
-        own.base_rate, own.vote = self.base_rate, self.vote
-        return own
+        """The index, mapped for one task, so that workers hold it no longer; empty where one of the labels has no example."""
+        none = np.zeros(0, np.int64)
+        made = common.arrays(self.uri, keep=False) if self.uri else Index.arrays(np.zeros(0, np.uint64), np.zeros(0), none, none, np.zeros(1, np.int64), none, none, np.zeros(0, np.uint64))
+        return Index(made, self.base_rate, self.vote)
 
 
 def _example_features(rows: DataFrame) -> DataFrame:
@@ -314,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
         yield pa.record_batch([pa.array([len(vocabulary)])], ["n"])
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, n = Lookup(common.arrays(f"{root}/vocabulary")["vocabulary"]), 0
+        lookup, n = Lookup(common.arrays(f"{root}/vocabulary", keep=False)["vocabulary"]), 0
         df = np.zeros(lookup.size, np.int64)
         for batch in common.by_text(batches):
             hashes, first = features(*common.utf8_parts(batch.column(0)))
@@ -327,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["f", "n"])
 
     def publish_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(len(common.arrays(f"{root}/vocabulary")["vocabulary"])), 0
+        df, total = np.zeros(len(common.arrays(f"{root}/vocabulary", keep=False)["vocabulary"])), 0
         for batch in batches:
             f, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             df[f[f >= 0]] = n[f >= 0]
@@ -337,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, label, first, hashes, tf, texts = taken(batches)
-        vocabulary, counts = common.arrays(f"{root}/vocabulary")["vocabulary"], common.arrays(f"{root}/counts")
+        vocabulary, counts = common.arrays(f"{root}/vocabulary", keep=False)["vocabulary"], common.arrays(f"{root}/counts", keep=False)
         of = np.searchsorted(vocabulary, hashes).astype(np.int32)
         both = np.bincount(of, minlength=len(vocabulary)).astype(float)
         toxic = np.bincount(of, weights=np.repeat(label, np.diff(first)), minlength=len(vocabulary))
