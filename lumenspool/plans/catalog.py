@@ -400,4 +400,4 @@ def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
 
 
-from lumenspool.plans import block_queries, caption_queries, claim_queries, media_queries, source_queries, survey_queries, text_queries  # noqa: E402, F401
+from lumenspool.plans import audit_queries, block_queries, caption_queries, claim_queries, media_queries, source_queries, survey_queries, text_queries  # noqa: E402, F401
