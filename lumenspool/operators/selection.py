@@ -6,9 +6,14 @@ budget-only part is a window (see the catalog's ``selection_within_budget``).
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW_MS = 120_000
 
@@ -22,10 +27,37 @@ def relaxed_duplicate(hamming: Column, ratio: Column, mean: Column, edge: Column
 
 
 def thin_points(df: DataFrame, key: str, time: str, spacing_ms: int) -> DataFrame:
-    """(key, time): first and last points, and inner ones at least spacing_ms after the last kept one."""
-    points = df.groupBy(key).agg(F.array_sort(F.collect_set(time)).alias("p"))
-    kept = F.aggregate("p", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= spacing_ms), F.array_append(acc, t.cast("bigint"))).otherwise(acc))
-    return points.select(key, F.explode(F.array_union(kept, F.array(F.array_max("p").cast("bigint")))).alias(time))
+    """(key, time): first and last points, and inner ones at least spacing_ms after the last kept one.
+
+    Points that lie apart by spacing_ms are always kept, so choice begins anew there: the fold runs over each dense stretch by itself.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    points = df.select(key, time).distinct().withColumn("_new", F.coalesce(F.col(time) - F.lag(time).over(w) >= spacing_ms, F.lit(True)).cast("int"))
+    points = points.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = points.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.col(time).cast("bigint"))).alias("p"))
+    kept = F.aggregate("p", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= spacing_ms), F.array_append(acc, t)).otherwise(acc))
+    last = points.groupBy(key).agg(F.max(time).cast("bigint").alias(time))
+    return stretches.select(key, F.explode(kept).alias(time)).union(last).distinct()
+
+
+def hamming_pairs(df: DataFrame, most: int, parts: int = 3, bits: int = 63) -> DataFrame:
+    """(a, b, distance): pairs a < b of df (id, h long) whose hashes differ in at most ``most`` bits.
+
+    One of ``parts`` parts differs in at most most / parts bits, so each row looks up its parts' neighbours within that
+    radius, by equality. Wide parts make chance meetings rare: with 21 bits one in two million.
+    """
+    cuts = [(bits * i // parts, bits * (i + 1) // parts) for i in range(parts)]
+    part = lambda i: F.shiftright("h", cuts[i][0]).bitwiseAND(F.lit((1 << (cuts[i][1] - cuts[i][0])) - 1))
+    flips = [[sum(1 << b for b in chosen) for r in range(most // parts + 1) for chosen in combinations(range(hi - lo), r)] for lo, hi in cuts]
+    own = df.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.posexplode(F.array(*[part(i) for i in range(parts)])).alias("p", "k"))
+    near = [df.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.lit(i).alias("p"), F.explode(_xor_all(part(i), flips[i])).alias("k")) for i in range(parts)]
+    asked = reduce(DataFrame.union, near)
+    met = asked.join(own, ["p", "k"]).where("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).where(F.col("distance") <= most)
+    return met.select("a", "b", "distance").distinct()
+
+
+def _xor_all(value: Column, flips: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: value.bitwiseXOR(f))
 
 
 def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5) -> DataFrame:
@@ -36,13 +68,17 @@ def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5) -> DataFra
     """
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["mandatory", "score", "actual_ms", "frame_id"], ascending=[False, False, True, True])
-        chosen: list[tuple[int, int, int]] = []
-        selected, by = [], []
+        # What is selected, by stretches of the window's length: only three of them can hold a near frame.
+        chosen: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        selected, by, count = [], [], 0
         for r in group.itertuples():
-            near = next((f for f, t, h in chosen if abs(t - r.actual_ms) <= WINDOW_MS and bin((h ^ r.hash) & 0xFFFFFFFFFFFFFFFF).count("1") <= most_bits), None)
-            take = r.mandatory or (near is None and len(chosen) < budget)
+            home = r.actual_ms // WINDOW_MS
+            around = [x for k in (home - 1, home, home + 1) for x in chosen[k]]
+            near = min((x for x in around if abs(x[2] - r.actual_ms) <= WINDOW_MS and ((x[3] ^ r.hash) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most_bits), default=(0, None))[1]
+            take = r.mandatory or (near is None and count < budget)
             if take:
-                chosen.append((r.frame_id, r.actual_ms, r.hash))
+                chosen[home].append((count, r.frame_id, r.actual_ms, r.hash))
+                count += 1
             selected.append(bool(take))
             by.append(r.frame_id if take else near)
         return group.assign(selected=selected, representative=pd.array(by, dtype="Int64"))

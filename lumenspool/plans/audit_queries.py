@@ -241,7 +241,7 @@ def context_blocks(spark, sf):
 
 
 @query(f"""with {SEG}, p as (select media_id as project, 'V' || source_order as candidate_id, source_order as n from segments), a as (select p.project, candidate_id, 'c' || (s.source_order % 4) as claim_id, 0 as t, 'F' || s.source_order as f, 0 as o from p join segments s on s.media_id = p.project and s.source_order in (n, n + 1)), b as (select p.project, candidate_id, 'd' || (s.source_order % 3) as claim_id, 1 as t, '' as f, s.source_order as o from p join segments s on s.media_id = p.project and s.source_order in (n, n + 1)),
-u as (select project, candidate_id, claim_id, min({{'t': t, 'f': f, 'o': o}}) as at from (select * from a union all select * from b) group by 1, 2, 3) select project, candidate_id, string_agg(claim_id, ',' order by at, claim_id) as claims from u group by 1, 2""")
+u as (select project, candidate_id, claim_id, min({{'t': t, 'f': f, 'o': o}}) as pos from (select * from a union all select * from b) group by 1, 2, 3) select project, candidate_id, string_agg(claim_id, ',' order by pos, claim_id) as claims from u group by 1, 2""")
 def prior_claims(spark, sf):
     """_prior_claim_context_ids."""
     s = A.segments(spark, sf)

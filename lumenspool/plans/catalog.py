@@ -7,11 +7,13 @@ from pyspark.sql.window import Window
 
 from lumenspool.functions import columns as C
 from lumenspool.functions import diff
+from lumenspool.functions import text as X
 from lumenspool.operators import captions, intervals, selection
 from lumenspool.plans.registry import ORACLE, QUERIES, query
 from lumenspool.sources import adapters as A
 from lumenspool.sources.adapters import table
 
+REBUILD = "(?i)https?://\\S+|\\b[^\\s@]+@[^\\s@]+\\.[^\\s@]+\\b|(?:[A-Za-z]:[\\\\/]|/)\\S+|--?[A-Za-z][\\p{L}\\p{N}_-]*|\\b[0-9]+(?:[.,:][0-9]+)*(?:%|mg|kg|cm|mm|ml|gb|mb|kb)?\\b"
 SEG = """seg as (
  select conv_id as media_id, turn as source_order, text as raw_text, case when (conv_id + turn) % 4 < 2 then 'A' else 'B' end as speaker,
   greatest(0, coalesce(sum(400 + 55*length(text) + (conv_id*7919 + turn*104729) % 2600 - 300) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0))::bigint as start_ms, 400 + 55*length(text) as d from conversations),
@@ -205,11 +207,11 @@ def clock_round_trip(spark, sf):
     return s.withColumn("ms", C.parse_clock(F.col("clock")))
 
 
-@query("""select p_partkey, coalesce(nullif(substr(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 1, 40), ''), 'item') as slug, regexp_replace(regexp_replace(lower(p_name), '[ \\t\\n]+', '-', 'g'), '[^a-z0-9-]', '', 'g') as anchor,
+@query("""select p_partkey, case when p_partkey % 5 = 0 then '_com' || (p_partkey % 9 + 1) || '.txt' else coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(trim('  ' || p_name || '--/ x__.'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[ ._-]+|[ ._-]+$', '', 'g'), '-+', '-', 'g'), 1, 100), ''), 'item') end as slug, regexp_replace(regexp_replace(lower(p_name), '[ \\t\\n]+', '-', 'g'), '[^a-z0-9-]', '', 'g') as anchor,
  'IC' || lpad(p_partkey::varchar, 6, '0') as claim_id, 'M' || upper(substr(sha256(p_name), 1, 16)) as media_id from part""")
 def slugs_and_ids(spark, sf):
     n = F.col("p_name")
-    return table(spark, sf, "part").select("p_partkey", C.slug(n, "item").alias("slug"), C.anchor(n).alias("anchor"), C.sequential_id("IC", F.col("p_partkey")).alias("claim_id"), C.media_id(n).alias("media_id"))
+    return table(spark, sf, "part").select("p_partkey", C.slug(F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.concat(F.lit("com"), F.pmod("p_partkey", F.lit(9)) + 1, F.lit(".txt"))).otherwise(F.concat(F.lit("  "), n, F.lit("--/ x__."))), "item").alias("slug"), C.anchor(n).alias("anchor"), C.sequential_id("IC", F.col("p_partkey")).alias("claim_id"), C.media_id(n).alias("media_id"))
 
 
 @query("""select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as escaped_md5,
@@ -223,7 +225,7 @@ def page_escape(spark, sf):
  md5(regexp_replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), '[. ]+$', '', 'g')) as claim_md5, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-''./:@][\\p{L}\\p{N}_]+)*|[^\\p{L}\\p{N}_\\s]'))::int as tokens from documents""")
 def document_text(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(C.normalize_visible(t)).alias("visible_md5"), F.md5(C.claim_text(t)).alias("claim_md5"), F.size(C.audit_tokens(t)).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(C.normalize_visible(t)).alias("visible_md5"), F.md5(C.claim_text(t)).alias("claim_md5"), F.regexp_count(t, F.lit(C.AUDIT_TOKEN)).alias("tokens"))
 
 
 @query("""select lang, source, case lang when 'tl' then 'fil' when 'iw' then 'he' else lang end as family, case source when 'whisper' then 1 when 'official_caption' then 4 else 0 end as priority, count(*) as n, sum(length(text))::bigint as chars from documents group by 1, 2""")
@@ -241,14 +243,11 @@ def primary_language(spark, sf):
     return r.select("source", F.when((F.col("w") * 100 >= F.col("total") * 60) & (F.col("second") * 100 < F.col("w") * 70), F.col("lang")).alias("primary_language"), F.col("w").alias("weight"))
 
 
-HI = "https?://[^\\s]+|[^\\s@]+@[^\\s@]+\\.[^\\s@]+|--?[A-Za-z][A-Za-z0-9_-]*|[0-9]+(?:[.,:][0-9]+)*(?:%|mg|kg|cm|mm|ml|gb|mb|kb)?"
-
-
-@query(f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{HI}')) as x from documents), k as (select doc_id, regexp_replace(x, '[.,;!?]+$', '') as tok, count(*) as n from t group by 1, 2), b as (select doc_id // 2 as pair, doc_id % 2 as side, tok, n from k)
+@query(f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{REBUILD}')) as x from documents), k as (select doc_id, regexp_replace(x, '[.,;!?]+$', '') as tok, count(*) as n from t group by 1, 2), b as (select doc_id // 2 as pair, doc_id % 2 as side, tok, n from k)
 select coalesce(a.pair, c.pair) as pair, coalesce(a.tok, c.tok) as token, greatest(coalesce(a.n, 0) - coalesce(c.n, 0), 0)::bigint as missing, greatest(coalesce(c.n, 0) - coalesce(a.n, 0), 0)::bigint as added
 from (select * from b where side = 0) a full join (select * from b where side = 1) c on a.pair = c.pair and a.tok = c.tok where coalesce(a.n, 0) <> coalesce(c.n, 0)""")
 def high_impact_multiset_diff(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(C.high_impact(F.col("text"))).alias("token"))
+    t = table(spark, sf, "documents").select("doc_id", F.explode(X.rebuild_high_impact(F.col("text"))).alias("token"))
     side = lambda s: F.count_if(F.pmod("doc_id", F.lit(2)) == s)
     k = t.groupBy(F.floor(F.col("doc_id") / 2).alias("pair"), "token").agg(side(0).alias("a"), side(1).alias("b")).where("a <> b")
     return k.select("pair", "token", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("missing"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("added"))
@@ -280,18 +279,16 @@ def selection_within_budget(spark, sf):
     return f.withColumn("rn", F.row_number().over(w)).join(b, "media_id").where("rn <= budget or mandatory").select("media_id", "event_id", "rn", "budget")
 
 
-@query("""with b as (select vec_id, list_sum([case when embedding[i] > embedding[i+1] then (1::bigint << (i-1)) else 0::bigint end for i in range(1, 64)])::bigint as h from embeddings)
-select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from b a join b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 16""")
+_BITS = "list_sum([case when embedding[i] > embedding[i+1] then (1::bigint << (i-1)) else 0::bigint end for i in range(1, 64)])::bigint"
+
+
+@query(f"""with e as (select vec_id, {_BITS} as h from embeddings), b as (select vec_id as id, h from e union all select vec_id + 10000000, xor(h, (((1::bigint << (vec_id % 12)) - 1) << (vec_id % 40)))::bigint from e)
+select x.id as a, y.id as b, bit_count(xor(x.h, y.h))::int as distance from b x join b y on x.id < y.id where bit_count(xor(x.h, y.h)) <= 8""")
 def near_dup_hamming(spark, sf):
+    """perceptual_hamming pairs within the relaxed limit, among gradient hashes and copies of them with up to 11 bits changed."""
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.get("embedding", i) > F.get("embedding", i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    h = table(spark, sf, "embeddings").select("vec_id", bits.alias("h"))
-    # 63 bits in 17 parts: within 16 bits, one part at least agrees, so pairs meet by an equi join on parts.
-    cut = [(63 * i // 17, 63 * (i + 1) // 17) for i in range(17)]
-    part = lambda i: F.shiftright("h", cut[i][0]).bitwiseAND(F.lit((1 << (cut[i][1] - cut[i][0])) - 1))
-    keyed = h.select("vec_id", "h", F.posexplode(F.array(*[part(i) for i in range(17)])).alias("p", "k"))
-    a, b = keyed.toDF("a", "ha", "p", "k"), keyed.toDF("b", "hb", "p", "k")
-    pairs = a.join(b, ["p", "k"]).where("a < b").withColumn("distance", C.hamming(F.col("ha"), F.col("hb"))).where("distance <= 16")
-    return pairs.select("a", "b", "distance").distinct()
+    h = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("h"))
+    return selection.hamming_pairs(h.union(h.select(F.col("id") + 10_000_000, F.expr("h ^ shiftleft(shiftleft(1L, cast(id % 12 as int)) - 1, cast(id % 40 as int))"))), 8)
 
 
 KINDS = """k as (select 'event' as kind, 1 as r, event_id as id, date_diff('day', date '1992-01-01', ts::date) as start_ms from events union all select 'order', 2, o_orderkey, date_diff('day', date '1992-01-01', o_orderdate::date) from orders
@@ -400,4 +397,4 @@ def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
 
 
-from lumenspool.plans import audit_queries, block_queries, caption_queries, claim_queries, media_queries, source_queries, survey_queries, text_queries  # noqa: E402, F401
+from lumenspool.plans import audit_queries, block_queries, caption_queries, claim_queries, media_queries, sink_queries, source_queries, survey_queries, text_queries  # noqa: E402, F401

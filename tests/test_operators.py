@@ -116,3 +116,102 @@ def test_streaming_profile(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("profile").collect())) == sorted(map(tuple, tumbling_profile(events).collect()))
+
+
+def test_packet_frames_stay_within_their_span(spark):
+    from lumenspool.operators import survey
+
+    rng = __import__("random").Random(4)
+    rows = [(i, rng.randrange(40_000), sorted({(rng.randrange(40_000), f"F{k}") for k in range(rng.randrange(9))}, key=lambda x: rng.random())) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, focus long, frames array<struct<actual_ms: long, frame_id: string>>")
+    got = {r.i: [tuple(x) for x in r.kept] for r in df.select("i", survey.packet_frames(F.col("frames"), F.col("focus")).alias("kept")).collect()}
+    for i, focus, frames in rows:
+        kept = []
+        for f in sorted(frames, key=lambda f: (abs(f[0] - focus), f[0], f[1])):
+            times = [x[0] for x in [*kept, f]]
+            if max(times) - min(times) <= 15_000:
+                kept.append(f)
+        assert got[i] == sorted(kept)
+
+
+def test_byte_budget_is_spread(spark):
+    from lumenspool.operators import survey
+
+    rng = __import__("random").Random(5)
+    rows = [(i, [rng.randrange(1, 50) for _ in range(rng.randrange(0, 20))], rng.randrange(1, 300)) for i in range(60)]
+    got = {r.i: r.k for r in spark.createDataFrame(rows, "i long, sizes array<long>, most long").select("i", survey.within_bytes(F.col("sizes"), F.col("most")).alias("k")).collect()}
+    for i, sizes, most in rows:
+        n, total = len(sizes), sum(sizes)
+        if total <= most:
+            want = list(range(n))
+        else:
+            wanted = max(1, min(n, most // max(1, total // n)))
+            order = [0] if wanted == 1 else sorted({round(k * (n - 1) / (wanted - 1)) for k in range(wanted)})
+            used, kept = 0, []
+            for k in [*order, *range(n)]:
+                if k not in kept and used + sizes[k] <= most:
+                    kept.append(k)
+                    used += sizes[k]
+            want = sorted(kept)
+        assert got[i] == want
+
+
+def test_packet_choice(spark):
+    from lumenspool.operators import packets
+
+    rows = [(1, f"V{i:02d}", i, f"s{i // 2}", float(i % 5), i == 9, i in (4, 12)) for i in range(20)]
+    df = spark.createDataFrame(rows, "project long, candidate_id string, ordinal long, scope string, score double, proved boolean, retry boolean")
+    got = {r.candidate_id for r in packets.select(df, 6).where("chosen").collect()}
+    leads = [f"V{i:02d}" for i in range(0, 20, 2)]
+    assert {"V04", "V05", "V12", "V13", "V09", "V00", "V01", "V18", "V19"} <= got and len([x for x in got if x in leads]) == 6
+
+
+def test_merging_keeps_repeats_at_other_times(spark):
+    from lumenspool.operators import repair
+
+    word = lambda t, a: {"text": t, "start_ms": a, "end_ms": a + 90}
+    rows = [(1, 0, "a", 0, 300, "yes yes we", 0.5, [word("yes", 0), word("yes", 100), word("we", 200)]), (1, 1, "b", 190, 500, "we can", 0.5, [word("We", 210), word("can", 300)]), (1, 2, "c", 600, 700, "can", None, [word("can", 600)]),
+            (1, 3, "d", 605, 700, "CAN", 0.9, [word("CAN", 605)]), (1, 4, "e", None, None, "can", None, []), (2, 0, "f", 0, 10, "x", None, None)]
+    df = spark.createDataFrame(rows, "media_id long, source_order long, segment_id string, start_ms long, end_ms long, text string, confidence double, words array<struct<text: string, start_ms: long, end_ms: long>>")
+    got = [(r.media_id, r.segment_id, r.start_ms, r.text) for r in repair.merge_overlapping(df).orderBy("media_id", "source_order").collect()]
+    assert got == [(1, "a", 0, "yes yes we"), (1, "b", 300, "can"), (1, "d", 605, "CAN"), (1, "e", None, "can"), (2, "f", 0, "x")]
+
+
+def test_json_sink_hides_secrets(spark, tmp_path):
+    from lumenspool.sinks import documents
+
+    df = spark.createDataFrame([(1, {"api_key": "x", "k": "v"}, "https://a.b/c?token=1")], "id long, m map<string,string>, url string")
+    documents.write_json(df, f"file://{tmp_path}/j")
+    row = spark.read.json(f"file://{tmp_path}/j").first()
+    assert row.m.api_key == "[REDACTED]" and row.m.k == "v" and row.url == "https://a.b/c?[REDACTED]"
+    documents.replace_rows(f"file://{tmp_path}/p", spark.createDataFrame([(1, 1), (2, 2)], "k int, v int"), ("k",))
+    documents.replace_rows(f"file://{tmp_path}/p", spark.createDataFrame([(2, 3)], "k int, v int"), ("k",))
+    assert sorted((r.k, r.v) for r in spark.read.parquet(f"file://{tmp_path}/p").collect()) == [(1, 1), (2, 3)]
+
+
+def test_greedy_selection_equals_brute_force(spark):
+    from lumenspool.plans.registry import QUERIES
+
+    rows = QUERIES["selection_greedy"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.media_id, []).append(r)
+    for group in by.values():
+        chosen = []
+        for r in sorted(group, key=lambda r: (not r.mandatory, -r.score, r.actual_ms, r.frame_id)):
+            near = next((c for c in chosen if abs(c.actual_ms - r.actual_ms) <= 120_000 and bin((c.hash ^ r.hash) & (2**64 - 1)).count("1") <= 5), None)
+            take = r.mandatory or (near is None and len(chosen) < 40)
+            assert r.selected == take and r.representative == (r.frame_id if take else near and near.frame_id)
+            if take:
+                chosen.append(r)
+
+
+def test_ordered_coverage_equals_difflib(spark):
+    from difflib import SequenceMatcher
+
+    from lumenspool.functions import diff
+
+    rows = [(1, list("abcab"), list("abxab")), (2, [], ["a"]), (3, ["a"], []), (4, list("aab"), list("aab"))]
+    for r in spark.createDataFrame(rows, "i int, a array<string>, b array<string>").select("i", "a", "b", diff.ordered_coverage(F.col("a"), F.col("b")).alias("c")).collect():
+        matched = sum(m.size for m in SequenceMatcher(a=r.a, b=r.b, autojunk=False).get_matching_blocks())
+        assert (r.c.matched, r.c.exact) == (matched, r.a == r.b)
