@@ -486,7 +486,8 @@ def _with_class(docs: DataFrame, name: str) -> DataFrame:
         for whole in batches:
             text = whole.schema.get_field_index("text")
             at = 0
-            for part in common.by_text(iter([pa.record_batch([whole.column(text).fill_null("")], ["text"])])):
+            column = whole.column(text)
+            for part in common.by_text(iter([pa.record_batch([column.fill_null("") if column.null_count else column], ["text"])])):
                 _, sets = next(_sets(iter([part]), 0))
                 yield whole.slice(at, part.num_rows).append_column(name, pa.array([class_hash(s) for s in sets], pa.int64()))
                 at += part.num_rows

@@ -120,6 +120,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids
             start, length, crc, total, ordinal = (pa.array(x, pa.int64()) for x in out)
             columns = [batch.column(0).take(pa.array(where, pa.int64())), start, length, crc, total, pa.array(np.full(len(where), task)), ordinal]
             yield pa.record_batch(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names)
+        store.known = {}  # the worker goes on to other work
 
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, ordinal long" + ", ids array<int>" * with_ids)
 

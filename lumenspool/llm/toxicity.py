@@ -375,9 +375,10 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
         own = model.index()
         for whole in batches:
             text = whole.schema.get_field_index("text")
-            filled = whole.set_column(text, whole.schema.field(text), whole.column(text).fill_null(""))
-            for batch in common.by_text(iter([filled.append_column("_row", pa.array(np.arange(whole.num_rows)))])):
-                keep = [not best or own.score(best) < threshold for best in own.found(*common.utf8_parts(batch.column(text)))]
-                yield whole.take(batch.column(batch.num_columns - 1).filter(pa.array(keep, pa.bool_())))
+            column, at = whole.column(text), 0
+            for batch in common.by_text(iter([pa.record_batch([column.fill_null("") if column.null_count else column], ["text"])])):
+                keep = [not best or own.score(best) < threshold for best in own.found(*common.utf8_parts(batch.column(0)))]
+                yield whole.slice(at, batch.num_rows).filter(pa.array(keep, pa.bool_()))
+                at += batch.num_rows
 
     return docs.mapInArrow(run, schema)
