@@ -131,7 +131,7 @@ def same_blocks(spark, sf):
 @query(f"""with {SEG}, {IVL}, su0 as (select user_id % 50 as media_id, (event_id * 37) % 60000 as s, (event_id * 37) % 60000 + 900 as e from events where event_type = 'error'), su1 as (select *, max(e) over (partition by media_id order by s, e rows between unbounded preceding and 1 preceding) as r from su0), su2 as (select *, sum(case when r is null or s > r then 1 else 0 end) over (partition by media_id order by s, e rows between unbounded preceding and current row) as k from su1), su as (select media_id, min(s) as s, max(e) as e from su2 group by media_id, k),
 sg as (select media_id % 50 as media_id, media_id * 100 + source_order as source_order, start_ms, end_ms, 'w' || source_order % 3 as text from segments), rc as (select user_id % 50 as media_id, event_id as o, (event_id * 53) % 60000 as s, (event_id * 53) % 60000 + 700 as e, case when event_id % 4 = 0 then '' else 'w' || event_id % 3 end as t, case when event_id % 5 <> 0 then (event_id % 100) / 100 end as conf from events),
 hit as (select sg.*, su.s as i0, su.e as i1 from sg join su on su.media_id = sg.media_id and su.s < sg.end_ms and sg.start_ms < su.e), au as (select sg.media_id, sg.source_order, coalesce(string_agg(case when t <> '' then t end, ' ' order by o), '') as after, avg(conf) as conf from sg join rc on rc.media_id = sg.media_id and rc.s < sg.end_ms and sg.start_ms < rc.e group by 1, 2)
-select hit.media_id, hit.source_order, i0 as interval_start, i1 as interval_end, md5(coalesce(after, '')) as after_md5, round(conf, 6) as confidence, case when coalesce(after, '') <> '' and (conf is null or conf >= 0.5) and after <> text then 'replace' when after = text and after <> '' then 'retain' else 'unresolved' end as action from hit left join au using (media_id, source_order)""")
+select hit.media_id, hit.source_order, i0 as interval_start, i1 as interval_end, md5(coalesce(after, '')) as after_md5, floor(conf * 1000000 + 0.001)::bigint as confidence, case when coalesce(after, '') <> '' and (conf is null or conf >= 0.5) and after <> text then 'replace' when after = text and after <> '' then 'retain' else 'unresolved' end as action from hit left join au using (media_id, source_order)""")
 def repair_suspect_intervals(spark, sf):
     """repair_suspect_intervals, _recognized_text_for_segment, _confidence: without the recogniser, whose output is a table."""
     e = table(spark, sf, "events").withColumn("media_id", F.pmod("user_id", F.lit(50)))
@@ -140,7 +140,7 @@ def repair_suspect_intervals(spark, sf):
     heard = e.select("media_id", F.col("event_id").alias("r_order"), at(53).alias("start_ms"), (at(53) + 700).alias("end_ms"), F.when(F.pmod("event_id", F.lit(4)) == 0, "").otherwise(F.concat(F.lit("w"), F.pmod("event_id", F.lit(3)))).alias("text"), F.when(F.pmod("event_id", F.lit(5)) != 0, F.pmod("event_id", F.lit(100)) / 100).alias("confidence"))
     s = A.segments(spark, sf).select(F.pmod("media_id", F.lit(50)).alias("media_id"), (F.col("media_id") * 100 + F.col("source_order")).alias("source_order"), "segment_id", "start_ms", "end_ms", F.concat(F.lit("w"), F.pmod("source_order", F.lit(3))).alias("text"))
     r = R.repair(s, suspect, heard)
-    return r.select("media_id", "source_order", "interval_start", "interval_end", F.md5("after").alias("after_md5"), F.round("confidence", 6).alias("confidence"), "action")
+    return r.select("media_id", "source_order", "interval_start", "interval_end", F.md5("after").alias("after_md5"), F.floor(F.col("confidence") * 1_000_000 + 0.001).alias("confidence"), "action")
 
 
 # Every conversation is recognised in chunks whose first two words repeat the last two of the chunk before.
