@@ -37,12 +37,12 @@ def next_number(ids: DataFrame, column: str, namespace: str, keys: list[str]) ->
 
 def allocate(known: DataFrame, wanted: DataFrame, namespace: str) -> DataFrame:
     """(stable_key, id) of wanted (stable_key, ordinal): a known key keeps its id, new ones get the next numbers by first appearance."""
-    top = known.agg(F.coalesce(F.max(I.number_of(F.col("id"))), F.lit(0).cast("long")).alias("top"))
+    top = known.agg(F.coalesce(F.max(I.number_of(F.col("id"))), F.lit(0).cast("long"))).first()[0]
     first = wanted.groupBy("stable_key").agg(F.min("ordinal").alias("ordinal"))
     new = first.join(known, "stable_key", "left_anti").withColumn("block", F.floor(F.col("ordinal") / 4096))
     ahead = new.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("block").orderBy("ordinal", "stable_key"))
-    made = new.withColumn("place", place).join(F.broadcast(ahead), "block").crossJoin(F.broadcast(top)).select("stable_key", I.sequential(namespace, F.col("top") + F.col("ahead") + F.col("place")).alias("id"))
+    made = new.withColumn("place", place).join(ahead, "block").select("stable_key", I.sequential(namespace, F.lit(top) + F.col("ahead") + F.col("place")).alias("id"))
     return first.join(known, "stable_key").select("stable_key", "id").union(made)
 
 
