@@ -671,3 +671,30 @@ def test_sharding_query_reads_what_was_rewritten(spark):
     rows = queries.op7_sharding(spark, SF).toPandas()
     want = sharding.assign(common.table(spark, SF, "documents").select("doc_id", "text")).toPandas()
     assert sorted(map(str, zip(rows.doc_id, rows["size"], rows["shard"], rows.slot, rows.text_crc32))) == sorted(map(str, zip(want.doc_id, want["size"], want["shard"], want.slot, want.text_crc32)))
+
+
+def test_pipeline_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    good, other = (" ".join(f"{x}{i} walked{i} home{i} again." for i in range(40)) + " " for x in ("river", "tower"))
+    rows = [(1, good), (2, good), (2, good), (None, good), (None, other), (3, None), (4, ""), (5, "short"), (6, other + "It stood there for years.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "n": F.lit(1), "label": F.lit("x"), "score": F.lit(None).cast("double"), "_class": F.lit(0), "length": F.lit(1)})
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    whole = [len(g) for _, g in out.groupby("doc_id", dropna=False)]
+    assert sorted(out.doc_id.dropna().unique()) == [1, 6] and sum(whole) == len(out) and out.doc_id.isna().sum() == 0
+    none = f"{tmp_path}/none"
+    table.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_tokens_do_not_care_for_clashing_columns(spark, edge):
+    odd = edge.withColumns({"length": F.lit("x"), "task": F.lit(1), "ids": F.lit(2), "start": F.lit(3), "n_tokens": F.lit(4)})
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    rows = lambda df: sorted(tuple(r) for r in packing.pack(df.where("doc_id <> 3"), path).select("doc_id", "start", "length", "ids_crc32").collect())
+    assert rows(odd) == rows(edge)
+    multi = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    digests = lambda df: sorted(tuple(r) for r in bpe.round_trip_digests(df, multi).select("doc_id", "n_tokens", "ids_sha256").collect())
+    assert digests(odd) == digests(edge)
