@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspool.llm import bpe, common, edit_embedding, language_id, ngram_join, ngram_lm, packing, quality_rules, sharding, toxicity, warc
+from lumenspool.llm import bpe, common, edit_embedding, exact_dedup, language_id, ngram_join, ngram_lm, packing, prefix_trie, quality_rules, sharding, toxicity, vector_codes, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,6 +71,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payload=False).drop("url")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(common.table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_edit_embedding": op2_edit_embedding,
@@ -82,10 +94,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_lm": op8_ngram_lm,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = "[^\\x20\\x09-\\x0D]+"
+_NEAREST = """{name} as (select vec_id, label, part, entry, far from (select v.vec_id, v.label, v.part, e.entry, list_sum(list_transform(list_zip(v.x, e.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far from v join {books} e using (part))
+ qualify row_number() over (partition by vec_id, part order by far, entry) = 1)"""
+_MEANS = """{name} as (select b.part, b.entry, coalesce(m.y, b.y) as y from {books} b left join (select part, entry, list((s - ((s % n) + n) % n) // n order by place) as y from
+ (select part, entry, place, sum(x)::bigint as s, count(*) as n from (select a.part, a.entry, unnest(v.x) as x, generate_subscripts(v.x, 1) as place from {near} a join v using (vec_id, part)) group by all) group by all) m using (part, entry))"""
 _MARKS = ", ".join("'" + c.replace("'", "''") + "'" for c in quality_rules.ENDINGS)
 
 ORACLE: dict[str, str] = {
@@ -120,4 +139,35 @@ select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as
     "op10_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages), q as (select *, octet_length(encode(html))::bigint as payload_bytes, max(page_id) over (partition by html) as last from p)
 select page_id, payload_bytes, sha1(html) as payload_digest, case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id < last then last end as refers_to from q""",
+    "op11_exact_dedup": f"""
+with d as (select doc_id, length(coalesce(text, '')) as n, sha256(translate(coalesce(text, ''), {_BLANKS}, '')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by text_sha256) as group_size, row_number() over best = 1 as kept, text_sha256
+from d window best as (partition by text_sha256 order by n desc, doc_id nulls last)""",
+    # Every prefix of every rebuilt conversation as a row; subtrees by what their members' paths hold.
+    "op12_prefix_trie": f"""
+with t as (select conv_id, conv_id - conv_id % 20 as base, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i from conversations where conv_id is not null),
+c as (select distinct conv_id, base from t),
+h as (select conv_id, base, (list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)), lambda a, x: list_reduce(list_concat([xor(a, x)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, _: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end))) as register from c),
+o as (select conv_id, base, (4294967295 - register) % 4 as h from h),
+r as (select o.conv_id, b.i as place, b.role, b.text from o join t b on b.conv_id = o.base and b.i <= o.h
+ union all select t.conv_id, 100 + t.i, t.role, t.text from o join t using (conv_id) where t.i > o.h),
+s as (select conv_id, row_number() over (partition by conv_id order by place) as depth, length(role) || ':' || role || text as turn, len(regexp_extract_all(text, '{_WORD}')) as words from r),
+l as (select conv_id, list(sha256(turn) order by depth) as turns, list(words order by depth) as words from s group by 1),
+p as (select conv_id, 0 as depth, '' as key, null as parent, 0 as words from c
+ union all select conv_id, depth, array_to_string(turns[1:depth], '') as key, array_to_string(turns[1:depth - 1], '') as parent, words[depth] from (select *, unnest(range(1, len(turns) + 1)) as depth from l)),
+n as (select key, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(parent) as parent, any_value(words) as words from p group by key, depth),
+k as (select parent as key, count(*) as n_children from n where depth > 0 group by 1),
+u as (select distinct a.key, b.key as below from p a join p b on a.conv_id = b.conv_id and b.depth >= a.depth),
+sums as (select u.key, count(*) filter (k.key is null) as n_leaves, sum((n.n_convs - 1) * n.words)::bigint as saved_tokens from u join n on n.key = u.below left join k on k.key = u.below group by 1),
+e as (select key, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from (select *, lead(depth) over (partition by conv_id order by depth) is null as last from p) where last group by 1)
+select n.conv_id, n.depth::bigint as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, sums.n_leaves, sums.saved_tokens, coalesce(e.ends_sha256, sha256('')) as ends_sha256
+from n left join n q on q.key = n.parent and n.depth > 0 left join k on k.key = n.key join sums on sums.key = n.key left join e on e.key = n.key""",
+    "op13_vector_codes": f"""
+with w as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (select vec_id, label, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] as x from w, (select unnest(range(16)) as part)),
+b0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as y from v where vec_id in (select vec_id from w order by vec_id limit 64)),
+{_NEAREST.format(name="n0", books="b0")}, {_MEANS.format(name="b1", books="b0", near="n0")}, {_NEAREST.format(name="n1", books="b1")}, {_MEANS.format(name="b2", books="b1", near="n1")}, {_NEAREST.format(name="n2", books="b2")},
+c as (select vec_id, any_value(label) as label, string_agg(printf('%02x', entry::integer), '' order by part) as code, sum(far)::bigint as error from n2 group by 1),
+k as (select sha256(array_to_string(flatten(list(y order by part, entry)), ',')) as codebooks_sha256 from b2)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c, k""",
 }
