@@ -54,20 +54,20 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(_x_item, _x_most): hashes of digests that may be heavy with the most rows they can have; at most TRACKED of them."""
+    """(_x_item, _x_rows): hashes of digests that may be heavy, at most TRACKED of them, and the number of all rows."""
     items = rows.select(F.xxhash64("_x_digest").alias("item"), F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("fan"))
     some = items.groupBy("fan").agg(F.expr(f"approx_top_k_accumulate(item, {TRACKED})").alias("summary"), F.count(F.lit(1)).alias("n"))
-    whole = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {TRACKED}), {TRACKED})").alias("top"), F.sum("n").alias("n"))
-    named = whole.select("n", F.explode("top").alias("t")).select(F.col("t.item").alias("_x_item"), F.col("t.count").alias("_x_most"), "n")
-    return named.where((F.col("_x_most") > 1) & (F.col("_x_most") * HEAVY >= F.col("n"))).drop("n")
+    # Grouped by a constant: the aggregate fails to merge the summary that a global one makes of an empty partition.
+    whole = some.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {TRACKED}), {TRACKED})").alias("top"), F.sum("n").alias("n"))
+    named = whole.select("n", F.explode("top").alias("t"))
+    return named.where((F.col("t.count") > 1) & (F.col("t.count") * HEAVY >= F.col("n"))).select(F.col("t.item").alias("_x_item"), F.col("n").alias("_x_rows"))
 
 
 def heavy_winners(rows: DataFrame) -> DataFrame:
     """(_x_digest, _x_best, _x_size) of the heavy digests, counted exactly; written to the shared folder."""
-    named = F.broadcast(candidates(rows).select("_x_item"))
-    counted = rows.withColumn("_x_item", F.xxhash64("_x_digest")).join(named, "_x_item").groupBy("_x_digest").agg(F.min("_x_rank").alias("_x_best"), F.count(F.lit(1)).alias("_x_size"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"))
-    return common.materialize(counted.join(F.broadcast(whole), F.col("_x_size") * HEAVY >= F.col("n")).drop("n"), "heavy")
+    named = F.broadcast(candidates(rows))
+    counted = rows.withColumn("_x_item", F.xxhash64("_x_digest")).join(named, "_x_item").groupBy("_x_digest").agg(F.min("_x_rank").alias("_x_best"), F.count(F.lit(1)).alias("_x_size"), F.max("_x_rows").alias("_x_rows"))
+    return common.materialize(counted.where(F.col("_x_size") * HEAVY >= F.col("_x_rows")).drop("_x_rows"), "heavy")
 
 
 def classified(rows: DataFrame) -> DataFrame:
