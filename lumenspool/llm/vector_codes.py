@@ -53,7 +53,10 @@ def to_integers(values: np.ndarray) -> np.ndarray:
 
 
 class Bounds:
-    """Block sums and residual norms of rows (n, width) at every block length from the whole width down."""
+    """Block sums and residual norms of rows (n, width) at every block length from the whole width down: (length, (n, 2 x blocks) features).
+
+    The squared distance of two rows' features over the length is a lower bound of the rows' own squared distance.
+    """
 
     def __init__(self, rows: np.ndarray):
         n, width = rows.shape
@@ -61,37 +64,48 @@ class Bounds:
         while True:
             blocks = rows.reshape(n, width // length, length)
             sums = blocks.sum(2)
-            self.levels.append((length, sums, np.sqrt((length * (blocks * blocks).sum(2) - sums * sums).astype(np.float64))))
+            self.levels.append((length, np.hstack([sums.astype(np.float64), np.sqrt((length * (blocks * blocks).sum(2) - sums * sums).astype(np.float64))])))
             if length % 2 or length == 2:
                 return
             length //= 2
 
 
-def _bound(length: int, sums_x, norms_x, sums_y, norms_y) -> np.ndarray:
-    """Lower bounds of squared distances, over the last axis (blocks)."""
-    apart = (sums_x - sums_y).astype(np.float64)
-    size = apart * apart + (norms_x - norms_y) ** 2
-    return (size - SLACK * (size + norms_x * norms_x + norms_y * norms_y)).sum(-1) / length
+def _bounds(length: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(n, m) lower bounds of all rows and entries as one matrix product, lowered by the slack."""
+    size_x, size_y = (x * x).sum(1), (y * y).sum(1)
+    return np.column_stack([x, (1 - SLACK) * size_x, np.ones(len(x))]) @ np.vstack([-2 * y.T, np.ones(len(y)), (1 - SLACK) * size_y]) / length
+
+
+def _bounds_of(length: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same of pairs of rows and entries."""
+    return (((x - y) ** 2).sum(1) - SLACK * ((x * x).sum(1) + (y * y).sum(1))) / length
 
 
 def nearest(rows: np.ndarray, entries: np.ndarray, entry_bounds: Bounds) -> tuple[np.ndarray, np.ndarray, int]:
-    """(index, squared distance) of each row's nearest entry, the lower index on ties; and how many exact distances that took."""
+    """(index, squared distance) of each row's nearest entry, the lower index on ties; and how many exact distances that took.
+
+    At each level the entry with the least bound gets its exact distance, and entries whose bound is above the least
+    exact distance so far go. While more than an eighth of all pairs are left, a level is one matrix product.
+    """
     n = len(rows)
-    mine = Bounds(rows)
-    length, sums, norms = mine.levels[0]
-    _, sums_y, norms_y = entry_bounds.levels[0]
-    coarse = _bound(length, sums[:, None], norms[:, None], sums_y[None], norms_y[None])
-    pilot = coarse.argmin(1)
-    most = ((rows - entries[pilot]) ** 2).sum(1)
-    i, j = np.nonzero(coarse <= most[:, None])
-    for (length, sums, norms), (_, sums_y, norms_y) in zip(mine.levels[1:], entry_bounds.levels[1:], strict=True):
-        left = _bound(length, sums[i], norms[i], sums_y[j], norms_y[j]) <= most[i]
-        i, j = i[left], j[left]
-    exact = ((rows[i] - entries[j]) ** 2).sum(1)
-    starts = np.searchsorted(i, np.arange(n))
-    best = np.minimum.reduceat(exact, starts) if n else np.zeros(0, np.int64)
-    index = np.minimum.reduceat(np.where(exact == best[i], j, len(entries)), starts) if n else np.zeros(0, np.int64)
-    return index, best, len(i) + n
+    exact = lambda i, j: ((rows[i] - entries[j]) ** 2).sum(1)
+    most, left, pairs, every = np.full(n, np.iinfo(np.int64).max), np.ones((n, len(entries)), bool), None, np.arange(n)
+    for (length, x), (_, y) in zip(Bounds(rows).levels, entry_bounds.levels, strict=True):
+        if pairs is None:
+            bound = _bounds(length, x, y)
+            most = np.minimum(most, exact(every, bound.argmin(1)))
+            left &= bound <= most[:, None]
+            if left.sum() * 8 <= left.size:
+                pairs = np.nonzero(left)
+        else:
+            fine = _bounds_of(length, x[pairs[0]], y[pairs[1]]) <= most[pairs[0]]
+            pairs = pairs[0][fine], pairs[1][fine]
+    i, j = np.nonzero(left) if pairs is None else pairs
+    far = exact(i, j)
+    starts = np.searchsorted(i, every)
+    best = np.minimum.reduceat(far, starts) if n else np.zeros(0, np.int64)
+    index = np.minimum.reduceat(np.where(far == best[i], j, len(entries)), starts) if n else np.zeros(0, np.int64)
+    return index, best, len(i) + n * len(entry_bounds.levels)
 
 
 class Coder:
