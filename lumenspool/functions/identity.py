@@ -91,10 +91,12 @@ def canonical(fields: dict[str, Column]) -> Column:
 
 
 def json_text(value: Column) -> Column:
-    """A text as a JSON string."""
+    """A text as a JSON string; control characters as a JSON writer has them."""
     safe = value
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         safe = F.replace(safe, F.lit(a), F.lit(b))
+    shown = lambda c: F.when(F.ascii(c) < 32, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
+    safe = F.when(value.rlike(r"[\x00-\x1F]"), F.array_join(F.transform(F.split(safe, ""), shown), "")).otherwise(safe)
     return F.concat(F.lit('"'), safe, F.lit('"'))
 
 

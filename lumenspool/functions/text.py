@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspool.functions import columns as C
 
-# Token rules, one a name. Letters and digits of any script; case does not matter.
+#: Token rules, one a name. Letters and digits of any script; case does not matter.
 ADDRESS = r"https?://\S+"
 MAILBOX = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b"
 LOOSE_MAILBOX = r"\b\S+@\S+\.\S+\b"

@@ -205,3 +205,17 @@ def review_details(queue: DataFrame, frames: DataFrame, claims: DataFrame) -> Da
 def final_status(blocking: Column, unresolved: Column, guarded: Column, configured: Column) -> Column:
     """Status of a project by its numbers of blocking failures, open reviews and guarded claims."""
     return F.when(blocking > 0, "blocked").when((unresolved > 0) | (guarded > 0), "review_required").when(configured.isin("human_reviewed", "fully_verified"), configured).otherwise("automatically_checked")
+
+
+def budget_markers(frontier: DataFrame, items: DataFrame) -> DataFrame:
+    """(project, review_id, event_ids, state): the one live marker that each project keeps for events whose turn has not come.
+
+    frontier: project, event_id (the deferred events now). items: project, review_id, event_ids, decision (the markers so far). The undecided
+    marker with the greatest id is moved to the present frontier (state moved), others that are undecided go (closed), as do all where nothing is
+    deferred; a project without one gets a new one (review_id null, state new). Decided markers are not touched.
+    """
+    now = frontier.groupBy("project").agg(F.array_sort(F.collect_set("event_id")).alias("_now"))
+    live = items.where("decision is null or trim(decision) = ''").withColumn("_rn", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("review_id"))))
+    both = live.join(now, "project", "full_outer")
+    state = F.when(F.col("review_id").isNull(), "new").when(F.col("_now").isNull() | (F.col("_rn") > 1), "closed").otherwise("moved")
+    return both.select("project", "review_id", F.when(state == "closed", F.col("event_ids")).otherwise(F.col("_now")).alias("event_ids"), state.alias("state"))

@@ -26,24 +26,26 @@ def union(df: DataFrame, keys: list[str], touch_ms: int = 0) -> DataFrame:
     return islands(rows, keys, ["start_ms", "end_ms"], new).groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
-#: A coarse bucket's width in fine ones; an interval that touches more than ``FINE`` fine buckets lies in coarse ones only.
+#: A coarse bucket's width in fine ones; an interval that touches more than ``FINE`` fine buckets is long and lies in coarse ones only.
 COARSE, FINE = 256, 16
+#: Who meets where: short with short in fine buckets; in coarse ones short with long, long with short, long with long (left side first).
+SHORTS, SHORT_LONG, LONG_SHORT, LONGS = range(4)
 
 
-def _bucketed(df: DataFrame, start: str, end: str, width_ms: int, prefix: str) -> DataFrame:
-    """df with a row for each bucket that a row's interval touches: level (0 fine, 1 coarse), bucket, and whether the row belongs to the level or is its guest.
+def _bucketed(df: DataFrame, start: str, end: str, width_ms: int, prefix: str, is_left: bool) -> DataFrame:
+    """df with a row for each bucket that a row's interval touches and each kind of meeting there that it takes part in.
 
-    Short intervals belong to the fine level and are guests of the coarse one, where the long ones belong.
+    The kind is part of what is joined, so two short intervals never come together in a coarse bucket.
     """
     last = F.greatest(F.col(end), F.col(start) + 1) - 1
     at = lambda t, w: F.floor(t / w).cast("long")
     fine, coarse = F.sequence(at(F.col(start), width_ms), at(last, width_ms)), F.sequence(at(F.col(start), width_ms * COARSE), at(last, width_ms * COARSE))
     short = at(last, width_ms) - at(F.col(start), width_ms) < FINE
-    place = lambda buckets, level, guest: F.transform(buckets, lambda x: F.struct(F.lit(level).alias("level"), x.alias("bucket"), F.lit(guest).alias("guest")))
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    every = F.when(short, F.concat(place(fine, 0, False), place(coarse, 1, True))).otherwise(place(coarse, 1, False))
-    rows = rows.withColumn("_at", F.explode(every))
-    return rows.select(*df.columns, *[F.col(f"_at.{c}").alias(f"{prefix}{c}") for c in ("level", "bucket", "guest")])
+    place = lambda buckets, meeting: F.transform(buckets, lambda x: F.struct(F.lit(meeting).alias("meeting"), x.alias("bucket")))
+    as_short, as_long = (SHORT_LONG, LONG_SHORT) if is_left else (LONG_SHORT, SHORT_LONG)
+    every = F.when(short, F.concat(place(fine, SHORTS), place(coarse, as_short))).otherwise(F.concat(place(coarse, as_long), place(coarse, LONGS)))
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_at", F.explode(every))
+    return rows.select(*df.columns, *[F.col(f"_at.{c}").alias(f"{prefix}{c}") for c in ("meeting", "bucket")])
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, width_ms: int = 10_000, kind: str = "inner") -> DataFrame:
@@ -58,16 +60,21 @@ def range_join(left: DataFrame, right: DataFrame, key: str, width_ms: int = 10_0
         names = [F.col(f"`{c}`") for c in left.columns]
         left = left.withColumns({"_h": F.xxhash64(*names), "_i": F.xxhash64(F.lit(1), *names)})
         left = left.withColumn("_n", F.row_number().over(Window.partitionBy("_h", "_i").orderBy("_h")))
-    l, r = _bucketed(left, "start_ms", "end_ms", width_ms, "_l_"), _bucketed(right.withColumnRenamed(key, "_key"), "r_start", "r_end", width_ms, "_r_")  # noqa: E741
-    on = (l[key] == r["_key"]) & (l["_l_level"] == r["_r_level"]) & (l["_l_bucket"] == r["_r_bucket"]) & ~(l["_l_guest"] & r["_r_guest"]) & (l["start_ms"] < r["r_end"]) & (r["r_start"] < l["end_ms"])
+    l, r = candidates(left, right, key, width_ms)  # noqa: E741
+    on = (l[key] == r["_key"]) & (l["_l_meeting"] == r["_r_meeting"]) & (l["_l_bucket"] == r["_r_bucket"]) & (l["start_ms"] < r["r_end"]) & (r["r_start"] < l["end_ms"])
     if kind == "inner":
-        width = F.when(F.col("_l_level") == 0, F.lit(width_ms)).otherwise(F.lit(width_ms * COARSE))
+        width = F.when(F.col("_l_meeting") == SHORTS, F.lit(width_ms)).otherwise(F.lit(width_ms * COARSE))
         home = F.floor(F.greatest("start_ms", "r_start") / width) == F.col("_l_bucket")
         return l.join(r, on).where(home).select(*left.columns, *[c for c in right.columns if c != key])
     hits = l.join(r, on, "left_semi").select("_h", "_i", "_n").distinct()
     return left.join(hits, ["_h", "_i", "_n"], kind).select(*[F.col(f"`{c}`") for c in given.columns])
 
 
+def candidates(left: DataFrame, right: DataFrame, key: str, width_ms: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a range join by bucket; right's key is named _key. What has equal key, meeting and bucket is compared."""
+    return _bucketed(left, "start_ms", "end_ms", width_ms, "_l_", True), _bucketed(right.withColumnRenamed(key, "_key"), "r_start", "r_end", width_ms, "_r_", False)
+
+
 def ranked(df: DataFrame, coarse: list, fine: list, name: str = "rank") -> DataFrame:
     """df with the rank of each row in the order of coarse, then fine columns, without one global sort.
 
@@ -109,10 +116,18 @@ def coverage(cues: DataFrame, speech: DataFrame, key: str) -> DataFrame:
 
 
 def elementary_winners(df: DataFrame, key: str, rank: Column) -> DataFrame:
-    """Atomic intervals between all boundaries; the best ranked covering row wins; equal neighbours merge. df: key, start_ms, end_ms, label."""
+    """Atomic intervals between all boundaries; the best ranked covering row wins; equal neighbours merge. df: key, start_ms, end_ms, label.
+
+    Intervals of one rank and label count as their union, so no more of them cover a point than there are labels.
+    """
+    same = [key, "_rank", "label"]
+    w = Window.partitionBy(*same).orderBy("start_ms", "end_ms")
+    rows = df.where("end_ms > start_ms").select(key, rank.alias("_rank"), "label", "start_ms", "end_ms").withColumn("_reach", F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach"))
+    df = islands(rows, same, ["start_ms", "end_ms"], new).groupBy(*same, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
     cuts = df.select(key, F.explode(F.array("start_ms", "end_ms")).alias("a")).distinct()
     atoms = cuts.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where("b is not null").select(key, F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
-    right = df.select(key, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.struct(rank.alias("rank"), "label").alias("r_best"))
+    right = df.select(key, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.struct(F.col("_rank").alias("rank"), "label").alias("r_best"))
     best = range_join(atoms, right, key).groupBy(key, "start_ms", "end_ms").agg(F.min("r_best").alias("best")).select(key, "start_ms", "end_ms", F.col("best.label").alias("label"))
     w = Window.partitionBy(key).orderBy("start_ms")
     new = F.lag("label").over(w).isNull() | (F.lag("label").over(w) != F.col("label")) | (F.lag("end_ms").over(w) != F.col("start_ms"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenspool.functions import columns as C
-from lumenspool.functions import diff
 from lumenspool.functions import text as X
 from lumenspool.operators import captions, intervals, selection
 from lumenspool.plans.registry import ORACLE, QUERIES, query
@@ -383,13 +382,6 @@ def selection_greedy(spark, sf):
     return selection.select_greedy(f, 40)
 
 
-@query()
-def ordered_coverage(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
-    return c.select("conv_id", "turn", diff.ordered_coverage(C.audit_tokens(F.col("before")), C.audit_tokens(F.col("text"))).alias("c")).select("conv_id", "turn", "c.*")
-
-
 @query(f"""with recursive {SIG}, p as (select distinct media_id, actual_ms as t from signals), r(media_id, t) as (select media_id, min(t) from p group by 1 union all
  select media_id, n from (select r.media_id, (select min(p.t) from p where p.media_id = r.media_id and p.t >= r.t + 30000) as n from r) where n is not null)
 select media_id, t as actual_ms from r union select media_id, max(t) from p group by 1""")
@@ -397,4 +389,4 @@ def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
 
 
-from lumenspool.plans import audit_queries, block_queries, caption_queries, claim_queries, media_queries, sink_queries, source_queries, survey_queries, text_queries  # noqa: E402, F401
+from lumenspool.plans import alignment_queries, audit_queries, block_queries, caption_queries, claim_queries, frame_queries, media_queries, sink_queries, source_queries, state_queries, survey_queries, text_queries, tree_queries  # noqa: E402, F401
