@@ -78,14 +78,18 @@ def candidates(left: DataFrame, right: DataFrame, key: str, width_ms: int = 10_0
 def ranked(df: DataFrame, coarse: list, fine: list, name: str = "rank") -> DataFrame:
     """df with the rank of each row in the order of coarse, then fine columns, without one global sort.
 
-    coarse: (name, column, descending) of a few values that part the order; their counts, summed in order, go in front of
-    places within each.
+    coarse: (name, column, descending) that part the order ever finer, the first into few parts. The rows that go ahead of a
+    part are those ahead of the part that it lies in and those of its earlier neighbours there, so only a part's own
+    sub-parts are sorted together.
     """
     keys = [f"_{n}" for n, _, _ in coarse]
     rows = df.withColumns({f"_{n}": c for n, c, _ in coarse})
-    order = [F.desc(f"_{n}") if down else F.asc(f"_{n}") for n, _, down in coarse]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).withColumn("_ahead", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    counts, ahead = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")), None
+    for i, (key, (_, _, down)) in enumerate(zip(keys, coarse, strict=True)):
+        level = counts.groupBy(*keys[: i + 1]).agg(F.sum("_k").alias("_k"))
+        before = Window.partitionBy(*keys[:i]).orderBy(F.desc(key) if down else F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("_here", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+        ahead = level.withColumnRenamed("_here", "_ahead") if ahead is None else level.join(ahead, keys[:i]).withColumn("_ahead", F.col("_ahead") + F.col("_here")).drop("_here")
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine))).join(ahead, keys)
     return rows.withColumn(name, F.col("_ahead") + F.col("_place")).drop(*keys, "_place", "_ahead")
 

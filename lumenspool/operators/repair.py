@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenspool.functions import timing as M
 from lumenspool.functions.text import normalized_token
@@ -44,13 +45,20 @@ def trimmed(segment: Column, n: Column) -> Column:
 
 
 def merge_overlapping(segments: DataFrame, least_overlap: float = 0.2) -> DataFrame:
-    """segments without what overlapping chunks recognised twice, a fold over each media in order of time.
+    """segments without what overlapping chunks recognised twice, a fold over each stretch of a media in order of time.
 
-    Of two with the same words that overlap by at least ``least_overlap`` the more confident stays; otherwise repeated leading words are cut off.
+    A stretch ends where a segment starts after all before it, words included, have ended: nothing merges across that, so a
+    fold holds segments that overlap and no more. Untimed segments stand by themselves. Of two with the same words that overlap by at least ``least_overlap`` the more confident stays; otherwise repeated leading words are cut off.
     """
     fields = ("source_order", "segment_id", "start_ms", "end_ms", "text", "confidence", "words")
+    ends = F.greatest("end_ms", "start_ms", F.array_max(F.transform("words", lambda w: w["end_ms"])))
+    begins = F.least("start_ms", F.array_min(F.transform("words", lambda w: w["start_ms"])))
+    w = Window.partitionBy("media_id").orderBy(F.asc_nulls_last("start_ms"), "end_ms", "source_order")
+    reach = F.max(F.coalesce(ends, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(begins >= reach, F.lit(True)) | F.col("start_ms").isNull() | F.col("end_ms").isNull()
+    segments = intervals.islands(segments.withColumn("_new", new), ["media_id"], [F.asc_nulls_last("start_ms"), "end_ms", "source_order"], F.col("_new"), "_stretch")
     item = F.struct(F.col("start_ms").isNull().alias("untimed"), F.coalesce("start_ms", F.lit(0)).alias("a"), F.coalesce("end_ms", F.lit(0)).alias("b"), F.col("source_order").alias("o"), F.struct(*fields).alias("s"))
-    lists = segments.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("s"))
+    lists = segments.groupBy("media_id", "_stretch").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("s"))
     kind = dict(segments.select(F.array(F.struct(*fields)).alias("s")).dtypes)["s"]
     words = lambda t: F.array_join(F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != ""), " ")
 

@@ -1,20 +1,24 @@
 """Greedy frame selection, point thinning and duplicate predicates.
 
-Greedy choice depends on what was chosen before, so it runs per media in Arrow-fed pandas groups; the
-budget-only part is a window (see the catalog's ``selection_within_budget``).
+Greedy choice depends on what was chosen before, but only within two minutes, so stretches of a media are decided side
+by side, in rounds; the budget is a rank of what they choose (see also the catalog's ``selection_within_budget``).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenspool.sinks.shared import written
+
 WINDOW_MS = 120_000
 
 
@@ -27,17 +31,37 @@ def relaxed_duplicate(hamming: Column, ratio: Column, mean: Column, edge: Column
 
 
 def thin_points(df: DataFrame, key: str, time: str, spacing_ms: int) -> DataFrame:
-    """(key, time): first and last points, and inner ones at least spacing_ms after the last kept one.
+    """(key, time): first and last points, and inner ones at least spacing_ms after the last kept one. Null times are no points.
 
-    Points that lie apart by spacing_ms are always kept, so choice begins anew there: the fold runs over each dense stretch by itself.
+    Points are read in order as a stream of batches and the last kept time is all that is carried on, so a key may have any number of them.
     """
-    w = Window.partitionBy(key).orderBy(time)
-    points = df.select(key, time).distinct().withColumn("_new", F.coalesce(F.col(time) - F.lag(time).over(w) >= spacing_ms, F.lit(True)).cast("int"))
-    points = points.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = points.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.col(time).cast("bigint"))).alias("p"))
-    kept = F.aggregate("p", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= spacing_ms), F.array_append(acc, t)).otherwise(acc))
-    last = points.groupBy(key).agg(F.max(time).cast("bigint").alias(time))
-    return stretches.select(key, F.explode(kept).alias(time)).union(last).distinct()
+    kinds = dict(df.dtypes)
+
+    def jump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            keys, times = batch.column(0), batch.column(1).to_numpy()
+            runs = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(times)]
+            kept = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if (name := keys[i].as_py()) != at or last is None:
+                    at, last = name, None
+                k = i
+                while k < j:
+                    if last is not None:
+                        k += int(np.searchsorted(times[k:j], last + spacing_ms))
+                        if k >= j:
+                            break
+                    kept.append(k)
+                    last = int(times[k])
+            yield pa.record_batch([c.take(pa.array(kept, pa.int64())) for c in batch.columns], names=[key, time])
+
+    points = df.select(key, F.col(time).cast("bigint").alias(time)).where(F.col(time).isNotNull()).distinct()
+    kept = points.repartition(key).sortWithinPartitions(key, time).mapInArrow(jump, f"`{key}` {kinds[key]}, `{time}` bigint")
+    return kept.union(points.groupBy(key).agg(F.max(time).alias(time))).distinct()
 
 
 def hamming_pairs(df: DataFrame, most: int, parts: int = 3, bits: int = 63) -> DataFrame:
@@ -60,28 +84,91 @@ def _xor_all(value: Column, flips: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: value.bitwiseXOR(f))
 
 
-def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5) -> DataFrame:
+#: Width of the stretches of time that are decided by themselves.
+CHUNK_MS = 3_600_000
+_RANK = ("mandatory", "score", "actual_ms", "frame_id")
+
+
+def _order() -> list[Column]:
+    return [F.desc_nulls_last("mandatory"), F.desc_nulls_last("score"), F.asc_nulls_first("actual_ms"), F.asc("frame_id")]
+
+
+def _decide(most_bits: int):
+    """Decides the open frames of a stretch as far as the frames around allow: 1 selected, 2 covered, 0 open still."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("actual_ms", kind="stable").reset_index(drop=True)
+        time, bits, status = group["actual_ms"].to_numpy(np.int64), group["hash"].to_numpy(np.int64), group["_status"].to_numpy(np.int8).copy()
+        ranked = group.sort_values(list(_RANK), ascending=[False, False, True, True]).index.to_numpy()
+        rank = np.empty(len(group), np.int64)
+        rank[ranked] = np.arange(len(group))
+        low, high = np.searchsorted(time, time - WINDOW_MS, "left"), np.searchsorted(time, time + WINDOW_MS, "right")
+        own = ~group["_guest"].to_numpy(bool)
+        for k in ranked[own[ranked] & (status[ranked] == 0)].tolist():
+            around = slice(low[k], high[k])
+            near = (np.bitwise_count(bits[around] ^ bits[k]) <= most_bits) & (rank[around] < rank[k])
+            if (near & (status[around] == 1)).any():
+                status[k] = 2
+            elif not (near & (status[around] == 0)).any():
+                status[k] = 1
+        group["_status"] = status
+        return group[own].drop(columns=["_guest", "_chunk"])
+
+    return run
+
+
+def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """frames (media_id, frame_id, actual_ms, score, mandatory, hash) with selected and representative.
 
     Order: mandatory, score, earlier time, id. A frame within 120 s and ``most_bits`` of a selected one is
     covered by it unless mandatory; the budget binds all but mandatory frames.
+
+    Without a budget the choice is that of the first independent set in order of rank. Stretches of a media decide their
+    frames side by side; a frame whose better-ranked neighbour lies in another stretch and is open waits for the next
+    round. The best open frame never waits, so rounds end. The budget then keeps the best ones of those selected, since
+    what it cuts off comes after all that it keeps.
+
+    Defined cases: frames without time or hash cover nothing and are covered by nothing; null scores rank last, null
+    mandatory counts as not mandatory; an empty table gives an empty table; frame ids are a media's own.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes)
+    state = frames.withColumn("mandatory", F.coalesce("mandatory", F.lit(False)))
+    alone = F.col("actual_ms").isNull() | F.col("hash").isNull()
+    state = written(state.withColumn("_status", F.when(F.col("mandatory") | alone, 1).otherwise(0).cast("tinyint")), "frames")
+    chunk = lambda t: F.floor(t / chunk_ms)
+    while not state.where("_status = 0").isEmpty():
+        open_ = state.where("_status = 0").select("media_id", chunk(F.col("actual_ms")).alias("_chunk")).distinct()
+        placed = state.where(~alone).withColumn("_chunk", F.explode(F.sequence(chunk(F.col("actual_ms") - WINDOW_MS), chunk(F.col("actual_ms") + WINDOW_MS))))
+        placed = placed.withColumn("_guest", F.col("_chunk") != chunk(F.col("actual_ms"))).join(open_, ["media_id", "_chunk"], "left_semi")
+        decided = placed.groupBy("media_id", "_chunk").applyInPandas(_decide(most_bits), f"{kinds}, _status tinyint")
+        rest = state.withColumn("_chunk", chunk(F.col("actual_ms"))).join(open_, ["media_id", "_chunk"], "left_anti").drop("_chunk").select(*frames.columns, "_status")
+        state = written(decided.select(*frames.columns, "_status").union(rest), "frames")
+    place = F.row_number().over(Window.partitionBy("media_id").orderBy(*_order()))
+    chosen = state.where("_status = 1").withColumn("_place", place).where((F.col("_place") <= budget) | F.col("mandatory"))
+    # The best selected frame near each other frame: within a window's length it lies in the same bucket or a neighbour's.
+    bucket = F.floor(F.col("actual_ms") / WINDOW_MS)
+    near = chosen.where(~alone).select("media_id", bucket.alias("_bucket"), F.col("frame_id").alias("_by"), F.col("actual_ms").alias("_t"), F.col("hash").alias("_h"), "_place")
+    asked = state.where(~alone).withColumn("_bucket", F.explode(F.sequence(bucket - 1, bucket + 1))).select("media_id", "frame_id", "_bucket", "actual_ms", "hash")
+    met = asked.join(near, ["media_id", "_bucket"]).where((F.abs(F.col("actual_ms") - F.col("_t")) <= WINDOW_MS) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("_h"))) <= most_bits))
+    best = met.groupBy("media_id", "frame_id").agg(F.min_by("_by", "_place").alias("_by"))
+    taken = chosen.select("media_id", "frame_id", F.lit(True).alias("_taken"))
+    rows = state.join(taken, ["media_id", "frame_id"], "left").join(best, ["media_id", "frame_id"], "left")
+    selected = F.coalesce("_taken", F.lit(False))
+    return rows.select(*frames.columns, selected.alias("selected"), F.when(selected, F.col("frame_id")).otherwise(F.col("_by")).alias("representative"))
+
+
+def selection_report(chosen: DataFrame, tier: Column) -> DataFrame:
+    """A row a media of select_greedy's result: candidates, selected, duplicates, low_score, covered, max_gap_ms, and of each tier candidates, selected and coverage.
+
+    tier: column of very_high, high, supporting or low. A tier without candidates is wholly covered. The gap is 0 below two selected frames with times.
     """
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["mandatory", "score", "actual_ms", "frame_id"], ascending=[False, False, True, True])
-        # What is selected, by stretches of the window's length: only three of them can hold a near frame.
-        chosen: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        selected, by, count = [], [], 0
-        for r in group.itertuples():
-            home = r.actual_ms // WINDOW_MS
-            around = [x for k in (home - 1, home, home + 1) for x in chosen[k]]
-            near = min((x for x in around if abs(x[2] - r.actual_ms) <= WINDOW_MS and ((x[3] ^ r.hash) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most_bits), default=(0, None))[1]
-            take = r.mandatory or (near is None and count < budget)
-            if take:
-                chosen[home].append((count, r.frame_id, r.actual_ms, r.hash))
-                count += 1
-            selected.append(bool(take))
-            by.append(r.frame_id if take else near)
-        return group.assign(selected=selected, representative=pd.array(by, dtype="Int64"))
-
-    kinds = ", ".join(f"{c} {t}" for c, t in frames.dtypes)
-    return frames.groupBy("media_id").applyInPandas(choose, f"{kinds}, selected boolean, representative long")
+    tiers = ("very_high", "high", "supporting", "low")
+    rows = chosen.withColumn("_tier", tier)
+    covered = F.col("representative").isNotNull()
+    counts = rows.groupBy("media_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("selected").alias("selected"), F.count_if(~F.col("selected") & covered).alias("duplicates"), F.count_if(~F.col("selected") & ~covered).alias("low_score"), F.count_if(covered).alias("covered"),
+        *[F.count_if(F.col("_tier") == t).alias(f"{t}_candidates") for t in tiers], *[F.count_if(F.col("selected") & (F.col("_tier") == t)).alias(f"{t}_selected") for t in tiers])
+    counts = counts.withColumns({f"{t}_coverage": F.when(F.col(f"{t}_candidates") > 0, F.round(F.col(f"{t}_selected") / F.col(f"{t}_candidates"), 6)).otherwise(1.0) for t in tiers})
+    times = rows.where("selected and actual_ms is not null")
+    gap = F.col("actual_ms") - F.lag("actual_ms").over(Window.partitionBy("media_id").orderBy("actual_ms"))
+    gaps = times.withColumn("_gap", gap).groupBy("media_id").agg(F.max("_gap").alias("_gap"))
+    return counts.join(gaps, "media_id", "left").withColumn("max_gap_ms", F.coalesce("_gap", F.lit(0).cast("long"))).drop("_gap")

@@ -376,10 +376,32 @@ def cache_prune_plan(spark, sf):
     return r.groupBy("user_id").agg(F.count_if(F.col("total") <= 1000).alias("kept"), F.count_if(F.col("total") > 1000).alias("pruned"))
 
 
-@query()
+_GREEDY = f"""{SIG}, p as (select media_id, event_id, actual_ms, event_type, {SQLP} from signals), f as (select media_id, event_id as frame_id, actual_ms as t, importance, round({SQLSCORE}, 6) as score, event_type = 'error' as mandatory,
+ xor(xor(('0x' || substr(md5(event_type), 1, 15))::bigint, event_id % 8), (event_id % 7) << 20) as h from p), o as (select *, row_number() over (partition by media_id order by mandatory desc, score desc, t, frame_id) as rn from f),
+r as (select media_id, 0::bigint as rn, []::struct(id bigint, t bigint, h bigint)[] as sel, null::bigint as frame_id, false as selected, null::bigint as representative from (select distinct media_id from o) union all
+ select media_id, rn, case when take then list_append(sel, {{'id': frame_id, 't': t, 'h': h}}) else sel end, frame_id, take, case when take then frame_id else near end from (select *, mandatory or (near is null and len(sel) < 40) as take from
+ (select o.media_id, o.rn, r.sel, o.frame_id, o.mandatory, o.t, o.h, list_filter(r.sel, lambda s: abs(s.t - o.t) <= 120000 and bit_count(xor(s.h, o.h)) <= 5)[1].id as near from r join o on o.media_id = r.media_id and o.rn = r.rn + 1)))"""
+
+
+def _chosen(spark, sf):
+    hashed = F.conv(F.substring(F.md5("event_type"), 1, 15), 16, 10).cast("long").bitwiseXOR(F.pmod("event_id", F.lit(8))).bitwiseXOR(F.shiftleft(F.pmod("event_id", F.lit(7)), 20))
+    f = _frames(spark, sf).select("media_id", F.col("event_id").alias("frame_id"), "actual_ms", "importance", "score", "mandatory", hashed.alias("hash"))
+    return selection.select_greedy(f, 40, chunk_ms=600_000)
+
+
+@query(f"with recursive {_GREEDY} select media_id, frame_id, selected, representative from r where rn > 0")
 def selection_greedy(spark, sf):
-    f = _frames(spark, sf).select("media_id", F.col("event_id").alias("frame_id"), "actual_ms", "score", "mandatory", F.xxhash64("event_type").alias("hash"))
-    return selection.select_greedy(f, 40)
+    """select_frames: greedy choice within a budget, near frames covered by chosen ones."""
+    return _chosen(spark, sf).select("media_id", "frame_id", "selected", "representative")
+
+
+@query(f"""with recursive {_GREEDY}, c as (select r.*, f.t, case when importance >= 0.9 then 'very_high' when importance >= 0.75 then 'high' when importance >= 0.45 then 'supporting' else 'low' end as tier from r join f using (media_id, frame_id) where rn > 0),
+g as (select media_id, max(t - before) as gap from (select media_id, t, lag(t) over (partition by media_id order by t) as before from c where selected) group by 1)
+select media_id, count(*) as candidates, count_if(selected) as selected, count_if(not selected and representative is not null) as duplicates, count_if(representative is null) as low_score, count_if(representative is not null) as covered, {", ".join(f"count_if(tier = '{t}') as {t}_candidates, count_if(selected and tier = '{t}') as {t}_selected, case when count_if(tier = '{t}') > 0 then round(count_if(selected and tier = '{t}') / count_if(tier = '{t}'), 6) else 1.0 end as {t}_coverage" for t in ("very_high", "high", "supporting", "low"))},
+ coalesce(any_value(gap), 0) as max_gap_ms from c left join g using (media_id) group by media_id""")
+def selection_report(spark, sf):
+    """select_frames: what was chosen, covered and left out, by importance."""
+    return selection.selection_report(_chosen(spark, sf), C.tier(F.col("importance")))
 
 
 @query(f"""with recursive {SIG}, p as (select distinct media_id, actual_ms as t from signals), r(media_id, t) as (select media_id, min(t) from p group by 1 union all
