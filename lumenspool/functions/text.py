@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenspool.functions import columns as C
+from lumenspool.functions import unicode as U
 
 #: Token rules, one a name. Letters and digits of any script; case does not matter.
 ADDRESS = r"https?://\S+"
@@ -77,8 +78,8 @@ def first_visible(*wordings: Column) -> Column:
 
 
 def recognized_text(text: Column) -> Column:
-    """Line ends unified, blanks of each line collapsed, empty lines gone (composed forms are left as they are)."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    """Characters composed, line ends unified, blanks of each line collapsed, empty lines gone."""
+    lines = F.split(F.regexp_replace(U.composed(text), "\r\n?", "\n"), "\n")
     return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "^ | $", "")), lambda x: x != ""), "\n")
 
 
@@ -135,8 +136,5 @@ def voice(text: Column) -> Column:
 
 
 def without_cue_tags(text: Column) -> Column:
-    """Cue tags gone, the commonest entities decoded."""
-    plain = F.regexp_replace(text, r"(?i)</?(?:c(?:\.[^ >]+)?|v(?:\s+[^>]*)?|lang(?:\s+[^>]*)?|ruby|rt|b|i|u)>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return plain
+    """Cue tags gone, character references decoded."""
+    return U.unescaped(F.regexp_replace(text, r"(?i)</?(?:c(?:\.[^ >]+)?|v(?:\s+[^>]*)?|lang(?:\s+[^>]*)?|ruby|rt|b|i|u)>", ""))

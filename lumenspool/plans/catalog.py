@@ -411,4 +411,4 @@ def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
 
 
-from lumenspool.plans import alignment_queries, audit_queries, block_queries, caption_queries, claim_queries, frame_queries, media_queries, sink_queries, source_queries, state_queries, survey_queries, text_queries, tree_queries  # noqa: E402, F401
+from lumenspool.plans import alignment_queries, audit_queries, block_queries, bounded_queries, caption_queries, claim_queries, frame_queries, media_queries, observation_queries, sink_queries, source_queries, state_queries, survey_queries, text_queries, tree_queries  # noqa: E402, F401

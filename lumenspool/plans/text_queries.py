@@ -55,7 +55,7 @@ def wording_precedence(spark, sf):
                                       F.md5(X.first_filled(c("human"), c("repaired"), c("normalized"), c("raw"))).alias("filled_md5"), F.md5(X.first_visible(c("raw"), c("human"), c("normalized"))).alias("visible_md5"))
 
 
-@query("""select doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))) as recognized_md5,
+@query("""select doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))) as recognized_md5,
  md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) as comparable_md5,
  md5(replace(replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?m)^(\\s{0,3})([#>-]|[0-9]+[.)])', '\\1\\\\\\2', 'g'), '[', '\\['), ']', '\\]')) as evidence_md5,
  md5('"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(13), ' '), chr(10), ' ') || '"') as yaml_md5,
