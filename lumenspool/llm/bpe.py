@@ -4,10 +4,15 @@ Encoding: the distinct pieces of a slice of rows that are no token themselves be
 rows; a recursive query joins neighbouring positions to the merge table, picks each word's leftmost
 pair of least rank and contracts it, until no word has a pair left. The merge table has every pair of
 tokens whose bytes joined are a token, with that token as rank and result, as the ranks file means it.
-Short words contract one pair a round. Words over ``SHORT`` bytes contract, in one round, all
-occurrences of a token that no contraction of it can undercut (see ``safe`` below), else the leftmost
-one; that gives the same ids in far fewer rounds. A recursive query runs ``ROUNDS`` rounds at a time,
-so what it piles up stays bounded; the rest is asked again.
+A query takes words as long as what its rounds pile up stays within ``ROWS`` rows; the rest goes to the next.
+
+Words over ``SHORT`` bytes are cut into pieces that are contracted by themselves. Tokens in a row are the encoding of
+their bytes if and only if each two neighbours are the encoding of theirs: the first contraction across a border
+would also happen if the two tokens beside it stood alone. So only the borders between pieces are looked at: where two
+tokens contract otherwise together, a window around their border is contracted anew, and its own two borders are
+looked at next. Windows grow with the rounds, up to the whole word, so this ends. Windows over ``SHORT`` bytes
+contract, in one round, all occurrences of a token that no contraction of it can undercut (see ``safe`` below), else
+the leftmost one, ``ROUNDS`` rounds at a time.
 
 Decoding: token-position rows join the vocabulary and an ordered aggregation joins their bytes.
 
@@ -31,6 +36,10 @@ from lumenspool.llm import common
 from lumenspool.llm.pretokens import PieceStore
 
 SHORT, ROUNDS = 63, 64
+#: Bytes of the pieces that long words are cut into, and on either side of a border that is contracted anew at first.
+PIECE, REACH = 24, 16
+#: Rows that the rounds of one query pile up at most, and neighbours whose verdict is remembered; both bound memory only.
+ROWS, HELD_PAIRS = 1 << 22, 1 << 20
 #: Token rows that one decoding query takes at most, unless a single document has more.
 DECODE_ROWS = 1 << 20
 
@@ -97,6 +106,8 @@ class DuckBpe:
         tokens = sorted(ranks.items(), key=lambda x: x[1])
         self._table("vocabulary", id=np.array([r for _, r in tokens], np.int64), bytes=pa.array([t.decode("latin-1") for t, _ in tokens]))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.stays: dict[tuple[int, int], bool] = {}  # neighbours: whether they are the encoding of their bytes
 
     def _table(self, name: str, **columns) -> None:
         incoming = pa.table(columns)  # noqa: F841
@@ -111,13 +122,107 @@ class DuckBpe:
                 out[i] = [whole]
             else:
                 (short if len(w) <= SHORT else long).append(i)
-        if short:
-            size = np.array([len(words[i]) for i in short])
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            self._table("positions", k=np.repeat(np.arange(len(short)), size) * 64 + at, t=self.single[np.frombuffer(b"".join(words[i] for i in short), np.uint8)])
-            done = self.db.execute(_CONTRACT_SHORT).fetchnumpy()
-            self._gather(out, short, done)
-        state = [(i, self.single[np.frombuffer(words[i], np.uint8)]) for i in long]
+        for index, ids in ((short, self._short([words[i] for i in short])), (long, self._long([words[i] for i in long]))):
+            for i, x in zip(index, ids, strict=True):
+                out[i] = x
+        return out
+
+    def _short(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of at most SHORT bytes. A word of n bytes piles up about n * n / 2 rows."""
+        out: list[list[int]] = [[] for _ in words]
+        size = np.array([len(w) for w in words], np.int64)
+        rows = np.append(0, np.cumsum(size * size // 2 + 1))
+        i = 0
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(rows, rows[i] + ROWS, "right")) - 1)
+            many = size[i:j]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            self._table("positions", k=np.repeat(np.arange(j - i), many) * 64 + at, t=self.single[np.frombuffer(b"".join(words[i:j]), np.uint8)])
+            self._gather(out, range(i, j), self.db.execute(_CONTRACT_SHORT).fetchnumpy())
+            i = j
+        return out
+
+    def _any(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of windows and pairs of tokens, each contracted as one."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        wide = [i for i, w in enumerate(words) if len(w) > SHORT]
+        out: list[list[int]] = [[] for _ in words]
+        for index, ids in ((short, self._short([words[i] for i in short])), (wide, self._wide([words[i] for i in wide]))):
+            for i, x in zip(index, ids, strict=True):
+                out[i] = x
+        return out
+
+    def _split(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Those neighbours that contract otherwise together."""
+        new = [p for p in pairs if p not in self.stays]
+        if len(self.stays) + len(new) > HELD_PAIRS:
+            self.stays.clear()
+            new = list(pairs)
+        for (a, b), ids in zip(new, self._any([self.bytes_of[a] + self.bytes_of[b] for a, b in new]), strict=True):
+            self.stays[a, b] = ids == [a, b]
+        return {p for p in pairs if not self.stays[p]}
+
+    def _long(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words over SHORT bytes: pieces, then windows around the borders that do not hold."""
+        cut = [[w[k : k + PIECE] for k in range(0, len(w), PIECE)] for w in words]
+        pieces = iter(self._short([p for parts in cut for p in parts]))
+        state, open_ = [], []
+        for parts in cut:
+            lists = [next(pieces) for _ in parts]
+            state.append([t for x in lists for t in x])
+            open_.append(np.cumsum([len(x) for x in lists])[:-1].tolist())
+        turn = 0
+        while any(open_):
+            reach, turn = REACH << turn // 2, turn + 1
+            bad = self._split({(ids[k - 1], ids[k]) for ids, borders in zip(state, open_, strict=True) for k in borders})
+            windows, spans = [], []
+            for w, (ids, borders) in enumerate(zip(state, open_, strict=True)):
+                if not borders:
+                    continue
+                size = [len(self.bytes_of[t]) for t in ids]
+                mine, last, later = [], 0, []
+                for k in borders:
+                    if (ids[k - 1], ids[k]) not in bad:
+                        continue
+                    a, b, left, right = k, k, 0, 0
+                    while a > 0 and left < reach:
+                        a -= 1
+                        left += size[a]
+                    while b < len(ids) and right < reach:
+                        right += size[b]
+                        b += 1
+                    if a < last:
+                        later.append(k)  # lies within or beside a window of this round
+                    else:
+                        mine.append((a, b))
+                        windows.append(b"".join(self.bytes_of[t] for t in ids[a:b]))
+                        last = b
+                spans.append((w, mine, later))
+            done = iter(self._any(windows))
+            for w, mine, later in spans:
+                ids, new, borders, at = state[w], [], set(), 0
+                waiting = iter([*later, len(ids) + 1])
+                k = next(waiting)
+                for a, b in [*mine, (len(ids), len(ids))]:
+                    while k < a or (k == a and a < len(ids)):  # borders outside windows keep their place among what is copied
+                        borders.add(len(new) + k - at)
+                        k = next(waiting)
+                    new += ids[at:a]
+                    if a == len(ids):
+                        break
+                    fresh = next(done)
+                    borders |= {len(new), len(new) + len(fresh)}
+                    new += fresh
+                    at = b
+                    while k < b:  # within the window: contracted with it
+                        k = next(waiting)
+                state[w], open_[w] = new, sorted(x for x in borders if 0 < x < len(new))
+        return state
+
+    def _wide(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of windows over SHORT bytes, one word each."""
+        out: list[list[int]] = [[] for _ in words]
+        state = [(i, self.single[np.frombuffer(w, np.uint8)]) for i, w in enumerate(words)]
         while state:
             size = np.array([len(t) for _, t in state])
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -134,7 +239,7 @@ class DuckBpe:
         return out
 
     @staticmethod
-    def _gather(out: list[list[int]], index: list[int], done: dict) -> None:
+    def _gather(out: list[list[int]], index, done: dict) -> None:
         cut = np.flatnonzero(np.diff(done["w"], prepend=-1))
         flat, stops = done["t"].tolist(), [*cut[1:].tolist(), len(done["t"])]
         for w, a, b in zip(done["w"][cut].tolist(), cut.tolist(), stops, strict=True):

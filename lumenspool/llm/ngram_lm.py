@@ -38,6 +38,8 @@ BLOCK, LEVELS, DISCOUNT = 4096, 256, 0.75
 HELD_BLOCKS = 256
 #: Tokens looked up at once, distinct keys that a task counts before it passes them on: both bound memory only.
 GROUP_TOKENS, COUNT_KEYS = 1 << 20, 1 << 20
+#: Word types that a model may have: two ids share 64 bits. A corpus with more is refused, never mixed up.
+MOST_TYPES = 1 << 32
 END = np.uint64(0xE0F0E0F0E0F0E0F0)
 
 
@@ -331,6 +333,8 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
     for shard, types, n in dealt.mapInArrow(build_words, "shard long, types long, tokens long").collect():
         model.base[shard + 1], model.tokens = types, model.tokens + n
     model.base = np.cumsum(model.base)
+    if model.types > MOST_TYPES:
+        raise ValueError(f"{model.types} word types: pairs of ids hold {MOST_TYPES} at most")
     common.release_shuffles(spark)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
