@@ -177,3 +177,16 @@ def primary_language(segments: DataFrame, key: str) -> DataFrame:
     best = weights.withColumns({"rn": F.row_number().over(w), "second": F.coalesce(F.lead("w").over(w), F.lit(0)), "total": F.sum("w").over(Window.partitionBy(key))}).where("rn = 1")
     out = best.select(key, F.when((F.col("w") * 100 >= F.col("total") * 60) & (F.col("second") * 100 < F.col("w") * 70), F.col("code")).alias("language"))
     return segments.select(key).distinct().join(out, key, "left")
+
+
+def single_blocks(segments: DataFrame, mode: str) -> DataFrame:
+    """A block a segment (media_id, source_order, segment_id, start_ms, end_ms, speaker, human_verified_text, repaired_text, normalized_text, raw_text, confidence, verification_status), numbered in order, with defaults where the segment says nothing.
+
+    The first wording that is not empty is spoken, in the order above.
+    """
+    given = [F.nullif(F.col(c), F.lit("")) for c in ("human_verified_text", "repaired_text", "normalized_text", "raw_text")]
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy("source_order", "segment_id"))
+    return segments.select(
+        "media_id", F.concat(F.lit("B"), F.lpad(number.cast("string"), 6, "0")).alias("block_id"), F.lit("C001").alias("chapter_id"), "start_ms", "end_ms", F.coalesce(F.nullif("speaker", F.lit("")), F.lit("Speaker 1")).alias("speaker"),
+        F.coalesce(*given, F.lit("")).alias("spoken_text"), F.array("segment_id").alias("segment_ids"), F.lit(mode).alias("fidelity_mode"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+        F.coalesce(F.nullif("verification_status", F.lit("")), F.lit("unverified")).alias("verification_status"))

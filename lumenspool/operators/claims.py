@@ -219,3 +219,16 @@ def budget_markers(frontier: DataFrame, items: DataFrame) -> DataFrame:
     both = live.join(now, "project", "full_outer")
     state = F.when(F.col("review_id").isNull(), "new").when(F.col("_now").isNull() | (F.col("_rn") > 1), "closed").otherwise("moved")
     return both.select("project", "review_id", F.when(state == "closed", F.col("event_ids")).otherwise(F.col("_now")).alias("event_ids"), state.alias("state"))
+
+
+def ensured_decisions(images: DataFrame, existing: DataFrame, answers: DataFrame, state: DataFrame) -> DataFrame:
+    """(decision_id, image_id, status) that images (project, image_id) without a decision (existing: project, decision_id, image_id) still need, numbered on from each project's greatest number in order of image.
+
+    answers and state are those of ``decisions``; an image without questions is not answered by them and is insufficient.
+    """
+    number = F.max(F.regexp_extract("decision_id", r"^MS([0-9]+)$", 1).try_cast("long"))
+    last = existing.groupBy("project").agg(F.coalesce(number, F.lit(0)).alias("_last"))
+    open_ = images.select("project", "image_id").distinct().join(existing.select("project", "image_id").distinct(), ["project", "image_id"], "left_anti")
+    rows = open_.join(decisions(answers, state), "image_id", "left").join(last, "project", "left")
+    n = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("project").orderBy("image_id"))
+    return rows.select("project", F.concat(F.lit("MS"), F.lpad(n.cast("string"), F.greatest(F.lit(6), F.length(n.cast("string"))), F.lit("0"))).alias("decision_id"), "image_id", F.coalesce("status", F.lit("insufficient")).alias("status"))

@@ -17,8 +17,12 @@ def occurrences(text: Column, part: Column) -> Column:
 
 
 def fixture_checks(cases: DataFrame) -> DataFrame:
-    """cases (case_id, text, expected_spoken, expected_tokens arrays) with spoken_matches (exactly once), in_order, token_matches, valid."""
-    places = F.transform("expected_spoken", lambda s: F.position(s, F.col("text")))
+    """cases (case_id, text, expected_spoken, expected_tokens arrays) with spoken_matches (exactly once), in_order, token_matches, valid.
+
+    A null text is empty; an empty expectation is never found, so it is neither matched nor in order.
+    """
+    cases = cases.withColumn("text", F.coalesce("text", F.lit("")))
+    places = F.transform("expected_spoken", lambda s: F.when(F.length(s) > 0, F.position(s, F.col("text"))).otherwise(0))
     rows = cases.withColumn("places", places)
     once = F.size(F.filter("expected_spoken", lambda s: occurrences(F.col("text"), s) == 1))
     found = F.size(F.filter("expected_tokens", lambda t: F.contains(F.col("text"), t)))

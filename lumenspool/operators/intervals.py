@@ -173,3 +173,10 @@ def chunks(df: DataFrame, key: str, chunk_ms: int, overlap_ms: int) -> DataFrame
     rows = df.where("duration_ms > 0").select(key, "duration_ms", F.explode(starts).alias("chunk_start"))
     rows = rows.where((F.col("chunk_start") == 0) | (F.col("chunk_start") + overlap_ms < F.col("duration_ms")))
     return rows.select(key, "chunk_start", F.least(F.col("chunk_start") + chunk_ms, F.col("duration_ms")).alias("chunk_end"))
+
+
+def contained(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (key, start_ms, end_ms, ..) with ``covered``: whether one interval of right (key, r_start, r_end) holds it whole; false for null times."""
+    spans = left.select(key, "start_ms", "end_ms").where("start_ms < end_ms").distinct()
+    held = range_join(spans, right.select(key, "r_start", "r_end"), key).where("r_start <= start_ms and r_end >= end_ms").select(key, "start_ms", "end_ms").distinct().withColumn("_held", F.lit(True))
+    return left.join(held, [key, "start_ms", "end_ms"], "left").select(*[F.col(f"`{c}`") for c in left.columns], F.coalesce("_held", F.lit(False)).alias("covered"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenspool.functions import identity as I
 from lumenspool.operators import intervals
 from lumenspool.operators.blocks import PENDING
 
@@ -30,6 +31,8 @@ RISK_PENDING, RISK_REVIEW, RISK_DOUBT, RISK_NOTES = 100.0, 50.0, 20.0, 10.0
 RISKY = ("review_required", "disputed", "uncertain")
 #: Claims of an image that a request shows, and characters of a statement.
 SHOWN_CLAIMS, SHOWN_CHARACTERS = 12, 1000
+#: Fixed value: uncertain characters that a prompt shows.
+SHOWN_UNCERTAIN = 16
 #: Why a transcript candidate was taken, or not.
 BY_BACKEND = "Selected as the explicitly preferred usable local ASR backend."
 BY_AUTHORITY = "Selected as the explicit local ASR authority while comparing supplied transcript candidates."
@@ -273,3 +276,20 @@ def stale_files(findings: DataFrame, files: DataFrame) -> DataFrame:
     """files (path, folder, name) of rejected frames that a finding names as without a mirror in the ledger; nothing else may go."""
     named = findings.select(F.regexp_extract("finding", r"^image_metadata: hidden candidate ([^/\\]+) lacks a canonical ledger mirror$", 1).alias("name")).where("name <> ''").distinct()
     return files.where("folder = 'rejected-frames'").join(named, "name", "left_semi")
+
+
+def recorded_segments(segments: DataFrame) -> DataFrame:
+    """segments (media_id, attempt, position, backend, words: array of structs text, start_ms, end_ms, ..) of a media's recognition attempts with candidate_id, segment_id and source_track, words with word_id.
+
+    Segments are numbered through all attempts of a media in order; a word's id is made of its segment, place, times and text.
+    """
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy("attempt", "position"))
+    rows = segments.withColumn("segment_id", I.sequential("transcript", number))
+    word = lambda w, i: F.struct(w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), I.deterministic("word", F.col("segment_id"), i, w["start_ms"], w["end_ms"], w["text"]).alias("word_id"))
+    return rows.withColumns({"candidate_id": I.sequential("candidate", F.dense_rank().over(Window.partitionBy("media_id").orderBy("attempt"))), "source_track": F.concat(F.lit("local ASR backend="), "backend"), "words": F.transform("words", word)})
+
+
+def prompt_text(characters: Column) -> Column:
+    """struct(samples, count) of uncertain characters (array of texts): the first distinct ones that a prompt shows, and how many there are."""
+    every = _list(characters)
+    return F.struct(F.slice(F.array_distinct(every), 1, SHOWN_UNCERTAIN).alias("samples"), F.size(every).alias("count"))

@@ -97,7 +97,7 @@ def _decide(most_bits: int):
     """Decides the open frames of a stretch as far as the frames around allow: 1 selected, 2 covered, 0 open still."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("actual_ms", kind="stable").reset_index(drop=True)
-        time, bits, status = group["actual_ms"].to_numpy(np.int64), group["hash"].to_numpy(np.int64), group["_status"].to_numpy(np.int8).copy()
+        time, bits, status = group["actual_ms"].to_numpy(np.int64), group["hash"].to_numpy(np.int64).view(np.uint64), group["_status"].to_numpy(np.int8).copy()
         ranked = group.sort_values(list(_RANK), ascending=[False, False, True, True]).index.to_numpy()
         rank = np.empty(len(group), np.int64)
         rank[ranked] = np.arange(len(group))
@@ -140,7 +140,8 @@ def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5, chunk_ms:
         placed = state.where(~alone).withColumn("_chunk", F.explode(F.sequence(chunk(F.col("actual_ms") - WINDOW_MS), chunk(F.col("actual_ms") + WINDOW_MS))))
         placed = placed.withColumn("_guest", F.col("_chunk") != chunk(F.col("actual_ms"))).join(open_, ["media_id", "_chunk"], "left_semi")
         decided = placed.groupBy("media_id", "_chunk").applyInPandas(_decide(most_bits), f"{kinds}, _status tinyint")
-        rest = state.withColumn("_chunk", chunk(F.col("actual_ms"))).join(open_, ["media_id", "_chunk"], "left_anti").drop("_chunk").select(*frames.columns, "_status")
+        home = F.when(~alone, chunk(F.col("actual_ms")))  # frames that meet no others are in no stretch and stay as they are
+        rest = state.withColumn("_chunk", home).join(open_, ["media_id", "_chunk"], "left_anti").select(*frames.columns, "_status")
         state = written(decided.select(*frames.columns, "_status").union(rest), "frames")
     place = F.row_number().over(Window.partitionBy("media_id").orderBy(*_order()))
     chosen = state.where("_status = 1").withColumn("_place", place).where((F.col("_place") <= budget) | F.col("mandatory"))

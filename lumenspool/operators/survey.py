@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from lumenspool.functions import columns as C
 from lumenspool.functions import text as X
 from lumenspool.functions import timing as M
+from lumenspool.operators.quantiles import quantiles
+from lumenspool.sinks.shared import written
 
 #: Reasons that always protect, roles of a sequence, words that mark a boundary of speech or chapter.
 PROTECTED = ("scene_cut", "ocr_change", "deictic_speech_reference", "chapter_boundary")
@@ -32,8 +34,9 @@ def signal_candidates(signals: DataFrame, key: str, order: str, least: float = 0
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     rows = signals.withColumn("difference", F.greatest(zero("frame_difference"), F.lit(0.0)))
-    middle = rows.groupBy(key).agg(F.median("difference").alias("middle"))
-    spread = rows.join(middle, key).groupBy(key).agg(F.greatest(F.lit(least), F.any_value("middle") + 2.5 * F.median(F.abs(F.col("difference") - F.col("middle")))).alias("limit"))
+    middle = written(quantiles(rows, [key], "difference", {"middle": "median"}), "medians")  # a row a media, read twice
+    away = rows.join(middle, key).withColumn("away", F.abs(F.col("difference") - F.col("middle")))
+    spread = written(quantiles(away, [key], "away", {"mad": "median"}).join(middle, key).select(key, F.greatest(F.lit(least), F.col("middle") + 2.5 * F.col("mad")).alias("limit")), "limits")
     w = Window.partitionBy(key).orderBy("actual_ms", order)
     text = X.comparable(F.col("ocr_text"))
     rows = rows.join(spread, key).withColumns({"read": text, "read_before": F.lag(text).over(w), "blur_before": F.lag(zero("blur")).over(w)})

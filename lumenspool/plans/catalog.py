@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from lumenspool.functions import columns as C
 from lumenspool.functions import text as X
 from lumenspool.operators import captions, intervals, selection
+from lumenspool.operators.quantiles import quantiles
 from lumenspool.plans.registry import ORACLE, QUERIES, query
+from lumenspool.sinks.shared import written
 from lumenspool.sources import adapters as A
 from lumenspool.sources.adapters import table
 
@@ -139,8 +141,9 @@ select media_id, event_id, actual_ms, case when x >= threshold and prior <> even
 def mad_candidates(spark, sf):
     w = Window.partitionBy("media_id").orderBy("actual_ms", "event_id")
     v = A.signals(spark, sf).withColumns({"x": F.greatest(F.col("value") / 1000, F.lit(0.0)), "prior": F.lag("event_type").over(w)})
-    middle = v.groupBy("media_id").agg(F.median("x").alias("med"))
-    spread = v.join(middle, "media_id").groupBy("media_id").agg(F.any_value("med").alias("med"), F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
+    middle = written(quantiles(v, ["media_id"], "x", {"med": "median"}), "medians")
+    away = v.join(middle, "media_id").withColumn("away", F.abs(F.col("x") - F.col("med")))
+    spread = written(quantiles(away, ["media_id"], "away", {"mad": "median"}).join(middle, "media_id"), "limits")
     v = v.join(spread, "media_id").withColumns({"far": F.col("x") >= F.greatest(F.lit(0.04), F.col("med") + 2.5 * F.col("mad")), "changed": F.coalesce(F.col("prior") != F.col("event_type"), F.lit(False))})
     reasons = F.array_join(F.array_compact(F.array(F.when(F.col("far"), "adaptive_frame_difference"), F.when(F.col("changed"), "ocr_change"))), ",")
     return v.where("far or changed").select("media_id", "event_id", "actual_ms", reasons.alias("reasons"), F.round(F.when(F.col("changed"), 1.0).otherwise(F.least(F.lit(1.0), F.col("x"))), 6).alias("score"))
@@ -351,8 +354,10 @@ def independent_pairs(spark, sf):
 
 @query("select event_type, count(*) as n, round(min(value), 6) as min, round(median(value), 6) as median, round(quantile_disc(value, 0.95), 6) as p95, round(max(value), 6) as max from events group by 1")
 def p95_summary(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type")
-    return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("min"), F.round(F.median("value"), 6).alias("median"), F.round(F.expr("percentile_disc(0.95) within group (order by value)"), 6).alias("p95"), F.round(F.max("value"), 6).alias("max"))
+    e = table(spark, sf, "events")
+    sums = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max"))
+    found = quantiles(e, ["event_type"], "value", {"median": "median", "p95": 0.95})
+    return sums.join(found, sums["event_type"].eqNullSafe(found["event_type"])).select(sums["event_type"], "n", "min", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "max")
 
 
 @query("with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) select o_custkey, o_orderkey, rn::int as rn from r where rn > 3")
@@ -389,10 +394,10 @@ def _chosen(spark, sf):
     return selection.select_greedy(f, 40, chunk_ms=600_000)
 
 
-@query(f"with recursive {_GREEDY} select media_id, frame_id, selected, representative from r where rn > 0")
+@query(f"with recursive {_GREEDY} select media_id, frame_id, t as actual_ms, f.score, f.mandatory, h as hash, selected, representative from r join f using (media_id, frame_id) where rn > 0")
 def selection_greedy(spark, sf):
     """select_frames: greedy choice within a budget, near frames covered by chosen ones."""
-    return _chosen(spark, sf).select("media_id", "frame_id", "selected", "representative")
+    return _chosen(spark, sf).drop("importance")
 
 
 @query(f"""with recursive {_GREEDY}, c as (select r.*, f.t, case when importance >= 0.9 then 'very_high' when importance >= 0.75 then 'high' when importance >= 0.45 then 'supporting' else 'low' end as tier from r join f using (media_id, frame_id) where rn > 0),
@@ -411,4 +416,4 @@ def thinned_points(spark, sf):
     return selection.thin_points(A.signals(spark, sf), "media_id", "actual_ms", 30_000)
 
 
-from lumenspool.plans import alignment_queries, audit_queries, block_queries, bounded_queries, caption_queries, claim_queries, frame_queries, media_queries, observation_queries, sink_queries, source_queries, state_queries, survey_queries, text_queries, tree_queries  # noqa: E402, F401
+from lumenspool.plans import alignment_queries, audit_queries, block_queries, bounded_queries, caption_queries, claim_queries, frame_queries, media_queries, observation_queries, sink_queries, source_queries, state_queries, surface_queries, survey_queries, text_queries, tree_queries  # noqa: E402, F401

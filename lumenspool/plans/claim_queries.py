@@ -163,11 +163,11 @@ def corrected_segments(spark, sf):
     return K.corrected_segments(segments, K.review_queue(*reviews(spark, sf))).select("project", "segment_id", F.col("human_verified_text").alias("text"), "verification_status")
 
 
-@query("""with d as (select doc_id, text, substr(text, 1, 30) as a, substr(text, 40, 25) as b, lang from documents), n as (select *, (length(text) - length(replace(text, a, ''))) / greatest(length(a), 1) as na, case when length(b) > 0 then (length(text) - length(replace(text, b, ''))) / length(b) else 0 end as nb, instr(text, a) as pa, instr(text, b) as pb from d)
-select doc_id, (case when na = 1 then 1 else 0 end + case when nb = 1 then 1 else 0 end)::int as spoken_matches, pa > 0 and pb > 0 and pa <= pb as in_order, (case when contains(text, 'e') then 1 else 0 end + case when contains(text, 'qqqz') then 1 else 0 end)::int as token_matches from n where length(a) > 0""")
+@query("""with d as (select doc_id, coalesce(text, '') as text, substr(coalesce(text, ''), 1, 30) as a, substr(coalesce(text, ''), 40, 25) as b from documents), n as (select *, (length(text) - length(replace(text, a, ''))) / greatest(length(a), 1) as na, case when length(b) > 0 then (length(text) - length(replace(text, b, ''))) / length(b) else 0 end as nb, case when a <> '' then instr(text, a) else 0 end as pa, case when b <> '' then instr(text, b) else 0 end as pb from d)
+select doc_id, (case when na = 1 then 1 else 0 end + case when nb = 1 then 1 else 0 end)::int as spoken_matches, pa > 0 and pb > 0 and pa <= pb as in_order, (case when contains(text, 'e') then 1 else 0 end + case when contains(text, 'qqqz') then 1 else 0 end)::int as token_matches from n""")
 def fixture_checks(spark, sf):
     """validate_fixture_output: expected sentences exactly once and in order, tokens contained."""
-    d = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", "text", F.array(F.substring("text", 1, 30), F.substring("text", 40, 25)).alias("expected_spoken"), F.array(F.lit("e"), F.lit("qqqz")).alias("expected_tokens"))
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.array(F.substring("text", 1, 30), F.substring("text", 40, 25)).alias("expected_spoken"), F.array(F.lit("e"), F.lit("qqqz")).alias("expected_tokens"))
     return E.fixture_checks(d).select("doc_id", "spoken_matches", "in_order", "token_matches")
 
 

@@ -158,8 +158,9 @@ def size_forecast(spark, sf):
     """_historical_rates and estimate_project_bytes: median rate by duration class, joined back."""
     from lumenspool.functions import text as X
     from lumenspool.functions.timing import forecast_bytes
+    from lumenspool.operators.quantiles import quantiles
 
     seconds = F.col("o_totalprice") / 1000
     c = table(spark, sf, "orders").select("o_orderkey", seconds.alias("seconds"), X.duration_class(seconds).alias("duration_class"), ((F.pmod("o_orderkey", F.lit(9973)) + 1) * 1000).alias("done"))
-    rates = c.where("o_orderkey % 2 = 0").groupBy("duration_class").agg(F.median(F.col("done") / F.col("seconds")).alias("rate"))
+    rates = quantiles(c.where("o_orderkey % 2 = 0").withColumn("_rate", F.col("done") / F.col("seconds")), ["duration_class"], "_rate", {"rate": "median"})
     return c.join(F.broadcast(rates), "duration_class", "left").select("o_orderkey", "duration_class", forecast_bytes(F.col("seconds"), F.col("duration_class"), F.col("rate")).alias("bytes"))

@@ -190,7 +190,7 @@ def test_json_sink_hides_secrets(spark, tmp_path):
 
 
 def test_greedy_selection_equals_brute_force(spark):
-    from lumenspool.plans.registry import QUERIES
+    from lumenspool.plans.catalog import QUERIES
 
     rows = QUERIES["selection_greedy"](spark, "/root/testdata/sf0.001").collect()
     by = {}
@@ -206,12 +206,104 @@ def test_greedy_selection_equals_brute_force(spark):
                 chosen.append(r)
 
 
-def test_ordered_coverage_equals_difflib(spark):
-    from difflib import SequenceMatcher
+def _greedy(rows, budget):
+    chosen, out = [], {}
+    for media, frame, t, score, mandatory, h in sorted(rows, key=lambda r: (not r[4], r[3] is None, -(r[3] or 0), r[2] is not None, r[2] or 0, r[1])):
+        near = next((c[1] for c in chosen if None not in (t, h, c[2], c[3]) and abs(c[2] - t) <= 120_000 and bin((c[3] ^ h) & (1 << 64) - 1).count("1") <= 5), None)
+        take = mandatory or (near is None and len(chosen) < budget)
+        if take:
+            chosen.append((media, frame, t, h))
+        out[frame] = (bool(take), frame if take else near)
+    return out
+
+
+@pytest.mark.parametrize("chunk_ms", [100_000, 400_000, 3_600_000])
+def test_greedy_selection_by_brute_force(spark, chunk_ms):
+    import random
+
+    from lumenspool.operators.selection import select_greedy, selection_report
+
+    rng = random.Random(chunk_ms)
+    rows = [(m, m * 1000 + i, rng.choice([rng.randrange(2_000_000), rng.randrange(2_000_000), None if i % 20 == 0 else 5]), rng.choice([0.1, 0.5, rng.random(), None]), rng.random() < 0.05, rng.choice([rng.randrange(16), (1 << 40) - 1, -1, None if i % 25 == 0 else 0])) for m in range(2) for i in range(150)]
+    rows += [(7, 7000 + i, 30_000 * i, i / 50, False, 0) for i in range(50)]  # scores rise with time: each choice waits for a later one
+    frames = spark.createDataFrame(rows, "media_id long, frame_id long, actual_ms long, score double, mandatory boolean, hash long").repartition(3)
+    chosen = select_greedy(frames, 12, chunk_ms=chunk_ms)
+    want = {f: v for m in (0, 1, 7) for f, v in _greedy([r for r in rows if r[0] == m], 12).items()}
+    assert {r.frame_id: (r.selected, r.representative) for r in chosen.collect()} == want
+    for r in selection_report(chosen, F.when(F.col("score") > 0.5, "high").otherwise("low")).collect():
+        own = [f for f in want if f // 1000 == r.media_id] if r.media_id else [f for f in want if f < 1000]
+        assert (r.candidates, r.selected, r.low_score) == (len(own), sum(want[f][0] for f in own), sum(want[f][1] is None for f in own))
+    assert select_greedy(frames.limit(0), 3).collect() == []
+
+
+def test_thinning_of_one_long_media(spark):
+    from lumenspool.operators.selection import thin_points
+
+    n = 1_000_000
+    points = spark.range(n).select(F.lit("m").alias("media_id"), (F.col("id") * 1000 + F.col("id") % 7).alias("t")).union(spark.createDataFrame([("a", 5), ("a", None), (None, 3), (None, 3)], "media_id string, t long"))
+    found = [(r.media_id, r.t) for r in thin_points(points.repartition(4), "media_id", "t", 30_000).collect()]
+    times = [i * 1000 + i % 7 for i in range(n)]
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 30_000:
+            want.append(t)
+            last = t
+    assert sorted(t for m, t in found if m == "m") == sorted({*want, times[-1]})
+    assert {x for x in found if x[0] != "m"} == {(None, 3), ("a", 5)}
+
+
+def test_merging_of_one_long_media(spark):
+    from lumenspool.operators.repair import merge_overlapping
+
+    word = F.array(F.struct(F.concat(F.lit("w"), (F.col("id") / 2).cast("int")).alias("text"), F.col("start_ms"), F.col("end_ms")))
+    rows = spark.range(20_000).withColumn("start_ms", F.floor(F.col("id") / 2) * 1000 + F.col("id") % 2 * 100).withColumn("end_ms", F.col("start_ms") + 700)
+    rows = rows.select(F.lit(1).alias("media_id"), F.col("id").alias("source_order"), F.col("id").cast("string").alias("segment_id"), "start_ms", "end_ms", F.concat(F.lit("w"), (F.col("id") / 2).cast("int")).alias("text"), (F.col("id") % 2 / 2).alias("confidence"), word.alias("words"))
+    out = merge_overlapping(rows)
+    assert out.count() == 10_000 and out.where("source_order % 2 = 0").count() == 0  # of each pair the more confident stays
+
+
+def test_composed_forms_and_references(spark):
+    import html
+    import unicodedata
+
+    from lumenspool.functions import text as X
+
+    texts = ["e\u0301 a\u0308", "plain", None, "&eacute;&#233;&#xe9; &amp;lt; &copy &hearts; & &unknown;", "<c.x>Tom &amp; Ann</c>", "ﬁ\u0323\u0307"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.recognized_text(F.col("t")).alias("n"), X.without_cue_tags(F.col("t")).alias("p")).collect():
+        if r.t is None:
+            assert r.n is None and r.p is None
+        else:
+            assert r.n == " ".join(unicodedata.normalize("NFC", r.t).split(" "))
+            assert r.p == html.unescape(r.t.replace("<c.x>", "").replace("</c>", ""))
+
+
+def test_ranks_by_levels_of_parts(spark):
+    from lumenspool.operators import intervals
+
+    rows = [(i, (i * 7919) % 101, i % 13) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, a int, b int")
+    coarse = [("x", F.floor(F.col("a") / 20), True), ("y", F.col("a"), True), ("z", F.col("b"), False)]
+    got = {r.i: r["rank"] for r in intervals.ranked(df, coarse, ["i"]).collect()}
+    assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-(r[1] // 20), -r[1], r[2], r[0])))}
 
-    from lumenspool.functions import diff
 
-    rows = [(1, list("abcab"), list("abxab")), (2, [], ["a"]), (3, ["a"], []), (4, list("aab"), list("aab"))]
-    for r in spark.createDataFrame(rows, "i int, a array<string>, b array<string>").select("i", "a", "b", diff.ordered_coverage(F.col("a"), F.col("b")).alias("c")).collect():
-        matched = sum(m.size for m in SequenceMatcher(a=r.a, b=r.b, autojunk=False).get_matching_blocks())
-        assert (r.c.matched, r.c.exact) == (matched, r.a == r.b)
+def test_quantiles_by_brute_force(spark):
+    import math
+    import random
+    import statistics
+
+    from lumenspool.operators.quantiles import quantiles
+
+    rng = random.Random(6)
+    values = [0.0, -0.0, 1e-15, -1e-15, 3.5, 3.5, 1e12, -1e12, None, float("nan"), math.pi]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([*values, rng.gauss(0, 1), rng.random() * 1e6])) for _ in range(700)] + [("x", None), ("y", 2.0), ("z", float("nan"))]
+    found = {r.k: r for r in quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", {"m": "median", "p95": 0.95, "p0": 0.0, "p1": 1.0}).collect()}
+    assert set(found) == {k for k, _ in rows}
+    for k, r in found.items():
+        own = sorted(v for j, v in rows if j == k and v is not None and not math.isnan(v))
+        if own:
+            disc = lambda p: own[max(0, math.ceil(len(own) * p) - 1)]
+            assert (r.m, r.p95, r.p0, r.p1) == (pytest.approx(statistics.median(own)), disc(0.95), own[0], own[-1])
+        else:
+            assert (r.m, r.p95) == (None, None)
+    assert quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"m": "median"}).collect() == []
