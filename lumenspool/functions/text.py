@@ -38,19 +38,34 @@ REBUILD_RULES = (ADDRESS, MAILBOX, ANY_PATH, OPTION, number(REBUILD_UNITS))
 ORDERED_RULES = (ADDRESS, DRIVE_PATH, PATH_AFTER_BLANK, OPTION, word(REBUILD_UNITS), MARK)
 
 
+#: A piece without one of these characters has no match of the rules for numbers, addresses, mailboxes, options and paths.
+_TELLING = r"[0-9@/\\-]"
+
+
 def matches(text: Column, rules: tuple[str, ...]) -> Column:
     """All matches in order; where two rules match at a place the earlier wins."""
     return F.regexp_extract_all(text, F.lit("(?i)" + "|".join(rules)), F.lit(0))
 
 
+def telling_matches(text: Column, rules: tuple[str, ...]) -> Column:
+    """The same for rules that match within a run without blanks and need a telling character there.
+
+    Runs are looked at one by one, and mailboxes only in those with an @: a mailbox rule may try each start in a run
+    against each end, which must not happen over a whole text.
+    """
+    plain = tuple(r for r in rules if r not in (MAILBOX, LOOSE_MAILBOX))
+    runs = F.filter(F.split(text, r"\s+"), lambda p: p.rlike(_TELLING))
+    return F.flatten(F.transform(runs, lambda p: F.when(F.contains(p, F.lit("@")), matches(p, rules)).otherwise(matches(p, plain))))
+
+
 def audit_high_impact(text: Column) -> Column:
     """Numbers with units, addresses, mailboxes, options and paths, as written."""
-    return matches(text, AUDIT_RULES)
+    return telling_matches(text, AUDIT_RULES)
 
 
 def rebuild_high_impact(text: Column) -> Column:
     """The same kinds by the reconstruction's rules; marks that end a sentence are trimmed."""
-    return F.transform(matches(text, REBUILD_RULES), lambda x: F.regexp_replace(x, "[.,;!?]+$", ""))
+    return F.transform(telling_matches(text, REBUILD_RULES), lambda x: F.regexp_replace(x, "[.,;!?]+$", ""))
 
 
 def ordered_tokens(text: Column, case_sensitive: bool = False, marks: bool = False) -> Column:

@@ -42,15 +42,37 @@ def block_coverage(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("media_id", "segment_id", F.col("n").isNull().alias("missing"), (F.coalesce("n", F.lit(0)) > 1).alias("duplicated"), (F.col("n").isNotNull() & ~F.coalesce("same", F.lit(False))).alias("partial"))
 
 
+def token_order(rows: DataFrame, keys: list[str], order: str, tokens: Column) -> DataFrame:
+    """(keys, n, places, bag): of the tokens of all rows of a key in order, their number and digests that tell the sequence and the multiset.
+
+    places combines a hash of each place and token, bag sums a hash of each token, both in 128 bits, so texts stay apart and no row holds
+    a key's whole text.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(*keys, order, tokens.alias("_t")).withColumn("_n", F.size("_t"))
+    placed = placed.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*keys, F.col("_first"), F.posexplode_outer("_t").alias("_i", "_token"))
+    seed = lambda k, *c: F.xxhash64(F.lit(k), *c)
+    at = F.when(F.col("_i").isNotNull(), F.col("_first") + F.col("_i"))
+    both = [F.bit_xor(F.when(at.isNotNull(), seed(k, at, F.col("_token")))) for k in (1, 2)]
+    sums = [F.sum(F.when(at.isNotNull(), seed(k, F.col("_token")).cast("decimal(20,0)"))) for k in (3, 4)]
+    shown = lambda parts: F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return placed.groupBy(*keys).agg(F.count("_i").alias("n"), shown(both).alias("places"), shown(sums).alias("bag"))
+
+
 def coverage_report(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row a media: substantive segments, covered, missing, duplicated, partial ones, and whether the ordered tokens of all blocks' texts are those of the segments."""
     per = block_coverage(segments, blocks).groupBy("media_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(c) for c in ("missing", "duplicated", "partial")])
-    joined = lambda df, order, text: df.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n\n").alias("all"))
-    source, output = joined(segments.where("substantive"), "source_order", "text"), joined(blocks.where("size(segment_ids) > 0"), "ordinal", "text")
-    rows = per.join(source.withColumnRenamed("all", "source"), "media_id", "left").join(output.withColumnRenamed("all", "output"), "media_id", "left")
-    rows = rows.withColumn("t", token_audit(F.col("source"), F.col("output"), X.ordered_tokens))
-    valid = (F.col("missing") == 0) & (F.col("duplicated") == 0) & (F.col("partial") == 0) & F.col("t.faithful")
-    return rows.select("media_id", "total", (F.col("total") - F.col("missing")).alias("covered"), "missing", "duplicated", "partial", F.col("t.faithful").alias("faithful"), F.col("t.reordered").alias("reordered"), valid.alias("valid"))
+    tokens = X.ordered_tokens(F.coalesce("text", F.lit("")))
+    source = token_order(segments.where("substantive"), ["media_id"], "source_order", tokens)
+    output = token_order(blocks.where("size(segment_ids) > 0"), ["media_id"], "ordinal", tokens)
+    named = lambda df, p: df.select("media_id", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "places", "bag")])
+    rows = per.join(named(source, "s"), "media_id", "left").join(named(output, "o"), "media_id", "left")
+    number = lambda p: F.coalesce(f"{p}_n", F.lit(0))
+    none = (number("s") == 0) & (number("o") == 0)
+    faithful = none | F.coalesce((number("s") == number("o")) & (F.col("s_places") == F.col("o_places")), F.lit(False))
+    reordered = ~faithful & F.coalesce((number("s") == number("o")) & (F.col("s_bag") == F.col("o_bag")), F.lit(False))
+    valid = (F.col("missing") == 0) & (F.col("duplicated") == 0) & (F.col("partial") == 0) & faithful
+    return rows.select("media_id", "total", (F.col("total") - F.col("missing")).alias("covered"), "missing", "duplicated", "partial", faithful.alias("faithful"), reordered.alias("reordered"), valid.alias("valid"))
 
 
 def dangling(references: DataFrame, known: DataFrame, on: list[str], finding: str) -> DataFrame:
