@@ -44,6 +44,12 @@ def write_scripts(texts: DataFrame, path: str) -> None:
     texts.select("media_id", F.col("text").alias("value")).write.partitionBy("media_id").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n\n\n").mode("overwrite").text(path)
 
 
+def write_script_lines(lines: DataFrame, path: str) -> None:
+    """A folder a media with its script as text, written line by line in order, so that no row holds a media's document."""
+    ordered = lines.repartition("media_id").sortWithinPartitions("media_id", "part", "chapter", "place")
+    ordered.select("media_id", F.concat("line", F.lit("\n")).alias("value")).write.partitionBy("media_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
+
+
 def write_json(table: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
     """A table as JSON lines, maps of texts and addresses with secrets hidden."""
     shown = [S.redact(F.col(f"`{n}`")).alias(n) if t == "map<string,string>" else S.hide_signature(F.col(f"`{n}`")).alias(n) if t == "string" else F.col(f"`{n}`") for n, t in table.dtypes]

@@ -307,3 +307,25 @@ def test_quantiles_by_brute_force(spark):
         else:
             assert (r.m, r.p95) == (None, None)
     assert quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"m": "median"}).collect() == []
+
+
+def test_scripts_are_written_as_sorted_lines(spark, tmp_path):
+    from lumenspool.sinks import documents
+
+    rows = [(m, part, chapter, place, f"{m}-{part}-{chapter}-{place}") for m in ("a", "b") for part, chapter in ((0, ""), (1, "C001"), (1, "C002"), (2, "")) for place in range(30)]
+    lines = spark.createDataFrame(rows, "media_id string, part int, chapter string, place long, line string").repartition(6)
+    documents.write_script_lines(lines, str(tmp_path / "s"))
+    whole = {r.media_id: r.text for r in documents.scripts(lines).collect()}
+    for m in ("a", "b"):
+        files = sorted((tmp_path / "s" / f"media_id={m}").glob("part-*"))
+        assert len(files) == 1 and files[0].read_text().rstrip("\n") == whole[m].rstrip("\n")
+
+
+def test_order_of_tokens_by_digests(spark):
+    from lumenspool.operators.audits import token_order
+
+    rows = [("a", 0, ["x", "y"]), ("a", 1, []), ("a", 2, ["z"]), ("b", 0, ["x"]), ("b", 1, ["y", "z"]), ("c", 0, ["z", "y", "x"]), ("d", 0, ["x", "x", "y"]), ("e", 0, []), ("f", 0, ["x", "y"])]
+    df = spark.createDataFrame(rows, "k string, o int, t array<string>")
+    r = {x.k: x for x in token_order(df, ["k"], "o", F.col("t")).collect()}
+    assert (r["a"].n, r["e"].n) == (3, 0) and r["a"].places == r["b"].places and r["a"].bag == r["b"].bag == r["c"].bag
+    assert len({r[k].places for k in "acdef"}) == 5 and len({r[k].bag for k in "adef"}) == 4
