@@ -5,35 +5,15 @@ import random
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspool.llm import exact_dedup, prefix_trie, queries, vector_codes
+from lumenspool.llm import exact_dedup, prefix_trie, vector_codes
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
-        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    return con
-
-
-@pytest.mark.parametrize("name", ["op11_exact_dedup", "op12_prefix_trie", "op13_vector_codes"])
-def test_equals_oracle(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    ours = sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
-    found = duck.execute(queries.ORACLE[name])
-    names = [d[0] for d in found.description]
-    assert sorted(names) == columns
-    assert ours == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in found.fetchall())
-
-
 # Exact deduplication
 
 DOCS = "doc_id long, text string, extra int"

@@ -657,7 +657,7 @@ def test_query_equals_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
