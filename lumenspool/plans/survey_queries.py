@@ -56,7 +56,7 @@ p2 as (select k, d, case when d > 0 and d - ts[-1] < 250 then list_distinct(list
 @query(f"""with dur as (select o_orderkey as k, (o_totalprice * 7)::bigint % 400000 as d from orders), {_PERIODIC} select k, t, 'VC' || lpad((row_number() over (partition by k order by t))::varchar, 6, '0') as candidate_id from periodic""")
 def periodic_candidates(spark, sf):
     """periodic_candidate_times and periodic_candidates, with the guard at the end."""
-    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.pmod(F.round(F.col("o_totalprice") * 7).cast("long"), F.lit(400000)).alias("duration_ms"))
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.pmod(F.rint(F.col("o_totalprice") * 7).cast("long"), F.lit(400000)).alias("duration_ms"))
     return V.periodic_candidates(d, "k").select("k", F.col("requested_ms").alias("t"), "candidate_id")
 
 
