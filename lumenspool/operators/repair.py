@@ -81,10 +81,13 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def recognised_for(segments: DataFrame, recognised: DataFrame) -> DataFrame:
-    """(media_id, source_order, after, confidence): what recognised (media_id, r_order, start_ms, end_ms, text, confidence) says in each segment's time, in order, and its mean confidence."""
+    """(media_id, source_order, after, confidence): what recognised (media_id, r_order, start_ms, end_ms, text, confidence) says in each segment's time, in order, and its mean confidence.
+
+    The mean is one of decimals, so that neither the order of rows nor that of partitions moves it across a limit.
+    """
     right = recognised.select("media_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.trim("text").alias("r_text"), F.col("confidence").alias("r_confidence"), "r_order")
     pairs = intervals.range_join(segments.select("media_id", "source_order", "start_ms", "end_ms"), right, "media_id")
-    return pairs.groupBy("media_id", "source_order").agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("r_order", "r_text"))), lambda x: x["r_text"]), lambda t: t != ""), " ").alias("after"), F.avg("r_confidence").alias("confidence"))
+    return pairs.groupBy("media_id", "source_order").agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("r_order", "r_text"))), lambda x: x["r_text"]), lambda t: t != ""), " ").alias("after"), F.avg(F.col("r_confidence").try_cast("decimal(20,12)")).cast("double").alias("confidence"))
 
 
 def repair(segments: DataFrame, suspect: DataFrame, recognised: DataFrame, least_confidence: float = 0.50) -> DataFrame:
