@@ -141,8 +141,8 @@ def linked_events(events: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_blocks(blocks: DataFrame, links: DataFrame) -> DataFrame:
     """blocks (block_id, frame_ids, uncertainty, verification_status) whose frames an observation (image_id, claim_ids, sufficiency) has described: pending notes go, and a sufficient one with claims checks the block."""
-    hit = blocks.select("block_id", F.explode("frame_ids").alias("image_id")).join(links, "image_id").groupBy("block_id").agg(
-        F.bool_or((F.size("claim_ids") > 0) & (F.col("sufficiency") == "sufficient")).alias("_checked"))
+    images = links.groupBy("image_id").agg(F.bool_or((F.size("claim_ids") > 0) & (F.col("sufficiency") == "sufficient")).alias("_checked"))  # a row an image, so links do not multiply blocks
+    hit = blocks.select("block_id", F.explode("frame_ids").alias("image_id")).join(images, "image_id").groupBy("block_id").agg(F.bool_or("_checked").alias("_checked"))
     rows = blocks.join(hit, "block_id", "left")
     left = F.filter("uncertainty", lambda u: ~F.contains(F.lower(u), F.lit(STILL_PENDING)))
     return rows.select("block_id", "frame_ids", F.when(F.col("_checked").isNotNull(), left).otherwise(F.col("uncertainty")).alias("uncertainty"), F.when(F.col("_checked"), "automatically_checked").otherwise(F.col("verification_status")).alias("verification_status"))
@@ -152,7 +152,8 @@ def resolved_reviews(reviews: DataFrame, links: DataFrame) -> DataFrame:
     """reviews (review_id, category, frame_ids, decision, reviewer): open ones of visual meaning are resolved by the provider with the least name of a sufficient observation with claims of one of their frames."""
     good = links.where("size(claim_ids) > 0 and sufficiency = 'sufficient'")
     asked = reviews.where((F.col("category") == "visual_semantic_annotation") & (F.coalesce("decision", F.lit("")) == ""))
-    by = asked.select("review_id", F.explode("frame_ids").alias("image_id")).join(good, "image_id").groupBy("review_id").agg(F.min("provider").alias("_by"))
+    least = good.groupBy("image_id").agg(F.min("provider").alias("provider"))
+    by = asked.select("review_id", F.explode("frame_ids").alias("image_id")).join(least, "image_id").groupBy("review_id").agg(F.min("provider").alias("_by"))
     rows = reviews.join(by, "review_id", "left")
     return rows.select("review_id", "category", "frame_ids", F.when(F.col("_by").isNotNull(), "resolved_by_semantic_observation").otherwise(F.col("decision")).alias("decision"), F.coalesce("_by", "reviewer").alias("reviewer"))
 
