@@ -62,19 +62,21 @@ def folded(df: DataFrame, keys: list[str], tree: str, rule: Rule | None = None,
     for depth in range(len(nodes) - 1, -1, -1):
         level = nodes[depth].withColumn("_own", F.coalesce("given", F.when(F.col("kind") == "scalar", F.to_json("value"))))
         if text is not None:
-            level = level.join(text.withColumnsRenamed({"up": "at"}), [*keys, "at"], "left")
+            # A node and its children meet under one grouping; a join would let Spark send whole levels through the driver.
+            nothing = {c: F.lit(None).cast(t).alias(c) for c, t in level.select("up", "name", "place", "kind", "_own").dtypes}
+            child = F.struct("name", "place", "text")
+            kin = text.select(*keys, F.col("up").alias("at"), *nothing.values(), child.alias("_child"))
+            own = level.select(*keys, "at", *nothing, F.lit(None).cast(kin.schema["_child"].dataType).alias("_child"))
+            level = own.union(kin).groupBy(*keys, "at").agg(*[F.first(c, ignorenulls=True).alias(c) for c in nothing], F.collect_list("_child").alias("children"))
             pair = lambda c: F.concat(json_text(c["name"]), F.lit(":"), c["text"])
-            inside = F.coalesce("children", F.array().cast("array<struct<name: string, place: int, text: string>>"))
-            whole = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(inside), pair), ","), F.lit("}"))).otherwise(
-                F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(inside, lambda a, b: a["place"] - b["place"]), lambda c: c["text"]), ","), F.lit("]")))
+            whole = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort("children"), pair), ","), F.lit("}"))).otherwise(
+                F.concat(F.lit("["), F.array_join(F.transform(F.array_sort("children", lambda a, b: a["place"] - b["place"]), lambda c: c["text"]), ","), F.lit("]")))
         else:
             whole = F.when(F.col("kind") == "object", "{}").otherwise("[]")
-        level = level.select(*keys, "at", "up", "name", "place", F.coalesce("_own", whole).alias("text"))
+        text = level.select(*keys, "up", "name", "place", F.coalesce("_own", whole).alias("text"))
         if depth == 1 and drop:
-            level = level.where(F.col("name").isNull() | ~F.col("name").isin(*drop))
-        if depth:
-            text = level.groupBy(*keys, "up").agg(F.collect_list(F.struct("name", "place", "text")).alias("children"))
-    return level.select(*keys, "text")
+            text = text.where(F.col("name").isNull() | ~F.col("name").isin(*drop))
+    return text.select(*keys, "text")
 
 
 def mask_ids(level: DataFrame) -> Column:
