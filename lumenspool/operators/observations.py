@@ -210,18 +210,20 @@ def bundle_findings(bundles: DataFrame, requests: DataFrame, events: DataFrame,
     heads = bundles.join(projects.withColumnRenamed("digest", "_now"), "project", "left")
     found = [out(heads.where(~F.col("project_digest").eqNullSafe(F.col("_now"))), "project_changed", None),
              out(bundles.where(legacy & (F.size(_list(F.col("providers"))) == 0)), "legacy_without_providers", None), out(bundles.where(~legacy & (F.size(_list(F.col("providers"))) > 0)), "providers_without_legacy", None)]
-    rows = requests.join(bundles.select("bundle_id", "project", "mode", "providers"), "bundle_id")
+    rows = requests.join(F.broadcast(bundles.select("bundle_id", "project", "mode", "providers")), "bundle_id")
     found.append(out(rows.groupBy("bundle_id", "candidate_id").count().where("count > 1"), "duplicate_candidate"))
-    known = rows.join(events.select("project", F.col("event_id").alias("candidate_id"), F.col("provider").alias("_provider"), F.lit(True).alias("_event")), ["project", "candidate_id"], "left")
-    found.append(out(known.where("_event is null"), "unknown_candidate"))
+    # One pass over the requests: each meets its event and packet once and lists what is wrong with it.
+    keys = ["project", "candidate_id"]
+    known = rows.join(events.select("project", F.col("event_id").alias("candidate_id"), F.col("provider").alias("_provider"), F.lit(True).alias("_event")).hint("merge"), keys, "left")
+    known = known.join(packets.select("project", F.col("event_id").alias("candidate_id"), F.col("digest").alias("_digest"), F.col("frames").alias("_frames")).hint("merge"), keys, "left")
     allowed = F.exists(_list(F.col("providers")), lambda p: F.lower(p) == F.lower("_provider"))
-    found += [out(known.where(legacy & F.col("_event") & ~F.coalesce(allowed, F.lit(False))), "provider_changed"), out(known.where(legacy & F.col("_event") & ~F.col("source_provider").eqNullSafe(F.col("_provider"))), "source_provider_differs"),
-              out(known.where(~legacy & F.col("source_provider").isNotNull()), "unexpected_source_provider")]
-    given = rows.join(packets.select("project", F.col("event_id").alias("candidate_id"), F.col("digest").alias("_digest"), F.col("frames").alias("_frames")), ["project", "candidate_id"], "left")
-    found.append(out(given.where(~F.col("packet_digest").eqNullSafe(F.col("_digest"))), "packet_changed"))
-    found.append(out(given.where(F.col("_digest").isNotNull() & (F.array_sort(F.transform("frames", lambda f: f["frame_id"])) != F.array_sort(F.transform("_frames", lambda f: f["frame_id"])))), "frames_incomplete"))
+    names = lambda c: F.array_sort(F.transform(c, lambda f: f["frame_id"]))
     changed = F.exists("frames", lambda f: F.exists("_frames", lambda g: (g["frame_id"] == f["frame_id"]) & ~g["digest"].eqNullSafe(f["digest"])))
-    found.append(out(given.where(F.col("_digest").isNotNull() & changed), "frame_changed"))
+    event, packet = F.col("_event").isNotNull(), F.col("_digest").isNotNull()
+    faults = {"unknown_candidate": ~event, "provider_changed": legacy & event & ~F.coalesce(allowed, F.lit(False)), "source_provider_differs": legacy & event & ~F.col("source_provider").eqNullSafe(F.col("_provider")),
+              "unexpected_source_provider": ~legacy & F.col("source_provider").isNotNull(), "packet_changed": ~F.col("packet_digest").eqNullSafe(F.col("_digest")), "frames_incomplete": packet & (names("frames") != names("_frames")), "frame_changed": packet & changed}
+    listed = known.select("bundle_id", "candidate_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()]))).alias("finding"))
+    found.append(listed.select("bundle_id", "finding", "candidate_id"))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
