@@ -6,6 +6,7 @@ by side, in rounds; the budget is a rank of what they choose (see also the catal
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -93,25 +94,84 @@ def _order() -> list[Column]:
     return [F.desc_nulls_last("mandatory"), F.desc_nulls_last("score"), F.asc_nulls_first("actual_ms"), F.asc("frame_id")]
 
 
+class _Reach:
+    """Times at which frames were put down, by hash: what lies within WINDOW_MS and ``most_bits`` of one is reached.
+
+    A frame whose whole window its own hash's earlier times reach already adds nothing and is passed over, so the
+    lists stay as short as a stretch has windows, however many frames there are.
+    """
+
+    def __init__(self, hashes: np.ndarray, most_bits: int):
+        self.hashes, self.most_bits = hashes, most_bits
+        self.put_down: dict[int, list[int]] = {}
+        self.reached: dict[int, list[int]] = {}
+        self.near: dict[int, list[int]] = {}
+
+    @staticmethod
+    def _add(times: list[int], t: int) -> bool:
+        i = bisect_left(times, t)
+        if i < len(times) and (times[i] == t or (i > 0 and times[i] - times[i - 1] <= 2 * WINDOW_MS)):
+            return False
+        times.insert(i, t)
+        return True
+
+    def put(self, h: int, t: int) -> list[int]:
+        """Puts down a frame of the h-th hash at t; the hashes that it may reach anew."""
+        if not self._add(self.put_down.setdefault(h, []), t):
+            return []
+        if h not in self.near:
+            self.near[h] = np.flatnonzero(np.bitwise_count(self.hashes ^ self.hashes[h]) <= self.most_bits).tolist()
+        return [k for k in self.near[h] if self._add(self.reached.setdefault(k, []), t)]
+
+    def __contains__(self, frame: tuple[int, int]) -> bool:
+        h, t = frame
+        times = self.reached.get(h, ())
+        i = bisect_left(times, t - WINDOW_MS)
+        return i < len(times) and times[i] <= t + WINDOW_MS
+
+
+def _hashes(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and each row's place among them."""
+    return np.unique(group["hash"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+
+
 def _decide(most_bits: int):
     """Decides the open frames of a stretch as far as the frames around allow: 1 selected, 2 covered, 0 open still."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("actual_ms", kind="stable").reset_index(drop=True)
-        time, bits, status = group["actual_ms"].to_numpy(np.int64), group["hash"].to_numpy(np.int64).view(np.uint64), group["_status"].to_numpy(np.int8).copy()
-        ranked = group.sort_values(list(_RANK), ascending=[False, False, True, True]).index.to_numpy()
-        rank = np.empty(len(group), np.int64)
-        rank[ranked] = np.arange(len(group))
-        low, high = np.searchsorted(time, time - WINDOW_MS, "left"), np.searchsorted(time, time + WINDOW_MS, "right")
-        own = ~group["_guest"].to_numpy(bool)
-        for k in ranked[own[ranked] & (status[ranked] == 0)].tolist():
-            around = slice(low[k], high[k])
-            near = (np.bitwise_count(bits[around] ^ bits[k]) <= most_bits) & (rank[around] < rank[k])
-            if (near & (status[around] == 1)).any():
-                status[k] = 2
-            elif not (near & (status[around] == 0)).any():
-                status[k] = 1
-        group["_status"] = status
-        return group[own].drop(columns=["_guest", "_chunk"])
+        group = group.sort_values(list(_RANK), ascending=[False, False, True, True], ignore_index=True)
+        hashes, which = _hashes(group)
+        selected, waiting, status = _Reach(hashes, most_bits), _Reach(hashes, most_bits), group["_status"].tolist()
+        for k, (h, t, guest) in enumerate(zip(which.tolist(), group["actual_ms"].tolist(), group["_guest"].tolist(), strict=True)):
+            if status[k] == 0 and not guest:
+                status[k] = 2 if (h, t) in selected else 0 if (h, t) in waiting else 1
+            if status[k] < 2:
+                (selected if status[k] else waiting).put(h, t)
+        group["_status"] = np.array(status, np.int8)
+        return group[~group["_guest"].to_numpy(bool)].drop(columns=["_guest", "_chunk"])
+
+    return run
+
+
+def _represent(most_bits: int):
+    """The first chosen frame, by place, that reaches each frame of a stretch: media_id, frame_id, _by."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, which = _hashes(group)
+        times = group["actual_ms"].to_numpy(np.int64)
+        by = np.full(len(group), -1, np.int64)
+        ordered = np.lexsort((times, which))
+        first = np.searchsorted(which[ordered], np.arange(len(hashes) + 1))
+        reach, place = _Reach(hashes, most_bits), group["_place"].to_numpy(np.float64)
+        chosen = np.flatnonzero(~np.isnan(place))
+        for k in chosen[np.argsort(place[chosen], kind="stable")].tolist():
+            t = int(times[k])
+            for h in reach.put(int(which[k]), t):
+                own = ordered[first[h]:first[h + 1]]
+                some = own[np.searchsorted(times[own], t - WINDOW_MS, "left"):np.searchsorted(times[own], t + WINDOW_MS, "right")]
+                by[some[by[some] < 0]] = k
+        own = (by >= 0) & ~group["_guest"].to_numpy(bool)
+        found = group.loc[own, ["media_id", "frame_id"]].reset_index(drop=True)
+        found["_by"] = group["frame_id"].to_numpy()[by[own]]
+        return found
 
     return run
 
@@ -145,12 +205,11 @@ def select_greedy(frames: DataFrame, budget: int, most_bits: int = 5, chunk_ms:
         state = written(decided.select(*frames.columns, "_status").union(rest), "frames")
     place = F.row_number().over(Window.partitionBy("media_id").orderBy(*_order()))
     chosen = state.where("_status = 1").withColumn("_place", place).where((F.col("_place") <= budget) | F.col("mandatory"))
-    # The best selected frame near each other frame: within a window's length it lies in the same bucket or a neighbour's.
-    bucket = F.floor(F.col("actual_ms") / WINDOW_MS)
-    near = chosen.where(~alone).select("media_id", bucket.alias("_bucket"), F.col("frame_id").alias("_by"), F.col("actual_ms").alias("_t"), F.col("hash").alias("_h"), "_place")
-    asked = state.where(~alone).withColumn("_bucket", F.explode(F.sequence(bucket - 1, bucket + 1))).select("media_id", "frame_id", "_bucket", "actual_ms", "hash")
-    met = asked.join(near, ["media_id", "_bucket"]).where((F.abs(F.col("actual_ms") - F.col("_t")) <= WINDOW_MS) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("_h"))) <= most_bits))
-    best = met.groupBy("media_id", "frame_id").agg(F.min_by("_by", "_place").alias("_by"))
+    # The best selected frame near each other frame, again by stretches.
+    marked = state.join(chosen.select("media_id", "frame_id", "_place"), ["media_id", "frame_id"], "left").where(~alone).select("media_id", "frame_id", "actual_ms", "hash", "_place")
+    placed = marked.withColumn("_chunk", F.explode(F.sequence(chunk(F.col("actual_ms") - WINDOW_MS), chunk(F.col("actual_ms") + WINDOW_MS)))).withColumn("_guest", F.col("_chunk") != chunk(F.col("actual_ms")))
+    kinds = dict(frames.dtypes)
+    best = placed.where("not _guest or _place is not null").groupBy("media_id", "_chunk").applyInPandas(_represent(most_bits), f"media_id {kinds['media_id']}, frame_id {kinds['frame_id']}, _by {kinds['frame_id']}")
     taken = chosen.select("media_id", "frame_id", F.lit(True).alias("_taken"))
     rows = state.join(taken, ["media_id", "frame_id"], "left").join(best, ["media_id", "frame_id"], "left")
     selected = F.coalesce("_taken", F.lit(False))
