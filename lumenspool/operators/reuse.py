@@ -24,8 +24,9 @@ def downstream(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(node, steps): what depends on changed nodes (column node) and by how few steps; changed ones at 0. edges: source, target.
 
     A round joins only what the round before found, and leaves out what any round found, so each edge is followed once.
+    Equal edges are not brought together: only those that start at the frontier count, and what they reach is made distinct.
     """
-    edges = edges.where("source is not null and target is not null").distinct()
+    edges = edges.where("source is not null and target is not null")
     frontier = written(changed.select("node").where("node is not null").distinct().withColumn("steps", F.lit(0)), "stale")
     rounds = [frontier]
     while not frontier.isEmpty():
