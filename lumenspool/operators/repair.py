@@ -9,6 +9,8 @@ whose words all repeat goes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,19 +25,42 @@ def offset(segments: DataFrame, by: Column) -> DataFrame:
     return segments.withColumns({"start_ms": F.col("start_ms") + by, "end_ms": F.col("end_ms") + by, "words": M.shift_words(F.col("words"), by)})
 
 
-def repeated_prefix(before: Column, words: Column) -> Column:
-    """Number of leading words that repeat, in wording and time, the words that end ``before``; the longest such run, 0 if there is none."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(words: Column) -> Column:
+    """What words are compared by: token, start_ms, end_ms."""
+    return F.transform(words, lambda w: F.struct(normalized_token(w["text"]).alias("token"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms")))
+
+
+def _repeats(before: Column, words: Column) -> Column:
+    """``repeated_prefix`` of lists of tokens."""
     most = F.least(F.size(before), F.size(words))
 
+    def alike(a: Column, b: Column) -> Column:
+        return F.coalesce((a["token"] == b["token"]) & (F.least(a["end_ms"], b["end_ms"]) > F.greatest(a["start_ms"], b["start_ms"])), F.lit(False))
+
     def repeats(n: Column) -> Column:
-        left, right = F.slice(before, F.size(before) - n + 1, n), F.slice(words, 1, n)
-        alike = F.zip_with(left, right, lambda a, b: F.coalesce((normalized_token(a["text"]) == normalized_token(b["text"])) & (F.least(a["end_ms"], b["end_ms"]) > F.greatest(a["start_ms"], b["start_ms"])), F.lit(False)))
-        return F.forall(alike, lambda x: x)
+        # The first words decide most lengths without a look at the others.
+        first = alike(F.get(before, F.size(before) - n), F.get(words, F.lit(0)))
+        return first & F.forall(F.zip_with(F.slice(before, F.size(before) - n + 1, n), F.slice(words, 1, n), alike), lambda x: x)
 
     sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return F.coalesce(F.get(F.filter(sizes, repeats), F.lit(0)), F.lit(0))
 
 
+def repeated_prefix(before: Column, words: Column) -> Column:
+    """Number of leading words that repeat, in wording and time, the words that end ``before``; the longest such run, 0 if there is none."""
+    return _repeats(_tokens(before), _tokens(words))
+
+
+def _said(text: Column) -> Column:
+    """A text's words in small letters, a blank between."""
+    return F.array_join(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), " ")
+
+
 def trimmed(segment: Column, n: Column) -> Column:
     """A segment struct without its first n words, its text made from the rest."""
     words = F.slice(segment["words"], n + 1, F.greatest(F.size(segment["words"]) - n, F.lit(0)))
@@ -57,22 +82,26 @@ def merge_overlapping(segments: DataFrame, least_overlap: float = 0.2) -> DataFr
     reach = F.max(F.coalesce(ends, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(begins >= reach, F.lit(True)) | F.col("start_ms").isNull() | F.col("end_ms").isNull()
     segments = intervals.islands(segments.withColumn("_new", new), ["media_id"], [F.asc_nulls_last("start_ms"), "end_ms", "source_order"], F.col("_new"), "_stretch")
-    item = F.struct(F.col("start_ms").isNull().alias("untimed"), F.coalesce("start_ms", F.lit(0)).alias("a"), F.coalesce("end_ms", F.lit(0)).alias("b"), F.col("source_order").alias("o"), F.struct(*fields).alias("s"))
-    lists = segments.groupBy("media_id", "_stretch").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("s"))
-    kind = dict(segments.select(F.array(F.struct(*fields)).alias("s")).dtypes)["s"]
-    words = lambda t: F.array_join(F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != ""), " ")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (words(last["text"]) == words(s["text"])) & (M.overlap_ratio(last["start_ms"], last["end_ms"], s["start_ms"], s["end_ms"]) >= least_overlap)
-        better = s["confidence"].isNotNull() & (last["confidence"].isNull() | (s["confidence"] > last["confidence"]))
-        n = repeated_prefix(last["words"], s["words"])
-        swapped = F.array_append(F.slice(acc, 1, F.size(acc) - 1), s)
-        return (F.when(F.size(acc) == 0, F.array_append(acc, s)).when(same & better, swapped).when(same, acc).when((n > 0) & (n == F.size(s["words"])), acc).when(n > 0, F.array_append(acc, trimmed(s, n))).otherwise(F.array_append(acc, s)))
-
-    # The empty list's last element is null, so every test on it is too and the first segment is taken.
-    safe = lambda acc, s: F.coalesce(F.when(F.size(acc) > 0, step(acc, s)), F.array_append(acc, s)).cast(kind)
-    return lists.select("media_id", F.explode(F.aggregate("s", F.array().cast(kind), safe)).alias("x")).select("media_id", "x.*")
+    # Tokens and wording are made once a segment, not at each comparison; the fold compares them and keeps the segments.
+    given = F.struct(*fields)
+    segments = segments.withColumns({"_tokens": _tokens(F.col("words")), "_said": _said(F.col("text"))})
+    item = F.struct(F.col("start_ms").isNull().alias("untimed"), F.coalesce("start_ms", F.lit(0)).alias("a"), F.coalesce("end_ms", F.lit(0)).alias("b"), F.col("source_order").alias("o"), given.alias("s"), F.col("_tokens").alias("tokens"), F.col("_said").alias("said"))
+    lists = segments.groupBy("media_id", "_stretch").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["s"].alias("s"), x["tokens"].alias("tokens"), x["said"].alias("said"))).alias("x"))
+    kind = dict(lists.dtypes)["x"]
+
+    def cut(x: Column, n: Column) -> Column:
+        tokens = F.slice(x["tokens"], n + 1, F.greatest(F.size(x["tokens"]) - n, F.lit(0)))
+        return _let(trimmed(x["s"], n), lambda s: F.struct(s.alias("s"), tokens.alias("tokens"), _said(s["text"]).alias("said")))
+
+    def step(acc: Column, last: Column, x: Column) -> Column:
+        a, s = last["s"], x["s"]
+        same = (last["said"] == x["said"]) & (M.overlap_ratio(a["start_ms"], a["end_ms"], s["start_ms"], s["end_ms"]) >= least_overlap)
+        better = s["confidence"].isNotNull() & (a["confidence"].isNull() | (s["confidence"] > a["confidence"]))
+        more = _let(_repeats(last["tokens"], x["tokens"]), lambda n: F.when((n > 0) & (n == F.size(s["words"])), acc).when(n > 0, F.array_append(acc, cut(x, n))).otherwise(F.array_append(acc, x)))
+        return F.when(same & better, F.array_append(F.slice(acc, 1, F.size(acc) - 1), x)).when(same, acc).otherwise(more)
+
+    fold = lambda acc, x: F.when(F.size(acc) > 0, _let(F.element_at(acc, -1), lambda last: step(acc, last, x))).otherwise(F.array_append(acc, x))
+    return lists.select("media_id", F.explode(F.aggregate("x", F.array().cast(kind), fold)).alias("x")).select("media_id", "x.s.*")
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
