@@ -17,6 +17,7 @@ orders what one batch brings; a later batch comes later whatever its ordinals.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lumenspool.sinks.keyed import KeyedTable
 
@@ -98,8 +99,17 @@ def revisions(observations: DataFrame, allow_stale: bool = True) -> DataFrame:
     return rows.where(valid).repartition("image_id").sortWithinPartitions("image_id", F.asc_nulls_first("ordinal"), "observation_id", "digest").mapInArrow(fold, OUTCOMES).union(refused)
 
 
+#: Accepted ids of an image that lie in one entry of its state, on average at most.
+ENTRY_IDS = 256
+
+
 class EvidenceProcessor(StatefulProcessor):
-    """State of an image: its latest revision, the digest of each accepted observation. Images that stay quiet for ``quiet_ms`` are forgotten if that is above 0."""
+    """State of an image: its latest revision, the digest of each accepted observation. Images that stay quiet for ``quiet_ms`` are forgotten if that is above 0.
+
+    A call to the state costs far more than a row, so accepted ids lie in entries by hash, as many (a power of two) as keep
+    ENTRY_IDS in one on average; a batch reads and writes each entry that its ids touch once. The latest revision
+    is the number of accepted ids, which says how many entries there are; when these double, all are dealt anew.
+    """
 
     def __init__(self, allow_stale: bool = True, quiet_ms: int = 0):
         self.allow_stale, self.quiet_ms = allow_stale, quiet_ms
@@ -107,25 +117,48 @@ class EvidenceProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.latest = handle.getValueState("latest", StructType([StructField("revision", LongType())]))
-        self.accepted = handle.getMapState("accepted", StructType([StructField("id", StringType())]), StructType([StructField("digest", StringType())]))
+        self.accepted = handle.getMapState("accepted", StructType([StructField("entry", LongType())]), StructType([StructField(c, ArrayType(StringType())) for c in ("ids", "digests")]))
+
+    @staticmethod
+    def _entries(accepted: int) -> int:
+        return 1 << max(0, -(-accepted // ENTRY_IDS) - 1).bit_length()
+
+    def _read(self, entry: int) -> dict[str, str]:
+        ids, digests = self.accepted.getValue((entry,)) or ((), ())
+        return dict(zip(ids, digests, strict=True))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values(["ordinal", "observation_id", "digest"], na_position="first")
-        state = _Evidence(self.allow_stale, self.latest.get()[0] if self.latest.exists() else 0)
-        outcomes, numbers = [], []
-        for observation, digest, base in zip(whole["observation_id"], whole["digest"], whole["base"], strict=True):
-            known = self.accepted.getValue((observation,))[0] if self.accepted.containsKey((observation,)) else None
-            outcome, number = state.judge(known, digest, int(base))
+        columns = [[x for frame in frames for x in frame] for frames in zip(*[[r[c].tolist() for c in ("ordinal", "observation_id", "digest", "base")] for r in rows], strict=True)]
+        whole = sorted(zip(*columns, strict=True), key=lambda r: (not pd.isna(r[0]), 0 if pd.isna(r[0]) else r[0], r[1], r[2]))
+        before = (self.latest.get() or (0,))[0]
+        state, entries = _Evidence(self.allow_stale, before), self._entries(before)
+        held: dict[int, dict[str, str]] = {}
+        touched, outcomes, numbers = set(), [], []
+        for _, observation, digest, base in whole:
+            entry = crc32(observation.encode()) % entries
+            if entry not in held:
+                held[entry] = self._read(entry) if before else {}
+            outcome, number = state.judge(held[entry].get(observation), digest, int(base))
             if number:
-                self.accepted.updateValue((observation,), (digest,))
+                held[entry][observation] = digest
+                touched.add(entry)
             outcomes.append(outcome)
             numbers.append(number)
-        self.latest.update((state.latest,))
+        if (more := self._entries(state.latest)) > entries:
+            every = [x for i in range(entries) for x in (held[i] if i in held else self._read(i)).items()]
+            held, touched = {i: {} for i in range(more)}, set(range(more))
+            for observation, digest in every:
+                held[crc32(observation.encode()) % more][observation] = digest
+        for entry in touched:
+            self.accepted.updateValue((entry,), (list(held[entry]), list(held[entry].values())))
+        if state.latest > before:
+            self.latest.update((state.latest,))
         if self.quiet_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
-        yield pd.DataFrame({"image_id": key[0], "ordinal": whole["ordinal"].array, "observation_id": whole["observation_id"].array, "outcome": outcomes, "revision": pd.array(numbers, "Int64"), "base_revision": whole["base"].array})
+        ordinals, observations, _, bases = zip(*whole, strict=True)
+        yield pd.DataFrame({"image_id": key[0], "ordinal": pd.array([None if pd.isna(o) else int(o) for o in ordinals], "Int64"), "observation_id": observations, "outcome": outcomes, "revision": pd.array(numbers, "Int64"), "base_revision": bases})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.latest.clear()
