@@ -9,12 +9,11 @@ whose words all repeat goes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenspool.functions import columns as C
 from lumenspool.functions import timing as M
 from lumenspool.functions.text import normalized_token
 from lumenspool.operators import intervals
@@ -25,11 +24,6 @@ def offset(segments: DataFrame, by: Column) -> DataFrame:
     return segments.withColumns({"start_ms": F.col("start_ms") + by, "end_ms": F.col("end_ms") + by, "words": M.shift_words(F.col("words"), by)})
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _tokens(words: Column) -> Column:
     """What words are compared by: token, start_ms, end_ms."""
     return F.transform(words, lambda w: F.struct(normalized_token(w["text"]).alias("token"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms")))
@@ -91,16 +85,16 @@ def merge_overlapping(segments: DataFrame, least_overlap: float = 0.2) -> DataFr
 
     def cut(x: Column, n: Column) -> Column:
         tokens = F.slice(x["tokens"], n + 1, F.greatest(F.size(x["tokens"]) - n, F.lit(0)))
-        return _let(trimmed(x["s"], n), lambda s: F.struct(s.alias("s"), tokens.alias("tokens"), _said(s["text"]).alias("said")))
+        return C.once(trimmed(x["s"], n), lambda s: F.struct(s.alias("s"), tokens.alias("tokens"), _said(s["text"]).alias("said")))
 
     def step(acc: Column, last: Column, x: Column) -> Column:
         a, s = last["s"], x["s"]
         same = (last["said"] == x["said"]) & (M.overlap_ratio(a["start_ms"], a["end_ms"], s["start_ms"], s["end_ms"]) >= least_overlap)
         better = s["confidence"].isNotNull() & (a["confidence"].isNull() | (s["confidence"] > a["confidence"]))
-        more = _let(_repeats(last["tokens"], x["tokens"]), lambda n: F.when((n > 0) & (n == F.size(s["words"])), acc).when(n > 0, F.array_append(acc, cut(x, n))).otherwise(F.array_append(acc, x)))
+        more = C.once(_repeats(last["tokens"], x["tokens"]), lambda n: F.when((n > 0) & (n == F.size(s["words"])), acc).when(n > 0, F.array_append(acc, cut(x, n))).otherwise(F.array_append(acc, x)))
         return F.when(same & better, F.array_append(F.slice(acc, 1, F.size(acc) - 1), x)).when(same, acc).otherwise(more)
 
-    fold = lambda acc, x: F.when(F.size(acc) > 0, _let(F.element_at(acc, -1), lambda last: step(acc, last, x))).otherwise(F.array_append(acc, x))
+    fold = lambda acc, x: F.when(F.size(acc) > 0, C.once(F.element_at(acc, -1), lambda last: step(acc, last, x))).otherwise(F.array_append(acc, x))
     return lists.select("media_id", F.explode(F.aggregate("x", F.array().cast(kind), fold)).alias("x")).select("media_id", "x.s.*")
 
 

@@ -56,16 +56,33 @@ def rational(text: Column) -> Column:
     return F.when(num.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
 
 
+def _numbered(streams: Column) -> Column:
+    """The streams that have an index."""
+    return F.filter(streams, lambda s: s["index"].try_cast("int").isNotNull())
+
+
+def _rotation(s: Column) -> Column:
+    """A stream's rotation: its tag, else the first one of its side data, else 0."""
+    return F.coalesce(F.bround(F.element_at(s["tags"], F.lit("rotate")).try_cast("double"), 0).cast("int"),
+                      F.element_at(F.filter(F.transform(s["side_data_list"], lambda x: F.bround(x["rotation"].try_cast("double"), 0).cast("int")), lambda x: x.isNotNull()), 1), F.lit(0))
+
+
+def _kind(s: Column) -> Column:
+    return F.coalesce(s["codec_type"], F.lit("unknown"))
+
+
+def _varies(nominal: Column, average: Column) -> Column:
+    return C.once(rational(nominal), lambda a: C.once(rational(average), lambda b: F.abs(a["num"] / a["den"] - b["num"] / b["den"]) > 0.001))
+
+
 def probe_streams(files: DataFrame) -> DataFrame:
     """A row a stream of probe reports (path, content): path, index, codec_type, codec_name, duration_ms, start_ms, time_base, size, rates, language, rotation, tags, disposition."""
-    s = files.select("path", F.explode(F.from_json("content", PROBE)["streams"]).alias("s"))
-    turned = F.coalesce(F.bround(F.element_at("s.tags", F.lit("rotate")).try_cast("double"), 0).cast("int"),
-                        F.element_at(F.filter(F.transform("s.side_data_list", lambda x: F.bround(x["rotation"].try_cast("double"), 0).cast("int")), lambda x: x.isNotNull()), 1), F.lit(0))
-    return s.where(F.col("s.index").try_cast("int").isNotNull()).select(
-        "path", F.col("s.index").cast("int").alias("index"), F.coalesce("s.codec_type", F.lit("unknown")).alias("codec_type"), F.nullif("s.codec_name", F.lit("")).alias("codec_name"),
+    s = files.select("path", F.explode(_numbered(F.from_json("content", PROBE)["streams"])).alias("s"))
+    return s.select(
+        "path", F.col("s.index").cast("int").alias("index"), _kind(F.col("s")).alias("codec_type"), F.nullif("s.codec_name", F.lit("")).alias("codec_name"),
         _ms(F.col("s.duration")).alias("duration_ms"), _ms(F.col("s.start_time")).alias("start_ms"), "s.time_base", F.col("s.width").try_cast("int").alias("width"), F.col("s.height").try_cast("int").alias("height"),
         "s.sample_aspect_ratio", "s.r_frame_rate", "s.avg_frame_rate", F.col("s.channels").try_cast("int").alias("channels"), F.col("s.sample_rate").try_cast("int").alias("sample_rate"),
-        F.element_at("s.tags", F.lit("language")).alias("language"), turned.alias("rotation"), "s.tags", "s.disposition")
+        F.element_at("s.tags", F.lit("language")).alias("language"), _rotation(F.col("s")).alias("rotation"), "s.tags", "s.disposition")
 
 
 def probe_chapters(files: DataFrame) -> DataFrame:
@@ -77,21 +94,28 @@ def probe_chapters(files: DataFrame) -> DataFrame:
 
 def variable_frame_rate(streams: DataFrame) -> DataFrame:
     """path, variable: whether a video stream's nominal and average rates differ by more than 0.001; null where none has both."""
-    a, b = rational(F.col("r_frame_rate")), rational(F.col("avg_frame_rate"))
-    return streams.where("codec_type = 'video'").groupBy("path").agg(F.bool_or(F.abs(a["num"] / a["den"] - b["num"] / b["den"]) > 0.001).alias("variable"))
+    return streams.where("codec_type = 'video'").groupBy("path").agg(F.bool_or(_varies(F.col("r_frame_rate"), F.col("avg_frame_rate"))).alias("variable"))
 
 
 def media_identity(files: DataFrame, ingested: DataFrame) -> DataFrame:
-    """A row a media: ingested columns, duration, container, bit rate, numbers of streams, first video stream's rates and size, rotation, chapters."""
-    streams = probe_streams(files)
-    f = files.select("path", F.from_json("content", PROBE)["format"].alias("f"))
-    of = lambda kind: F.count_if(F.col("codec_type") == kind).alias(f"{kind}_streams")
-    first = F.min_by(F.struct("r_frame_rate", "avg_frame_rate", "time_base", "width", "height", "rotation"), F.when(F.col("codec_type") == "video", F.col("index")))
-    sums = streams.groupBy("path").agg(of("video"), of("audio"), of("subtitle"), F.max("duration_ms").alias("longest"), first.alias("v"))
-    chapters = probe_chapters(files).groupBy("path").agg(F.count(F.lit(1)).alias("chapters"))
-    rows = ingested.join(f, "path", "left").join(sums, "path", "left").join(chapters, "path", "left").join(variable_frame_rate(streams), "path", "left")
-    return rows.select(*ingested.columns, F.coalesce(_ms(F.col("f.duration")), "longest").alias("duration_ms"), F.col("f.format_name").alias("container"), F.col("f.bit_rate").try_cast("long").alias("bit_rate"),
-                       *[F.coalesce(f"{k}_streams", F.lit(0).cast("long")).alias(f"{k}_streams") for k in ("video", "audio", "subtitle")], "v.r_frame_rate", "v.avg_frame_rate", "v.time_base",
+    """A row a media: ingested columns, duration, container, bit rate, numbers of streams, first video stream's rates and size, rotation, chapters.
+
+    A report is read once, and its streams are summed where it is read. Reports of one path are summed together, a row each.
+    """
+    parsed = files.where("path is not null").select("path", F.from_json("content", PROBE).alias("p"))
+    lists = parsed.select("path", F.col("p.format").alias("f"), F.size(F.coalesce("p.chapters", F.array())).cast("long").alias("chapters"), F.coalesce(_numbered(F.col("p.streams")), F.array()).alias("s"))
+    lists = lists.withColumn("videos", F.filter("s", lambda s: _kind(s) == "video"))
+    lists = lists.withColumn("at", F.array_min(F.transform("videos", lambda s, i: F.struct(s["index"].cast("int").alias("index"), i.alias("i"))))).withColumn("v", F.get("videos", F.col("at.i")))
+    v = F.struct("v.r_frame_rate", "v.avg_frame_rate", "v.time_base", F.col("v.width").try_cast("int").alias("width"), F.col("v.height").try_cast("int").alias("height"), _rotation(F.col("v")).alias("rotation"))
+    first = F.when(F.col("at").isNotNull(), F.struct("at.index", "at.i", v.alias("v")))
+    of = lambda kind: F.size(F.filter("s", lambda s: _kind(s) == kind)).cast("long").alias(f"{kind}_streams")
+    each = lists.select("path", F.struct(_ms(F.col("f.duration")).alias("duration_ms"), F.col("f.format_name").alias("container"), F.col("f.bit_rate").try_cast("long").alias("bit_rate")).alias("f"), "chapters", F.size("videos").cast("long").alias("video_streams"), of("audio"), of("subtitle"),
+                        F.array_max(F.transform("s", lambda s: _ms(s["duration"]))).alias("longest"), first.alias("first"), F.array_max(F.transform("videos", lambda s: _varies(s["r_frame_rate"], s["avg_frame_rate"]))).alias("variable"))
+    counts = [f"{k}_streams" for k in ("video", "audio", "subtitle")]
+    sums = each.groupBy("path").agg(F.collect_list("f").alias("f"), F.max("longest").alias("longest"), F.min("first").alias("first"), F.bool_or("variable").alias("variable"), *[F.sum(c).alias(c) for c in ("chapters", *counts)])
+    rows = ingested.join(sums.withColumn("f", F.explode("f")).withColumn("v", F.col("first.v")), "path", "left")
+    return rows.select(*ingested.columns, F.coalesce("f.duration_ms", "longest").alias("duration_ms"), "f.container", "f.bit_rate",
+                       *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], "v.r_frame_rate", "v.avg_frame_rate", "v.time_base",
                        F.when((F.col("v.width") > 0) & (F.col("v.height") > 0), F.struct("v.width", "v.height")).alias("resolution"), "v.rotation", "variable", F.coalesce("chapters", F.lit(0).cast("long")).alias("chapters"))
 
 
