@@ -62,6 +62,12 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of published files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at the driver's next collection."""
     import gc
@@ -173,6 +179,15 @@ def publish(uri: str, **arrays: np.ndarray) -> None:
         system.move(_system(own)[1], path)
 
 
+def exists(uri: str) -> bool:
+    if path := _local(uri):
+        return os.path.exists(path)
+    from pyarrow import fs
+
+    system, path = _system(uri)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
 _files: dict[str, dict[str, np.ndarray]] = {}
 
 

@@ -57,6 +57,8 @@ HOT, PAGE, CHAIN, HOT_KEYS = 32, 2048, 512, 200_000
 GROUPS, FANOUT = 128, 16
 #: Keys whose counts a writing task keeps to find late ones, and salts of such a key's rows.
 WATCHED, SALTS = 4096, 1024
+#: Bits a wanted id in the field by which tasks pass over other rows, and bits of one file of it.
+MARK_BITS, MARK_FILE = 32, 1 << 20
 
 
 def class_hash(s: np.ndarray) -> int:
@@ -430,10 +432,10 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     every = cold.select("a", "b", "far").union(chain.select("a", "b", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.min("far").alias("far"))
     every = keep(every.join(_within_bound(every.select("a", "b"), vectors, percent), ["a", "b"]), "bounded")
     wanted = every.select(F.explode(F.array("a", "b")).alias("h")).union(hot_rows.select("h")).distinct()
-    one = vectors.join(wanted, "h", "left_semi").select("doc_id").where("doc_id is not null").distinct()
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(one, "doc_id", "left_semi").union(texts.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
-    sets = keep(_class_sets(texts).join(wanted, "h", "left_semi"), "sets")
+    one = keep(vectors.join(wanted, "h", "left_semi").select("doc_id").where("doc_id is not null").distinct(), "ids")
+    marks, files = _marks(one)
+    sets = keep(_class_sets(docs, marks, files).join(wanted, "h", "left_semi"), "sets")
+    common.remove(spark, marks)
     linked = keep(_verified(every.where("far = 0").select("a", "b"), sets, percent), "links")
     linked = keep(spanning_forest(linked), "links")
     # What is linked needs no further look: only pairs of different components go on.
@@ -445,18 +447,54 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     dealt = _dealt(hot_rows, roots, vectors).repartition(parts, "number", "block").sortWithinPartitions("number", "block")
     rest = keep(far.union(_within_bound(_hot_pairs(dealt, percent).distinct(), vectors, percent)).distinct(), "bounded")
     more = keep(linked.union(_verified(rest, sets, percent)), "links")
-    common.discard(sets, found, hot_rows, chain, every, vectors, rest, linked)
+    common.discard(sets, one, found, hot_rows, chain, every, vectors, rest, linked)
     linked = keep(spanning_forest(more), "links")
     common.discard(more)
     return rows, linked
 
 
-def _class_sets(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, 0):
-            yield pa.record_batch([pa.array([class_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "set"])
+def _mark(files: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(files * MARK_FILE))
+
+
+def _marks(ids: DataFrame) -> tuple[str, int]:
+    """(folder, number of files) of a bit field in which each of ids (a written table: doc_id) has its bit set; files without one are not written."""
+    spark = ids.sparkSession
+    files = max(1, -(-ids.count() * MARK_BITS // MARK_FILE))
+    uri = common.shared_path(spark, "marks")
+
+    def write(x: pa.Table) -> pa.Table:
+        file = x["file"][0].as_py()
+        field = np.zeros(MARK_FILE, bool)
+        field[x["bit"].to_numpy()] = True
+        common.publish(f"{uri}/{file}", bits=np.packbits(field, bitorder="little"))
+        return pa.table({"file": pa.array([file], pa.int64())})
 
-    return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "h long, set binary")
+    at = ids.select(F.floor(_mark(files) / MARK_FILE).alias("file"), F.pmod(_mark(files), F.lit(MARK_FILE)).alias("bit"))
+    at.groupBy("file").applyInArrow(write, "file long").count()
+    return uri, files
+
+
+def _class_sets(docs: DataFrame, marks: str, files: int) -> DataFrame:
+    """(h, set), a row a class: the sets of all rows whose doc_id is marked or null, and of some others. No text is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: dict[int, np.ndarray | None] = {}
+        for batch in batches:
+            mark = batch.column(0).to_numpy()
+            file, bit = mark // MARK_FILE, mark % MARK_FILE
+            ok = mark < 0
+            for f in np.unique(file[~ok]).tolist():
+                if f not in fields:
+                    fields[f] = common.arrays(f"{marks}/{f}", keep=False)["bits"] if common.exists(f"{marks}/{f}") else None
+                if fields[f] is not None:
+                    here = np.flatnonzero(file == f)
+                    ok[here] = (fields[f][bit[here] >> 3] >> (bit[here] & 7).astype(np.uint8)) & 1 == 1
+            for _, sets in _sets(iter([batch.filter(pa.array(ok))]), 1):
+                yield pa.record_batch([pa.array([class_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "set"])
+
+    rows = docs.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(_mark(files)).alias("mark"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "h long, set binary").groupBy("h").agg(F.any_value("set").alias("set"))
 
 
 def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

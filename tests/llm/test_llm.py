@@ -231,6 +231,35 @@ def test_ngram_join_late_and_hot_keys(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.groups(table).collect()} == {i: least[r] for i, r in enumerate(root)}
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    # Sets are made of the wanted rows without a shuffle of all texts; equal texts, equal doc_ids and null ones count.
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(300))) for i in range(200)]
+    rows += [(300, same), (301, same), (302, same + " end"), (None, "begin " + same), (300, rows[7][1] + " end")]
+    plans, write = {}, common.materialize
+
+    def record(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(common, "materialize", record)
+    found = {r.doc_id: r.component_id for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id not in (None, 300)}
+    assert found == {i: i for i in range(200)} | {301: 300, 302: 300}
+    assert "hashpartitioning(doc_id" not in plans["sets"]
+
+
+def test_marks_let_wanted_rows_through(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MARK_FILE", 1 << 10)
+    table = spark.range(5000).selectExpr("if(id % 1000 = 999, null, id) as doc_id", "concat('text number ', id) as text").repartition(3)
+    ids = common.materialize(table.where("doc_id % 20 = 0").select("doc_id"), "ids")
+    marks, files = ngram_join._marks(ids)
+    found = {r.h for r in ngram_join._class_sets(table, marks, files).collect()}
+    every = {r.doc_id: r.h for r in ngram_join.describe(table, np.zeros(0, np.uint64)).collect() if r.doc_id is not None}
+    assert files > 1 and found >= {h for i, h in every.items() if i % 20 == 0} and 255 <= len(found) < 600
+    common.remove(spark, marks)
+    assert not common.exists(marks)
+
+
 def test_late_rows_stream(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 2)
     rows = [(7, h, 10, 0) for h in range(1, 12)] + [(7, h, 10, 3) for h in range(20, 25)] + [(9, h, 10, 0) for h in range(1, 4)]
