@@ -119,17 +119,30 @@ def context_blocks(packets: DataFrame, blocks: DataFrame) -> DataFrame:
     """(project, candidate_id, block_id, place): blocks that share a frame with a packet or touch its span (ends included), most important first.
 
     packets: project, candidate_id, start_ms, end_ms, frame_ids. blocks: project, block_id, start_ms, end_ms, frame_ids, unverified, uncertain, visual.
+    Pairs are not shuffled: packets of equal frames share one list of blocks, to which each adds those that it touches, and a packet's
+    places are those in its own sorted list. Only what packets touch goes through the shuffle, by packet. (project, candidate_id) and (project, block_id) are unique.
     """
-    linked = packets.select("project", "candidate_id", F.explode("frame_ids").alias("frame_id")).join(blocks.select("project", "block_id", F.explode("frame_ids").alias("frame_id")), ["project", "frame_id"]).select("project", "candidate_id", "block_id").distinct().withColumn("linked", F.lit(True))
-    right = blocks.where("start_ms is not null").select("project", "block_id", F.col("start_ms").alias("r_start"), (F.coalesce("end_ms", "start_ms") + 1).alias("r_end")).withColumnRenamed("block_id", "r_block")
-    spans = packets.select("project", "candidate_id", "start_ms", (F.col("end_ms") + 1).alias("end_ms"))
-    near = intervals.range_join(spans, right, "project").select("project", "candidate_id", F.col("r_block").alias("block_id"), (F.greatest(F.lit(0), F.least("end_ms", "r_end") - 1 - F.greatest("start_ms", "r_start"))).alias("overlap"))
-    both = linked.join(near, ["project", "candidate_id", "block_id"], "full").join(blocks.select("project", "block_id", "start_ms", "end_ms", "unverified", "uncertain", "visual"), ["project", "block_id"])
     one = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0)
-    priority = one("linked", 4000) + one("unverified", 1000) + one("uncertain", 500) + one("visual", 250) + F.floor(F.least(F.coalesce("overlap", F.lit(0)), F.lit(60_000)) / 100)
-    rows = both.withColumn("priority", priority)
-    place = F.row_number().over(Window.partitionBy("project", "candidate_id").orderBy(F.desc("priority"), "start_ms", "end_ms", "block_id"))
-    return rows.select("project", "candidate_id", "block_id", "priority", place.alias("place"))
+    entry = lambda priority, start, end, block: F.struct((-priority).cast("long").alias("order"), start.alias("start_ms"), end.alias("end_ms"), block.alias("block_id"))
+    given = blocks.withColumn("base", one(F.col("unverified"), 1000) + one(F.col("uncertain"), 500) + one(F.col("visual"), 250))
+    rows = packets.withColumn("frames", F.array_sort(F.array_distinct("frame_ids")))
+    # What touches a packet's span, and which of it shares a frame.
+    right = given.where("start_ms is not null").select("project", F.col("block_id").alias("r_block"), F.col("start_ms").alias("r_start"), (F.coalesce("end_ms", "start_ms") + 1).alias("r_end"), F.col("end_ms").alias("r_given"), F.col("base").alias("r_base"), F.col("frame_ids").alias("r_frames"))
+    spans = rows.select("project", "candidate_id", "frames", "start_ms", (F.col("end_ms") + 1).alias("end_ms"))
+    overlap = F.greatest(F.lit(0), F.least("end_ms", "r_end") - 1 - F.greatest("start_ms", "r_start"))
+    shares = F.coalesce(F.arrays_overlap("frames", "r_frames"), F.lit(False))
+    priority = one(shares, 4000) + F.col("r_base") + F.floor(F.least(overlap, F.lit(60_000)) / 100)
+    near = intervals.range_join(spans, right, "project").select("project", "candidate_id", entry(priority, F.col("r_start"), F.col("r_given"), F.col("r_block")).alias("entry"), F.when(shares, F.col("r_block")).alias("both"))
+    near = near.groupBy("project", "candidate_id").agg(F.collect_list("entry").alias("near"), F.collect_list("both").alias("both"))
+    # What shares a frame, once for all packets of the same frames.
+    framed = given.select("project", entry(F.col("base") + 4000, F.col("start_ms"), F.col("end_ms"), F.col("block_id")).alias("entry"), F.explode(F.array_distinct("frame_ids")).alias("frame_id"))
+    lists = rows.select("project", "frames").distinct().withColumn("frame_id", F.explode("frames")).join(framed, ["project", "frame_id"])
+    lists = lists.groupBy("project", "frames").agg(F.collect_set("entry").alias("linked"))
+    every = rows.select("project", "candidate_id", "frames").join(near, ["project", "candidate_id"], "left").join(lists, ["project", "frames"], "left")
+    rest = F.when(F.size("both") > 0, F.filter("linked", lambda x: ~F.array_contains("both", x["block_id"]))).otherwise(F.col("linked"))
+    none = F.array().cast(every.schema["near"].dataType)
+    found = every.select("project", "candidate_id", F.posexplode(F.array_sort(F.concat(F.coalesce(rest, none), F.coalesce("near", none)))).alias("at", "entry"))
+    return found.select("project", "candidate_id", F.col("entry.block_id").alias("block_id"), (-F.col("entry.order")).alias("priority"), (F.col("at") + 1).alias("place"))
 
 
 def prior_claims(packets: DataFrame, known: DataFrame, claims: DataFrame, most: int = 128) -> DataFrame:
