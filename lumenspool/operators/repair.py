@@ -9,6 +9,11 @@ whose words all repeat goes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,11 +108,56 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
     return merge_overlapping(offset(chunks, F.col("offset_ms")).drop("offset_ms"))
 
 
+#: Bytes of text after which a batch is handed on.
+BATCH_BYTES = 8 << 20
+
+
+def _heard(own: pa.Table, others: pa.Table) -> Iterator[pa.RecordBatch]:
+    """own with after and confidence; rows that meet the same of others share them."""
+    others = others.sort_by([("r_order", "ascending"), ("r_text", "ascending")])
+    number = lambda t, c: t[c].to_numpy().astype(np.int64)
+    begins, ends = number(others, "r_start"), number(others, "r_end")
+    texts = others["r_text"].combine_chunks()
+    said, known = pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False), others["r_confidence"].is_valid().to_numpy()
+    sure = others["r_confidence"].to_numpy()
+    timed = own.filter(pc.and_(own["start_ms"].is_valid(), own["end_ms"].is_valid()))
+    a, b = np.searchsorted(np.sort(ends), number(timed, "start_ms"), "right"), np.searchsorted(np.sort(begins), number(timed, "end_ms"), "left")
+    order = np.lexsort((b, a))
+    timed = timed.take(pa.array(order))
+    starts, stops, same = number(timed, "start_ms"), number(timed, "end_ms"), np.diff(a[order], prepend=-1).astype(bool) | np.diff(b[order], prepend=-1).astype(bool)
+    at, size, after, means = 0, 0, [], []
+
+    def batch(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.append_column("after", pa.array(after, pa.string())).append_column("confidence", pa.array(means, pa.float64()))
+        return rows.combine_chunks().to_batches()[0]
+
+    for k, new in enumerate(same.tolist()):
+        if new:
+            met = np.flatnonzero((begins < stops[k]) & (ends > starts[k]))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n := int(said[met].sum())], pa.int32()), texts.take(pa.array(met[said[met]]))), " ")[0].as_py() if len(met) else ""
+            heard = sure[met[known[met]]]
+            mean = float(np.add.accumulate(heard)[-1] / len(heard)) if len(heard) else None  # summed one by one, in order
+        after.append(text)
+        means.append(mean)
+        size += len(text)
+        if size > BATCH_BYTES or k == len(timed) - 1:
+            yield batch(timed.slice(at, k + 1 - at))
+            at, size, after, means = k + 1, 0, [], []
+    rest = own.filter(pc.or_(own["start_ms"].is_null(), own["end_ms"].is_null()))
+    if len(rest):
+        after, means = [""] * len(rest), [None] * len(rest)
+        yield batch(rest)
+
+
 def recognised_for(segments: DataFrame, recognised: DataFrame) -> DataFrame:
-    """(media_id, source_order, after, confidence): what recognised (media_id, r_order, start_ms, end_ms, text, confidence) says in each segment's time, in order, and its mean confidence."""
-    right = recognised.select("media_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.trim("text").alias("r_text"), F.col("confidence").alias("r_confidence"), "r_order")
-    pairs = intervals.range_join(segments.select("media_id", "source_order", "start_ms", "end_ms"), right, "media_id")
-    return pairs.groupBy("media_id", "source_order").agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("r_order", "r_text"))), lambda x: x["r_text"]), lambda t: t != ""), " ").alias("after"), F.avg("r_confidence").alias("confidence"))
+    """segments with after and confidence: what recognised (media_id, r_order, start_ms, end_ms, text, confidence) says in each segment's time, in order ('' for nothing), and its mean confidence.
+
+    The mean is a sum in order of r_order by its count, so it is the same however rows lie in partitions. Texts are made
+    where segment and words meet; neither they nor pairs go through a shuffle.
+    """
+    right = recognised.select("media_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.trim("text").alias("r_text"), F.col("confidence").cast("double").alias("r_confidence"), "r_order")
+    shape = ", ".join(f"`{c}` {t}" for c, t in segments.dtypes)
+    return intervals.gathered(segments, right, "media_id", _heard, f"{shape}, after string, confidence double")
 
 
 def repair(segments: DataFrame, suspect: DataFrame, recognised: DataFrame, least_confidence: float = 0.50) -> DataFrame:
@@ -116,8 +166,8 @@ def repair(segments: DataFrame, suspect: DataFrame, recognised: DataFrame, least
     Words replace if there are any, differ and are confident enough (unknown confidence is); the same words retain.
     """
     merged = intervals.union(suspect, ["media_id"], 0).select("media_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
-    hit = intervals.range_join(segments.select("media_id", "source_order", "segment_id", "start_ms", "end_ms", "text"), merged, "media_id").select("media_id", "source_order", "segment_id", F.col("text").alias("before"), F.col("r_start").alias("interval_start"), F.col("r_end").alias("interval_end"))
-    rows = hit.join(recognised_for(segments, recognised), ["media_id", "source_order"], "left").withColumn("after", F.coalesce("after", F.lit("")))
+    hit = intervals.range_join(segments.select("media_id", "source_order", "segment_id", "start_ms", "end_ms", F.col("text").alias("before")), merged, "media_id").withColumnsRenamed({"r_start": "interval_start", "r_end": "interval_end"})
+    rows = recognised_for(hit, recognised).drop("start_ms", "end_ms")
     sure = (F.col("after") != "") & (F.col("confidence").isNull() | (F.col("confidence") >= least_confidence))
     action = F.when(sure & (F.col("after") != F.col("before")), "replace").when((F.col("after") == F.col("before")) & (F.col("after") != ""), "retain").otherwise("unresolved")
     return rows.withColumn("action", action)
