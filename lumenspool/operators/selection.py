@@ -71,7 +71,7 @@ def hamming_pairs(df: DataFrame, most: int, parts: int = 3, bits: int = 63) -> D
     One of ``parts`` parts differs in at most most / parts bits. Each of two hashes changes half of those bits, so they meet by
     equality and each has far fewer keys than if one changed them all. The lower bits are the first one's to change, and the first
     part that is near enough counts, so a pair is found once. Wide parts make chance meetings rare: with 21 bits one in two million.
-    Equal hashes are one until ids are put in.
+    Equal hashes are one until ids are put in. Joins merge: keys are many times the table whose size Spark knows, and none goes through the driver.
     """
     cuts = [(bits * i // parts, bits * (i + 1) // parts) for i in range(parts)]
     part = lambda h, i: F.shiftright(h, cuts[i][0]).bitwiseAND(F.lit((1 << (cuts[i][1] - cuts[i][0])) - 1))
@@ -80,7 +80,7 @@ def hamming_pairs(df: DataFrame, most: int, parts: int = 3, bits: int = 63) -> D
     rows = df.where("h is not null")
     hashes = rows.select("h").distinct()
     keys = lambda limit: hashes.select("h", F.posexplode(F.array(*[_xor_all(part(F.col("h"), i), flips(i, limit)) for i in range(parts)])).alias("p", "ks")).select("h", "p", F.explode("ks").alias("k"))
-    met = keys(-(-reach // 2)).withColumnRenamed("h", "ha").join(keys(reach // 2).withColumnRenamed("h", "hb"), ["p", "k"]).where("ha < hb")
+    met = keys(-(-reach // 2)).withColumnRenamed("h", "ha").join(keys(reach // 2).withColumnRenamed("h", "hb").hint("merge"), ["p", "k"]).where("ha < hb")
     by_part = lambda make: F.element_at(F.array(*[make(i) for i in range(parts)]), F.col("p") + 1)
     ea, eb = (F.col("k").bitwiseXOR(by_part(lambda i, c=c: part(F.col(c), i))) for c in ("ha", "hb"))
     own = (F.bit_count(ea) - F.bit_count(eb)).isin(0, 1) & ((eb == 0) | (ea < eb.bitwiseAND(-eb)))
@@ -88,8 +88,8 @@ def hamming_pairs(df: DataFrame, most: int, parts: int = 3, bits: int = 63) -> D
     first = by_part(lambda i: reduce(Column.__and__, apart[:i], F.lit(True)))
     near = met.withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).where((F.col("distance") <= most) & own & first).select("ha", "hb", "distance")
     named = lambda name, h: rows.select(F.col("id").alias(name), F.col("h").alias(h))
-    unlike = near.join(named("x", "ha"), "ha").join(named("y", "hb"), "hb").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    alike = named("a", "h").join(named("b", "h"), "h").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    unlike = near.join(named("x", "ha").hint("merge"), "ha").join(named("y", "hb").hint("merge"), "hb").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    alike = named("a", "h").join(named("b", "h").hint("merge"), "h").where("a < b").select("a", "b", F.lit(0).alias("distance"))
     return unlike.union(alike).distinct()
 
 
