@@ -8,6 +8,11 @@ Defined cases: a packet without frames proves nothing; unknown frames make a pro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,34 +120,88 @@ def select(packets: DataFrame, budget: int) -> DataFrame:
     return rows.join(chosen, ["project", "scope"], "left").withColumn("chosen", F.col("proved") | F.coalesce("_hit", F.lit(False))).drop("_hit", "lead")
 
 
+#: Width of the places in which packets meet blocks, and rows after which a batch of them is handed on.
+CONTEXT_MS, BATCH_ROWS = 60_000, 1 << 18
+
+
+def _context(own: pa.Table, touching: pa.Table, linked: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Ranked blocks of each packet. Packets of equal frames share one sorted list, into which each puts those that it touches."""
+    number = lambda t, c: pc.fill_null(t[c], 0).to_numpy().astype(np.int64)
+    touching = touching.sort_by("r_start")
+    names = ("block", "start", "given", "base")
+    known = pa.concat_tables([t.select([p + n for n in names]).rename_columns(names) for p, t in (("r_", touching), ("i_", linked))])
+    coded = known["block"].combine_chunks().dictionary_encode()
+    codes, blocks = coded.indices.to_numpy(), coded.dictionary
+    once = np.zeros(len(blocks), np.int64)
+    once[codes[::-1]] = np.arange(len(codes))[::-1]
+    unique = known.take(pa.array(once))
+    base, tie = number(unique, "base"), np.empty(len(blocks), np.int64)
+    tie[pc.sort_indices(unique, sort_keys=[("start", "ascending"), ("given", "ascending"), ("block", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(blocks))
+    key = lambda priority, block: (-priority << 32) + tie[block]
+    near, far = codes[: len(touching)], codes[len(touching) :]
+    begins, ends = number(touching, "r_start"), number(touching, "r_end")
+    reach = np.maximum.accumulate(ends)
+    by_item: dict[str, list[int]] = {}
+    for item, block in zip(linked["item"].to_pylist(), far.tolist(), strict=True):
+        by_item.setdefault(item, []).append(block)
+    frames = [tuple(f or ()) for f in own["frames"].to_pylist()]
+    timed = pc.and_(own["start_ms"].is_valid(), own["end_ms"].is_valid()).to_numpy()
+    starts, stops = number(own, "start_ms"), number(own, "end_ms")
+    shared, at, rows, ranks, lists = None, np.full(len(blocks), -1), 0, [], []
+
+    def batch() -> pa.RecordBatch:
+        sizes = [len(x) for x in ranks]
+        whose, which, rank = pa.array(np.repeat([k for k, _ in lists], sizes)), np.concatenate([x for _, x in lists]), np.concatenate(ranks)
+        place = np.arange(len(rank)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes) + 1
+        return pa.RecordBatch.from_arrays([own["project"].combine_chunks().take(whose), own["candidate_id"].combine_chunks().take(whose), blocks.take(pa.array(which)), pa.array(-(rank >> 32)), pa.array(place.astype(np.int32))], ["project", "candidate_id", "block_id", "priority", "place"])
+
+    for k in sorted(range(len(own)), key=lambda k: tuple(str(f) for f in frames[k])):
+        if frames[k] != shared:
+            shared = frames[k]
+            mine = np.unique(np.array([b for f in set(shared) for b in by_item.get(f, ())], np.int64))
+            keys = key(base[mine] + 4000, mine)
+            order = np.argsort(keys)
+            mine, keys = mine[order], keys[order]
+            at[:] = -1
+            at[mine] = np.arange(len(mine))
+        which, rank = mine, keys
+        if timed[k] and (i := np.searchsorted(reach, starts[k], "right")) < (j := np.searchsorted(begins, stops[k], "left")):
+            met = i + np.flatnonzero(ends[i:j] > starts[k])
+            block, place = near[met], at[near[met]]
+            over = np.minimum(np.maximum(np.minimum(stops[k], ends[met]) - 1 - np.maximum(starts[k], begins[met]), 0), 60_000)
+            added = key(np.where(place >= 0, 4000, 0) + base[block] + over // 100, block)
+            order = np.argsort(added)
+            rest = np.ones(len(mine), bool)
+            rest[place[place >= 0]] = False
+            to = np.searchsorted(keys[rest], added[order])
+            which, rank = np.insert(mine[rest], to, block[order]), np.insert(keys[rest], to, added[order])
+        if len(which):
+            lists.append((k, which))
+            ranks.append(rank)
+            rows += len(which)
+        if rows > BATCH_ROWS:
+            yield batch()
+            rows, ranks, lists = 0, [], []
+    if rows:
+        yield batch()
+
+
 def context_blocks(packets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(project, candidate_id, block_id, place): blocks that share a frame with a packet or touch its span (ends included), most important first.
+    """(project, candidate_id, block_id, priority, place): blocks that share a frame with a packet or touch its span (ends included), most important first.
 
     packets: project, candidate_id, start_ms, end_ms, frame_ids. blocks: project, block_id, start_ms, end_ms, frame_ids, unverified, uncertain, visual.
-    Pairs are not shuffled: packets of equal frames share one list of blocks, to which each adds those that it touches, and a packet's
-    places are those in its own sorted list. Only what packets touch goes through the shuffle, by packet. (project, candidate_id) and (project, block_id) are unique.
+    Pairs are not shuffled: what packets of one stretch of time touch and what shares a frame with one of them comes to where they
+    are, and places are those in each packet's own list. (project, candidate_id) and (project, block_id) are unique.
     """
     one = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0)
-    entry = lambda priority, start, end, block: F.struct((-priority).cast("long").alias("order"), start.alias("start_ms"), end.alias("end_ms"), block.alias("block_id"))
     given = blocks.withColumn("base", one(F.col("unverified"), 1000) + one(F.col("uncertain"), 500) + one(F.col("visual"), 250))
-    rows = packets.withColumn("frames", F.array_sort(F.array_distinct("frame_ids")))
-    # What touches a packet's span, and which of it shares a frame.
-    right = given.where("start_ms is not null").select("project", F.col("block_id").alias("r_block"), F.col("start_ms").alias("r_start"), (F.coalesce("end_ms", "start_ms") + 1).alias("r_end"), F.col("end_ms").alias("r_given"), F.col("base").alias("r_base"), F.col("frame_ids").alias("r_frames"))
-    spans = rows.select("project", "candidate_id", "frames", "start_ms", (F.col("end_ms") + 1).alias("end_ms"))
-    overlap = F.greatest(F.lit(0), F.least("end_ms", "r_end") - 1 - F.greatest("start_ms", "r_start"))
-    shares = F.coalesce(F.arrays_overlap("frames", "r_frames"), F.lit(False))
-    priority = one(shares, 4000) + F.col("r_base") + F.floor(F.least(overlap, F.lit(60_000)) / 100)
-    near = intervals.range_join(spans, right, "project").select("project", "candidate_id", entry(priority, F.col("r_start"), F.col("r_given"), F.col("r_block")).alias("entry"), F.when(shares, F.col("r_block")).alias("both"))
-    near = near.groupBy("project", "candidate_id").agg(F.collect_list("entry").alias("near"), F.collect_list("both").alias("both"))
-    # What shares a frame, once for all packets of the same frames.
-    framed = given.select("project", entry(F.col("base") + 4000, F.col("start_ms"), F.col("end_ms"), F.col("block_id")).alias("entry"), F.explode(F.array_distinct("frame_ids")).alias("frame_id"))
-    lists = rows.select("project", "frames").distinct().withColumn("frame_id", F.explode("frames")).join(framed, ["project", "frame_id"])
-    lists = lists.groupBy("project", "frames").agg(F.collect_set("entry").alias("linked"))
-    every = rows.select("project", "candidate_id", "frames").join(near, ["project", "candidate_id"], "left").join(lists, ["project", "frames"], "left")
-    rest = F.when(F.size("both") > 0, F.filter("linked", lambda x: ~F.array_contains("both", x["block_id"]))).otherwise(F.col("linked"))
-    none = F.array().cast(every.schema["near"].dataType)
-    found = every.select("project", "candidate_id", F.posexplode(F.array_sort(F.concat(F.coalesce(rest, none), F.coalesce("near", none)))).alias("at", "entry"))
-    return found.select("project", "candidate_id", F.col("entry.block_id").alias("block_id"), (-F.col("entry.order")).alias("priority"), (F.col("at") + 1).alias("place"))
+    rows = packets.select("project", "candidate_id", F.array_sort(F.array_distinct("frame_ids")).alias("frames"), F.col("start_ms").cast("long").alias("start_ms"), (F.col("end_ms") + 1).cast("long").alias("end_ms"))
+    named = lambda p: [F.col("block_id").alias(f"{p}block"), F.col("start_ms").cast("long").alias(f"{p}start"), F.col("end_ms").cast("long").alias(f"{p}given"), F.col("base").alias(f"{p}base")]
+    right = given.select("project", *named("r_"), (F.coalesce("end_ms", "start_ms") + 1).cast("long").alias("r_end"))
+    linked = given.select("project", F.explode(F.array_distinct("frame_ids")).alias("item"), *named("i_"))
+    kinds = dict(packets.dtypes) | dict(blocks.dtypes)
+    shape = f"project {kinds['project']}, candidate_id {kinds['candidate_id']}, block_id {kinds['block_id']}, priority bigint, place int"
+    return intervals.gathered(rows, right, "project", _context, shape, CONTEXT_MS, ("frames", linked))
 
 
 def prior_claims(packets: DataFrame, known: DataFrame, claims: DataFrame, most: int = 128) -> DataFrame:
